@@ -1,6 +1,11 @@
 """The queries of this subpackage and their SQL twins."""
 
-from . import simhash
+from . import decontaminate, simhash
 
-QUERIES = {"op8_simhash": simhash.op8_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op8_simhash": simhash.op8_simhash,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": decontaminate.ORACLE,
+}
