@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL twins."""
 
-from . import decontaminate, simhash
+from . import decontaminate, language, simhash
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op4_language": language.op4_language,
     "op8_simhash": simhash.op8_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
