@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL twins."""
 
-from . import decontaminate, language, simhash
+from . import decontaminate, language, pieces, simhash
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_language": language.op4_language,
+    "op5_pieces": pieces.op5_pieces,
     "op8_simhash": simhash.op8_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
