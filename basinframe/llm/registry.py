@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL twins."""
 
-from . import decontaminate, language, pieces, simhash
+from . import decontaminate, language, minhash, pieces, simhash
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_minhash": minhash.op3_minhash,
     "op4_language": language.op4_language,
     "op5_pieces": pieces.op5_pieces,
     "op8_simhash": simhash.op8_simhash,
