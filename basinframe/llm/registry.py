@@ -1,14 +1,16 @@
 """The queries of this subpackage and their SQL twins."""
 
-from . import decontaminate, language, minhash, pieces, simhash
+from . import chat, decontaminate, language, minhash, pieces, simhash
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_minhash": minhash.op3_minhash,
     "op4_language": language.op4_language,
     "op5_pieces": pieces.op5_pieces,
+    "op6_chat": chat.op6_chat,
     "op8_simhash": simhash.op8_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op6_chat": chat.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,
 }
