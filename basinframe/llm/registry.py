@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL twins."""
 
-from . import chat, decontaminate, language, minhash, pieces, simhash
+from . import chat, decontaminate, language, minhash, pieces, sharding, simhash
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_language": language.op4_language,
     "op5_pieces": pieces.op5_pieces,
     "op6_chat": chat.op6_chat,
+    "op7_sharding": sharding.op7_sharding,
     "op8_simhash": simhash.op8_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
