@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL twins."""
 
-from . import chat, decontaminate, language, minhash, pieces, sharding, simhash
+from . import chat, decontaminate, fixity, language, minhash, pieces, pseudo, sharding, simhash, urlfilter
 
 QUERIES = {
+    "op1_fixity": fixity.op1_fixity,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_minhash": minhash.op3_minhash,
     "op4_language": language.op4_language,
@@ -10,8 +11,12 @@ QUERIES = {
     "op6_chat": chat.op6_chat,
     "op7_sharding": sharding.op7_sharding,
     "op8_simhash": simhash.op8_simhash,
+    "op9_pseudo": pseudo.op9_pseudo,
+    "op10_urlfilter": urlfilter.op10_urlfilter,
 }
 ORACLE_SQL: dict[str, str] = {
-    "op6_chat": chat.ORACLE,
+    "op1_fixity": fixity.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,
+    "op6_chat": chat.ORACLE,
+    "op10_urlfilter": urlfilter.ORACLE,
 }
