@@ -15,7 +15,19 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; texts may be long, and a batch is held several times over there.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Have the session bound Arrow batches by bytes, not by rows alone; a smaller bound of its own stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
