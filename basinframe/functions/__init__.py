@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Column functions: sentinels, known-ness, identifiers, text clean-up, geometry."""

@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""DataFrame operators, by family."""

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import catalogue_plans, matching_plans, registry_plans, sample_plans
+
+MODULES = (registry_plans, sample_plans, matching_plans, catalogue_plans)
+QUERIES = {name: plan for m in MODULES for name, plan in m.P.queries.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.P.sql.items()}

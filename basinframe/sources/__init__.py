@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Readers and writers, and adapters from the star schema to the subsurface tables."""

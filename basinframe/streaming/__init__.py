@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Structured Streaming variants: incremental delivery, deduplication, windows and retry state."""
