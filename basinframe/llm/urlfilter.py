@@ -101,7 +101,8 @@ def token_counts(urls: DataFrame, url: str, rules: list[Rule]) -> dict[str, int]
     wanted = spark.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string")
     low = F.translate(F.col(url), _UPPER, _LOWER)
     own = urls.select(F.explode(F.array_distinct(F.split(low, "[^a-z0-9]+"))).alias("token"))
-    return {r.token: r["count"] for r in own.join(wanted, "token").groupBy("token").count().collect()}
+    # counted before the join: a token of every url is one row of each task then
+    return {r.token: r["count"] for r in own.groupBy("token").count().join(wanted, "token").collect()}
 
 
 class Index:
