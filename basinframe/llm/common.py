@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settle
 
-#: Temporary folders of local sessions that name no shared folder, by application.
-_OWN: dict[str, str] = {}
+__all__ = ["bounded", "hex_of", "settle", "table", "unused"]
 
 
 #: Bytes of an Arrow batch that goes to a Python worker; texts may be long, and a batch is held several times over there.
@@ -31,30 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a session that names none (a local test) gets a temporary folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
-    if not named:
-        if "cluster" in spark.sparkContext.master or not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        named = tempfile.mkdtemp(prefix="basinframe-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-        _OWN[spark.sparkContext.applicationId] = named
-    return named.rstrip("/")
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a lost
-    executor costs a reread only."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/basinframe-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -31,14 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table, unused
+from .wordhash import CHUNK, P, Q, word_hashes
 
 WINDOW = 13
 #: A text is contaminated if hit words are at least this share of its words.
 COVERAGE = 1 / 20
 #: Bytes of item text that one automaton is built of.
 BLOCK_BYTES = 1 << 20
-#: Bytes of text that are hashed at a time (a longer text is taken whole).
-CHUNK = 1 << 20
 #: Longest k-gram that selects stretches.
 GRAM = 8
 
@@ -48,7 +47,7 @@ for _b in (*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)):
     _BYTE[_b] = _b
 for _b in range(0x41, 0x5B):
     _BYTE[_b] = _b + 32
-_P, _Q, _BITS = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 22
+_BITS = 22
 
 SPAN = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("first_word", "last_word", "start", "stop")]))
 RESULT = T.StructType(
@@ -167,31 +166,11 @@ class Matcher:
             self.automaton.add(w)
         self.automaton.finish(numbered)
         self.gram = min([GRAM, window, *(len(w) for _, w in numbered)])
-        self.powers, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
-        found = [self._grams(self._hashes(b" ".join(w))[0]) for _, w in numbered]
+        found = [self._grams(word_hashes([b" ".join(w)], _BYTE)[0]) for _, w in numbered]
         self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
         self.sieve = np.zeros(1 << _BITS, bool)
         self.sieve[self.known >> np.uint64(64 - _BITS)] = True
 
-    def _powers(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, CHUNK + 1)
-            for name, p in (("powers", _P), ("inverse", pow(_P, -1, 1 << 64))):
-                out = np.full(n, p, np.uint64)
-                out[0] = 1
-                setattr(self, name, np.multiply.accumulate(out))
-
-    def _hashes(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A hash of each word, and where it starts and stops."""
-        low = _BYTE[np.frombuffer(raw, np.uint8)]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], (low != 0).view(np.int8), [0]])))
-        starts, stops = edge[::2], edge[1::2]
-        self._powers(len(low))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(low * self.powers[: len(low)], dtype=np.uint64)])
-        h = (total[stops] - total[starts]) * self.inverse[starts]
-        h ^= h >> np.uint64(29)
-        return h * np.uint64(_Q), starts, stops
-
     def _grams(self, h: np.ndarray) -> np.ndarray:
         n = len(h) - self.gram + 1
         if n <= 0:
@@ -199,16 +178,15 @@ class Matcher:
         out, p = np.zeros(n, np.uint64), 1
         for k in range(self.gram):
             out += h[k : k + n] * np.uint64(p)
-            p = p * _P % (1 << 64)
+            p = p * P % (1 << 64)
         out ^= out >> np.uint64(31)
-        return out * np.uint64(_Q)
+        return out * np.uint64(Q)
 
     def scan(self, texts: list[bytes]):
         """For each text: its number of words, the longest match, {item names}, hit words, and those words' places."""
         raw = b"\n".join(texts)
-        h, starts, stops = self._hashes(raw)
+        h, starts, stops, first = word_hashes(texts, _BYTE)
         begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        first = np.searchsorted(starts, begin)  # of each text, the first word
         grams = self._grams(h)
         seeds = np.flatnonzero(self.sieve[grams >> np.uint64(64 - _BITS)])
         seeds = seeds[np.isin(grams[seeds], self.known)] if len(self.known) else seeds[:0]

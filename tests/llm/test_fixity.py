@@ -24,8 +24,8 @@ def replicas():
     a = []
     for f in ("x", "y", "z", "only a"):
         at = 0
-        for k in range(rng.randint(1, 200)):
-            size = rng.choice([1, 50, 900, 70_000])
+        for k in range(rng.randint(140, 200)):
+            size = rng.choice([1, 50, 900, 7_000])
             a.append((f, at, size, f"{f}{k}"))
             at += size
     b = [r for r in a if r[0] != "only a"]
@@ -35,7 +35,7 @@ def replicas():
     return a, [*b, ("x", 1 << 30, 5, "tail"), ("only b", 0, 9, "new")]
 
 
-@pytest.mark.parametrize(("span", "fanout"), [(1 << 16, 16), (1000, 2), (1 << 40, 4)])
+@pytest.mark.parametrize(("span", "fanout"), [(1 << 16, 16), (20_000, 4), (1 << 40, 4)])
 def test_finds_what_a_full_compare_finds(spark, replicas, span, fanout):
     got = fixity.audit(made(spark, *replicas), span, fanout).collect()
     assert sorted(tuple(r) for r in got) == slow(*replicas)
@@ -43,10 +43,10 @@ def test_finds_what_a_full_compare_finds(spark, replicas, span, fanout):
 
 def test_equal_replicas_differ_nowhere_and_only_bad_branches_are_opened(spark, replicas):
     a, _ = replicas
-    levels = fixity.trees(fixity.distinct_records(made(spark, a, a)), 1000, 4)
+    levels = fixity.trees(fixity.distinct_records(made(spark, a, a)), 50_000, 4)
     assert fixity.differing_leaves(levels, 4).count() == 0
     bad = [a[0][:3] + ("bad",), *a[1:]]
-    levels = fixity.trees(fixity.distinct_records(made(spark, a, bad)), 1000, 4)
+    levels = fixity.trees(fixity.distinct_records(made(spark, a, bad)), 50_000, 4)
     assert [tuple(r) for r in fixity.differing_leaves(levels, 4).collect()] == [(a[0][0], 0)]
 
 
