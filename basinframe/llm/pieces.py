@@ -24,6 +24,8 @@ columns are carried.
 from __future__ import annotations
 
 import re
+from array import array
+from collections import defaultdict
 
 import ahocorasick
 import numpy as np
@@ -36,8 +38,8 @@ from .common import table, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words and pairs that a worker remembers; beyond that it starts anew.
-WORDS_KEPT = 200_000
-PAIRS_KEPT = 1_000_000
+WORDS_KEPT = 300_000
+PAIRS_KEPT = 500_000
 LONGEST_KEPT = 48
 SPACE = "▁"
 #: Stands for a U+2581 of the text; a lone surrogate is in no UTF-8 text.
@@ -53,18 +55,23 @@ class Pieces:
         self.score = {text: score for _, text, score in pieces}
         self.number = {text: n for n, text, _ in pieces}
         self.text = {n: text for n, text, _ in pieces}
+        self.sizes = {n: len(text) for n, text, _ in pieces}
+        self.scores = {n: score for n, _, score in pieces}
         self.worst = min(self.score.values(), default=0.0) - 10
         self.automaton = ahocorasick.Automaton()
-        for n, text, score in pieces:
+        for n, text, _ in pieces:
             if not (kind == "bpe" and len(text) > 1 and not text.strip(SPACE)):
-                self.automaton.add_word(text, (n, len(text), score))
+                self.automaton.add_word(text, (n, len(text)))
         self.automaton.make_automaton()
         self.runs = sorted((len(text) for _, text, _ in pieces if not text.strip(SPACE)), reverse=True)
         #: whether words can be encoded apart
         self.apart = not any(SPACE in text.lstrip(SPACE) for _, text, _ in pieces)
-        self.alone: dict[int, bool] = {}
-        self.pairs: dict[int, bool] = {}
+        #: by the piece before (-1: none), whether a piece may follow
+        self.follow: defaultdict[int, dict[int, bool]] = defaultdict(dict)
+        self.judged = 0
         self.words: dict[str, bytes] = {}
+        self.lines_apart = not any("\n" in text for _, text, _ in pieces)
+        self.line_feed = array("i", self._unknown("\n")).tobytes()
         self.spelling = np.empty(1 + max([unknown, *self.text, *([bytes_from + 255] if bytes_from is not None else [])]), object)
         self.spelling[:] = b""
         for n, text in self.text.items():
@@ -86,20 +93,15 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def stands(self, n: int) -> bool:
-        if n not in self.alone:
-            self.alone[n] = len(self.merged(self.text[n])) == 1
-        return self.alone[n]
-
-    def joins(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= PAIRS_KEPT:
-                self.pairs.clear()
-            left, right = self.text[a], self.text[b]
-            found = self.pairs[key] = self.merged(left + right) == [left, right]
-        return found
+    def _judge(self, before: int, piece: int) -> bool:
+        """Whether a piece stands alone or, after another, both stand beside each other."""
+        if self.judged >= PAIRS_KEPT:
+            self.follow.clear()
+            self.judged = 0
+        parts = [self.text[n] for n in (before, piece) if n >= 0]
+        fits = self.follow[before][piece] = self.merged("".join(parts)) == parts
+        self.judged += 1
+        return fits
 
     def _unknown(self, char: str) -> list[int]:
         if self.bytes_from is None:
@@ -108,34 +110,44 @@ class Pieces:
 
     def viterbi(self, word: str) -> list[int]:
         """Ids of the best path over a word."""
-        n = len(word)
-        last: list = [None] * (n + 1)  # the piece that the best path to a position ends in
-        if self.kind == "bpe":
-            for end, (piece, size, _) in self.automaton.iter(word):
-                end += 1
-                if last[end] is None:
-                    before = last[end - size]  # none: the start, or an unknown character
-                    if self.stands(piece) if before is None else self.joins(before[0], piece):
-                        last[end] = (piece, size)
-        else:
-            value = [0.0] + [-np.inf] * n
-            at = 0
-            for end, (piece, size, score) in [*self.automaton.iter(word), (n, (None, 0, 0.0))]:
-                while at < min(end, n):  # positions whose pieces have all been tried
-                    at += 1
-                    if value[at - 1] + self.worst > value[at] and last[at] is None:
-                        value[at] = value[at - 1] + self.worst
-                if piece is not None and value[end + 1 - size] + score > value[end + 1]:
-                    value[end + 1], last[end + 1] = value[end + 1 - size] + score, (piece, size)
-        out: list[int] = []
-        while n:
-            if last[n] is None:
-                out.extend(reversed(self._unknown(word[n - 1])))
-                n -= 1
+        last = self._merges(word) if self.kind == "bpe" else self._scores(word)
+        out, at, sizes = [], len(word) - 1, self.sizes
+        while at >= 0:
+            piece = last[at]
+            if piece < 0:
+                out.extend(reversed(self._unknown(word[at])))
+                at -= 1
             else:
-                out.append(last[n][0])
-                n -= last[n][1]
-        return out[::-1]
+                out.append(piece)
+                at -= sizes[piece]
+        out.reverse()
+        return out
+
+    def _merges(self, word: str) -> list[int]:
+        """The piece that the best path to each character ends in, -1 for an unknown character. Before the first stands
+        index -1, the spare last place: a start, like an unknown character."""
+        last, follow = [-1] * (len(word) + 1), self.follow
+        for end, (piece, size) in self.automaton.iter(word):
+            if last[end] < 0:
+                before = last[end - size]
+                fits = follow[before].get(piece)
+                if fits is None:
+                    fits = self._judge(before, piece)
+                if fits:
+                    last[end] = piece
+        return last
+
+    def _scores(self, word: str) -> list[int]:
+        n = len(word)
+        last, value, score, at = [-1] * (n + 1), [0.0] + [-np.inf] * n, self.scores, 0
+        for end, (piece, size) in [*self.automaton.iter(word), (n, (-1, 0))]:
+            while at < min(end, n):  # places whose pieces have all been tried
+                at += 1
+                if last[at - 1] < 0:
+                    value[at] = value[at - 1] + self.worst
+            if piece >= 0 and value[end + 1 - size] + score[piece] > value[end + 1]:
+                value[end + 1], last[end] = value[end + 1 - size] + score[piece], piece
+        return last
 
     def spaces(self, n: int) -> list[int]:
         """A run of n spaces: from left to right, each time the longest piece that fits."""
@@ -155,15 +167,21 @@ class Pieces:
         return self.spaces(spaces - 1) + own
 
     def word(self, word: str) -> bytes:
-        """Ids of one space and a word, as 32-bit numbers."""
-        found = self.words.get(word)
-        if found is None:
-            found = np.array(self.viterbi(SPACE + word), np.int32).tobytes()
-            if len(word) <= LONGEST_KEPT:
-                if len(self.words) >= WORDS_KEPT:
-                    self.words.clear()
-                self.words[word] = found
-        return found
+        """Ids of one space and a word, as 32-bit numbers. What follows a line feed is a word of its own, if no piece
+        has one."""
+        if self.lines_apart and "\n" in word:
+            head, *parts = word.split("\n")
+            out = (self.words.get(head) or self.word(head)) + b"".join([self.line_feed + self._ids(p) for p in parts])
+        else:
+            out = self._ids(SPACE + word)
+        if len(word) <= LONGEST_KEPT:
+            if len(self.words) >= WORDS_KEPT:
+                self.words.clear()
+            self.words[word] = out
+        return out
+
+    def _ids(self, part: str) -> bytes:
+        return array("i", self.viterbi(part)).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -174,7 +192,8 @@ class Pieces:
             return np.array(self.viterbi(SPACE + text.replace(" ", SPACE)), np.int32).tobytes()
         words = text.split(" ")
         if "" not in words:
-            return b"".join(map(self.word, words))
+            known, spelt = self.words.get, self.word
+            return b"".join([known(w) or spelt(w) for w in words])
         out = []
         for spaces, word in _RUNS.findall(SPACE + text.replace(" ", SPACE)):
             if len(spaces) == 1 and word:
