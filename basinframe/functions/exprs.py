@@ -23,7 +23,7 @@ def finite(v: Column) -> Column:
 def is_sentinel(v: Column, sentinel: float = FLOAT_MAX, relative: float = 1e-12) -> Column:
     """Equal to the sentinel in size, within a relative tolerance (0: exactly)."""
     a = F.abs(v)
-    return F.coalesce(F.abs(a - sentinel) <= F.greatest(a, F.lit(sentinel)) * relative, F.lit(False))
+    return finite(v) & F.coalesce(F.abs(a - sentinel) <= F.greatest(a, F.lit(sentinel)) * relative, F.lit(False))
 
 
 def without_sentinel(v: Column, sentinel: float = FLOAT_MAX, relative: float = 1e-12) -> Column:

@@ -79,7 +79,7 @@ def null_code(values: Column, start: float) -> Column:
     tries = [start * 10**k for k in range(8)]
     code = F.lit(tries[-1])
     for t in reversed(tries[:-1]):
-        code = F.when(~F.array_contains(values, F.lit(t)), F.lit(t)).otherwise(code)
+        code = F.when(~F.array_contains(F.array_compact(values), F.lit(t)), F.lit(t)).otherwise(code)
     return code
 
 
