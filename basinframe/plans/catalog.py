@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalogue_plans, matching_plans, registry_plans, sample_plans
+from . import assessment_plans, catalogue_plans, matching_plans, registry_plans, sample_plans
 
-MODULES = (registry_plans, sample_plans, matching_plans, catalogue_plans)
+MODULES = (registry_plans, sample_plans, matching_plans, catalogue_plans, assessment_plans)
 QUERIES = {name: plan for m in MODULES for name, plan in m.P.queries.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.P.sql.items()}
