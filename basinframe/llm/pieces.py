@@ -38,8 +38,8 @@ from .common import table, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words and pairs that a worker remembers; beyond that it starts anew.
-WORDS_KEPT = 300_000
-PAIRS_KEPT = 500_000
+WORDS_KEPT = 100_000
+PAIRS_KEPT = 250_000
 LONGEST_KEPT = 48
 SPACE = "▁"
 #: Stands for a U+2581 of the text; a lone surrogate is in no UTF-8 text.
@@ -237,20 +237,40 @@ def _pieces(values: tuple) -> Pieces:
     return _BUILT[key]
 
 
+def _lists(parts: list[bytes | None]) -> pa.Array:
+    sizes = np.array([0, *(len(p or b"") // 4 for p in parts)], np.int64)
+    ids = np.frombuffer(b"".join(p for p in parts if p), np.int32)
+    mask = pa.array([p is None for p in parts], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(ids), mask=mask)
+
+
+IDS = T.ArrayType(T.IntegerType())
+
+
 def encoder(values: tuple):
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    @F.arrow_udf(IDS)
     def encoded(texts: pa.Array) -> pa.Array:
         pieces = _pieces(values)
-        parts = [pieces.encode(t) if t is not None else None for t in texts.to_pylist()]
-        sizes = np.array([0, *(len(p or b"") // 4 for p in parts)], np.int64)
-        ids = np.frombuffer(b"".join(p for p in parts if p), np.int32)
-        mask = pa.array([p is None for p in parts], pa.bool_())
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(ids), mask=mask)
+        return _lists([pieces.encode(t) if t is not None else None for t in texts.to_pylist()])
 
     # else a query that also decodes the ids has the optimiser merge both steps, and texts are encoded twice
     return encoded.asNondeterministic()
 
 
+def proved(values: tuple):
+    """Ids, and whether they decode to the text: both in one pass through one worker."""
+
+    @F.arrow_udf(T.StructType([T.StructField("ids", IDS), T.StructField("round_trip", T.BooleanType())]))
+    def encoded(texts: pa.Array) -> pa.Array:
+        pieces, parts, same = _pieces(values), [], []
+        for t in texts.to_pylist():
+            parts.append(pieces.encode(t) if t is not None else None)
+            same.append(None if t is None else pieces.decode(np.frombuffer(parts[-1], np.int32)) == t.encode())
+        return pa.StructArray.from_arrays([_lists(parts), pa.array(same, pa.bool_())], names=["ids", "round_trip"])
+
+    return encoded
+
+
 def decoder(values: tuple):
     @F.arrow_udf(T.StringType())
     def decoded(lists: pa.Array) -> pa.Array:
@@ -278,13 +298,13 @@ def tokenised(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFr
     A column of ``docs`` that has one of these names, in any case, is replaced."""
     new = ("ids", "n_tokens", "round_trip")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
-    (back,) = unused(docs, "decoded")
-    both = decode(encode(docs, text, "ids", model), "ids", back, model)
-    return both.select(
+    (both,) = unused(docs, "pieces")
+    made = docs.withColumn(both, proved(load(model))(F.col(text)))
+    return made.select(
         *docs.columns,
-        "ids",
-        F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
-        (F.col(back) == F.col(text)).alias("round_trip"),
+        F.col(f"{both}.ids").alias("ids"),
+        F.coalesce(F.array_size(f"{both}.ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        F.col(f"{both}.round_trip").alias("round_trip"),
     )
 
 

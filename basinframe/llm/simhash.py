@@ -27,7 +27,6 @@ An empty table gives no rows. Other columns are ignored by ``near_duplicates`` a
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -69,10 +68,10 @@ def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprint(texts: pd.Series) -> pd.Series:
-    made = np.array([0 if t is None else fingerprint_of(t.encode()) for t in texts], np.uint64)
-    return pd.Series(made.view(np.int64))
+@F.arrow_udf(T.LongType())
+def _fingerprint(texts: pa.Array) -> pa.Array:
+    made = [fingerprint_of(t or b"") for t in texts.cast(pa.binary()).to_pylist()]
+    return pa.array(np.array(made, np.uint64).view(np.int64))
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> F.Column:
@@ -95,14 +94,13 @@ def anchors_of(block: np.ndarray) -> np.ndarray:
     return block[:, None] ^ errors[syndrome.astype(np.int64)]
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _anchors(fps: pd.Series) -> pd.Series:
-    x, low = fps.to_numpy(np.int64).view(np.uint64), np.uint64((1 << 31) - 1)
-    both = np.concatenate(
-        [anchors_of(x & low), anchors_of((x >> np.uint64(31)) & low) | np.uint64(1 << 31)], axis=1
-    ).view(np.int64)
-    both.sort(axis=1)
-    return pd.Series([row[np.concatenate([[True], row[1:] != row[:-1]])] for row in both])
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _anchors(fps: pa.Array) -> pa.Array:
+    x, low = fps.to_numpy(zero_copy_only=False).view(np.uint64), np.uint64((1 << 31) - 1)
+    both = [anchors_of(x & low), anchors_of((x >> np.uint64(31)) & low) | np.uint64(1 << 31)]
+    keys = np.sort(np.concatenate(both, axis=1).view(np.int64), axis=1)
+    new = np.concatenate([np.ones((len(keys), 1), bool), keys[:, 1:] != keys[:, :-1]], axis=1)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new.sum(axis=1))]), pa.int32()), pa.array(keys[new]))
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
