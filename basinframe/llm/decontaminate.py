@@ -289,7 +289,7 @@ _ARROW = {
 
 def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int = BLOCK_BYTES):
     """The items as (name, UTF-8 text) lists, each of about ``block_bytes`` of text; one is fetched at a time."""
-    own = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).alias("text")).where("text is not null")
+    own = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).alias("text")).where("text is not null").distinct()
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
     for k in range(n):

@@ -16,14 +16,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from basinframe.llm import decontaminate, language, pieces, simhash
-from basinframe.llm.common import settle, table
+from basinframe.llm.common import bounded, settle, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return language.keep_known(docs, language.train(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return simhash.keep_first(docs)
 
 
@@ -32,6 +34,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return pieces.tokenised(docs)
 
 
