@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 
 def pattern_scan(texts: DataFrame, text_id: str, text: str, pattern: str, group: int = 0) -> DataFrame:
-    """Each distinct match of a text: occurrences and the character offset of the first."""
-    found = F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))).alias("found")
-    counted = texts.select(text_id, text, found).groupBy(text_id, "found").agg(F.count("*").alias("occurrences"), F.any_value(text).alias("text"))
-    return counted.select(text_id, "found", "occurrences", F.expr("locate(found, text)").alias("first"))
+    """Each distinct match of a text: occurrences and the character offset of the first. Matches are counted where the text
+    is, so only they leave it and nothing is shuffled."""
+    all_found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
+    counted = F.transform(
+        F.array_distinct("all"),
+        lambda f: F.struct(
+            f.alias("found"), F.size(F.filter("all", lambda x: x == f)).cast("long").alias("occurrences"), F.position(f, F.col(text)).alias("first")
+        ),
+    )
+    return texts.select(text_id, text, all_found.alias("all")).select(text_id, F.inline(counted))
 
 
 def profile(texts: DataFrame, text_id: str, text: str, lines: int = 50) -> DataFrame:
