@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ BATCH_BYTES = 4 << 20
 def bounded(spark: SparkSession) -> None:
     """Have the session bound Arrow batches by bytes, not by rows alone; a smaller bound of its own stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+    digits, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", spark.conf.get(name).strip().lower()).groups()
+    if not 0 < int(digits) << 10 * " kmgtp".index(unit or " ") <= BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
