@@ -59,6 +59,7 @@ RESULT = T.StructType(
         T.StructField("spans", SPAN),
     ]
 )
+CUT_RESULT = T.StructType([*RESULT.fields, T.StructField("text", T.StringType())])
 
 
 class SuffixAutomaton:
@@ -239,23 +240,35 @@ def _matcher(key: str, items: list, window: int) -> Matcher:
     return _BUILT[key, window]
 
 
-def _scanner(items: list, window: int):
+def without(raw: bytes, spans: list[tuple]) -> str:
+    """A UTF-8 text without its spans."""
+    kept, at = [], 0
+    for *_, start, stop in spans:
+        kept.append(raw[at:start])
+        at = stop
+    return b"".join([*kept, raw[at:]]).decode()
+
+
+def _scanner(items: list, window: int, cut: bool):
+    """The function of one block; with ``cut`` it also returns the text of a hit row without all spans found so far."""
     key = hashlib.sha256(repr(items).encode()).hexdigest()
 
-    @F.arrow_udf(RESULT)
+    @F.arrow_udf(CUT_RESULT if cut else RESULT)
     def scanned(texts: pa.Array, before: pa.Array) -> pa.Array:
         matcher, rows = _matcher(key, items, window), []
         batch, held = [], 0
 
         def flush():
-            for n, longest, names, spans in matcher.scan(batch):
+            for raw, (n, longest, names, spans) in zip(batch, matcher.scan(batch), strict=True):
                 old = before[len(rows)].as_py()
                 if old:
                     names, spans = names | set(old["items"]), [*spans, *(tuple(s.values()) for s in old["spans"])]
                     longest = max(longest, old["longest"])
                 spans = joined(spans)
+                made = {"text": without(raw, spans) if spans else None} if cut else {}
                 rows.append(
                     {
+                        **made,
                         "n_words": n,
                         "n_hit": sum(s[1] - s[0] + 1 for s in spans),
                         "longest": longest,
@@ -273,12 +286,14 @@ def _scanner(items: list, window: int):
             held += len(text) + 1
         if batch:
             flush()
-        return pa.array(rows, pa.struct([(f.name, _ARROW[f.name]) for f in RESULT]))
+        return pa.array(rows, pa.struct([(f.name, _ARROW[f.name]) for f in (CUT_RESULT if cut else RESULT)]))
 
-    return scanned
+    # else a filter on the result is moved below the step that made it, and texts are scanned twice
+    return scanned.asNondeterministic()
 
 
 _ARROW = {
+    "text": pa.string(),
     "n_words": pa.int64(),
     "n_hit": pa.int64(),
     "longest": pa.int64(),
@@ -306,13 +321,15 @@ def scan(
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
     into: str = "match",
+    cut: bool = False,
 ) -> DataFrame:
     """``docs`` and a struct: n_words, n_hit, longest (match in words), items (names), spans (hit words, with their
-    places in the UTF-8 text)."""
+    places in the UTF-8 text) and, with ``cut``, the text of a hit row without its spans."""
     now = docs.withColumn(into, F.lit(None).cast(RESULT))
     blocks = list(item_blocks(items, item_id, item_text, block_bytes)) or [[]]
-    for block in blocks:
-        now = now.withColumn(into, _scanner(block, window)(F.col(text), F.col(into)))
+    for k, block in enumerate(blocks):
+        last = cut and k == len(blocks) - 1
+        now = now.withColumn(into, _scanner(block, window, last)(F.col(text), F.col(into)))
     return now
 
 
@@ -322,33 +339,15 @@ def contaminated(match: str = "match", coverage: float = COVERAGE) -> F.Column:
     return (F.col(f"{match}.n_hit") > 0) & (F.col(f"{match}.n_hit") * parts >= F.col(f"{match}.n_words"))
 
 
-@F.arrow_udf(T.StringType())
-def without_spans(texts: pa.Array, matches: pa.Array) -> pa.Array:
-    """Texts without their hit spans; the places are those in the UTF-8 text."""
-    out = []
-    for text, match in zip(texts, matches, strict=True):
-        text, spans = text.as_py(), match.as_py()["spans"]
-        if text is not None and spans:
-            raw, kept, at = text.encode(), [], 0
-            for s in spans:
-                kept.append(raw[at : s["start"]])
-                at = s["stop"]
-            text = b"".join([*kept, raw[at:]]).decode()
-        out.append(text)
-    return pa.array(out, pa.string())
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", n_chars: str | None = "n_chars", **options) -> DataFrame:
     """``docs`` without contaminated rows, and without the hit spans of the others; a row whose text changes gets
     its new length in ``n_chars`` if there is such a column."""
     (into,) = unused(docs, "match")
-    kept = scan(docs, items, text, into=into, **options).where(~contaminated(into))
+    kept = scan(docs, items, text, into=into, cut=True, **options).where(~contaminated(into))
     hit = F.col(f"{into}.n_hit") > 0
+    kept = kept.withColumn(text, F.when(hit, F.col(f"{into}.text")).otherwise(F.col(text)))
     if n_chars in docs.columns:
-        kept = kept.withColumn(text, F.when(hit, without_spans(F.col(text), F.col(into))).otherwise(F.col(text)))
         kept = kept.withColumn(n_chars, F.when(hit, F.char_length(text).cast("long")).otherwise(F.col(n_chars)))
-    else:
-        kept = kept.withColumn(text, F.when(hit, without_spans(F.col(text), F.col(into))).otherwise(F.col(text)))
     return kept.select(*docs.columns)
 
 
