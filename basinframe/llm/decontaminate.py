@@ -12,7 +12,8 @@ A window consists of such positions only, so none is missed; a chance hit of a h
 automaton reads the words themselves.
 
 Items are sent to the tasks in blocks of a bounded size (``BLOCK_BYTES`` of text each, hashed apart); texts pass one block
-after the other and results are merged, so a benchmark of any size is covered without a shuffle of the texts.
+after the other and results are merged, so a benchmark of any size is covered without a shuffle of the texts. After
+every ``BLOCKS_IN_PLAN`` blocks the rows are written, so the driver holds a bounded part of a large benchmark.
 
 Null and empty texts have no words: nothing is hit and they are not contaminated. Null items and items without
 words have no windows. An item with a null id marks words but is not counted or named; items of one id count as
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, unused
+from .common import settle, table, unused
 from .wordhash import CHUNK, P, Q, word_hashes
 
 WINDOW = 13
@@ -38,6 +39,8 @@ WINDOW = 13
 COVERAGE = 1 / 20
 #: Bytes of item text that one automaton is built of.
 BLOCK_BYTES = 1 << 20
+#: Blocks that one plan, and so the driver, holds; results are written after so many.
+BLOCKS_IN_PLAN = 8
 #: Longest k-gram that selects stretches.
 GRAM = 8
 
@@ -303,13 +306,14 @@ _ARROW = {
 
 
 def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int = BLOCK_BYTES):
-    """The items as (name, UTF-8 text) lists, each of about ``block_bytes`` of text; one is fetched at a time."""
+    """(items as a list of (name, UTF-8 text), whether they are the last): lists of about ``block_bytes`` of text, fetched one
+    at a time. A benchmark without items is one empty list."""
     own = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).alias("text")).where("text is not null").distinct()
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes)
+    n = max(1, -(-total // block_bytes))
     for k in range(n):
         part = own if n == 1 else own.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
-        yield [(r.name, r.text.encode()) for r in part.orderBy("name", "text").collect()]
+        yield [(r.name, r.text.encode()) for r in part.orderBy("name", "text").collect()], k == n - 1
 
 
 def scan(
@@ -326,10 +330,10 @@ def scan(
     """``docs`` and a struct: n_words, n_hit, longest (match in words), items (names), spans (hit words, with their
     places in the UTF-8 text) and, with ``cut``, the text of a hit row without its spans."""
     now = docs.withColumn(into, F.lit(None).cast(RESULT))
-    blocks = list(item_blocks(items, item_id, item_text, block_bytes)) or [[]]
-    for k, block in enumerate(blocks):
-        last = cut and k == len(blocks) - 1
-        now = now.withColumn(into, _scanner(block, window, last)(F.col(text), F.col(into)))
+    for k, (block, last) in enumerate(item_blocks(items, item_id, item_text, block_bytes), 1):
+        now = now.withColumn(into, _scanner(block, window, cut and last)(F.col(text), F.col(into)))
+        if k % BLOCKS_IN_PLAN == 0 and not last:
+            now = settle(now, "scanned")  # the plan lets go of its blocks
     return now
 
 
