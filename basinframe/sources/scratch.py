@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Temporary folders of local sessions that name no shared folder, by application.
 _OWN: dict[str, str] = {}
+#: Folders that this process has written, by application.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +32,19 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a lost executor costs a
     reread only."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/basinframe-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/basinframe-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    path = f"{folder}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``settle`` has written for this application, and say how many. Call it when no result that reads
+    them is needed any more; a long session otherwise keeps them all."""
+    folders = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        p = jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(conf).delete(p, True)
+    return len(folders)

@@ -111,3 +111,14 @@ def test_merge_commits_keeps_the_newest(spark, tmp_path):
 def test_frames_among_other_lines(spark):
     d = spark.createDataFrame([('EVENT {"a": 1}',), ("noise",), ("EVENT {broken",), (None,)], "line string")
     assert [r.event and r.event.a for r in events.framed(d, "line", "EVENT ", "a int").collect()] == [1, None, None, None]
+
+
+def test_scratch_tables_are_released(spark):
+    from basinframe.sources import scratch
+
+    scratch.release(spark)
+    back = scratch.settle(spark.range(3).toDF("k"), "t")
+    assert back.count() == 3
+    assert scratch.release(spark) == 1 and scratch.release(spark) == 0
+    with pytest.raises(Exception, match="(?i)not exist|no such file|FILE_NOT_EXIST"):
+        back.collect()
