@@ -38,8 +38,8 @@ from .common import table, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words and pairs that a worker remembers; beyond that it starts anew.
-WORDS_KEPT = 100_000
-PAIRS_KEPT = 250_000
+WORDS_KEPT = 200_000
+PAIRS_KEPT = 600_000
 LONGEST_KEPT = 48
 SPACE = "▁"
 #: Stands for a U+2581 of the text; a lone surrogate is in no UTF-8 text.
