@@ -64,3 +64,18 @@ def test_stages_on_empty_tables_and_other_columns(spark, folder):
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontaminate", "pieces"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_at_likeness_0_8_go(spark, folder):
+    """One to four changed words of 200 are far more than two bits of a fingerprint; 20 are below the likeness."""
+    docs = []
+    for g in range(30):
+        words = [f"g{g}w{k}" for k in range(200)]
+        for d, changed in enumerate((0, 1, 2, 4, 20)):
+            text = " ".join("other" if k % 9 == 4 and k // 9 < changed else w for k, w in enumerate(words))
+            docs.append((10 * g + d, text, None, f"s{d}", len(text)))
+    docs += [(None, docs[0][1], None, "copy", 1), (0, docs[0][1], None, "again", 1), (None, "a lone text", None, "x", 1), (5, None, None, "x", None)]
+    out = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(docs, SCHEMA), folder).collect()
+    want = [d for g in range(30) for d in (10 * g, 10 * g + 4)]
+    assert sorted(r.doc_id for r in out if r.doc_id is not None) == sorted([*want, 5])
+    assert [r.text for r in out if r.doc_id is None] == ["a lone text"]
