@@ -102,8 +102,8 @@ def coverage_cube(spark, d):
 @P.query("""SELECT source, count(*) AS files, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'es') AS es FROM documents GROUP BY source""")
 def recovery_totals(spark, d):
     """Totals by type with a column for each category and the denominator."""
-    counts = V.table(spark, d, "documents").groupBy("source").pivot("lang", ["en", "de", "fr", "es"]).count().fillna(0)
-    return counts.withColumn("files", F.col("en") + F.col("de") + F.col("fr") + F.col("es"))
+    each = [F.count_if(F.col("lang") == x).alias(x) for x in ("en", "de", "fr", "es")]
+    return V.table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("files"), *each)
 
 
 @P.query("""WITH i AS (SELECT event_type || ':' || (user_id % 20) AS sig, user_id AS c, value > 50 AS ok FROM events), p AS (SELECT sig, c, count(*) AS n, count(*) FILTER (ok) AS r FROM i GROUP BY sig, c),
@@ -164,7 +164,9 @@ def lane_budget(spark, d):
 def merge_ordered_events(spark, d):
     """Event files of all types as one sequence; the writer keeps the order by range."""
     e = V.table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
-    parts = [e.where(F.col("event_type") == t) for t in ("click", "view", "purchase", "signup", "error")]
+    known = ("click", "view", "purchase", "signup", "error")
+    parts = [e.where(F.col("event_type") == t) for t in known]
+    parts.append(e.where(F.col("event_type").isNull() | ~F.col("event_type").isin(*known)))
     return C.merged_order(parts, "ts", "event_id")
 
 
