@@ -6,8 +6,9 @@ network predicts each word from ``SIDE`` words on either side, never from itself
 weighted by place), then a softmax over classes and one over the words of the class. A document's score is the sum over
 its words of the log of these conditional probabilities.
 
-Training covers all documents: each partition of the input trains a copy of the network in numpy on one position of every
-``STRIDE`` of each text, and copies are averaged by the number of positions in them, in rounds. Copies
+Training covers every position of all documents: each partition of the input trains a copy of the network in numpy, and copies are
+averaged by the number of positions in them, in rounds. A round takes one position in as many as there are rounds, each round others, so
+that each position is a target once. Copies
 go through a shuffle in blocks and only the averaged network comes to the driver, whose size the vocabulary bounds.
 What is gathered grows with the input: a count for each word of a partition, and a copy for each partition.
 
@@ -30,7 +31,6 @@ CLASSES = 32
 CLASS = 32
 SIDE = 2
 WIDTH = 16
-STRIDE = 8
 ROUNDS = 2
 BATCH = 512
 RATE = 0.1
@@ -165,9 +165,9 @@ class Numbering:
             out[known] = self.order[at[known]]
         return out
 
-    def windows(self, texts: list[bytes], every: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, texts: list[bytes], every: int = 1, turn: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words of all texts, the neighbours of each, and where each text's words begin and end; or only the words at one
-        position of ``every`` of each text, the text's length deciding which."""
+        position of ``every`` of each text; turns 0 to ``every`` - 1 take each position once, the text's length deciding when."""
         hashes, _, _, first = word_hashes(texts)
         words, n = self.numbers(hashes), np.diff(first)
         owner = np.repeat(np.arange(len(texts)), n)
@@ -176,8 +176,8 @@ class Numbering:
         padded = np.full(len(words) + SIDE * (len(texts) + 1), _BORDER, np.int32)
         padded[place] = words
         if every > 1:
-            turn = np.array([len(t) % every for t in texts])
-            own = np.flatnonzero((at - first[owner] + turn[owner]) % every == 0)
+            turns = turn + np.array([len(t) % every for t in texts])
+            own = np.flatnonzero((at - first[owner] + turns[owner]) % every == 0)
             place, words = place[own], words[own]
         return words, np.stack([padded[place + k] for k in _PLACES], axis=1), first
 
@@ -196,7 +196,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _copies(ranked: list[int], start: np.ndarray):
+def _copies(ranked: list[int], start: np.ndarray, every: int, turn: int):
     """A partition of texts to its copy of the network, in blocks, each value times the positions seen."""
 
     def trained(batches):
@@ -205,7 +205,7 @@ def _copies(ranked: list[int], start: np.ndarray):
         for batch in batches:
             raws = (t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist())
             for part in by_size(raws):
-                words, around, _ = numbering.windows(part, STRIDE)
+                words, around, _ = numbering.windows(part, every, turn)
                 trainer.add(around, words)
         trainer.add(none.reshape(0, len(_PLACES)), none, last=True)
         if trainer.seen:
@@ -246,11 +246,12 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[li
     """The ranked word hashes and the network, from all of ``docs``."""
     top = count_words(docs, text).orderBy(F.desc("n"), "word").limit(CLASSES * CLASS).collect()
     ranked, net = [r.word for r in top], WindowNet()
-    for _ in range(rounds if ranked else 0):
-        copies = docs.select(F.col(text).alias("text")).mapInArrow(_copies(ranked, net.flat()), _LAYOUT)
+    for turn in range(rounds if ranked else 0):
+        copies = docs.select(F.col(text).alias("text")).mapInArrow(_copies(ranked, net.flat(), rounds, turn), _LAYOUT)
         means = copies.repartition("block").mapInArrow(_summed, _LAYOUT)
         blocks = sorted((r.block, r.seen, bytes(r["values"])) for r in means.collect())
-        net.load(np.concatenate([np.frombuffer(v, np.float64) / seen for _, seen, v in blocks]))
+        if blocks:  # a round may find no position where texts are short
+            net.load(np.concatenate([np.frombuffer(v, np.float64) / seen for _, seen, v in blocks]))
     return ranked, net
 
 

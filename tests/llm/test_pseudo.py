@@ -85,3 +85,27 @@ def test_nothing_to_learn_from(spark):
     ranked, net = pseudo.train(docs)
     assert ranked == []
     assert [r.lm.log_likelihood for r in pseudo.score(docs, ranked, net).collect()] == [0.0, 0.0]
+
+
+def test_rounds_train_on_every_position_once(spark, monkeypatch):
+    texts = ["a b c d e f g h i j k", "l m", "n", "", None]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    seen, copies = [], pseudo._copies
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+
+    def counted(*args):
+        seen.append(sum(b.column(1)[0].as_py() for b in copies(*args)([batch])))
+        return copies(*args)
+
+    monkeypatch.setattr(pseudo, "_copies", counted)
+    pseudo.train(docs)
+    assert sum(seen) == 14
+    numbering = pseudo.Numbering([])
+    whole = numbering.windows([b"a b c d e f g h"])[0].tolist()
+    parts = [numbering.windows([b"a b c d e f g h"], 3, turn)[0].tolist() for turn in range(3)]
+    assert sorted(sum(parts, [])) == sorted(whole)
+
+
+def test_one_word_leaves_a_round_without_positions(spark):
+    ranked, _ = pseudo.train(spark.createDataFrame([(1, "word")], "doc_id long, text string"))
+    assert len(ranked) == 1
