@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import settle
 
-__all__ = ["bounded", "hex_of", "settle", "table", "unused"]
+__all__ = ["bounded", "hex_of", "packed", "settle", "table", "unpacked", "unused"]
 
 
 #: Bytes of an Arrow batch that goes to a Python worker; texts may be long, and a batch is held several times over there.
@@ -44,3 +47,15 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 def hex_of(column) -> F.Column:
     """A long as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+@F.arrow_udf(T.BinaryType())
+def packed(texts: pa.Array) -> pa.Array:
+    """A column of compressed texts, for a shuffle between two Python workers; null stays null."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    return pa.array([None if t is None else press(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def unpacked(raw: bytes) -> bytes:
+    """The UTF-8 text of a value of ``packed``."""
+    return zstandard.ZstdDecompressor().decompress(raw)

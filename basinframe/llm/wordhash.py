@@ -1,4 +1,4 @@
-"""Words of whole batches of UTF-8 texts, cut and hashed in numpy without a Python step per word."""
+"""Words and shingles of whole batches of UTF-8 texts, cut and hashed in numpy without a Python step per word."""
 
 from __future__ import annotations
 
@@ -42,6 +42,44 @@ def word_hashes(texts: list[bytes], form: np.ndarray = SPACED) -> tuple[np.ndarr
     return h, starts, stops, first
 
 
+#: Words of a shingle.
+SHINGLE = 5
+
+
+def shingles_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of all texts, and how many each text has. A zero byte of a text counts as white space."""
+    words, _, _, first = word_hashes(texts)
+    n = np.diff(first)
+    counts = np.where(n >= SHINGLE, n - SHINGLE + 1, (n > 0).astype(np.int64))
+    padded = np.concatenate([words, np.zeros(SHINGLE, np.uint64)])
+    whole, p = np.zeros(len(words), np.uint64), 1
+    for k in range(SHINGLE):
+        whole += padded[k : k + len(words)] * np.uint64(p)
+        p = p * P % (1 << 64)
+    for k in np.flatnonzero((n > 0) & (n < SHINGLE)):  # its words only
+        at = np.uint64(0)
+        for j, w in enumerate(words[first[k] : first[k + 1]]):
+            at += w * np.uint64(pow(P, j, 1 << 64))
+        whole[first[k]] = at
+    begin = np.cumsum(counts) - counts
+    take = np.arange(counts.sum()) + np.repeat(first[:-1] - begin, counts)
+    out = whole[take]
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(Q)
+    out ^= out >> np.uint64(32)
+    return out, counts
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of the two shingle sets; two texts without a shingle are alike."""
+    with np.errstate(over="ignore"):
+        hashes, counts = shingles_of([a, b])
+    x, y = np.unique(hashes[: counts[0]]), np.unique(hashes[counts[0] :])
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    union = len(x) + len(y) - both
+    return both / union if union else 1.0
+
+
 def by_size(texts, most: int = CHUNK):
     """Lists of neighbouring texts of about ``most`` bytes."""
     part, held = [], 0

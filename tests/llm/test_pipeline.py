@@ -7,7 +7,7 @@ from basinframe.llm import pieces
 
 from .test_decontaminate import slow as slow_hits
 from .test_language import documents
-from .test_simhash import slow_components
+from .test_simhash import slow_classes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,12 +35,9 @@ def folder(spark, tmp_path_factory):
 
 def test_run_matches_brute_force(spark, folder):
     made, items = rows()
-    texts = {}
-    for d, t, *_ in made:
-        if t and any(c.isalpha() for c in t):
-            texts.setdefault(d, t)
-    first = {d: c for d, _, c in slow_components(list(texts.items()))}
-    texts = {d: t for d, t in texts.items() if first[d] == d}
+    known = sorted({(d, t) for d, t, *_ in made if t and any(c.isalpha() for c in t)})
+    label = slow_classes([t for _, t in known])
+    texts = {d: t for k, (d, t) in enumerate(known) if label[k] == k}
     hits = {d: (n, h) for d, n, h, _ in slow_hits(list(texts.items()), items)}
     want = {d for d in texts if not (hits[d][1] and 20 * hits[d][1] >= hits[d][0])}
     got = corpus_pipeline.run(spark, folder).collect()

@@ -63,14 +63,90 @@ def test_components_match_brute_force(spark, rows):
     assert found == slow_components(rows)
 
 
-def test_keep_first_keeps_one_of_each_group(spark, rows):
+def five_words(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def slow_classes(texts, least=0.8):
+    """The index of the first text of each one's class."""
+    sets, label = [five_words(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            x, y = sets[i], sets[j]
+            if label[i] != label[j] and (len(x & y) >= least * len(x | y) if x | y else True):
+                low, high = sorted((label[i], label[j]))
+                label = [low if k == high else k for k in label]
+    return label
+
+
+def slow_first(rows):
+    """The (doc_id, text) that stays of each class; of texts of one doc_id any may."""
+    label, best = slow_classes([t for _, t in rows]), {}
+    for k, (d, t) in zip(label, rows, strict=True):
+        best.setdefault(k, []).append((d is None, d, t or ""))
+    least = [sorted(b, key=lambda x: (x[0], x[1] or 0))[0][:2] for b in best.values()]
+    return sorted((d for _, d in least), key=str)
+
+
+def test_near_copies_match_brute_force(spark, rows):
+    label = slow_classes([t for _, t in rows])
+    least = {}
+    for k, (d, _) in zip(label, rows, strict=True):
+        if d is not None:
+            least[k] = min(least.get(k, d), d)
+    got = simhash.near_copies(made(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == sorted(((d, least.get(k)) for k, (d, _) in zip(label, rows, strict=True)), key=str)
+
+
+def test_keep_first_keeps_one_of_each_class(spark, rows):
     kept = simhash.keep_first(made(spark, rows))
     assert kept.columns == ["doc_id", "text", "fp", "component_id", "anchor"]
-    groups = slow_components(rows)
-    named = {c for _, _, c in groups if c is not None}
-    got = kept.collect()
-    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(named)
-    assert [r.text for r in got if r.doc_id is None] == ["lonely text here"]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == slow_first(rows)
+
+
+def test_keep_first_goes_by_rows(spark):
+    """A doc_id that several texts share neither keeps a copy nor takes another text with it."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (5, c), (5, d), (None, a), (None, "alone"), (None, "alone"), (5, c)]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a), (2, b), (5, c), (5, d), (None, "alone")], key=str)
+    wide = [(1, a, {"x": k}, k) for k in range(5)]
+    one = simhash.keep_first(spark.createDataFrame(wide, "doc_id long, text string, kept_key map<string,int>, n int").repartition(3)).collect()
+    assert [r.n for r in one] == [0]
+
+
+def test_codewords_cover_all_words_within_three_bits():
+    x = np.random.default_rng(3).integers(0, 1 << 23, 20_000).astype(np.uint32)
+    c = simhash.codewords(x)
+    assert np.bitwise_count(c ^ x).max() <= 3 and (simhash.codewords(c) == c).all()
+    assert len(np.unique(simhash.codewords(np.arange(1 << 23, dtype=np.uint32)))) == 1 << 12
+
+
+def test_near_copies_share_an_anchor():
+    rng, met, pairs = random.Random(5), 0, 0
+    for _ in range(60):
+        base = [f"w{rng.random()}" for _ in range(120)]
+        texts = [list(base), list(base)]
+        for at in rng.sample(range(120), 2):
+            texts[1][at] = f"x{rng.random()}"
+        texts = [" ".join(t).encode() for t in texts]
+        if len(five_words(texts[0].decode()) & five_words(texts[1].decode())) >= 0.8 * len(five_words(texts[0].decode()) | five_words(texts[1].decode())):
+            pairs += 1
+            a, b = simhash.anchors_of_blocks(simhash.wide_leads(texts)[0])
+            met += bool(set(a.tolist()) & set(b.tolist()))
+    assert pairs > 20 and met >= 0.95 * pairs
+
+
+def test_wide_fingerprints_count_each_shingle_once():
+    text = "a b c d e f g h a b c d e f"
+    words = text.split()
+    hashes = np.unique(np.concatenate([simhash.shingles_of([" ".join(words[k : k + 5]).encode()])[0] for k in range(10)]))
+    counts = simhash._bits(hashes).astype(int).sum(axis=0)
+    leads, sizes = simhash.wide_leads([text.encode(), b"", b"one", (text + " x") .encode() * 300])
+    assert sizes.tolist()[:3] == [8, 0, 1] and len(hashes) == 8
+    tie = simhash._bits(hashes[:1])[0]
+    assert (leads[0] == 2 * (2 * counts + tie - 8) - 1).all() and (leads[1] < 0).all()
 
 
 def test_empty_table(spark):
