@@ -4,8 +4,8 @@ Each stage is ``(spark, docs, sf_dir) -> DataFrame`` over the whole of ``docs``;
 written as Parquet and reread. All stages but the last return the columns of ``docs``.
 
 * ``language`` drops what language ID rejects: null texts and texts without a letter.
-* ``near_duplicates`` keeps, of each class of texts linked by a Jaccard likeness of 0.8 of their five-word shingles, the
-  document with the smallest doc_id. Candidates come from MinHash bands and each link is checked exactly.
+* ``near_duplicates`` keeps one document of each class of texts whose five-word shingles have a Jaccard likeness of 0.8, the one with
+  the smallest doc_id. Candidates meet at the anchors of wide SimHash fingerprints and each link is checked exactly.
 * ``decontaminate`` drops contaminated documents and cuts hit spans out of the others.
 * ``pieces`` adds token ids.
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basinframe.llm import decontaminate, language, minhash, pieces
+from basinframe.llm import decontaminate, language, pieces, simhash
 from basinframe.llm.common import bounded, settle, table
 
 
@@ -27,7 +27,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded(spark)
-    return minhash.keep_first(docs)
+    return simhash.keep_first(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
