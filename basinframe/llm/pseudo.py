@@ -1,62 +1,81 @@
 """Language-model scoring by masked pseudo-likelihood.
 
-Words (white space splits, A-Z lower-cased) are numbered by corpus counts over all documents: the ``CLASSES`` * ``CLASS`` most
-frequent have numbers of their own, in classes of ``CLASS`` by rank; the others share one class of hash buckets. A
-network predicts each word from ``SIDE`` words on either side, never from itself: hidden = tanh(sum of each neighbour's vector,
-weighted by place), then a softmax over classes and one over the words of the class. A document's score is the sum over
-its words of the log of these conditional probabilities.
-
-Training covers every position of all documents: each partition of the input trains a copy of the network in numpy, and copies are
-averaged by the number of positions in them, in rounds. A round takes one position in as many as there are rounds, each round others, so
-that each position is a target once. Copies
-go through a shuffle in blocks and only the averaged network comes to the driver, whose size the vocabulary bounds.
-What is gathered grows with the input: a count for each word of a partition, and a copy for each partition.
+Words (white space splits, A-Z lower-cased) are numbered by corpus counts over all documents. The most frequent have numbers of their own, in
+classes by rank; the others share one more class of hash buckets. A network predicts each word from ``SIDE`` words on
+either side, never from itself: hidden = tanh(sum of each neighbour's vector, weighted by place), then a softmax over classes and one over the
+words of the class. A word of a bucket has the bucket's probability times its share of the bucket's count, so probabilities add up to one over
+all words of the corpus. A document's score is the sum over its words of the logs of these conditional probabilities.
+
+*Size.* With n words in the corpus there are c * c words of their own in c classes, c being the power of two next above the fourth root of n, at
+most ``MOST_CLASSES``. What is gathered grows with the input: the count of each word is a table that is joined for scoring, and each group
+of documents trains a copy of the network.
+
+*Training* covers every position of all documents once. Documents are dealt by a hash into groups of about ``GROUP_WORDS`` words, and each group,
+in the order of its hashes, trains a copy in numpy from where the round starts. A round takes one position in as many as there are
+rounds, each round others. Copies are averaged by positions: as whole numbers in fixed point, which add up to the same in
+any order, in the task first and then over tasks. So neither the number of partitions nor a lost executor changes a score. Only the
+averaged network comes to the driver.
 
 Null and empty texts have no words: n_words 0, score 0, and a null mean. A text's borders count as a word of their own.
-A corpus without words gives an untrained network. Repeated rows count and are scored each. Other columns are ignored.
+A corpus without words gives an untrained network. Words that the corpus did not have count as one of their bucket. Repeated rows
+count and are scored each. Other columns are ignored by ``train`` and carried by ``score``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import packed, settle, table, unpacked, unused
+from .linking import key_of
 from .wordhash import by_size, word_hashes
 
-CLASSES = 32
-CLASS = 32
 SIDE = 2
-WIDTH = 16
+WIDTH = 32
 ROUNDS = 2
-BATCH = 512
+BATCH = 2048
 RATE = 0.1
+#: Classes of a network, at most: 256 * 256 words of their own make 17 MB.
+MOST_CLASSES = 256
+#: Words of a group of documents, about.
+GROUP_WORDS = 1 << 19
 #: Bytes of text that are scored at a time: what a window takes in numpy stays in a core's cache.
 SCORED_AT_ONCE = 1 << 16
-#: Values in a block of a network's copy.
+#: Values in a block of a network's copy, and the steps to one in which they are summed.
 BLOCK = 4096
+FINE = 1 << 16
 
-_BORDER = (CLASSES + 1) * CLASS  # the number that stands before and after a text
 _PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
+def classes_for(n_words: int) -> int:
+    """How many classes, and words of each, a corpus of so many words gets."""
+    c = 8
+    while c < MOST_CLASSES and c**4 < n_words:
+        c *= 2
+    return c
+
+
 class WindowNet:
-    """Weights as float32 arrays; ``flat`` lays them out in one."""
+    """Weights as float32 arrays; ``flat`` lays them out in one. Class ``size`` is that of the buckets."""
 
-    def __init__(self, seed: int = 5):
+    def __init__(self, size: int, seed: int = 5):
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        self.size, self.border = size, (size + 1) * size
         self.weights = {
-            "vectors": draw(_BORDER + 1, WIDTH),
+            "vectors": draw(self.border + 1, WIDTH),
             "places": np.ones((len(_PLACES), WIDTH), np.float32),
             "shift": np.zeros(WIDTH, np.float32),
-            "to_class": draw(WIDTH, CLASSES + 1),
-            "class_bias": np.zeros(CLASSES + 1, np.float32),
-            "to_word": draw(CLASSES + 1, CLASS, WIDTH),
-            "word_bias": np.zeros((CLASSES + 1, CLASS), np.float32),
+            "to_class": draw(WIDTH, size + 1),
+            "class_bias": np.zeros(size + 1, np.float32),
+            "to_word": draw(size + 1, size, WIDTH),
+            "word_bias": np.zeros((size + 1, size), np.float32),
         }
 
     def flat(self) -> np.ndarray:
@@ -70,60 +89,75 @@ class WindowNet:
         return self
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        w, total = self.weights, 0
+        w = self.weights
+        total = np.tile(w["shift"], (len(around), 1))
         for k in range(len(_PLACES)):
-            total = total + w["vectors"][around[:, k]] * w["places"][k]
-        return np.tanh(total + w["shift"])
+            total += w["vectors"][around[:, k]] * w["places"][k]
+        return np.tanh(total)
 
-    def log_probabilities(self, around: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Of each word, given its neighbours."""
-        w, h = self.weights, self.hidden(around)
-        classes, rows = words // CLASS, np.arange(len(words))
-        z = h @ w["to_class"] + w["class_bias"]
-        out = z[rows, classes] - _log_sum(z)
+    def _by_class(self, words: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order that puts words of a class together, and (class, from, to) in it."""
+        classes = (words // self.size).astype(np.int16)
         order = np.argsort(classes, kind="stable")
-        ends = np.searchsorted(classes[order], np.arange(CLASSES + 2))
-        for c in range(CLASSES + 1):
-            own = order[ends[c] : ends[c + 1]]
-            if len(own):
-                z = h[own] @ w["to_word"][c].T + w["word_bias"][c]
-                out[own] += z[np.arange(len(own)), words[own] % CLASS] - _log_sum(z)
-        return out
+        ends = np.searchsorted(classes[order], np.arange(self.size + 2))
+        return order, [(c, int(a), int(b)) for c, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+
+    def _spread(self, h: np.ndarray, parts: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """What both softmaxes are taken of, for positions in the order of classes."""
+        w = self.weights
+        first = h @ w["to_class"] + w["class_bias"]
+        second = np.empty((len(h), self.size), np.float32)
+        for c, a, b in parts:
+            np.dot(h[a:b], w["to_word"][c].T, out=second[a:b])
+            second[a:b] += w["word_bias"][c]
+        return first, second
 
-    def gradients(self, around: np.ndarray, words: np.ndarray) -> dict:
-        """Dense arrays, or (rows, values) for tables of which a batch touches few rows."""
+    def log_probabilities(self, around: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Of each word or bucket, given its neighbours."""
+        order, parts = self._by_class(words)
+        rows, sorted_words = np.arange(len(words)), words[order]
+        out = np.zeros(len(words), np.float32)
+        for z, at in zip(self._spread(self.hidden(around[order]), parts), (sorted_words // self.size, sorted_words % self.size), strict=True):
+            z -= z.max(axis=1, keepdims=True)
+            picked = z[rows, at]
+            out += picked - np.log(np.exp(z, out=z).sum(axis=1))
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+    def gradients(self, around: np.ndarray, words: np.ndarray) -> dict[str, np.ndarray]:
         w, n = self.weights, len(words)
-        h, rows, classes = self.hidden(around), np.arange(len(words)), words // CLASS
-        first = _softmax(h @ w["to_class"] + w["class_bias"])
-        first[rows, classes] -= 1
-        table_of = w["to_word"][classes]
-        second = _softmax(np.einsum("nd,nkd->nk", h, table_of) + w["word_bias"][classes])
-        second[rows, words % CLASS] -= 1
-        first, second = first / n, second / n
-        back = (first @ w["to_class"].T + np.einsum("nk,nkd->nd", second, table_of)) * (1 - h * h)
+        order, parts = self._by_class(words)
+        around, words = around[order], words[order]
+        h, rows = self.hidden(around), np.arange(n)
+        first, second = self._spread(h, parts)
+        for z, at in ((first, words // self.size), (second, words % self.size)):
+            z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
+            z /= z.sum(axis=1, keepdims=True)
+            z[rows, at] -= 1
+            z /= n
+        back = first @ w["to_class"].T
         to_word, word_bias = np.zeros_like(w["to_word"]), np.zeros_like(w["word_bias"])
-        for c in np.unique(classes):
-            own = classes == c
-            to_word[c], word_bias[c] = second[own].T @ h[own], second[own].sum(axis=0)
-        seen = w["vectors"][around]
-        vectors = np.zeros_like(w["vectors"])
-        np.add.at(vectors, around.ravel(), (back[:, None, :] * w["places"]).reshape(-1, WIDTH))
+        for c, a, b in parts:
+            back[a:b] += second[a:b] @ w["to_word"][c]
+            np.dot(second[a:b].T, h[a:b], out=to_word[c])
+            word_bias[c] = second[a:b].sum(axis=0)
+        back *= 1 - h * h
+        vectors, places = np.zeros_like(w["vectors"]), np.empty_like(w["places"])
+        near = np.argsort(around.T.ravel(), kind="stable")
+        numbers = around.T.ravel()[near]
+        starts = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]]))
+        pulled = (back[None, :, :] * w["places"][:, None, :]).reshape(-1, WIDTH)
+        vectors[numbers[starts]] = np.add.reduceat(pulled[near], starts, axis=0)
+        for k in range(len(_PLACES)):
+            places[k] = np.einsum("nd,nd->d", back, w["vectors"][around[:, k]])
         return {
-            "vectors": vectors, "places": np.einsum("nd,nkd->kd", back, seen), "shift": back.sum(axis=0), "to_class": h.T @ first,
+            "vectors": vectors, "places": places, "shift": back.sum(axis=0), "to_class": h.T @ first,
             "class_bias": first.sum(axis=0), "to_word": to_word, "word_bias": word_bias,
         }
 
 
-def _log_sum(z: np.ndarray) -> np.ndarray:
-    most = z.max(axis=1)
-    return np.log(np.exp(z - most[:, None]).sum(axis=1)) + most
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
 class Trainer:
     """Adagrad on one copy of the network, batch by batch as positions come."""
 
@@ -144,7 +178,9 @@ class Trainer:
             a, w = around[k : min(k + BATCH, stop)], words[k : min(k + BATCH, stop)]
             for name, g in self.net.gradients(a, w).items():
                 self.squares[name] += g * g
-                self.net.weights[name] -= RATE * g / np.sqrt(self.squares[name])
+                g *= RATE
+                g /= np.sqrt(self.squares[name])
+                self.net.weights[name] -= g
             self.seen += len(w)
         self.waiting, self.held = [(around[stop:], words[stop:])], len(words) - stop
 
@@ -152,13 +188,14 @@ class Trainer:
 class Numbering:
     """Word hashes to word numbers: by rank, or a bucket of the last class."""
 
-    def __init__(self, ranked: list[int]):
+    def __init__(self, ranked: list[int], size: int):
         ranks = np.array(ranked, np.int64).view(np.uint64)
+        self.size, self.border = size, (size + 1) * size
         self.order = np.argsort(ranks)
         self.sorted = ranks[self.order]
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        out = (CLASSES * CLASS + (hashes >> np.uint64(48)) % np.uint64(CLASS)).astype(np.int32)
+        out = (self.size * self.size + (hashes >> np.uint64(48)) % np.uint64(self.size)).astype(np.int32)
         if len(self.sorted):
             at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
             known = self.sorted[at] == hashes
@@ -173,7 +210,7 @@ class Numbering:
         owner = np.repeat(np.arange(len(texts)), n)
         at = np.arange(len(words))
         place = at + SIDE * (1 + owner)  # texts are SIDE borders apart
-        padded = np.full(len(words) + SIDE * (len(texts) + 1), _BORDER, np.int32)
+        padded = np.full(len(words) + SIDE * (len(texts) + 1), self.border, np.int32)
         padded[place] = words
         if every > 1:
             turns = turn + np.array([len(t) % every for t in texts])
@@ -196,28 +233,40 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _copies(ranked: list[int], start: np.ndarray, every: int, turn: int):
-    """A partition of texts to its copy of the network, in blocks, each value times the positions seen."""
+_LAYOUT = "block int, seen long, sums binary"
+
+
+def _copies(ranked: list[int], size: int, start: np.ndarray, every: int, turn: int):
+    """Rows (group, packed text), groups together, to the sums of the groups' copies of the network, in blocks: each value in fixed point times
+    the positions seen."""
 
     def trained(batches):
-        numbering, trainer = Numbering(ranked), Trainer(WindowNet().load(start))
-        none = np.zeros(0, np.int32)
+        numbering, none = Numbering(ranked, size), np.zeros(0, np.int32)
+        seen, sums, trainer, at = 0, np.zeros(len(start), np.int64), None, None
+
+        def take():
+            trainer.add(none.reshape(0, len(_PLACES)), none, last=True)
+            return trainer.seen, np.rint(trainer.net.flat().astype(np.float64) * (trainer.seen * FINE)).astype(np.int64)
+
         for batch in batches:
-            raws = (t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist())
-            for part in by_size(raws):
-                words, around, _ = numbering.windows(part, every, turn)
-                trainer.add(around, words)
-        trainer.add(none.reshape(0, len(_PLACES)), none, last=True)
-        if trainer.seen:
-            flat = trainer.net.flat().astype(np.float64) * trainer.seen
-            parts = [flat[k : k + BLOCK] for k in range(0, len(flat), BLOCK)]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array(range(len(parts)), pa.int32()),
-                    "seen": pa.array([trainer.seen] * len(parts), pa.int64()),
-                    "values": pa.array([p.tobytes() for p in parts], pa.binary()),
-                }
-            )
+            groups = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), len(groups)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a and groups[a] != at:
+                    if trainer is not None:
+                        n, flat = take()
+                        seen, sums = seen + n, sums + flat
+                    trainer, at = Trainer(WindowNet(size).load(start)), groups[a]
+                for part in by_size(map(unpacked, batch.column(1).slice(a, b - a).to_pylist())):  # its borders change nothing
+                    words, around, _ = numbering.windows(part, every, turn)
+                    trainer.add(around, words)
+        if trainer is not None:
+            n, flat = take()
+            seen, sums = seen + n, sums + flat
+        if seen:
+            parts = [sums[k : k + BLOCK].tobytes() for k in range(0, len(sums), BLOCK)]
+            columns = (pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.binary()))
+            yield pa.RecordBatch.from_arrays(list(columns), names=["block", "seen", "sums"])
 
     return trained
 
@@ -226,44 +275,68 @@ def _summed(batches):
     """Blocks of copies to the sum of each block."""
     totals: dict[int, list] = {}
     for batch in batches:
-        for block, seen, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            one = totals.setdefault(block, [0, 0.0])
+        for block, seen, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            one = totals.setdefault(block, [0, 0])
             one[0] += seen
-            one[1] = one[1] + np.frombuffer(values, np.float64)
-    yield pa.RecordBatch.from_pydict(
-        {
-            "block": pa.array(list(totals), pa.int32()),
-            "seen": pa.array([x[0] for x in totals.values()], pa.int64()),
-            "values": pa.array([x[1].tobytes() for x in totals.values()], pa.binary()),
-        }
+            one[1] = one[1] + np.frombuffer(sums, np.int64)
+    columns = (
+        pa.array(list(totals), pa.int32()),
+        pa.array([x[0] for x in totals.values()], pa.int64()),
+        pa.array([x[1].tobytes() for x in totals.values()], pa.binary()),
     )
-
-
-_LAYOUT = "block int, seen long, values binary"
-
-
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[list[int], WindowNet]:
-    """The ranked word hashes and the network, from all of ``docs``."""
-    top = count_words(docs, text).orderBy(F.desc("n"), "word").limit(CLASSES * CLASS).collect()
-    ranked, net = [r.word for r in top], WindowNet()
-    for turn in range(rounds if ranked else 0):
-        copies = docs.select(F.col(text).alias("text")).mapInArrow(_copies(ranked, net.flat(), rounds, turn), _LAYOUT)
-        means = copies.repartition("block").mapInArrow(_summed, _LAYOUT)
-        blocks = sorted((r.block, r.seen, bytes(r["values"])) for r in means.collect())
-        if blocks:  # a round may find no position where texts are short
-            net.load(np.concatenate([np.frombuffer(v, np.float64) / seen for _, seen, v in blocks]))
-    return ranked, net
+    yield pa.RecordBatch.from_arrays(list(columns), names=["block", "seen", "sums"])
+
+
+@dataclass
+class Model:
+    ranked: list[int]
+    net: WindowNet
+    #: (word, share): of its bucket's count, for each word of the corpus that has no number of its own
+    shares: DataFrame
+    #: the share of a word that the corpus did not have, by bucket
+    unseen: list[float]
+
+
+def _bucket(word: Column, size: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(word, 48), F.lit(size))
+
+
+def train(docs: DataFrame, text: str = "text", doc_id: str | None = None, rounds: int = ROUNDS) -> Model:
+    """A model of all of ``docs``. ``doc_id`` only spreads copies of a text over groups."""
+    counts = settle(count_words(docs, text), "counts")
+    n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    size = classes_for(n_words)
+    ranked = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size * size).collect()]
+    net = WindowNet(size)
+    known = docs.sparkSession.createDataFrame([(w,) for w in ranked], "word long")
+    rest = settle(counts.join(known, "word", "left_anti").withColumn("bucket", _bucket(F.col("word"), size)), "rest")
+    sums = rest.groupBy("bucket").agg(F.sum("n").alias("total"))
+    totals = dict(sums.collect())
+    shares = rest.join(sums, "bucket").select("word", (F.col("n") / F.col("total")).alias("share"))
+    if ranked:
+        own = docs.select(*([F.col(doc_id)] if doc_id else []), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        dealt = F.xxhash64(*own.columns)
+        groups = -(-n_words // GROUP_WORDS)
+        rows = own.select(F.pmod(dealt, F.lit(groups)).alias("group"), dealt.alias("place"), packed("text").alias("raw"))
+        rows = rows.repartition("group").sortWithinPartitions("group", "place", "raw").select("group", "raw")
+        for turn in range(rounds):
+            blocks = rows.mapInArrow(_copies(ranked, size, net.flat(), rounds, turn), _LAYOUT).repartition("block").mapInArrow(_summed, _LAYOUT)
+            found = sorted((r.block, r.seen, bytes(r["sums"])) for r in blocks.collect())
+            if found:  # a round may find no position where texts are short
+                net.load(np.concatenate([np.frombuffer(v, np.int64) / (seen * FINE) for _, seen, v in found]))
+    return Model(ranked, net, shares, [1.0 / (totals.get(b, 0) + 1) for b in range(size)])
 
 
 SCORE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("log_likelihood", T.DoubleType())])
 
 
 def scorer(ranked: list[int], net: WindowNet):
-    flat = net.flat()
+    """Of each text how many words it has, and the sum of the logs of the probabilities of its words and buckets."""
+    flat, size = net.flat(), net.size
 
     @F.arrow_udf(SCORE)
     def scored(texts: pa.Array) -> pa.Array:
-        numbering, own = Numbering(ranked), WindowNet().load(flat)
+        numbering, own = Numbering(ranked, size), WindowNet(size).load(flat)
         raws = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
         sizes, sums = [], []
         for part in by_size(raws, SCORED_AT_ONCE):
@@ -280,15 +353,50 @@ def scorer(ranked: list[int], net: WindowNet):
     return scored
 
 
-def score(docs: DataFrame, ranked: list[int], net: WindowNet, text: str = "text", into: str = "lm") -> DataFrame:
-    """``docs`` and a struct (n_words, log_likelihood) of each whole text."""
-    return docs.withColumn(into, scorer(ranked, net)(F.col(text)))
+def _rare(ranked: list[int], size: int):
+    """Rows (key, text) to (key, word, n): the words that are in buckets."""
+
+    def found(batches):
+        numbering = Numbering(ranked, size)
+        for batch in batches:
+            keys, raws = batch.column(0).to_numpy(), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            at = 0
+            for part in by_size(raws):
+                hashes, _, _, first = word_hashes(part)
+                owner = np.repeat(np.arange(len(part)), np.diff(first))
+                rare = numbering.numbers(hashes) >= size * size
+                owner, hashes = owner[rare], hashes[rare]
+                order = np.lexsort((hashes, owner))
+                owner, hashes = owner[order], hashes[order]
+                starts = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])])[: len(owner)])
+                n = np.diff(np.append(starts, len(owner)))
+                columns = (pa.array(keys[at + owner[starts]]), pa.array(hashes[starts].view(np.int64)), pa.array(n.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays(list(columns), names=["key", "word", "n"])
+                at += len(part)
+
+    return found
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", into: str = "lm") -> DataFrame:
+    """``docs`` and a struct (n_words, log_likelihood) of each whole text. A column of that name is replaced."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == into.lower()])
+    key, lm, more = unused(docs, "key", "lm_own", "lm_more")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    size = model.net.size
+    words = docs.select(key_of(whole).alias("key"), whole.alias("text")).mapInArrow(_rare(model.ranked, size), "key long, word long, n long")
+    words = words.groupBy("key", "word").agg(F.max("n").alias("n"))  # copies of a text tell the same
+    unseen = F.element_at(F.array(*map(F.lit, model.unseen)), (_bucket(F.col("word"), size) + 1).cast("int"))
+    logs = (F.col("n") * F.log(F.coalesce("share", unseen))).cast("decimal(28,10)")  # sums of decimals do not depend on their order
+    rest = words.join(model.shares, "word", "left").groupBy("key").agg(F.sum(logs).cast("double").alias(more)).withColumnRenamed("key", key)
+    own = docs.withColumns({key: key_of(whole), lm: scorer(model.ranked, model.net)(F.col(text))}).join(rest, key, "left")
+    total = F.col(f"{lm}.log_likelihood") + F.coalesce(F.col(more), F.lit(0.0))
+    return own.select(*docs.columns, F.struct(F.col(f"{lm}.n_words").alias("n_words"), total.alias("log_likelihood")).alias(into))
 
 
 def op9_pseudo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-log-likelihood of every document under a network trained on all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, *train(docs)).select(
+    return score(docs, train(docs, doc_id="doc_id")).select(
         "doc_id",
         F.col("lm.n_words").alias("n_words"),
         F.col("lm.log_likelihood").alias("log_likelihood"),

@@ -68,8 +68,8 @@ BLOCKS = 22
 GOLAYS = 2
 FLIPPED = 4
 #: Shingles whose bits are spread out at a time, and bytes of texts that get wide fingerprints at a time.
-SHINGLES_AT_ONCE = 1 << 12
-TEXT_AT_ONCE = 1 << 18
+SHINGLES_AT_ONCE = 1 << 10
+TEXT_AT_ONCE = 1 << 16
 
 _FLIPS = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
 

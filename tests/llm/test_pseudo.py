@@ -22,11 +22,11 @@ def corpus(n=400):
 @pytest.fixture(scope="module")
 def trained(spark):
     docs = spark.createDataFrame([(*r, "clash") for r in corpus()], "doc_id long, text string, lm string").repartition(3)
-    return docs, *pseudo.train(docs, rounds=3)
+    return docs, pseudo.train(docs, rounds=3)
 
 
 def test_counts_cover_all_words(trained):
-    docs, _, _ = trained
+    docs, _ = trained
     counted = {r.word: r.n for r in pseudo.count_words(docs).collect()}
     want = {}
     for _, text in corpus():
@@ -36,62 +36,125 @@ def test_counts_cover_all_words(trained):
 
 
 def test_order_makes_likely(spark, trained):
-    _, ranked, net = trained
+    _, model = trained
     words = corpus(1)[0][1].split()
     shuffled = words[:]
     random.Random(1).shuffle(shuffled)
     rows = [(1, " ".join(words)), (2, " ".join(shuffled)), (3, None), (4, ""), (5, "never seen"), (6, "w1 " * 40_000), (1, " ".join(words))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.lm for r in pseudo.score(docs, ranked, net).collect()}
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, LM string, key int")
+    scored = pseudo.score(docs, model)
+    assert scored.columns == ["doc_id", "text", "key", "lm"] and scored.count() == len(rows)
+    got = {r.doc_id: r.lm for r in scored.collect()}
     assert got[1].n_words == got[2].n_words == len(words)
     assert got[1].log_likelihood > got[2].log_likelihood + len(words) / 2
     assert (got[3].n_words, got[3].log_likelihood, got[4].n_words) == (0, 0.0, 0)
     assert got[5].n_words == 2 and got[6].n_words == 40_000 and got[6].log_likelihood < 0
-    assert pseudo.score(docs.limit(0), ranked, net).collect() == []
+    assert pseudo.score(docs.limit(0), model).collect() == []
 
 
-def test_scores_match_a_plain_loop(trained):
-    _, ranked, net = trained
-    text = b"w1 w2 w3 unknown w5 w6"
-    numbering, w = pseudo.Numbering(ranked), net.weights
-    words = numbering.numbers(word_hashes([text])[0]).tolist()
-    padded = [pseudo._BORDER] * 2 + words + [pseudo._BORDER] * 2
+def plain(model, text):
+    """The score of a text, word by word."""
+    numbering, w, size = pseudo.Numbering(model.ranked, model.net.size), model.net.weights, model.net.size
+    shares = {r.word: r.share for r in model.shares.collect()}
+    hashes = word_hashes([text])[0]
+    words = numbering.numbers(hashes).tolist()
+    padded = [model.net.border] * 2 + words + [model.net.border] * 2
     total = 0.0
     for t, word in enumerate(words):
         h = np.tanh(sum(w["vectors"][padded[t + 2 + k]] * w["places"][i] for i, k in enumerate(pseudo._PLACES)) + w["shift"])
-        first, second = h @ w["to_class"] + w["class_bias"], w["to_word"][word // pseudo.CLASS] @ h + w["word_bias"][word // pseudo.CLASS]
-        total += first[word // pseudo.CLASS] - np.log(np.exp(first).sum()) + second[word % pseudo.CLASS] - np.log(np.exp(second).sum())
-    numbers, around, _ = numbering.windows([text])
-    assert net.log_probabilities(around, numbers).sum() == pytest.approx(total, rel=1e-4)
+        first, second = h @ w["to_class"] + w["class_bias"], w["to_word"][word // size] @ h + w["word_bias"][word // size]
+        total += first[word // size] - np.log(np.exp(first).sum()) + second[word % size] - np.log(np.exp(second).sum())
+        if word >= size * size:
+            total += np.log(shares.get(int(hashes[t].view(np.int64)), model.unseen[word % size]))
+    return total
+
+
+def test_scores_match_a_plain_loop(spark, trained):
+    _, model = trained
+    for text in ("w1 w2 w3 unknown w5 w6", "w1", "q q w2 r q"):
+        (got,) = pseudo.score(spark.createDataFrame([(text,)], "text string"), model).collect()
+        assert got.lm.log_likelihood == pytest.approx(plain(model, text.encode()), rel=1e-4)
+
+
+def test_words_without_a_number_share_their_bucket(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"v{int(rng.expovariate(0.01))}" for _ in range(50)) for _ in range(60)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    model = pseudo.train(docs, rounds=1)
+    counts = {r.word: r.n for r in pseudo.count_words(docs).collect()}
+    rest = {w: n for w, n in counts.items() if w not in set(model.ranked)}
+    size = model.net.size
+    assert len(model.ranked) == size * size == 64 and rest
+    buckets = {w: (w % 2**64 >> 48) % size for w in rest}
+    shares = {r.word: r.share for r in model.shares.collect()}
+    assert shares == pytest.approx({w: n / sum(rest[x] for x in rest if buckets[x] == buckets[w]) for w, n in rest.items()})
+    (got,) = pseudo.score(docs.limit(1), model).collect()
+    assert got.lm.log_likelihood == pytest.approx(plain(model, got.text.encode()), rel=1e-4)
+
+
+def test_partitions_do_not_change_scores(spark, monkeypatch):
+    monkeypatch.setattr(pseudo, "GROUP_WORDS", 2000)  # some 14 groups
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    found = []
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (2, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        model = pseudo.train(docs.repartition(n), doc_id="doc_id")
+        found.append((model.net.flat(), {r.doc_id: r.lm.log_likelihood for r in pseudo.score(docs, model).collect()}))
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert (found[0][0] == found[1][0]).all() and found[0][1] == pytest.approx(found[1][1], abs=1e-4)
+
+
+def test_gradients_match_differences():
+    rng = np.random.default_rng(3)
+    net = pseudo.WindowNet(8)
+    words, around = rng.integers(0, 72, 40), rng.integers(0, 73, (40, 4)).astype(np.int32)
+    for w in net.weights.values():
+        w += rng.normal(0, 0.2, w.shape).astype(np.float32)
+    made = net.gradients(around, words)
+    for name, w in net.weights.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, k) for k in w.shape)
+            was, sides = w[at], []
+            for step in (0.01, -0.01):
+                w[at] = was + step
+                sides.append(-net.log_probabilities(around, words).astype(np.float64).mean())
+            w[at] = was
+            assert made[name][at] == pytest.approx((sides[0] - sides[1]) / 0.02, abs=2e-3), name
+
+
+def test_size_follows_the_corpus():
+    assert [pseudo.classes_for(n) for n in (0, 4096, 4097, 15_000_000, 10**12)] == [8, 8, 16, 64, 256]
 
 
 def test_windows_do_not_cross_texts():
-    numbering = pseudo.Numbering([])
+    numbering = pseudo.Numbering([], 8)
     _, around, first = numbering.windows([b"a b", b"", b"c"])
     assert first.tolist() == [0, 2, 2, 3]
-    assert around[2].tolist() == [pseudo._BORDER] * 4
-    assert around[0][:2].tolist() == [pseudo._BORDER] * 2 and around[1][2:].tolist() == [pseudo._BORDER] * 2
+    assert around[2].tolist() == [numbering.border] * 4
+    assert around[0][:2].tolist() == [numbering.border] * 2 and around[1][2:].tolist() == [numbering.border] * 2
 
 
 def test_probabilities_sum_to_one():
-    net = pseudo.WindowNet()
-    n = (pseudo.CLASSES + 1) * pseudo.CLASS
+    net = pseudo.WindowNet(16)
+    n = 17 * 16
     around = np.tile(np.array([[1, 2, 3, 4]]), (n, 1))
     assert np.exp(net.log_probabilities(around, np.arange(n))).sum() == pytest.approx(1, rel=1e-4)
 
 
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
-    ranked, net = pseudo.train(docs)
-    assert ranked == []
-    assert [r.lm.log_likelihood for r in pseudo.score(docs, ranked, net).collect()] == [0.0, 0.0]
+    model = pseudo.train(docs)
+    assert model.ranked == []
+    assert [r.lm.log_likelihood for r in pseudo.score(docs, model).collect()] == [0.0, 0.0]
 
 
 def test_rounds_train_on_every_position_once(spark, monkeypatch):
     texts = ["a b c d e f g h i j k", "l m", "n", "", None]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(2)
     seen, copies = [], pseudo._copies
-    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    packs = pa.array([__import__("zstandard").compress((t or "").encode()) for t in texts], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 1, 1, 2]), packs], names=["group", "raw"])
 
     def counted(*args):
         seen.append(sum(b.column(1)[0].as_py() for b in copies(*args)([batch])))
@@ -100,12 +163,11 @@ def test_rounds_train_on_every_position_once(spark, monkeypatch):
     monkeypatch.setattr(pseudo, "_copies", counted)
     pseudo.train(docs)
     assert sum(seen) == 14
-    numbering = pseudo.Numbering([])
+    numbering = pseudo.Numbering([], 8)
     whole = numbering.windows([b"a b c d e f g h"])[0].tolist()
     parts = [numbering.windows([b"a b c d e f g h"], 3, turn)[0].tolist() for turn in range(3)]
     assert sorted(sum(parts, [])) == sorted(whole)
 
 
 def test_one_word_leaves_a_round_without_positions(spark):
-    ranked, _ = pseudo.train(spark.createDataFrame([(1, "word")], "doc_id long, text string"))
-    assert len(ranked) == 1
+    assert len(pseudo.train(spark.createDataFrame([(1, "word")], "doc_id long, text string")).ranked) == 1
