@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 # Sentinels and tokens that stand for "no value" in the source formats.
 FLOAT_MAX = 3.4028234663852886e38
-UNKNOWN_TOKENS = ("", "-", "n/a", "na", "none", "null", "unknown", "undefined", "unspecified", "unresolved", "not recorded")
-UNKNOWN_PREFIXES = ("unknown", "unresolved", "not ")
+UNKNOWN_TOKENS = ("", "unknown", "unresolved", "not_decoded", "not_resolved", "not_available", "not_established", "not established", "unspecified")
+UNKNOWN_PREFIXES = ("unresolved;", "unresolved:", "not_resolved_", "not_available_", "not_decoded_")
 LAS_NULL = -999.25
 ZMAP_NULL = -1e30
 
@@ -46,7 +46,7 @@ def exact_integer(v: Column, tolerance: float = 1e-6) -> Column:
 
 
 def known(text: Column) -> Column:
-    """Whether a metadata text says something."""
+    """Whether a metadata text says something: it is neither one of the fixed tokens nor begins with one of the fixed prefixes."""
     low = F.lower(F.trim(text))
     vague = low.isin(*UNKNOWN_TOKENS)
     for p in UNKNOWN_PREFIXES:
@@ -54,6 +54,16 @@ def known(text: Column) -> Column:
     return F.coalesce(~vague, F.lit(False))
 
 
+def exact_sum(v: Column, places: int = 6) -> Column:
+    """A sum that does not depend on the order of the rows: decimals of so many places. If a value does not fit, the sum of doubles."""
+    fixed = v.try_cast(f"decimal(18,{places})")
+    return F.when(F.count(fixed) == F.count(v), F.sum(fixed).cast("double")).otherwise(F.sum(v))
+
+
+def exact_mean(v: Column, places: int = 6) -> Column:
+    return exact_sum(v, places) / F.count(v)
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(text, "[^A-Za-z0-9_-]+", "_")
 
@@ -67,19 +77,42 @@ def normalised_name(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
 
 
+# What counts as an identifier, a path, an address, a number and a secret.
+OBJECT = r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}"
+QUOTED_PATH = r"""["'][A-Za-z]:[\\/][^"'\r\n]*["']"""
+BARE_PATH = r"(?i)(?:[a-z]:[\\/]|\\\\)[^\s,;\r\n]+"
+HEX_NUMBER, DECIMAL_NUMBER = r"\b0x[0-9a-fA-F]+\b", r"\b\d+\b"
+WHOLE_OBJECT = r"(?i)\b[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\b"
+PRIVATE_PATH = r"""(?i)(?:[a-z]:[\\/]|\\\\)[^\s<>"'|,;]+"""
+EMAIL = r"(?i)[\w.+-]+@[\w.-]+\.[a-z]{2,}"
+URL = r"""(?i)https?://[^\s<>"']+"""
+SECRET = r"(?i)\b(password|passwd|secret|token|authorization|api[_-]?key)(\s*[=:]\s*)[^\s,;]+"
+
+
 def normalised_reason(text: Column, most: int = 2000) -> Column:
-    """An error text with identifiers, paths, hexadecimal and decimal numbers replaced by their kind."""
-    out = F.regexp_replace(text, "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<object>")
-    out = F.regexp_replace(out, r"(?:[A-Za-z]:\\|/)[^\s<>\"]+", "<path>")
-    out = F.regexp_replace(out, "0[xX][0-9a-fA-F]+", "<hex>")
-    return F.left(F.regexp_replace(out, "[0-9]+", "<n>"), F.lit(most))
+    """An error text with identifiers, paths, hexadecimal and decimal numbers replaced by their kind, on one line, and cut to a length."""
+    out = F.regexp_replace(text, OBJECT, "<object>")
+    out = F.regexp_replace(out, QUOTED_PATH, "<path>")
+    out = F.regexp_replace(out, BARE_PATH, "<path>")
+    out = F.regexp_replace(out, HEX_NUMBER, "<hex>")
+    out = F.regexp_replace(out, DECIMAL_NUMBER, "<n>")
+    return F.left(collapsed(out), F.lit(most))
+
+
+def tokenised(text: Column, pattern: str, kind: str, salt: str) -> Column:
+    """A text in which each match is a pseudonym of its kind: the same match, the same pseudonym."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    token = lambda m: F.concat(F.lit(f"<{kind}:"), pseudonym(m, salt, 8), F.lit(">"))
+    pieces = F.zip_with(F.split(text, pattern, -1), matches, lambda p, m: F.concat(p, F.coalesce(token(m), F.lit(""))))
+    return F.array_join(pieces, "")
 
 
 def scrubbed(text: Column, salt: str) -> Column:
-    """A text without urls, mail addresses and identifiers, and a pseudonym of the whole."""
-    out = F.regexp_replace(text, r"https?://[^\s\"<>]+", "<url>")
-    out = F.regexp_replace(out, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>")
-    return F.regexp_replace(out, "[0-9]{5,}", "<id>")
+    """A text whose identifiers, paths, mail addresses and urls are pseudonyms under a salt, and whose secrets are redacted."""
+    out = text
+    for kind, pattern in (("object", WHOLE_OBJECT), ("path", PRIVATE_PATH), ("email", EMAIL), ("url", URL)):
+        out = tokenised(out, pattern, kind, salt)
+    return F.regexp_replace(out, SECRET, "$1$2[redacted]")
 
 
 def pseudonym(text: Column, salt: str, digits: int = 12) -> Column:

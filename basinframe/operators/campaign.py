@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import exact_sum
+
 
 def issue_groups(issues: DataFrame, signature: str, case: str, recovered: Column, examples: int = 3) -> DataFrame:
     """Occurrences, cases, recovered and open counts, and the first cases as examples. Cases are counted before they are
@@ -45,8 +47,8 @@ def retry_pairs(attempts: DataFrame, identity: Sequence[str], order: Sequence[st
 
 def counter_peaks(samples: DataFrame, scope: str, process: Sequence[str], sample: str, counter: str, gauge: str) -> DataFrame:
     """Counters only grow: the maximum of each process, summed. Gauges: the sum of each sample, its maximum."""
-    grown = samples.groupBy(scope, *process).agg(F.max(counter).alias("m")).groupBy(scope).agg(F.round(F.sum("m"), 4).alias("total"))
-    peak = samples.groupBy(scope, sample).agg(F.sum(gauge).alias("s")).groupBy(scope).agg(F.round(F.max("s"), 4).alias("peak"))
+    grown = samples.groupBy(scope, *process).agg(F.max(counter).alias("m")).groupBy(scope).agg(exact_sum(F.col("m")).alias("total"))
+    peak = samples.groupBy(scope, sample).agg(exact_sum(F.col(gauge)).alias("s")).groupBy(scope).agg(F.max("s").alias("peak"))
     return grown.join(peak, scope)
 
 
@@ -62,7 +64,7 @@ def top_with_rest(rows: DataFrame, keys: Sequence[str], value: str, k: int) -> D
 def running_budget(attempts: DataFrame, lane: Sequence[str], order: Sequence[str], cost: str, budget: float) -> DataFrame:
     """Cost used before each attempt, what is left, and whether it may run."""
     w = Window.partitionBy(*lane).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    used = F.round(F.coalesce(F.sum(cost).over(w), F.lit(0.0)), 4)
+    used = F.coalesce(F.sum(F.col(cost).cast("decimal(18,6)")).over(w).cast("double"), F.lit(0.0))
     out = attempts.withColumn("used", used)
     return out.withColumn("remaining", F.greatest(F.lit(0.0), F.round(budget - F.col("used"), 4))).withColumn("runs", F.col("remaining") > 0)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,26 +50,22 @@ def availability(artifacts: DataFrame, listing: DataFrame, key: str, size: str)
     return artifacts.join(there, key, "left").select(key, status.alias("status"))
 
 
-def levels(edges: DataFrame, node: str, needs: str, most_rounds: int = 128) -> DataFrame:
+def levels(edges: DataFrame, node: str, needs: str) -> DataFrame:
     """Dependency levels: 0 for nodes that need nothing, else one more than the highest need. Nodes on or behind a cycle, or of a
-    need that does not exist, have null. A round is one join of the open edges with the nodes just placed."""
-    placed = settle(edges.groupBy(node).agg(F.count(needs).alias("open")).where("open = 0").select(node, F.lit(0).alias("level")), "level")
-    nodes = edges.select(node).distinct()
-    all_placed = placed
-    rest = edges.where(F.col(needs).isNotNull())
-    for level in range(1, most_rounds):
-        ready = (
-            rest.join(all_placed.select(F.col(node).alias(needs), F.lit(1).alias("done")), needs, "left")
-            .groupBy(node)
-            .agg(F.count("*").alias("n"), F.sum(F.coalesce("done", F.lit(0))).alias("met"))
-            .where("n = met")
-            .select(node)
-        )
-        frontier = settle(ready.join(all_placed, node, "left_anti").select(node, F.lit(level).alias("level")), "level")
+    need that does not exist, have null. A round takes the needs just placed out of the open edges; there are as many as levels."""
+    frontier = settle(edges.groupBy(node).agg(F.count(needs).alias("open")).where("open = 0").select(node, F.lit(0).alias("level")), "level")
+    placed, rest = frontier, edges.where(F.col(needs).isNotNull()).select(node, needs)
+    for level in count(1):
+        met = frontier.select(F.col(node).alias(needs))
+        left = settle(rest.join(met, needs, "left_anti").select(node, needs), "open")
+        ready = rest.select(node).distinct().join(left.select(node).distinct(), node, "left_anti")
+        frontier = settle(ready.select(node, F.lit(level).alias("level")), "level")
         if frontier.isEmpty():
             break
-        all_placed = all_placed.unionByName(frontier)
-    return nodes.join(all_placed, node, "left")
+        placed, rest = placed.unionByName(frontier), left
+        if level % 16 == 0:  # a deep graph's plan stays short
+            placed = settle(placed, "placed")
+    return edges.select(node).distinct().join(placed, node, "left")
 
 
 def ancestry(edges: DataFrame, child: str, parent: str, most: int = 128) -> DataFrame:
@@ -104,22 +101,25 @@ def coverage(rows: DataFrame, dimensions: Sequence[str], measures: Sequence[Colu
     return getattr(rows, how)(*dimensions).agg(F.grouping_id().cast("int").alias("grouping"), *measures)
 
 
-def chosen_wave(candidates: DataFrame, budget: int, most: int = 1000) -> DataFrame:
+def chosen_wave(candidates: DataFrame, budget: int, weights: DataFrame | None = None) -> DataFrame:
     """Greedy cover: the candidates that add most uncovered weight, one of each group, within a byte budget; ties go to the
-    smaller and then the lower id. Columns: id, group, bytes, features (array). Features weigh one. The caller's table is bounded:
-    a wave is chosen among at most ``most`` candidates, else this fails."""
-    rows = candidates.select("id", "group", "bytes", "features").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a wave is chosen among at most {most} candidates")
-    covered, groups, left, out = set(), set(), budget, []
+    smaller and then the lower id. Columns: id, group, bytes, features (array); ``weights`` (feature, weight) has the weight of a feature, else
+    one. A turn is one aggregation over what is still open, and only the candidate chosen comes to the driver, so the number of
+    candidates is not bounded; there are as many turns as are chosen. Candidates without a null in id, bytes or features count."""
+    own = candidates.select("id", "group", "bytes", F.explode(F.array_distinct("features")).alias("feature")).dropna(subset=["id", "bytes", "feature"])
+    own = own.join(weights, "feature", "left") if weights is not None else own.withColumn("weight", F.lit(None))
+    open_ = settle(own.withColumn("weight", F.coalesce(F.col("weight").cast("double"), F.lit(1.0))), "open")
+    left, out, covered = budget, [], None
     while True:
-        open_ = [r for r in rows if r.group not in groups and r.bytes <= left and set(r.features) - covered]
-        if not open_:
+        gains = open_.where(F.col("bytes") <= left).groupBy("id", "group", "bytes").agg(F.sum("weight").alias("gained")).where("gained > 0")
+        best = gains.agg(F.min_by(F.struct("id", "group", "bytes", "gained"), F.struct(-F.col("gained"), "bytes", "id")).alias("best")).first()["best"]
+        if best is None:
             break
-        best = min(open_, key=lambda r: (-len(set(r.features) - covered), r.bytes, r.id))
-        out.append((len(out), best.id, len(set(best.features) - covered), best.bytes))
-        covered |= set(best.features)
-        groups.add(best.group)
-        left -= best.bytes
-    schema = "turn int, id long, gained int, bytes long"
+        out.append((len(out), best["id"], best["gained"], best["bytes"]))
+        left -= best["bytes"]
+        covered = open_.where(F.col("id") == F.lit(best["id"])).select("feature").distinct()
+        rest = open_.where(~F.col("group").eqNullSafe(F.lit(best["group"])) & (F.col("bytes") <= left))
+        open_ = settle(rest.join(covered, "feature", "left_anti").select(*open_.columns), "open")
+    kinds = dict(candidates.dtypes)
+    schema = f"turn int, id {kinds['id']}, gained double, bytes {kinds['bytes']}"
     return candidates.sparkSession.createDataFrame(out, schema)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import normalised_name
+from ..functions.exprs import exact_mean, normalised_name
 
 
 def unique_match(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str) -> DataFrame:
@@ -135,7 +135,7 @@ def agreement(pairs: DataFrame, keys: Sequence[str], a: str, b: str, tolerance:
         F.count("*").alias("n"),
         F.bool_and(F.col(a).isNull() == F.col(b).isNull()).alias("nulls_agree"),
         F.round(F.max(gap), 6).alias("most_error"),
-        F.round(F.avg(gap), 6).alias("mean_error"),
+        exact_mean(F.round(gap, 6)).alias("mean_error"),
         (F.coalesce(F.max(gap), F.lit(0.0)) <= tolerance).alias("within"),
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import distance, finite, histogram_bin
+from ..functions.exprs import distance, exact_mean, finite, histogram_bin
 
 
 def masked(value: str, is_null: str) -> Column:
@@ -23,7 +23,7 @@ def statistics(rows: DataFrame, keys: Sequence[str], value: Column, places: int
         F.count("v").alias("valid"),
         F.min("v").alias("least"),
         F.max("v").alias("most"),
-        F.round(F.avg("v"), places).alias("mean"),
+        exact_mean(F.col("v")).alias("mean"),
         F.round(F.stddev_pop("v"), places).alias("deviation"),
     )
 

@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 
 
 def pattern_scan(texts: DataFrame, text_id: str, text: str, pattern: str, group: int = 0) -> DataFrame:
-    """Each distinct match of a text: occurrences and the character offset of the first. Matches are counted where the text
-    is, so only they leave it and nothing is shuffled."""
-    all_found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
+    """Each distinct match of a text: occurrences and the character offset of the first. Matches are sorted and counted as runs where
+    the text is, so only they leave it and nothing is shuffled."""
+    found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
+    run_starts = F.filter(F.sequence(F.lit(0), F.size("all")), lambda k: (k == 0) | ~F.get("all", k).eqNullSafe(F.get("all", k - 1)))
     counted = F.transform(
-        F.array_distinct("all"),
-        lambda f: F.struct(
-            f.alias("found"), F.size(F.filter("all", lambda x: x == f)).cast("long").alias("occurrences"), F.position(f, F.col(text)).alias("first")
+        "starts",
+        lambda s, k: F.struct(
+            F.get("all", s).alias("found"), (F.coalesce(F.get("starts", k + 1), F.size("all")) - s).cast("long").alias("occurrences"),
+            F.position(F.get("all", s), F.col(text)).alias("first"),
         ),
-    )
-    return texts.select(text_id, text, all_found.alias("all")).select(text_id, F.inline(counted))
+    )
+    ordered = texts.select(text_id, text, F.array_sort(found).alias("all")).where(F.size("all") > 0)
+    return ordered.withColumn("starts", F.filter(run_starts, lambda k: k < F.size("all"))).select(text_id, F.inline(counted))
 
 
 def profile(texts: DataFrame, text_id: str, text: str, lines: int = 50) -> DataFrame:

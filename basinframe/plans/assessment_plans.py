@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..operators import assessment as A
 from ..operators import binding as B
 from ..operators import catalogue as K
@@ -252,9 +253,9 @@ def category_and_role(spark, d):
 
 
 @P.query("""WITH f AS (SELECT user_id, event_id, value, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM events)
-SELECT event_type, coalesce(nxt, '(end)') AS next_type, count(*) AS n, round(avg(value), 4) AS mean FROM f GROUP BY ALL""")
+SELECT event_type, coalesce(nxt, '(end)') AS next_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) / count(value) AS mean FROM f GROUP BY ALL""")
 def stage_outcomes(spark, d):
     """Which stage follows which, and how often."""
     w = F.lead("event_type").over(A.Window.partitionBy("user_id").orderBy("event_id"))
     e = V.table(spark, d, "events").select("event_type", "value", F.coalesce(w, F.lit("(end)")).alias("next_type"))
-    return e.groupBy("event_type", "next_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return e.groupBy("event_type", "next_type").agg(F.count("*").alias("n"), X.exact_mean(F.col("value")).alias("mean"))

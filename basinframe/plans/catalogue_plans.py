@@ -10,8 +10,13 @@ from ..sources import views as V
 from .base import Plans
 
 P = Plans()
-_EVIDENCE = """e AS (SELECT p_name AS entity, 'brand' AS field, p_brand AS value FROM part UNION ALL SELECT p_name, 'type', p_type FROM part
-  UNION ALL SELECT p_name, 'size', CASE WHEN p_size % 10 = 0 THEN 'unknown' ELSE CAST(p_size AS VARCHAR) END FROM part)"""
+# every tenth size is one of these: the first nine say nothing, nor do the next five; the last ones do
+_STATED = (*X.UNKNOWN_TOKENS, *(f"{p} reason" for p in X.UNKNOWN_PREFIXES), " Unknown ", "unknown zone", "none", "n/a", "-", "not stated")
+_SPELT = ", ".join(f"'{x}'" for x in _STATED)
+_VAGUE = f"""(lower(trim(value)) IN ({", ".join(f"'{x}'" for x in X.UNKNOWN_TOKENS)}) OR {" OR ".join(f"starts_with(lower(trim(value)), '{x}')" for x in X.UNKNOWN_PREFIXES)})"""
+_EVIDENCE = f"""e AS (SELECT p_name AS entity, 'brand' AS field, p_brand AS value FROM part UNION ALL SELECT p_name, 'type', p_type FROM part
+  UNION ALL SELECT p_name || ' ' || (p_size % 3), 'size', CASE WHEN p_size % 10 = 0 THEN ([{_SPELT}])[1 + p_partkey % {len(_STATED)}] ELSE CAST(p_size AS VARCHAR) END FROM part
+  UNION ALL SELECT p_name || ' ' || p_partkey, 'note', CASE WHEN p_partkey % 7 <> 0 THEN ([{_SPELT}])[1 + p_partkey % {len(_STATED)}] END FROM part)"""
 
 
 @P.query("""SELECT p_partkey, field, value FROM (SELECT p_partkey, 'p_name' AS field, p_name AS value FROM part UNION ALL SELECT p_partkey, 'p_brand', p_brand FROM part
@@ -21,14 +26,21 @@ def evidence_unpivot(spark, d):
     return K.long_evidence(V.table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey", ["p_name", "p_brand", "p_type"])
 
 
-@P.query(f"""WITH {_EVIDENCE}, g AS (SELECT entity, field, count(*) AS observations, count(DISTINCT value) FILTER (value <> 'unknown') AS alternatives, min(value) FILTER (value <> 'unknown') AS one FROM e GROUP BY entity, field)
+@P.query(f"""WITH {_EVIDENCE}, k AS (SELECT entity, field, CASE WHEN NOT {_VAGUE} THEN value END AS said FROM e),
+g AS (SELECT entity, field, count(*) AS observations, count(DISTINCT said) AS alternatives, min(said) AS one FROM k GROUP BY entity, field)
 SELECT entity, field, observations, CASE alternatives WHEN 0 THEN 'unresolved' WHEN 1 THEN 'recorded' ELSE 'conflict' END AS status, CASE WHEN alternatives = 1 THEN one END AS value, CAST(alternatives AS INT) AS alternatives FROM g""")
 def evidence_resolution(spark, d):
     """What all observations of a field agree on, if they do."""
-    e = V.table(spark, d, "part").select(
-        F.col("p_name").alias("entity"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"),
-        F.when(F.col("p_size") % 10 == 0, "unknown").otherwise(F.col("p_size").cast("string")).alias("size"),
-    ).unpivot("entity", ["brand", "type", "size"], "field", "value")
+    p = V.table(spark, d, "part")
+    stated = F.element_at(F.array(*map(F.lit, _STATED)), (1 + F.col("p_partkey") % len(_STATED)).cast("int"))
+    name = F.col("p_name")
+    parts = [
+        p.select(name.alias("entity"), F.lit("brand").alias("field"), F.col("p_brand").alias("value")),
+        p.select(name, F.lit("type"), "p_type"),
+        p.select(F.concat_ws(" ", name, (F.col("p_size") % 3).cast("string")), F.lit("size"), F.when(F.col("p_size") % 10 == 0, stated).otherwise(F.col("p_size").cast("string"))),
+        p.select(F.concat_ws(" ", name, F.col("p_partkey").cast("string")), F.lit("note"), F.when(F.col("p_partkey") % 7 != 0, stated)),
+    ]
+    e = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
     return K.resolved(e, ["entity", "field"], "value")
 
 
@@ -72,12 +84,12 @@ def ancestry_paths(spark, d):
     return K.ancestry(V.edges(spark, d), "child", "parent")
 
 
-_COVER = """SELECT o_orderstatus, o_orderpriority, {grouping} count(*) AS objects, round(sum(o_totalprice), 2) AS bytes FROM orders GROUP BY {how}"""
+_COVER = """SELECT o_orderstatus, o_orderpriority, {grouping} count(*) AS objects, CAST(sum(CAST(o_totalprice AS DECIMAL(18,6))) AS DOUBLE) AS bytes FROM orders GROUP BY {how}"""
 
 
 def _coverage(spark, d, how):
     rows = V.table(spark, d, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice")
-    measures = [F.count("*").alias("objects"), F.round(F.sum("o_totalprice"), 2).alias("bytes")]
+    measures = [F.count("*").alias("objects"), X.exact_sum(F.col("o_totalprice")).alias("bytes")]
     return K.coverage(rows, ["o_orderstatus", "o_orderpriority"], measures, how)
 
 
@@ -134,8 +146,8 @@ def retry_pairs(spark, d):
 
 
 @P.query("""WITH m AS (SELECT user_id % 10 AS scope, user_id, event_type, event_id % 50 AS sample, event_id AS counter, value FROM events),
-g AS (SELECT scope, sum(m) AS total FROM (SELECT scope, user_id, event_type, max(counter) AS m FROM m GROUP BY ALL) GROUP BY scope), p AS (SELECT scope, max(s) AS peak FROM (SELECT scope, sample, sum(value) AS s FROM m GROUP BY ALL) GROUP BY scope)
-SELECT scope, CAST(total AS BIGINT) AS total, round(peak, 4) AS peak FROM g JOIN p USING (scope)""")
+g AS (SELECT scope, sum(m) AS total FROM (SELECT scope, user_id, event_type, max(counter) AS m FROM m GROUP BY ALL) GROUP BY scope), p AS (SELECT scope, max(s) AS peak FROM (SELECT scope, sample, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS s FROM m GROUP BY ALL) GROUP BY scope)
+SELECT scope, CAST(total AS BIGINT) AS total, peak FROM g JOIN p USING (scope)""")
 def counter_peaks(spark, d):
     """Process counters summed over processes and peaks of summed gauges."""
     e = V.table(spark, d, "events")
@@ -152,7 +164,7 @@ def category_code_bars(spark, d):
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
-@P.query("""WITH u AS (SELECT user_id, event_id, value, round(coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS used FROM events)
+@P.query("""WITH u AS (SELECT user_id, event_id, value, coalesce(CAST(sum(CAST(value AS DECIMAL(18,6))) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0) AS used FROM events)
 SELECT user_id, event_id, used, greatest(0, round(500.0 - used, 4)) AS remaining, greatest(0, round(500.0 - used, 4)) > 0 AS runs FROM u""")
 def lane_budget(spark, d):
     """What each lane has left before each attempt."""
@@ -190,20 +202,49 @@ def size_features(spark, d):
     return docs.select("doc_id", X.size_bin(F.col("n_chars")).alias("size"), F.array_join(F.array_sort(F.array_compact(found)), ",").alias("features"))
 
 
-@P.query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url || ' ' || html, '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}', '<object>', 'g'),
-  '(?:[A-Za-z]:\\|/)[^\s<>"]+', '<path>', 'g'), '0[xX][0-9a-fA-F]+', '<hex>', 'g'), '[0-9]+', '<n>', 'g')[1:2000] AS reason FROM pages""")
+_SAID = r"""url || ' at C:\Data\Field One, then "D:/x y/z.las"; \\srv\share\w.zgy 0x1F 00000000-1111-2222-3333-44444444abcd  token = k' || page_id || ' ' || html"""
+
+
+def _said(spark, d):
+    """Urls and pages with an error report between them."""
+    report = r' at C:\Data\Field One, then "D:/x y/z.las"; \\srv\share\w.zgy 0x1F 00000000-1111-2222-3333-44444444abcd  token = k'
+    said = F.concat("url", F.lit(report), F.col("page_id").cast("string"), F.lit(" "), "html")
+    return V.table(spark, d, "pages").select("page_id", "url", said.alias("said"))
+
+
+def _replaced(text, *patterns):
+    for pattern, by in patterns:
+        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by}', 'g')"
+    return text
+
+
+_REASON = _replaced(
+    _SAID, (X.OBJECT, "<object>"), (X.QUOTED_PATH, "<path>"), (X.BARE_PATH, "<path>"), (X.HEX_NUMBER, "<hex>"), (X.DECIMAL_NUMBER, "<n>"), (r"\s+", " ")
+)
+
+
+@P.query(f"SELECT page_id, trim({_REASON}, ' ')[1:2000] AS reason FROM pages")
 def normalize_reasons(spark, d):
     """Texts with identifiers, paths and numbers replaced by their kind."""
-    p = V.table(spark, d, "pages")
-    return p.select("page_id", X.normalised_reason(F.concat_ws(" ", "url", "html")).alias("reason"))
+    return _said(spark, d).select("page_id", X.normalised_reason(F.col("said")).alias("reason"))
+
+
+def _with_tokens(text, *kinds):
+    for kind, pattern in kinds:
+        pattern = "'" + pattern.replace("'", "''") + "'"
+        zipped = f"list_zip(string_split_regex(t, {pattern}), regexp_extract_all(t, {pattern}))"
+        token = f"coalesce('<{kind}:' || substr(sha256('salt' || x[2]), 1, 8) || '>', '')"
+        text = f"(SELECT array_to_string(list_transform({zipped}, lambda x: x[1] || {token}), '') FROM (SELECT {text} AS t))"
+    return text
+
+
+_TOKENS = _with_tokens(_SAID, ("object", X.WHOLE_OBJECT), ("path", X.PRIVATE_PATH), ("email", X.EMAIL), ("url", X.URL))
 
 
-@P.query(r"""SELECT page_id, substr(sha256('salt' || url), 1, 12) AS pseudonym, sha256(regexp_replace(regexp_replace(regexp_replace(html, 'https?://[^\s"<>]+', '<url>', 'g'),
-  '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<email>', 'g'), '[0-9]{5,}', '<id>', 'g')) AS scrubbed FROM pages""")
+@P.query(rf"""SELECT page_id, substr(sha256('salt' || url), 1, 12) AS pseudonym, sha256({_replaced(_TOKENS, (X.SECRET, r"\1\2[redacted]"))}) AS scrubbed FROM pages""")
 def scrub_identifiers(spark, d):
-    """Pages without urls, addresses and identifiers."""
-    p = V.table(spark, d, "pages")
-    return p.select("page_id", X.pseudonym(F.col("url"), "salt").alias("pseudonym"), F.sha2(X.scrubbed(F.col("html"), "salt"), 256).alias("scrubbed"))
+    """Pages with pseudonyms for identifiers, paths, addresses and urls, and without secrets."""
+    return _said(spark, d).select("page_id", X.pseudonym(F.col("url"), "salt").alias("pseudonym"), F.sha2(X.scrubbed(F.col("said"), "salt"), 256).alias("scrubbed"))
 
 
 @P.query(r"""WITH m AS (SELECT page_id, html, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS found FROM pages)
@@ -239,17 +280,17 @@ def property_files(spark, d):
     return T.property_pairs(c, "file", "text")
 
 
-@P.query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+@P.query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total FROM events GROUP BY ALL""")
 def tumbling_counts(spark, d):
     """Events by hour and type (an addition: event-time windows)."""
     e = V.table(spark, d, "events").select("ts", "event_type", "value")
-    return e.groupBy(F.date_trunc("hour", "ts").alias("window_start"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return e.groupBy(F.date_trunc("hour", "ts").alias("window_start"), "event_type").agg(F.count("*").alias("n"), X.exact_sum(F.col("value")).alias("total"))
 
 
 @P.query("""WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),
-s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total FROM s GROUP BY user_id, k""")
 def session_windows(spark, d):
     """Events of a user with less than two hours between them (an addition)."""
     e = V.table(spark, d, "events").select("user_id", "ts", "value")
     w = F.session_window("ts", "2 hours")
-    return e.groupBy("user_id", w.alias("w")).agg(F.min("ts").alias("start"), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).drop("w")
+    return e.groupBy("user_id", w.alias("w")).agg(F.min("ts").alias("start"), F.count("*").alias("n"), X.exact_sum(F.col("value")).alias("total")).drop("w")

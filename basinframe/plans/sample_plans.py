@@ -20,7 +20,7 @@ _V_ORDER = ["k1", "k2", "x", "y"]
 
 
 @P.query(f"""WITH {_LOG}, m AS (SELECT *, CASE WHEN NOT is_null THEN raw END AS v FROM log)
-SELECT well, curve, count(*) AS samples, count(v) AS valid, min(v) AS least, max(v) AS most, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS deviation
+SELECT well, curve, count(*) AS samples, count(v) AS valid, min(v) AS least, max(v) AS most, CAST(sum(CAST(v AS DECIMAL(18,6))) AS DOUBLE) / count(v) AS mean, round(stddev_pop(v), 6) AS deviation
 FROM m GROUP BY well, curve""")
 def log_curve_stats(spark, d):
     """Statistics of each curve over samples that are not null."""

@@ -32,7 +32,7 @@ def _finished(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out").select(*stream.columns)
 
 
-@P.query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+@P.query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total FROM events GROUP BY ALL""")
 def stream_hourly_counts(spark, d):
     """Tumbling windows of the stream, in complete mode."""
     timed = E.with_event_time(_events(spark, d), "ts", "1 hour")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +19,21 @@ from pyspark.sql import functions as F
 
 # Fixed values of the formats: magic bytes, frame marks and record types.
 LZ4_MAGIC, FRAME_MAGIC = b"LZ4\x01", b"BXML\x01"
+PROJECT_MAGIC, PROJECT_NAME, PROJECT_FIELDS = b"\xff\xff\x01\x00", b"ProjectSerializer", 9
 FRAME_BODY, FRAME_DICTIONARY, FRAME_END = 0xA0, 0xA1, 0xA2
 END, COMMENT, ARRAY = 0x01, 0x02, 0x03
 ATTRIBUTE, DICTIONARY_ATTRIBUTE, ELEMENT, DICTIONARY_ELEMENT = 0x04, 0x06, 0x40, 0x42
 NUMBERS = {0x88: "b", 0x8A: "h", 0x8C: "i", 0x8E: "q", 0x90: "f", 0x92: "d", 0xB2: "Q"}
 CONSTANTS = {0x80: ("int", "0"), 0x82: ("int", "1"), 0x84: ("bool", "false"), 0x86: ("bool", "true"), 0xA8: ("text", "")}
 LENGTHS = {0x98: (1, "text"), 0x9A: (2, "text"), 0x9C: (4, "text"), 0x9E: (1, "bytes"), 0xA0: (2, "bytes"), 0xA2: (4, "bytes")}
-OPAQUE = {0x94: (16, "decimal"), 0x96: (8, "datetime"), 0xAE: (8, "timespan")}
+OPAQUE = {0x94: (16, "decimal"), 0xAE: (8, "timespan")}
+WIDE_LENGTHS = {0xB6: "B", 0xB8: "H", 0xBA: "I"}
 ARRAYS = {0x8A: "<i2", 0x8C: "<i4", 0x8E: "<i8", 0x90: "<f4", 0x92: "<f8", 0xB4: "u1"}
 
 MOST_BYTES = 512 << 20
+MOST_BLOCKS = 4096
+MOST_DOCUMENT = 128 << 20
+MOST_NAMES = 100_000
 MOST_NODES = 2_000_000
 MOST_DEPTH = 128
 
@@ -100,11 +106,23 @@ def unblocked(block: bytes, most: int) -> bytes:
 
 
 def unwrapped(raw: bytes, most: int = MOST_BYTES) -> bytes:
-    """The payload of an envelope; other bytes are their own payload."""
+    """The payload of an envelope, which a project file has behind a header of its own; other bytes are their own payload."""
+    if raw[:4] == PROJECT_MAGIC:
+        head = Bytes(raw)
+        head.take(4)
+        if bytes(head.take(head.number("H"))) != PROJECT_NAME:
+            raise BadContainer("header of another serializer")
+        head.take(PROJECT_FIELDS)
+        raw = raw[head.at :]
+        if raw[:4] != LZ4_MAGIC:
+            raise BadContainer("project header without an envelope")
     if raw[:4] != LZ4_MAGIC:
         return raw
-    src, out = Bytes(raw[4:]), bytearray()
+    src, out, blocks = Bytes(raw[4:]), bytearray(), 0
     while src.left():
+        blocks += 1
+        if blocks > MOST_BLOCKS:
+            raise BadContainer("too many blocks")
         size = src.number("I")
         src.number("I")
         out += unblocked(bytes(src.take(size)), most - len(out))
@@ -112,20 +130,25 @@ def unwrapped(raw: bytes, most: int = MOST_BYTES) -> bytes:
 
 
 def documents(payload: bytes) -> Iterator[tuple[bytes, list[str]]]:
-    """Each framed document with the names of its dictionary."""
+    """Each framed document with the names of its dictionary so far. The last one may end without its mark."""
     src = Bytes(payload)
     if bytes(src.take(len(FRAME_MAGIC))) != FRAME_MAGIC:
         raise BadContainer("no frame")
     names: list[str] = []
-    body = bytearray()
+    body, seen = bytearray(), set()
     while src.left():
         mark = src.byte()
         if mark == FRAME_DICTIONARY:
-            part = Bytes(bytes(src.take(src.varint())))
-            while part.left():
-                names.append(part.text())
+            name = src.text()
+            if not name or name in seen or len(names) >= MOST_NAMES:
+                raise BadContainer("dictionary name")
+            names.append(name)
+            seen.add(name)
         elif mark == FRAME_BODY:
-            body += src.take(src.varint())
+            n = src.varint()
+            if not n or len(body) + n > MOST_DOCUMENT:
+                raise BadContainer("document size")
+            body += src.take(n)
         elif mark == FRAME_END:
             if not body:
                 raise BadContainer("empty document")
@@ -134,7 +157,30 @@ def documents(payload: bytes) -> Iterator[tuple[bytes, list[str]]]:
         else:
             raise BadContainer(f"frame mark {mark:#x}")
     if body:
-        raise BadContainer("unfinished document")
+        yield bytes(body), names
+
+
+#: 100-ns steps from year 1 to 1970.
+_TICKS_1970 = 621_355_968_000_000_000
+
+
+def _moment(data: bytes) -> str:
+    """A date and time record: 62 bits of 100-ns steps since year 1, then its kind (0: unstated, 1: UTC, 2: local)."""
+    value = int.from_bytes(data, "little")
+    ticks, kind = value & (1 << 62) - 1, value >> 62
+    seconds, part = divmod(ticks - _TICKS_1970, 10_000_000)
+    try:
+        day = datetime(1970, 1, 1) + timedelta(seconds=seconds)
+    except OverflowError as why:
+        raise BadContainer("date") from why
+    return f"{day.isoformat()}.{part:07d}" + ("", "Z", "local", "?")[kind]
+
+
+def _named(src: Bytes, names: list[str]) -> str:
+    key = src.varint()
+    if key & 1 or key // 2 >= len(names):
+        raise BadContainer("dictionary key")
+    return names[key // 2]
 
 
 def _record(src: Bytes, kind: int, names: list[str]) -> tuple[str, str]:
@@ -148,14 +194,26 @@ def _record(src: Bytes, kind: int, names: list[str]) -> tuple[str, str]:
         width, what = LENGTHS[kind]
         data = src.take(src.number({1: "B", 2: "H", 4: "I"}[width]))
         return what, str(data, "utf-8") if what == "text" else data.hex()
+    if kind == 0x96:
+        return "datetime", _moment(bytes(src.take(8)))
     if kind in OPAQUE:
         return OPAQUE[kind][1], src.take(OPAQUE[kind][0]).hex()
+    if kind in WIDE_LENGTHS:
+        return "text", str(src.take(src.number(WIDE_LENGTHS[kind])), "utf-16-le")
     if kind == 0xAA:
-        return "text", names[src.varint() // 2]
-    if kind == 0xB0:
-        return "uuid", str(uuid.UUID(bytes_le=bytes(src.take(16))))
+        return "text", _named(src, names)
+    if kind in (0xAC, 0xB0):
+        return "uuid", ("urn:uuid:" if kind == 0xAC else "") + str(uuid.UUID(bytes_le=bytes(src.take(16))))
     if kind == 0xB4:
-        return "bool", "true" if src.byte() else "false"
+        value = src.byte()
+        if value > 1:
+            raise BadContainer("boolean")
+        return "bool", "true" if value else "false"
+    if kind == 0xBC:
+        prefix = src.byte()
+        if prefix > 25:
+            raise BadContainer("prefix")
+        return "text", f"{chr(97 + prefix)}:{_named(src, names)}"
     raise BadContainer(f"record {kind:#x}")
 
 
@@ -180,13 +238,13 @@ def nodes(body: bytes, names: list[str]) -> Iterator[tuple]:
         elif kind == COMMENT:
             src.text()
         elif kind in (ELEMENT, DICTIONARY_ELEMENT):
-            name = src.text() if kind == ELEMENT else names[src.varint() // 2]
+            name = src.text() if kind == ELEMENT else _named(src, names)
             path.append(new())
             if len(path) > MOST_DEPTH:
                 raise BadContainer("too deep")
             yield path[-1], above, name, "element", None, None
         elif kind in (ATTRIBUTE, DICTIONARY_ATTRIBUTE):
-            name = src.text() if kind == ATTRIBUTE else names[src.varint() // 2]
+            name = src.text() if kind == ATTRIBUTE else _named(src, names)
             yield new(), above, f"@{name}", *_record(src, src.byte(), names), None
         elif kind == ARRAY:
             if src.byte() != ELEMENT:
@@ -244,9 +302,11 @@ def node_table(containers: DataFrame, path: str = "path", content: str = "conten
 
 
 def read_containers(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Files of up to ``MOST_BYTES`` as containers; longer ones are rejected unread."""
+    """Files of up to ``MOST_BYTES`` as containers; a longer one is rejected unread and is a row with a status."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    return node_table(files.where(F.col("length") <= MOST_BYTES))
+    made = node_table(files.where(F.col("length") <= MOST_BYTES))
+    long = files.where(F.col("length") > MOST_BYTES).select("path", F.lit(f"rejected: over {MOST_BYTES} bytes").alias("status"))
+    return made.unionByName(long, allowMissingColumns=True)
 
 
 def log_samples(table: DataFrame) -> DataFrame:

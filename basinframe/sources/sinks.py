@@ -14,26 +14,33 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _pointers(spark: SparkSession, target: str) -> DataFrame | None:
+    """(sequence, generation) of each snapshot whose pointer is complete."""
+    fs, p = _fs(spark, f"{target}/_pointers")
+    if not fs.exists(p):
+        return None
+    done = [str(s.getPath()) for s in fs.listStatus(p) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return spark.read.schema("sequence long, generation string").json(done) if done else None
+
+
 def publish(df: DataFrame, target: str, generation: str) -> str:
-    """Write a snapshot into ``target/generation`` and make it current. The pointer is a one-row table that is
-    written last, so readers see the old snapshot or the new one."""
-    path = f"{target}/{generation}"
-    df.write.mode("overwrite").parquet(path)
-    spark = df.sparkSession
-    spark.createDataFrame([(generation,)], "generation string").coalesce(1).write.mode("append").json(f"{target}/_pointers/{generation}")
+    """Write a snapshot into ``target/generation`` and make it current. The pointer is a one-row table that is written last, so readers see
+    the old snapshot or the new one. A generation that is there is never overwritten: that fails. Pointers are numbered; of two
+    writers that take the same number, the greater generation counts."""
+    spark, path = df.sparkSession, f"{target}/{generation}"
+    df.write.mode("error").parquet(path)
+    there = _pointers(spark, target)
+    last = there.agg(F.max("sequence")).first()[0] if there is not None else None
+    pointer = spark.createDataFrame([((last or 0) + 1, generation)], "sequence long, generation string")
+    pointer.coalesce(1).write.mode("error").json(f"{target}/_pointers/{generation}")
     return path
 
 
 def published(spark: SparkSession, target: str) -> DataFrame | None:
-    """The snapshot whose pointer was written last, or None."""
-    fs, p = _fs(spark, f"{target}/_pointers")
-    if not fs.exists(p):
-        return None
-    done = [s.getPath() for s in fs.listStatus(p) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    if not done:
-        return None
-    newest = max(done, key=lambda q: fs.getFileStatus(q).getModificationTime())
-    return spark.read.parquet(f"{target}/{newest.getName()}")
+    """The snapshot with the last pointer, or None."""
+    there = _pointers(spark, target)
+    newest = there.agg(F.max(F.struct("sequence", "generation")).alias("last")).first()["last"] if there is not None else None
+    return spark.read.parquet(f"{target}/{newest['generation']}") if newest is not None else None
 
 
 def write_if_any(df: DataFrame, path: str, form: str = "parquet") -> bool:
@@ -57,13 +64,14 @@ def canonical_json(*columns: str) -> Column:
 
 
 def write_jsonl(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> DataFrame:
-    """Canonical JSON lines, and a manifest of (rows, hash of the sorted line hashes by bucket)."""
+    """Canonical JSON lines, and a manifest of (rows, sha256). The hash is of the sums of the lines' SHA-256 digests, taken as eight numbers of
+    32 bits each: it does not depend on the order of the lines, and sums are added up where the rows are."""
     lines = df.select(canonical_json(*df.columns).alias("value"))
     lines.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).text(path)
-    bucket = F.pmod(F.xxhash64("value"), F.lit(4096))
-    parts = lines.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("value", 256))), ""), 256).alias("part"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "part"))), lambda x: x["part"])
-    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(ordered, ""), 256).alias("sha256"))
+    digest = F.sha2("value", 256)
+    sums = [F.sum(F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")) for k in range(8)]
+    spelt = F.concat_ws(",", F.count("*").cast("string"), *(F.coalesce(x, F.lit(0)).cast("string") for x in sums))
+    return lines.agg(F.count("*").alias("rows"), F.sha2(spelt, 256).alias("sha256"))
 
 
 def write_by_object(df: DataFrame, key: str, path: str) -> bool:
@@ -75,12 +83,11 @@ def write_by_object(df: DataFrame, key: str, path: str) -> bool:
 
 
 def null_code(values: Column, start: float) -> Column:
-    """A code for null that no value has: ``start``, or ten times that, and so on. ``values`` is an array."""
-    tries = [start * 10**k for k in range(8)]
-    code = F.lit(tries[-1])
-    for t in reversed(tries[:-1]):
-        code = F.when(~F.array_contains(F.array_compact(values), F.lit(t)), F.lit(t)).otherwise(code)
-    return code
+    """A code for null that no value has: ``start``, or else the first of ten times that, and so on, that is beyond all values in size.
+    ``values`` is an array."""
+    sizes = F.transform(F.array_compact(values), lambda v: F.abs(v))
+    beyond = F.greatest(F.lit(1.0), F.floor(F.log10(F.array_max(sizes) / abs(start))) + 1)
+    return F.when(F.array_contains(F.array_compact(values), F.lit(start)), F.lit(start) * F.pow(F.lit(10.0), beyond)).otherwise(F.lit(start))
 
 
 def las_lines(logs: DataFrame, well: str, depth: str, value: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from ..functions.exprs import exact_sum
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -32,7 +35,7 @@ def first_of_each(events: DataFrame, keys: list[str]) -> DataFrame:
 def tumbling(events: DataFrame, ts: str, keys: list[str], value: str, size: str, slide: str | None = None) -> DataFrame:
     """Counts and sums by event-time window; sliding if ``slide`` is given."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
-    out = events.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"))
+    out = events.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), exact_sum(F.col(value)).alias("total"))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n", "total")
 
 
@@ -91,7 +94,7 @@ def framed(lines: DataFrame, text: str, prefix: str, schema: str) -> DataFrame:
 
 def merge_commits(target: str, key: str, order: str):
     """A ``foreachBatch`` function that keeps the newest row of each key in the table at ``target``: it reads the last snapshot, writes the
-    next beside it and then moves the pointer, so a batch that is run twice writes the same snapshot."""
+    next beside it and then moves the pointer; a batch that is run twice is merged twice, which changes nothing."""
     from ..sources.sinks import publish, published
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -100,6 +103,6 @@ def merge_commits(target: str, key: str, order: str):
         rows = batch if base is None else base.unionByName(batch)
         rest = [c for c in rows.columns if c != key]
         newest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
-        publish(newest, target, f"batch-{number}")
+        publish(newest, target, f"batch-{number:012d}-{uuid.uuid4().hex}")
 
     return merge

@@ -30,8 +30,7 @@ def array(name, values, code):
 
 
 def frame(*bodies, split=None, names=()):
-    words = b"".join(map(string, names))
-    out = C.FRAME_MAGIC + (bytes([C.FRAME_DICTIONARY]) + varint(len(words)) + words if names else b"")
+    out = C.FRAME_MAGIC + b"".join(bytes([C.FRAME_DICTIONARY]) + string(n) for n in names)
     for body in bodies:
         parts = [body[:split], body[split:]] if split else [body]
         out += b"".join(b"\xa0" + varint(len(p)) + p for p in parts) + b"\xa2"
@@ -99,6 +98,38 @@ def test_bad_documents_are_rejected(bad):
 
 
 def test_bad_frames_are_rejected():
-    for bad in (b"", b"XXXXX", C.FRAME_MAGIC + b"\xa2", C.FRAME_MAGIC + b"\xa0\x05ab", C.FRAME_MAGIC + b"\xa0\x01a", C.FRAME_MAGIC + b"\x00"):
+    for bad in (b"", b"XXXXX", C.FRAME_MAGIC + b"\xa2", C.FRAME_MAGIC + b"\xa0\x05ab", C.FRAME_MAGIC + b"\xa0\x00", C.FRAME_MAGIC + b"\x00", C.FRAME_MAGIC + b"\xa1\x00", C.FRAME_MAGIC + b"\xa1\x01a\xa1\x01a"):
         with pytest.raises(C.BadContainer):
             list(C.documents(bad))
+
+
+def project(payload):
+    return C.PROJECT_MAGIC + struct.pack("<H", len(C.PROJECT_NAME)) + C.PROJECT_NAME + bytes(9) + payload
+
+
+def test_project_files_have_a_header(spark, tmp_path, monkeypatch):
+    (tmp_path / "p.bin").write_bytes(project(envelope(frame(LOG))))
+    (tmp_path / "open.bin").write_bytes(envelope(frame(LOG)[:-1]))  # its last document ends without a mark
+    (tmp_path / "other.bin").write_bytes(project(b"no envelope"))
+    (tmp_path / "name.bin").write_bytes(project(envelope(frame(LOG))).replace(b"ProjectS", b"projectS"))
+    (tmp_path / "long.bin").write_bytes(bytes(5000))
+    monkeypatch.setattr(C, "MOST_BYTES", 4000)
+    table = C.read_containers(spark, str(tmp_path), "*.bin")
+    status = {r.path.rsplit("/", 1)[1]: r.status for r in table.select("path", "status").distinct().collect()}
+    assert {k: v.split(":")[0] for k, v in status.items()} == {"p.bin": "ok", "open.bin": "ok", "other.bin": "rejected", "name.bin": "rejected", "long.bin": "rejected"}
+    assert C.log_samples(table).count() == 6
+
+
+def test_values_of_all_kinds():
+    ticks = 638_000_000_123_456_789
+    cases = [
+        (b"\x96" + struct.pack("<Q", ticks | 1 << 62), "datetime", "2022-09-28T22:13:32.3456789Z"),
+        (b"\xb6\x04" + "é!".encode("utf-16-le"), "text", "é!"), (b"\xbc\x01\x00", "text", "b:first"),
+        (b"\xac" + bytes(16), "uuid", "urn:uuid:00000000-0000-0000-0000-000000000000"), (b"\xae" + bytes(8), "timespan", "00" * 8),
+    ]
+    for raw, kind, text in cases:
+        (found,) = [x for x in C.nodes(element("a", raw), ["first"]) if x[1] is not None]
+        assert found[3:5] == (kind, text)
+    for bad in (b"\xb4\x02", b"\xbc\x1a\x00", b"\xaa\x01", b"\xaa\x08"):
+        with pytest.raises(C.BadContainer):
+            list(C.nodes(element("a", bad), ["first"]))

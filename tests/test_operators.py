@@ -21,8 +21,8 @@ def test_sentinels_finite_and_known(spark):
         (False, True, True), (True, True, False), (True, True, False), (False, False, False), (False, False, False),
         (False, False, False), (False, True, False),
     ]
-    k = rows(spark, [("m",), (" Unknown ",), ("",), (None,), ("unresolved: x",), ("N/A",), ("note",)], "t string")
-    assert [r[0] for r in k.select(X.known(F.col("t"))).collect()] == [True, False, False, False, False, False, True]
+    k = rows(spark, [("m",), (" Unknown ",), ("",), (None,), ("unresolved: x",), ("N/A",), ("note",), ("none",), ("unknown zone",), ("Not_Decoded",), ("not_decoded_x",), ("not established",), ("unresolved x",)], "t string")
+    assert [r[0] for r in k.select(X.known(F.col("t"))).collect()] == [True, False, False, False, False, True, True, True, True, False, False, False, True]
 
 
 def test_numbers_from_text(spark):
@@ -141,8 +141,30 @@ def test_resolution_of_evidence(spark):
 def test_wave_is_greedy_within_budget(spark):
     c = rows(spark, [(1, "g", 50, ["a", "b", "c"]), (2, "h", 10, ["a"]), (3, "h", 10, ["d", "e"]), (4, "i", 100, ["z"] * 3)], "id long, group string, bytes long, features array<string>")
     assert [(r.id, r.gained) for r in catalogue.chosen_wave(c, 70).orderBy("turn").collect()] == [(1, 3), (3, 2)]
-    with pytest.raises(ValueError):
-        catalogue.chosen_wave(c, 70, most=3).collect()
+    weights = rows(spark, [("z", 9.0), ("a", 0.0)], "feature string, weight double")
+    assert [(r.id, r.gained) for r in catalogue.chosen_wave(c, 150, weights).orderBy("turn").collect()] == [(4, 9.0), (3, 2.0)]
+    assert catalogue.chosen_wave(c.limit(0), 70).collect() == [] and catalogue.chosen_wave(c, 5).collect() == []
+
+
+def test_deep_graphs_have_all_their_levels(spark):
+    chain = rows(spark, [(k, k - 1 if k else None) for k in range(40)] + [(90, 91), (91, 90), (92, 39), (92, 7)], "c long, p long")
+    found = {r.c: r.level for r in catalogue.levels(chain, "c", "p").collect()}
+    assert found == {**{k: k for k in range(40)}, 90: None, 91: None, 92: 40}
+
+
+def test_matches_are_counted_as_runs(spark):
+    t = rows(spark, [(1, "b1 a2 b1 a2 a2 c"), (2, "none"), (3, None), (4, "")], "id int, t string")
+    got = {(r.id, r.found, r.occurrences, r.first) for r in text.pattern_scan(t, "id", "t", "[a-z][0-9]").collect()}
+    assert got == {(1, "b1", 2, 1), (1, "a2", 3, 4)}
+
+
+def test_reasons_and_scrubbed_texts(spark):
+    said = r"at 'C:\a b\c.las', \\srv\x 0x1f v2 17 00000000-AAAA-2222-3333-44444444abcd  me@x.org token=ab https://x.org/1"
+    t = rows(spark, [(said,), (None,), ("",)], "t string")
+    reasons = [r[0] for r in t.select(X.normalised_reason(F.col("t"))).collect()]
+    assert reasons == ["at <path>, <path> <hex> v2 <n> <object> me@x.org token=ab http<path>", None, ""]
+    one, two = (t.select(X.scrubbed(F.col("t"), s)).first()[0] for s in ("s", "t"))
+    assert one != two and "token=[redacted]" in one and not any(x in one for x in ("AAAA", "me@x", "srv", "x.org"))
 
 
 def test_retries(spark):

@@ -16,6 +16,12 @@ def test_snapshot_pointer_moves(spark, tmp_path):
     assert sinks.published(spark, target).count() == 3
     spark.range(9).write.parquet(f"{target}/unfinished")  # no pointer: not seen
     assert sinks.published(spark, target).count() == 3
+    sinks.publish(spark.range(4).toDF("k"), target, "before")  # by number, not by name or time
+    sinks.publish(spark.range(5).toDF("k"), target, "a")
+    assert sinks.published(spark, target).count() == 5
+    with pytest.raises(Exception, match="exist"):
+        sinks.publish(spark.range(1).toDF("k"), target, "a")
+    assert sinks.published(spark, target).count() == 5
 
 
 def test_empty_tables_are_not_written(spark, tmp_path):
@@ -33,9 +39,19 @@ def test_read_back(spark, tmp_path):
     a = sinks.write_jsonl(d, str(tmp_path / "j")).first()
     b = sinks.write_jsonl(d.repartition(3), str(tmp_path / "j2")).first()
     assert a.rows == 4 and a.sha256 == b.sha256
+    assert sinks.write_jsonl(d.distinct(), str(tmp_path / "j3")).first().sha256 != a.sha256
+    assert sinks.write_jsonl(d.limit(0), str(tmp_path / "j4")).first().rows == 0
     assert sinks.write_by_object(d, "k", str(tmp_path / "o"))
 
 
+def test_null_codes_are_free(spark):
+    data = [([1.0, None],), ([-999.25, 5.0],), ([-999.25, -99925.0, 1e9],), ([-999.25, 1e300],), ([],)]
+    d = spark.createDataFrame(data, "v array<double>")
+    got = [r[0] for r in d.select(sinks.null_code(F.col("v"), -999.25)).collect()]
+    assert got[0] == -999.25 and got[1] == -9992.5 and got[4] == -999.25
+    assert all(g not in v[0] and abs(g) > max(map(abs, v[0])) for g, v in zip(got[2:4], data[2:4]))
+
+
 def test_las_round_trip(spark):
     d = spark.createDataFrame([("w", 1.0, 5.0), ("w", 1.5, None), ("w", 2.0, -999.25), ("v", 3.0, 1.0)], "well string, md double, v double")
     las = sinks.las_lines(d, "well", "md", "v")
