@@ -132,3 +132,36 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, and its shard when there is one more."""
     out = sharded(table(spark, sf_dir, "documents"), TREE, grown=TREE.grown())
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _sql_winner(tree: Tree, *above: str) -> str:
+    """``_winner`` for DuckDB, over a text ``k``."""
+    children = tree.children(*above)
+    if len(children) == 1:
+        return f"'{next(iter(children))}'"
+    draws = [
+        f"{{'draw': -ln((CAST('0x' || substr(md5(k || '|{'/'.join((*above, c))}'), 1, {DIGITS}) AS BIGINT) + 0.5) / {float(16**DIGITS)!r}) / {w!r}, 'child': '{c}'}}"
+        for c, w in children.items()
+    ]
+    return f"list_sort([{', '.join(draws)}])[1].child"
+
+
+def _sql_place(tree: Tree) -> str:
+    racks = [(r, k) for r in tree.children() for k in tree.children(r)]
+    inner = " ".join(f"WHEN '{r}/{k}' THEN {_sql_winner(tree, r, k)}" for r, k in racks)
+    outer = " ".join(f"WHEN '{r}' THEN '{r}/' || {_sql_winner(tree, r)}" for r in tree.children())
+    return f"(SELECT CAST(CASE place {inner} END AS INT) FROM (SELECT CASE {_sql_winner(tree)} {outer} END AS place))"
+
+
+#: CRC-32 goes byte by byte over a table that the query builds from the polynomial.
+ORACLE = f"""
+WITH c AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+    lambda v, n: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) AS v FROM range(256) r(i))),
+d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, CAST(length(h) // 2 + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295,
+    list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda a, b: xor(a >> 8, tab[1 + (xor(a, b) & 255)])), 4294967295) AS text_crc32,
+  {_sql_place(TREE)} AS shard, {_sql_place(TREE.grown())} AS grown_shard FROM d, c)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST, size, text_crc32) - 1 AS slot FROM p
+"""

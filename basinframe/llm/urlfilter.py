@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 from .common import table, unused
 
 RULES_AT_ONCE = 50_000
+#: Tokens of rules that are broadcast at most, some 60 MB.
+TOKENS_SENT = 1_000_000
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TOKEN = re.compile(r"[a-z0-9]+")
@@ -96,13 +98,17 @@ def tokens_of(url: str) -> set[str]:
 
 
 def token_counts(urls: DataFrame, url: str, rules: list[Rule]) -> dict[str, int]:
-    """In how many urls each token of a rule occurs; as many numbers as the rules have tokens."""
-    spark = urls.sparkSession
-    wanted = spark.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string")
+    """In how many urls each token of a rule occurs; as many numbers as the rules have tokens. Other tokens go before anything is counted: where
+    the rules' tokens are few enough to be sent to the tasks, without a shuffle."""
+    wanted = sorted({t for r in rules for t in r.tokens})
+    those = urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
     low = F.translate(F.col(url), _UPPER, _LOWER)
     own = urls.select(F.explode(F.array_distinct(F.split(low, "[^a-z0-9]+"))).alias("token"))
-    # counted before the join: a token of every url is one row of each task then
-    return {r.token: r["count"] for r in own.groupBy("token").count().join(wanted, "token").collect()}
+    if len(wanted) <= TOKENS_SENT:
+        counted = own.join(F.broadcast(those), "token", "left_semi").groupBy("token").count()
+    else:  # counted before the join: a token of every url is one row of each task then
+        counted = own.groupBy("token").count().join(those, "token", "left_semi")
+    return {r.token: r["count"] for r in counted.collect()}
 
 
 class Index:
@@ -194,8 +200,13 @@ HOST_RULES = (
     host_rule(BLOCK, "example.com/de/"),
     host_rule(ALLOW, "org/fr/"),
 )
-#: Patterns for urls that no host rule fits: ad and tracking servers, installers.
-PATTERN_RULES = tuple(map(pattern_rule, ("||ads.^", "||adserver.^", "||tracker.^", "/banner/", "/adclick/*", ".exe|", "@@||example.org^")))
+#: Patterns for urls that no host rule fits: ad and tracking servers by name and by number, installers, campaign parameters.
+NUMBERED = 2000
+PATTERN_RULES = (
+    *map(pattern_rule, ("||ads.", "||adserver.", "||tracker.", "/banner/", "/adclick/*", ".exe|", "@@||example.org^")),
+    *(pattern_rule(f"||ad{k}.") for k in range(NUMBERED)),
+    *(pattern_rule(f"^utm_campaign=spam{k}^") for k in range(NUMBERED)),
+)
 
 
 def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +230,12 @@ f AS (
   LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
 SELECT page_id, host, path, rule, coalesce(action, CASE
   WHEN regexp_matches(url, '^[^:/?#]+://([^/?#]*\.)?example\.org([^\w.%-]|$)') THEN 'allow'
-  WHEN regexp_matches(url, '^[^:/?#]+://([^/?#]*\.)?(ads|adserver|tracker)\.([^\w.%-]|$)|/banner/|/adclick/|\.exe$') THEN 'block'
+  WHEN list_has_any(string_split(regexp_extract(lower(url), '^[^:/?#]+://([^/?#]*)', 1), '.')[:-2], ['ads', 'adserver', 'tracker'])
+    OR regexp_matches(url, '/banner/|/adclick/|\.exe$') THEN 'block'
+  WHEN list_bool_or(list_transform(string_split(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1), '.')[:-2],
+    lambda x: regexp_full_match(x, 'ad(0|[1-9][0-9]*)') AND try_cast(substr(x, 3) AS BIGINT) < 2000)) THEN 'block'
+  WHEN list_bool_or(list_transform(regexp_extract_all(url, '[^\w.%-]utm_campaign=spam([0-9]+)([^\w.%-]|$)', 1),
+    lambda x: x = '0' OR (NOT starts_with(x, '0') AND coalesce(try_cast(x AS BIGINT), 9999) < 2000))) THEN 'block'
   ELSE 'allow' END) AS verdict
 FROM f WHERE k = 1
 """

@@ -39,6 +39,38 @@ def test_verdicts(spark, at_once):
     assert sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got), key=str) == want
 
 
+def test_ad_hosts_are_blocked(spark):
+    cases = {
+        "http://ads.x.com/": "block", "http://tracker.a.io/1": "block", "https://a.adserver.b.dev/": "block", "http://myads.x.com/": "allow",
+        "http://ads/": "allow", "http://ad0.x.com/": "block", "http://a.ad1999.x.com/": "block", "http://ad2000.x.com/": "allow", "http://ad07.x.com/": "allow",
+        "http://x.com/?utm_campaign=spam17": "block", "http://x.com/?a=1&utm_campaign=spam17&b": "block", "http://x.com/?utm_campaign=spam2000": "allow",
+        "http://ads.example.org/": "allow", "http://ads.x.net/": "block", "http://x.com/ads.html": "allow", "http://x.com/setup.exe": "block",
+    }
+    pages = spark.createDataFrame([(u,) for u in cases], "url string")
+    assert {r.url: r.verdict for r in urlfilter.judge(pages, [*HOST_RULES, *PATTERN_RULES]).collect()} == cases
+
+
+def test_sql_says_the_same_of_odd_urls(spark):
+    import duckdb
+
+    odd = [*URLS, "http://ads.x.com/", "http://ad17.x.com/", "http://x.ad1999.y.com/", "http://ad2000.y.com/", "http://x.com/?utm_campaign=spam1999#", "http://x.com/?utm_campaign=spam01"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", [(k, u) for k, u in enumerate(odd)])
+    want = {r[0]: r[-1] for r in con.execute("SELECT page_id, verdict FROM (" + urlfilter.ORACLE + ")").fetchall()}
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(odd)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urlfilter.judge(pages, [*HOST_RULES, *PATTERN_RULES]).collect()}
+    assert got == want
+
+
+def test_counts_agree_however_tokens_travel(spark, monkeypatch):
+    pages = spark.createDataFrame([(u,) for u in URLS], "url string")
+    rules = [*HOST_RULES, *PATTERN_RULES]
+    sent = urlfilter.token_counts(pages, "url", rules)
+    monkeypatch.setattr(urlfilter, "TOKENS_SENT", 1)
+    assert urlfilter.token_counts(pages, "url", rules) == sent and sent["net"] > 3
+
+
 def test_index_finds_what_all_rules_find():
     words = ["ads", "x", "banner", "shop", "en", "com", "net", "a1"]
     rules = [pattern_rule(p) for p in ("/x/", "ads*banner", "||shop.^", "|http://a1", "en|", "*", "^net^", "x-y*", "@@/shop/ads/")]
