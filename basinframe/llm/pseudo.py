@@ -3,21 +3,21 @@
 Words (white space splits, A-Z lower-cased) are numbered by corpus counts over all documents. The most frequent have numbers of their own, in
 classes by rank; the others share one more class of hash buckets. A network predicts each word from ``SIDE`` words on
 either side, never from itself: hidden = tanh(sum of each neighbour's vector, weighted by place), then a softmax over classes and one over the
-words of the class. A word of a bucket has the bucket's probability times its share of the bucket's count, so probabilities add up to one over
-all words of the corpus. A document's score is the sum over its words of the logs of these conditional probabilities.
+words of the class. A word of a bucket has the bucket's probability times its share of the bucket's count; the ``KNOWN`` most frequent words
+have their own shares, the rest of a bucket's count is shared evenly by the rest of its words. So probabilities add up to one over all words of
+the corpus. A document's score is the sum over its words of the logs of these conditional probabilities.
 
-*Size.* With n words in the corpus there are c * c words of their own in c classes, c being the power of two next above the fourth root of n, at
-most ``MOST_CLASSES``. What is gathered grows with the input: the count of each word is a table that is joined for scoring, and each group
-of documents trains a copy of the network.
+*Size.* With n words in the corpus there are c * c words of their own in c classes, c being the power of two next above the fifth root of n, at
+most ``MOST_CLASSES``. What is gathered grows with the input: a count for each word, and a copy of the network for each group of documents.
 
 *Training* covers every position of all documents once. Documents are dealt by a hash into groups of about ``GROUP_WORDS`` words, and each group,
 in the order of its hashes, trains a copy in numpy from where the round starts. A round takes one position in as many as there are
 rounds, each round others. Copies are averaged by positions: as whole numbers in fixed point, which add up to the same in
 any order, in the task first and then over tasks. So neither the number of partitions nor a lost executor changes a score. Only the
-averaged network comes to the driver.
+averaged network and the known words, 12 bytes each, come to the driver.
 
 Null and empty texts have no words: n_words 0, score 0, and a null mean. A text's borders count as a word of their own.
-A corpus without words gives an untrained network. Words that the corpus did not have count as one of their bucket. Repeated rows
+A corpus without words gives an untrained network. A word that the corpus did not have counts as one of the rest of its bucket. Repeated rows
 count and are scored each. Other columns are ignored by ``train`` and carried by ``score``.
 """
 
@@ -27,21 +27,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, settle, table, unpacked, unused
-from .linking import key_of
+from .common import settle, table
 from .wordhash import by_size, word_hashes
 
 SIDE = 2
-WIDTH = 32
+WIDTH = 16
 ROUNDS = 2
-BATCH = 2048
+BATCH = 8192
 RATE = 0.1
 #: Classes of a network, at most: 256 * 256 words of their own make 17 MB.
 MOST_CLASSES = 256
+#: Words whose share of their bucket is broadcast, at most.
+KNOWN = 1 << 20
 #: Words of a group of documents, about.
 GROUP_WORDS = 1 << 19
 #: Bytes of text that are scored at a time: what a window takes in numpy stays in a core's cache.
@@ -56,7 +57,7 @@ _PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
 def classes_for(n_words: int) -> int:
     """How many classes, and words of each, a corpus of so many words gets."""
     c = 8
-    while c < MOST_CLASSES and c**4 < n_words:
+    while c < MOST_CLASSES and c**5 < n_words:
         c *= 2
     return c
 
@@ -89,15 +90,16 @@ class WindowNet:
         return self
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
+        """Of neighbours, a row for each place."""
         w = self.weights
-        total = np.tile(w["shift"], (len(around), 1))
+        total = np.tile(w["shift"], (around.shape[1], 1))
         for k in range(len(_PLACES)):
-            total += w["vectors"][around[:, k]] * w["places"][k]
-        return np.tanh(total)
+            total += (w["vectors"] * w["places"][k])[around[k]]
+        return np.tanh(total, out=total)
 
     def _by_class(self, words: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """An order that puts words of a class together, and (class, from, to) in it."""
-        classes = (words // self.size).astype(np.int16)
+        classes = (words // self.size).astype(np.uint16)
         order = np.argsort(classes, kind="stable")
         ends = np.searchsorted(classes[order], np.arange(self.size + 2))
         return order, [(c, int(a), int(b)) for c, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
@@ -105,22 +107,31 @@ class WindowNet:
     def _spread(self, h: np.ndarray, parts: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
         """What both softmaxes are taken of, for positions in the order of classes."""
         w = self.weights
-        first = h @ w["to_class"] + w["class_bias"]
+        first = h @ w["to_class"]
+        first += w["class_bias"]
         second = np.empty((len(h), self.size), np.float32)
         for c, a, b in parts:
             np.dot(h[a:b], w["to_word"][c].T, out=second[a:b])
             second[a:b] += w["word_bias"][c]
+        if self._largest() > 80:  # else no exponential leaves the range of float32
+            for z in (first, second):
+                z -= z.max(axis=1, keepdims=True)
         return first, second
 
+    def _largest(self) -> float:
+        """A bound on what the softmaxes are taken of, as no hidden value is beyond 1."""
+        w = self.weights
+        first = np.abs(w["to_class"]).sum(axis=0) + np.abs(w["class_bias"])
+        return float(max(first.max(), (np.abs(w["to_word"]).sum(axis=2) + np.abs(w["word_bias"])).max()))
+
     def log_probabilities(self, around: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Of each word or bucket, given its neighbours."""
         order, parts = self._by_class(words)
         rows, sorted_words = np.arange(len(words)), words[order]
         out = np.zeros(len(words), np.float32)
-        for z, at in zip(self._spread(self.hidden(around[order]), parts), (sorted_words // self.size, sorted_words % self.size), strict=True):
-            z -= z.max(axis=1, keepdims=True)
-            picked = z[rows, at]
-            out += picked - np.log(np.exp(z, out=z).sum(axis=1))
+        for z, at in zip(self._spread(self.hidden(around[:, order]), parts), np.divmod(sorted_words, self.size), strict=True):
+            out += z[rows, at]
+            out -= np.log(np.exp(z, out=z).sum(axis=1))
         back = np.empty_like(out)
         back[order] = out
         return back
@@ -128,30 +139,31 @@ class WindowNet:
     def gradients(self, around: np.ndarray, words: np.ndarray) -> dict[str, np.ndarray]:
         w, n = self.weights, len(words)
         order, parts = self._by_class(words)
-        around, words = around[order], words[order]
+        around, words = around[:, order], words[order]
         h, rows = self.hidden(around), np.arange(n)
         first, second = self._spread(h, parts)
-        for z, at in ((first, words // self.size), (second, words % self.size)):
-            z -= z.max(axis=1, keepdims=True)
+        for z, at in zip((first, second), np.divmod(words, self.size), strict=True):
             np.exp(z, out=z)
-            z /= z.sum(axis=1, keepdims=True)
-            z[rows, at] -= 1
-            z /= n
+            z *= (1 / (n * z.sum(axis=1)))[:, None]
+            z[rows, at] -= np.float32(1 / n)
         back = first @ w["to_class"].T
         to_word, word_bias = np.zeros_like(w["to_word"]), np.zeros_like(w["word_bias"])
         for c, a, b in parts:
             back[a:b] += second[a:b] @ w["to_word"][c]
             np.dot(second[a:b].T, h[a:b], out=to_word[c])
             word_bias[c] = second[a:b].sum(axis=0)
-        back *= 1 - h * h
+        h_rest = 1 - h * h
+        back *= h_rest
         vectors, places = np.zeros_like(w["vectors"]), np.empty_like(w["places"])
-        near = np.argsort(around.T.ravel(), kind="stable")
-        numbers = around.T.ravel()[near]
-        starts = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]]))
-        pulled = (back[None, :, :] * w["places"][:, None, :]).reshape(-1, WIDTH)
-        vectors[numbers[starts]] = np.add.reduceat(pulled[near], starts, axis=0)
+        numbers = np.uint16 if self.border < 1 << 16 else np.int32  # 16 bits are sorted by radix
         for k in range(len(_PLACES)):
-            places[k] = np.einsum("nd,nd->d", back, w["vectors"][around[:, k]])
+            near = np.argsort(around[k].astype(numbers), kind="stable")
+            found = around[k][near]
+            starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+            pulled = np.add.reduceat(back[near], starts, axis=0)  # of each word at this place
+            at = found[starts]
+            vectors[at] += pulled * w["places"][k]
+            places[k] = (pulled * w["vectors"][at]).sum(axis=0)
         return {
             "vectors": vectors, "places": places, "shift": back.sum(axis=0), "to_class": h.T @ first,
             "class_bias": first.sum(axis=0), "to_word": to_word, "word_bias": word_bias,
@@ -172,26 +184,26 @@ class Trainer:
         self.held += len(words)
         if self.held < BATCH and not last or not self.held:
             return
-        around, words = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        around, words = (np.concatenate(x, axis=-1) for x in zip(*self.waiting, strict=True))
         stop = len(words) if last else len(words) // BATCH * BATCH
         for k in range(0, stop, BATCH):
-            a, w = around[k : min(k + BATCH, stop)], words[k : min(k + BATCH, stop)]
+            a, w = around[:, k : min(k + BATCH, stop)], words[k : min(k + BATCH, stop)]
             for name, g in self.net.gradients(a, w).items():
                 self.squares[name] += g * g
                 g *= RATE
                 g /= np.sqrt(self.squares[name])
                 self.net.weights[name] -= g
             self.seen += len(w)
-        self.waiting, self.held = [(around[stop:], words[stop:])], len(words) - stop
+        self.waiting, self.held = [(around[:, stop:], words[stop:])], len(words) - stop
 
 
 class Numbering:
     """Word hashes to word numbers: by rank, or a bucket of the last class."""
 
-    def __init__(self, ranked: list[int], size: int):
-        ranks = np.array(ranked, np.int64).view(np.uint64)
+    def __init__(self, ranked: np.ndarray, size: int):
+        ranks = np.asarray(ranked, np.int64).view(np.uint64)
         self.size, self.border = size, (size + 1) * size
-        self.order = np.argsort(ranks)
+        self.order = np.argsort(ranks).astype(np.int32)
         self.sorted = ranks[self.order]
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
@@ -202,21 +214,19 @@ class Numbering:
             out[known] = self.order[at[known]]
         return out
 
-    def windows(self, texts: list[bytes], every: int = 1, turn: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words of all texts, the neighbours of each, and where each text's words begin and end; or only the words at one
-        position of ``every`` of each text; turns 0 to ``every`` - 1 take each position once, the text's length deciding when."""
-        hashes, _, _, first = word_hashes(texts)
-        words, n = self.numbers(hashes), np.diff(first)
-        owner = np.repeat(np.arange(len(texts)), n)
+    def windows(self, words: np.ndarray, first: np.ndarray, every: int = 1, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Of the numbers of all texts, text k being ``first[k]`` to ``first[k + 1]``: the words, and a row of neighbours for each place; or only
+        at one position of ``every`` of each text; turns 0 to ``every`` - 1 take each position once, the text's length deciding when."""
+        n = np.diff(first)
+        owner = np.repeat(np.arange(len(n)), n)
         at = np.arange(len(words))
         place = at + SIDE * (1 + owner)  # texts are SIDE borders apart
-        padded = np.full(len(words) + SIDE * (len(texts) + 1), self.border, np.int32)
+        padded = np.full(len(words) + SIDE * (len(n) + 1), self.border, np.int32)
         padded[place] = words
         if every > 1:
-            turns = turn + np.array([len(t) % every for t in texts])
-            own = np.flatnonzero((at - first[owner] + turns[owner]) % every == 0)
+            own = np.flatnonzero((at - first[owner] + turn + n[owner]) % every == 0)
             place, words = place[own], words[own]
-        return words, np.stack([padded[place + k] for k in _PLACES], axis=1), first
+        return words, np.stack([padded[place + k] for k in _PLACES])
 
 
 def _counts(batches):
@@ -236,16 +246,33 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 _LAYOUT = "block int, seen long, sums binary"
 
 
-def _copies(ranked: list[int], size: int, start: np.ndarray, every: int, turn: int):
-    """Rows (group, packed text), groups together, to the sums of the groups' copies of the network, in blocks: each value in fixed point times
+def numbered(ranked: np.ndarray, size: int):
+    """The word numbers of each text, as bytes."""
+
+    @F.arrow_udf(T.BinaryType())
+    def made(texts: pa.Array) -> pa.Array:
+        numbering, out = Numbering(ranked, size), []
+        kind = np.uint16 if numbering.border < 1 << 16 else np.int32
+        for part in by_size([t or b"" for t in texts.cast(pa.binary()).to_pylist()]):
+            hashes, _, _, first = word_hashes(part)
+            words = numbering.numbers(hashes).astype(kind)
+            out += [words[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
+        return pa.array(out, pa.binary())
+
+    return made
+
+
+def _copies(size: int, start: np.ndarray, every: int, turn: int):
+    """Rows (group, word numbers), groups together, to the sums of the groups' copies of the network, in blocks: each value in fixed point times
     the positions seen."""
 
     def trained(batches):
-        numbering, none = Numbering(ranked, size), np.zeros(0, np.int32)
+        numbering, none = Numbering(np.zeros(0, np.int64), size), np.zeros(0, np.int32)
+        kind = np.uint16 if numbering.border < 1 << 16 else np.int32
         seen, sums, trainer, at = 0, np.zeros(len(start), np.int64), None, None
 
         def take():
-            trainer.add(none.reshape(0, len(_PLACES)), none, last=True)
+            trainer.add(none.reshape(len(_PLACES), 0), none, last=True)
             return trainer.seen, np.rint(trainer.net.flat().astype(np.float64) * (trainer.seen * FINE)).astype(np.int64)
 
         for batch in batches:
@@ -257,9 +284,11 @@ def _copies(ranked: list[int], size: int, start: np.ndarray, every: int, turn: i
                         n, flat = take()
                         seen, sums = seen + n, sums + flat
                     trainer, at = Trainer(WindowNet(size).load(start)), groups[a]
-                for part in by_size(map(unpacked, batch.column(1).slice(a, b - a).to_pylist())):  # its borders change nothing
-                    words, around, _ = numbering.windows(part, every, turn)
-                    trainer.add(around, words)
+                for part in by_size(batch.column(1).slice(a, b - a).to_pylist()):  # its borders change nothing
+                    words = np.frombuffer(b"".join(part), kind).astype(np.int32)
+                    first = np.cumsum([0, *(len(t) // np.dtype(kind).itemsize for t in part)])
+                    found, around = numbering.windows(words, first, every, turn)
+                    trainer.add(around, found)
         if trainer is not None:
             n, flat = take()
             seen, sums = seen + n, sums + flat
@@ -289,16 +318,41 @@ def _summed(batches):
 
 @dataclass
 class Model:
-    ranked: list[int]
+    ranked: np.ndarray
     net: WindowNet
-    #: (word, share): of its bucket's count, for each word of the corpus that has no number of its own
-    shares: DataFrame
-    #: the share of a word that the corpus did not have, by bucket
-    unseen: list[float]
+    #: hashes of known words in buckets, ascending, and the logs of their shares
+    known: np.ndarray
+    shares: np.ndarray
+    #: the log of the share of any other word, by bucket
+    others: np.ndarray
+
+    def share(self, hashes: np.ndarray) -> np.ndarray:
+        """The logs of the shares of words that are in buckets."""
+        out = self.others[((hashes >> np.uint64(48)) % np.uint64(self.net.size)).astype(np.int64)]
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+            found = self.known[at] == hashes
+            out[found] = self.shares[at[found]]
+        return out
 
 
-def _bucket(word: Column, size: int) -> Column:
-    return F.pmod(F.shiftrightunsigned(word, 48), F.lit(size))
+def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, n) of all words that occur at least so often that there are at most ``most`` of them, by falling n."""
+    often = F.least("n", F.lit(1_000_000))
+    at_least, held = 1, 0
+    for n, words in sorted(counts.groupBy(often.alias("n")).count().collect(), reverse=True):
+        held += words
+        if held > most:
+            at_least = n + 1
+            break
+    if at_least > 1_000_000:  # so many words are as frequent as that only in a corpus of 10**12 words
+        chosen = counts.orderBy(F.desc("n"), "word").limit(most)
+    else:
+        chosen = counts.where(F.col("n") >= at_least)
+    got = chosen.select("word", "n").toArrow()
+    words, n = got.column(0).to_numpy(), got.column(1).to_numpy()
+    order = np.lexsort((words, -n))
+    return words[order], n[order]
 
 
 def train(docs: DataFrame, text: str = "text", doc_id: str | None = None, rounds: int = ROUNDS) -> Model:
@@ -306,43 +360,56 @@ def train(docs: DataFrame, text: str = "text", doc_id: str | None = None, rounds
     counts = settle(count_words(docs, text), "counts")
     n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     size = classes_for(n_words)
-    ranked = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size * size).collect()]
-    net = WindowNet(size)
-    known = docs.sparkSession.createDataFrame([(w,) for w in ranked], "word long")
-    rest = settle(counts.join(known, "word", "left_anti").withColumn("bucket", _bucket(F.col("word"), size)), "rest")
-    sums = rest.groupBy("bucket").agg(F.sum("n").alias("total"))
-    totals = dict(sums.collect())
-    shares = rest.join(sums, "bucket").select("word", (F.col("n") / F.col("total")).alias("share"))
-    if ranked:
-        own = docs.select(*([F.col(doc_id)] if doc_id else []), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        dealt = F.xxhash64(*own.columns)
-        groups = -(-n_words // GROUP_WORDS)
-        rows = own.select(F.pmod(dealt, F.lit(groups)).alias("group"), dealt.alias("place"), packed("text").alias("raw"))
-        rows = rows.repartition("group").sortWithinPartitions("group", "place", "raw").select("group", "raw")
+    words, often = _frequent(counts, KNOWN)
+    ranked, net = words[: size * size], WindowNet(size)
+    bucket = F.pmod(F.shiftrightunsigned("word", 48), F.lit(size))
+    total, distinct = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for b, n, d in counts.groupBy(bucket.alias("bucket")).agg(F.sum("n"), F.count("*")).collect():
+        total[b], distinct[b] = n, d
+    own = ((words.view(np.uint64) >> np.uint64(48)) % np.uint64(size)).astype(np.int64)
+    np.subtract.at(total, own[: len(ranked)], often[: len(ranked)])
+    np.subtract.at(distinct, own[: len(ranked)], 1)
+    left, rest = total.copy(), distinct.copy()
+    np.subtract.at(left, own[len(ranked) :], often[len(ranked) :])
+    np.subtract.at(rest, own[len(ranked) :], 1)
+    others = np.where(rest > 0, np.log(np.maximum(left, 1) / np.maximum(rest, 1)), 0.0) - np.log(total + (rest == 0))
+    hashes = words[len(ranked) :].view(np.uint64)
+    order = np.argsort(hashes)
+    shares = np.log(often[len(ranked) :] / np.maximum(total[own[len(ranked) :]], 1))[order].astype(np.float32)
+    if len(ranked):
+        rows = docs.select(*([F.col(doc_id)] if doc_id else []), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        dealt = F.xxhash64(*rows.columns)
+        groups = int(-(-n_words // GROUP_WORDS))
+        rows = rows.select(F.pmod(dealt, F.lit(groups)).alias("group"), dealt.alias("place"), numbered(ranked, size)("text").alias("words"))
+        rows = rows.repartition("group").sortWithinPartitions("group", "place", "words").select("group", "words")
         for turn in range(rounds):
-            blocks = rows.mapInArrow(_copies(ranked, size, net.flat(), rounds, turn), _LAYOUT).repartition("block").mapInArrow(_summed, _LAYOUT)
+            blocks = rows.mapInArrow(_copies(size, net.flat(), rounds, turn), _LAYOUT).repartition("block").mapInArrow(_summed, _LAYOUT)
             found = sorted((r.block, r.seen, bytes(r["sums"])) for r in blocks.collect())
             if found:  # a round may find no position where texts are short
                 net.load(np.concatenate([np.frombuffer(v, np.int64) / (seen * FINE) for _, seen, v in found]))
-    return Model(ranked, net, shares, [1.0 / (totals.get(b, 0) + 1) for b in range(size)])
+    return Model(ranked, net, hashes[order], shares, others)
 
 
 SCORE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("log_likelihood", T.DoubleType())])
 
 
-def scorer(ranked: list[int], net: WindowNet):
-    """Of each text how many words it has, and the sum of the logs of the probabilities of its words and buckets."""
-    flat, size = net.flat(), net.size
+def scorer(model: Model):
+    """Of each text how many words it has, and the sum of the logs of their probabilities."""
 
     @F.arrow_udf(SCORE)
     def scored(texts: pa.Array) -> pa.Array:
-        numbering, own = Numbering(ranked, size), WindowNet(size).load(flat)
+        size = model.net.size
+        numbering = Numbering(model.ranked, size)
         raws = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
         sizes, sums = [], []
         for part in by_size(raws, SCORED_AT_ONCE):
-            words, around, first = numbering.windows(part)
-            logs = own.log_probabilities(around, words)
-            total = np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])
+            hashes, _, _, first = word_hashes(part)
+            numbers = numbering.numbers(hashes)
+            words, around = numbering.windows(numbers, first)
+            logs = model.net.log_probabilities(around, words).astype(np.float64)
+            rare = np.flatnonzero(numbers >= size * size)
+            logs[rare] += model.share(hashes[rare])
+            total = np.concatenate([[0.0], np.cumsum(logs)])
             sizes.append(np.diff(first))
             sums.append(np.where(np.diff(first) > 0, total[first[1:]] - total[first[:-1]], 0.0))
         whole = [np.concatenate([np.zeros(0), *x]) for x in (sizes, sums)]
@@ -353,44 +420,10 @@ def scorer(ranked: list[int], net: WindowNet):
     return scored
 
 
-def _rare(ranked: list[int], size: int):
-    """Rows (key, text) to (key, word, n): the words that are in buckets."""
-
-    def found(batches):
-        numbering = Numbering(ranked, size)
-        for batch in batches:
-            keys, raws = batch.column(0).to_numpy(), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            at = 0
-            for part in by_size(raws):
-                hashes, _, _, first = word_hashes(part)
-                owner = np.repeat(np.arange(len(part)), np.diff(first))
-                rare = numbering.numbers(hashes) >= size * size
-                owner, hashes = owner[rare], hashes[rare]
-                order = np.lexsort((hashes, owner))
-                owner, hashes = owner[order], hashes[order]
-                starts = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])])[: len(owner)])
-                n = np.diff(np.append(starts, len(owner)))
-                columns = (pa.array(keys[at + owner[starts]]), pa.array(hashes[starts].view(np.int64)), pa.array(n.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays(list(columns), names=["key", "word", "n"])
-                at += len(part)
-
-    return found
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "lm") -> DataFrame:
     """``docs`` and a struct (n_words, log_likelihood) of each whole text. A column of that name is replaced."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() == into.lower()])
-    key, lm, more = unused(docs, "key", "lm_own", "lm_more")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    size = model.net.size
-    words = docs.select(key_of(whole).alias("key"), whole.alias("text")).mapInArrow(_rare(model.ranked, size), "key long, word long, n long")
-    words = words.groupBy("key", "word").agg(F.max("n").alias("n"))  # copies of a text tell the same
-    unseen = F.element_at(F.array(*map(F.lit, model.unseen)), (_bucket(F.col("word"), size) + 1).cast("int"))
-    logs = (F.col("n") * F.log(F.coalesce("share", unseen))).cast("decimal(28,10)")  # sums of decimals do not depend on their order
-    rest = words.join(model.shares, "word", "left").groupBy("key").agg(F.sum(logs).cast("double").alias(more)).withColumnRenamed("key", key)
-    own = docs.withColumns({key: key_of(whole), lm: scorer(model.ranked, model.net)(F.col(text))}).join(rest, key, "left")
-    total = F.col(f"{lm}.log_likelihood") + F.coalesce(F.col(more), F.lit(0.0))
-    return own.select(*docs.columns, F.struct(F.col(f"{lm}.n_words").alias("n_words"), total.alias("log_likelihood")).alias(into))
+    return docs.withColumn(into, scorer(model)(F.col(text)))
 
 
 def op9_pseudo(spark: SparkSession, sf_dir: str) -> DataFrame:

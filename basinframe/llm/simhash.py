@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import linking
-from .common import hex_of, settle, table, unpacked
+from .common import hex_of, settle, table
 from .components import components
 from .wordhash import by_size, shingles_of
 
@@ -344,10 +344,10 @@ _WIDE = T.StructType([T.StructField("print", T.BinaryType()), T.StructField("anc
 
 
 @F.arrow_udf(_WIDE)
-def _widely(raws: pa.Array) -> pa.Array:
-    """The fingerprint of a packed text with the number of shingles behind it, and its anchors."""
+def _widely(texts: pa.Array) -> pa.Array:
+    """The fingerprint of a text with the number of shingles behind it, and its anchors."""
     prints, anchors = [], [np.zeros(0, np.int64)]
-    for part in by_size(map(unpacked, raws.to_pylist()), TEXT_AT_ONCE):
+    for part in by_size(texts.cast(pa.binary()).to_pylist(), TEXT_AT_ONCE):
         leads, sizes = wide_leads(part)
         bits = np.packbits(leads > 0, axis=1, bitorder="little")
         prints += [r.tobytes() for r in np.concatenate([bits, sizes.astype("<u8").view(np.uint8).reshape(-1, 8)], axis=1)]
@@ -371,8 +371,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _classes(docs: DataFrame, text: str, threshold: float) -> DataFrame:
     """(key, root) of the texts of ``docs`` that have a near copy."""
-    texts = linking.distinct_texts(docs, text)
-    made = settle(texts.select("key", _widely("raw").alias("wide")), "prints")
+    texts = linking.keyed_texts(docs, text)
+    wide = texts.select("key", _widely("text").alias("wide")).groupBy("key").agg(F.any_value("wide").alias("wide"))
+    made = settle(wide, "prints")
     members = made.select(F.explode(F.array_distinct("wide.anchors")).alias("bucket"), "key")
     return linking.rooted(texts, members, made.select("key", "wide.print"), likeness, threshold - SLACK, threshold)
 

@@ -55,7 +55,7 @@ def test_order_makes_likely(spark, trained):
 def plain(model, text):
     """The score of a text, word by word."""
     numbering, w, size = pseudo.Numbering(model.ranked, model.net.size), model.net.weights, model.net.size
-    shares = {r.word: r.share for r in model.shares.collect()}
+    known = dict(zip(model.known.tolist(), model.shares.tolist(), strict=True))
     hashes = word_hashes([text])[0]
     words = numbering.numbers(hashes).tolist()
     padded = [model.net.border] * 2 + words + [model.net.border] * 2
@@ -65,7 +65,7 @@ def plain(model, text):
         first, second = h @ w["to_class"] + w["class_bias"], w["to_word"][word // size] @ h + w["word_bias"][word // size]
         total += first[word // size] - np.log(np.exp(first).sum()) + second[word % size] - np.log(np.exp(second).sum())
         if word >= size * size:
-            total += np.log(shares.get(int(hashes[t].view(np.int64)), model.unseen[word % size]))
+            total += known.get(int(hashes[t]), model.others[word % size])
     return total
 
 
@@ -76,18 +76,28 @@ def test_scores_match_a_plain_loop(spark, trained):
         assert got.lm.log_likelihood == pytest.approx(plain(model, text.encode()), rel=1e-4)
 
 
-def test_words_without_a_number_share_their_bucket(spark):
+@pytest.mark.parametrize("known", [1 << 20, 80, 64])
+def test_words_without_a_number_share_their_bucket(spark, monkeypatch, known):
+    monkeypatch.setattr(pseudo, "KNOWN", known)
     rng = random.Random(6)
     texts = [" ".join(f"v{int(rng.expovariate(0.01))}" for _ in range(50)) for _ in range(60)]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     model = pseudo.train(docs, rounds=1)
-    counts = {r.word: r.n for r in pseudo.count_words(docs).collect()}
-    rest = {w: n for w, n in counts.items() if w not in set(model.ranked)}
+    counts = {r.word % 2**64: r.n for r in pseudo.count_words(docs).collect()}
     size = model.net.size
-    assert len(model.ranked) == size * size == 64 and rest
-    buckets = {w: (w % 2**64 >> 48) % size for w in rest}
-    shares = {r.word: r.share for r in model.shares.collect()}
-    assert shares == pytest.approx({w: n / sum(rest[x] for x in rest if buckets[x] == buckets[w]) for w, n in rest.items()})
+    own = {w % 2**64 for w in model.ranked.tolist()}
+    rest = {w: n for w, n in counts.items() if w not in own}
+    assert len(own) <= size * size == 64 and rest and (known < 64 + len(rest) or len(model.known) == len(rest))
+    assert min(counts[w] for w in own) >= max(rest.values())
+    buckets = {}
+    for w in rest:
+        buckets.setdefault((w >> 48) % size, []).append(w)
+    for b, words in buckets.items():
+        shares = np.exp(model.share(np.array(words, np.uint64)))
+        assert shares.sum() == pytest.approx(1, rel=1e-5)  # all words of a bucket
+        for w, share in zip(words, shares, strict=True):
+            if w in set(model.known.tolist()):
+                assert share == pytest.approx(rest[w] / sum(rest[x] for x in words), rel=1e-5)
     (got,) = pseudo.score(docs.limit(1), model).collect()
     assert got.lm.log_likelihood == pytest.approx(plain(model, got.text.encode()), rel=1e-4)
 
@@ -108,7 +118,7 @@ def test_partitions_do_not_change_scores(spark, monkeypatch):
 def test_gradients_match_differences():
     rng = np.random.default_rng(3)
     net = pseudo.WindowNet(8)
-    words, around = rng.integers(0, 72, 40), rng.integers(0, 73, (40, 4)).astype(np.int32)
+    words, around = rng.integers(0, 72, 40), rng.integers(0, 73, (4, 40)).astype(np.int32)
     for w in net.weights.values():
         w += rng.normal(0, 0.2, w.shape).astype(np.float32)
     made = net.gradients(around, words)
@@ -124,28 +134,27 @@ def test_gradients_match_differences():
 
 
 def test_size_follows_the_corpus():
-    assert [pseudo.classes_for(n) for n in (0, 4096, 4097, 15_000_000, 10**12)] == [8, 8, 16, 64, 256]
+    assert [pseudo.classes_for(n) for n in (0, 4096, 4097, 15_000_000, 10**12)] == [8, 8, 8, 32, 256]
 
 
 def test_windows_do_not_cross_texts():
-    numbering = pseudo.Numbering([], 8)
-    _, around, first = numbering.windows([b"a b", b"", b"c"])
-    assert first.tolist() == [0, 2, 2, 3]
-    assert around[2].tolist() == [numbering.border] * 4
-    assert around[0][:2].tolist() == [numbering.border] * 2 and around[1][2:].tolist() == [numbering.border] * 2
+    numbering = pseudo.Numbering(np.zeros(0, np.int64), 8)
+    _, around = numbering.windows(np.array([5, 6, 7], np.int32), np.array([0, 2, 2, 3]))
+    out = numbering.border
+    assert around.T.tolist() == [[out, out, 6, out], [out, 5, out, out], [out] * 4]
 
 
 def test_probabilities_sum_to_one():
     net = pseudo.WindowNet(16)
     n = 17 * 16
-    around = np.tile(np.array([[1, 2, 3, 4]]), (n, 1))
+    around = np.tile(np.array([[1], [2], [3], [4]]), (1, n))
     assert np.exp(net.log_probabilities(around, np.arange(n))).sum() == pytest.approx(1, rel=1e-4)
 
 
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     model = pseudo.train(docs)
-    assert model.ranked == []
+    assert len(model.ranked) == 0
     assert [r.lm.log_likelihood for r in pseudo.score(docs, model).collect()] == [0.0, 0.0]
 
 
@@ -153,8 +162,8 @@ def test_rounds_train_on_every_position_once(spark, monkeypatch):
     texts = ["a b c d e f g h i j k", "l m", "n", "", None]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(2)
     seen, copies = [], pseudo._copies
-    packs = pa.array([__import__("zstandard").compress((t or "").encode()) for t in texts], pa.binary())
-    batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 1, 1, 2]), packs], names=["group", "raw"])
+    numbers = [np.arange(len((t or "").split()), dtype=np.uint16).tobytes() for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 1, 1, 2]), pa.array(numbers, pa.binary())], names=["group", "words"])
 
     def counted(*args):
         seen.append(sum(b.column(1)[0].as_py() for b in copies(*args)([batch])))
@@ -163,10 +172,9 @@ def test_rounds_train_on_every_position_once(spark, monkeypatch):
     monkeypatch.setattr(pseudo, "_copies", counted)
     pseudo.train(docs)
     assert sum(seen) == 14
-    numbering = pseudo.Numbering([], 8)
-    whole = numbering.windows([b"a b c d e f g h"])[0].tolist()
-    parts = [numbering.windows([b"a b c d e f g h"], 3, turn)[0].tolist() for turn in range(3)]
-    assert sorted(sum(parts, [])) == sorted(whole)
+    numbering, words, first = pseudo.Numbering(np.zeros(0, np.int64), 8), np.arange(8, dtype=np.int32), np.array([0, 8])
+    parts = [numbering.windows(words, first, 3, turn)[0].tolist() for turn in range(3)]
+    assert sorted(sum(parts, [])) == words.tolist()
 
 
 def test_one_word_leaves_a_round_without_positions(spark):
