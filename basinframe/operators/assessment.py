@@ -7,20 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settle
 
-def qualified(assessed: DataFrame, levels: DataFrame, edges: DataFrame, node: str, needs: str, ok: str, depth: int) -> DataFrame:
-    """An entity qualifies if it passes and everything it needs qualifies. One join a level, up to ``depth`` levels; entities
+
+def qualified(assessed: DataFrame, levels: DataFrame, edges: DataFrame, node: str, needs: str, ok: str) -> DataFrame:
+    """An entity qualifies if it passes and everything it needs qualifies. One join a level over that level's entities; entities
     without a level (cycles, dangling needs) do not qualify."""
-    state = assessed.join(levels, node, "left").withColumn("qualified", F.coalesce(F.col(ok) & (F.col("level") == 0), F.lit(False)))
-    for k in range(1, depth + 1):
-        parents = state.select(F.col(node).alias(needs), F.col("qualified").alias("up"))
-        met = (
-            edges.where(F.col(needs).isNotNull()).join(parents, needs, "left")
-            .groupBy(node).agg(F.bool_and(F.coalesce("up", F.lit(False))).alias("all_up"))
-        )
-        now = F.when(F.col("level") == k, F.col(ok) & F.coalesce("all_up", F.lit(False))).otherwise(F.col("qualified"))
-        state = state.join(met, node, "left").withColumn("qualified", F.coalesce(now, F.lit(False))).drop("all_up")
-    return state.select(node, "level", "qualified")
+    state = settle(assessed.select(node, F.coalesce(ok, F.lit(False)).alias(ok)).join(levels, node, "left"), "state")
+    needed = edges.where(F.col(needs).isNotNull()).select(node, needs)
+    good = settle(state.where(F.col(ok) & (F.col("level") == 0)).select(node), "good")
+    for k in range(1, (state.agg(F.max("level")).first()[0] or 0) + 1):
+        here = state.where(F.col(ok) & (F.col("level") == k)).select(node)
+        unmet = needed.join(here, node, "left_semi").join(good.select(F.col(node).alias(needs)), needs, "left_anti").select(node).distinct()
+        good = good.union(settle(here.join(unmet, node, "left_anti"), "good"))
+        if k % 16 == 0:  # a deep graph's plan stays short
+            good = settle(good, "good")
+    found = good.distinct().withColumn("qualified", F.lit(True))
+    return state.join(found, node, "left").select(node, "level", F.coalesce("qualified", F.lit(False)).alias("qualified"))
 
 
 def declarations(rows: DataFrame, owner: str, fields: Sequence[tuple[str, Column]]) -> DataFrame:

@@ -96,3 +96,61 @@ def retained(view: DataFrame, artifacts: DataFrame, key: str, fields: Sequence[s
         F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "surplus").when(F.col("a").eqNullSafe(F.col("b")), "covered").otherwise("different")
     )
     return a.join(b, key, "full").select(key, status.alias("status"))
+
+
+def heads_matched(heads: DataFrame, wells: DataFrame, keys: Sequence[str], fallback: str, well: str) -> DataFrame:
+    """Head rows and the one typed well that agrees in all keys, nulls being equal; else the one that has the same value of ``fallback``. Several are
+    ambiguous. Both sides are joined on hashes of all keys, so it is one equi-join each."""
+    one = F.when(F.min(well) == F.max(well), F.min(well))
+    mark = F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys])
+    exact = wells.groupBy(mark.alias("_mark"), *keys).agg(one.alias("_exact"), F.count("*").alias("_n"))
+    spare = wells.where(F.col(fallback).isNotNull()).groupBy(F.col(fallback).alias("_key")).agg(one.alias("_spare"))
+    same = F.col("l._mark") == F.col("r._mark")
+    for k in keys:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    joined = heads.withColumn("_mark", mark).alias("l").join(exact.alias("r"), same, "left").select("l.*", "_exact", "_n")
+    joined = joined.join(spare, F.col(fallback) == F.col("_key"), "left")
+    status = (
+        F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_n") > 1, "ambiguous").when(F.col("_spare").isNotNull(), "fallback_identity")
+        .when(F.col("_key").isNotNull(), "ambiguous").otherwise("unresolved")
+    )
+    target = F.when(status == "exact", F.col("_exact")).when(status == "fallback_identity", F.col("_spare"))
+    return joined.withColumn(well, target).withColumn("status", status).drop("_mark", "_exact", "_n", "_key", "_spare")
+
+
+def roles_of(files: DataFrame, path: str, digest: str, roles: Column) -> DataFrame:
+    """The file that plays each role: a role that several different contents claim is an error, one that none does is missing."""
+    claims = files.select(F.explode(roles).alias("role"), path, digest)
+    found = claims.groupBy("role").agg(F.count_distinct(digest).alias("contents"), F.min(path).alias("path"), F.min(digest).alias("digest"))
+    status = F.when(F.col("contents") == 1, "resolved").otherwise("ambiguous")
+    return found.select("role", "contents", status.alias("status"), F.when(status == "resolved", F.col("path")).alias("path"), F.when(status == "resolved", F.col("digest")).alias("digest"))
+
+
+def bounds_state(*pairs: tuple[Column, Column, Column, Column], tolerance: float = 1e-3) -> Column:
+    """How declared bounds (least, most) stand to measured ones (least, most) on all axes: exact, tolerance, enclosing, sign_flipped (equal once the
+    declared ones change sign), else conflict; unresolved where a number is missing."""
+    exact = close = round_ = flipped = F.lit(True)
+    known = F.lit(True)
+    for low, high, least, most in pairs:
+        known = known & low.isNotNull() & high.isNotNull() & least.isNotNull() & most.isNotNull()
+        exact = exact & (low == least) & (high == most)
+        close = close & (F.abs(low - least) <= tolerance) & (F.abs(high - most) <= tolerance)
+        round_ = round_ & (low <= least + tolerance) & (high >= most - tolerance)
+        flipped = flipped & (F.abs(-high - least) <= tolerance) & (F.abs(-low - most) <= tolerance)
+    return (
+        F.when(~known, "unresolved").when(exact, "exact").when(close, "tolerance").when(round_, "enclosing").when(flipped, "sign_flipped")
+        .otherwise("conflict")
+    )
+
+
+def metadata_checked(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """Pairs of objects that are to be calculated with: fields in which both say something and differ, and fields that one of them does not
+    say. Conflicts forbid the calculation, unknown fields are listed."""
+    from ..functions.exprs import known
+
+    both = left.select(key, *[F.col(f).alias(f"{f}_l") for f in fields]).join(right.select(key, *[F.col(f).alias(f"{f}_r") for f in fields]), key)
+    said = lambda f: known(F.col(f"{f}_l")) & known(F.col(f"{f}_r"))
+    conflicts = F.array_compact(F.array(*[F.when(said(f) & (F.col(f"{f}_l") != F.col(f"{f}_r")), f) for f in sorted(fields)]))
+    unknown = F.array_compact(F.array(*[F.when(~said(f), f) for f in sorted(fields)]))
+    status = F.when(F.size(conflicts) > 0, "conflict").when(F.size(unknown) > 0, "unknown_fields").otherwise("compatible")
+    return both.select(key, status.alias("status"), F.array_join(conflicts, ",").alias("conflicts"), F.array_join(unknown, ",").alias("unknown"))

@@ -235,22 +235,177 @@ def source_rules(delivery: Delivery) -> list[tuple[str, Column]]:
     ]
 
 
-def assessed(
-    entities: DataFrame, artifacts: DataFrame, relationships: DataFrame, evidence: DataFrame, delivery: Delivery = Delivery(),
-    bindings: DataFrame | None = None, rules: Callable[[Delivery], Sequence[tuple[str, Column]]] = source_rules,
-) -> DataFrame:
-    """(entity_key, category, source_state, codes, n_codes). ``bindings`` (entity_key, kind, bound_sha256, current_sha256) are metadata files that
-    must not have changed: kind ``head`` or ``metadata``."""
+def facts_of(entities: DataFrame, artifacts: DataFrame, relationships: DataFrame, evidence: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
+    """One row of facts for each entity. ``bindings`` (entity_key, kind, bound_sha256, current_sha256) are metadata files that must not have
+    changed: kind ``head`` or ``metadata``."""
     payloads = payload_facts(entities, artifacts)
     facts = payloads.join(field_facts(evidence), "entity_key", "left").join(link_facts(relationships, payloads), "entity_key", "left")
     facts = facts.join(on_cycles(entities, relationships).withColumn("cycle", F.lit(True)), "entity_key", "left")
-    if bindings is not None:
-        stale = ~_true(F.col("bound_sha256") == F.col("current_sha256"))
-        marks = [F.bool_or(stale & (F.col("kind") == k)).alias(n) for k, n in (("head", "stale_heads"), ("metadata", "stale_metadata"))]
-        facts = facts.join(bindings.groupBy("entity_key").agg(*marks), "entity_key", "left")
-    else:
-        facts = facts.withColumns({"stale_heads": F.lit(False), "stale_metadata": F.lit(False)})
-    codes = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(found, code) for code, found in rules(delivery)]))))
-    out = facts.select("entity_key", "category", codes.alias("codes"))
+    if bindings is None:
+        return facts.withColumns({"stale_heads": F.lit(False), "stale_metadata": F.lit(False)})
+    stale = ~_true(F.col("bound_sha256") == F.col("current_sha256"))
+    marks = [F.bool_or(stale & (F.col("kind") == k)).alias(n) for k, n in (("head", "stale_heads"), ("metadata", "stale_metadata"))]
+    return facts.join(bindings.groupBy("entity_key").agg(*marks), "entity_key", "left")
+
+
+def _codes(rules: Sequence[tuple[str, Column]]) -> Column:
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(found, code) for code, found in rules]))))
+
+
+def assessed(facts: DataFrame, delivery: Delivery = Delivery(), rules: Callable[[Delivery], Sequence[tuple[str, Column]]] = source_rules) -> DataFrame:
+    """(entity_key, category, source_state, codes, n_codes) of ``facts_of``."""
+    out = facts.select("entity_key", "category", _codes(rules(delivery)).alias("codes"))
     state = F.when(F.size("codes") == 0, "source_prerequisites_satisfied").otherwise("source_blocked")
     return out.select("entity_key", "category", state.alias("source_state"), F.array_join("codes", ",").alias("codes"), F.size("codes").alias("n_codes"))
+
+
+# Source codes that also block a mapping.
+CORE_BLOCKERS = (
+    "NO_AVAILABLE_ACCEPTED_FULL_PAYLOAD", "SOURCE_REVISION_IDENTITY_UNRESOLVED", "SOURCE_RECOVERY_NOT_COMPLETE", "PUBLICATION_NOT_FINAL",
+    "PARTIAL_PUBLICATION_PRESENT", "NUMERICAL_QC_UNVALIDATED", "RECORDED_PAYLOAD_IDENTITY_MISSING", "FILE_INTEGRITY_UNAVAILABLE", "DEPENDENCY_CYCLE",
+    "SEISMIC_METADATA_UNBOUND", "SEISMIC_METADATA_STALE", "SEISMIC_AXIS_CONFLICT", "SEISMIC_GEOMETRY_CONFLICT", "SEISMIC_NUMERICAL_QC_UNVALIDATED",
+    "NODE_MASK_UNAVAILABLE", "HEAD_METADATA_STALE", "NATIVE_VERTEX_GAPS_UNRESOLVED",
+)
+
+
+@dataclass(frozen=True)
+class Receiver:
+    """A program that is to receive objects: its version, the categories that it takes, and whether wells must be there already."""
+
+    version: str
+    api_version: str | None
+    routes: tuple[str, ...]
+    existing_wells_only: bool = False
+    needs_lattice: bool = False
+
+
+@dataclass(frozen=True)
+class Need:
+    """A field that a category needs: any known value, one of ``values``, or JSON that has all ``members``."""
+
+    categories: tuple[str, ...]
+    field: str
+    code: str | None = None
+    values: tuple[str, ...] = ()
+    members: tuple[str, ...] = ()
+
+
+_PLACED = ("surface_geometry", "surface_property", "well", "trajectory", "culture_polygon", "culture_point")
+_LOG, _ON_WELL, _SURFACE = ("well_log",), ("well_log", "marker", "checkshot", "trajectory"), ("surface_geometry", "surface_property")
+NEEDS = (
+    Need(_PLACED, "crs", "CRS_UNRESOLVED"), Need(_PLACED, "horizontal_unit"), Need(_PLACED, "vertical_domain", None, ("time", "depth", "elevation")),
+    Need(_PLACED, "vertical_unit"), Need(("well_log", "surface_property"), "unit", "STORED_VALUE_UNIT_UNRESOLVED"),
+    Need(_ON_WELL, "md_unit"), Need(_ON_WELL, "md_reference"),
+    Need(_LOG, "log_kind", "LOG_KIND_UNSUPPORTED", ("continuous_scalar",)), Need(_LOG, "index_kind", "LOG_INDEX_SEMANTICS_UNRESOLVED", ("measured_depth",)),
+    Need(_LOG, "sampling_kind", "LOG_INTERVAL_SEMANTICS_UNRESOLVED", ("point_samples",)), Need(_LOG, "null_semantics", None, (), ("representation", "source_rule")),
+    Need(("well",), "well_identity"), Need(("well",), "head_semantics", None, (), ("xyz_roles", "vertical_reference", "source_locator")),
+    Need(("trajectory",), "track_semantics", None, (), ("station_order", "md_source", "vertical_reference", "full_track")),
+    Need(("marker",), "marker_semantics", None, (), ("source_role", "reference_validation")),
+    Need(("checkshot",), "checkshot_semantics", None, (), ("source_role", "reference_validation")),
+    Need(("checkshot",), "time_convention", None, ("OWT", "TWT")), Need(("checkshot",), "vertical_reference"),
+    Need(("culture_polygon",), "polygon_topology", None, (), ("parts", "vertex_order", "ring_roles", "attribute_binding")),
+    Need(("surface_geometry",), "surface_role", "SURFACE_VALUE_ROLE_UNRESOLVED", ("horizon_geometry",)),
+    Need(("surface_property",), "surface_role", "SURFACE_VALUE_ROLE_UNRESOLVED", ("mapped_property",)),
+    Need(_SURFACE, "grid_registration", "GRID_REGISTRATION_UNRESOLVED", (), ("dimensions", "origin_xy", "i_basis", "j_basis", "index_order")),
+)
+#: What native records of a log must say where they say anything.
+LOG_SEMANTICS = (("interval_records", "false"), ("curve_kind", "continuous_scalar"), ("index_type", "measured_depth"), ("value_role", "native_scalar_values"), ("blob_type", "FloatWellLog"))
+
+
+def _effective(field: str) -> Column:
+    """The recorded value, or what a decision asserts where nothing else is recorded."""
+    return F.coalesce(F.try_element_at(F.col("assertions"), F.lit(field)), _value(field))
+
+
+def _well_said(c: Column) -> Column:
+    return known(c) & c.isNotNull()
+
+
+def _needed(need: Need, applies: Column | None = None) -> list[tuple[str, Column]]:
+    where = _in(*need.categories) if applies is None else _in(*need.categories) & applies
+    value, conflict = _effective(need.field), _true(_field(need.field)["alternatives"] > 1)
+    good = _well_said(value)
+    if need.values:
+        good = _true(value.isin(*need.values))
+    for member in need.members:
+        good = good & _well_said(F.get_json_object(value, f"$.{member}"))
+    code = need.code or f"{need.field.upper()}_UNRESOLVED"
+    return [(f"CONFLICTING_{need.field.upper()}", where & conflict), (code, where & ~conflict & ~good)]
+
+
+def mapping_rules(receiver: Receiver) -> list[tuple[str, Column]]:
+    """(code, condition) over facts, source codes (``source_codes``) and the columns of a decision."""
+    rules = [("TARGET_MAPPING_UNSUPPORTED", ~_in(*receiver.routes))]
+    version = F.col("target_version").eqNullSafe(F.lit(receiver.version)) & F.col("target_api_version").eqNullSafe(F.lit(receiver.api_version).cast("string"))
+    rules += [("TARGET_PROFILE_DECISION_REQUIRED", ~version), ("TARGET_OBJECT_DECISION_REQUIRED", ~_well_said(F.col("target_object_id")))]
+    for need in NEEDS:
+        rules += _needed(need)
+    timed = _true(_effective("vertical_domain") == "time")
+    rules += _needed(Need(_PLACED, "time_convention", None, ("OWT", "TWT")), timed) + _needed(Need(_PLACED, "vertical_reference"), ~timed)
+    for field in ("index_shape", "value_shape"):
+        value, conflict = _effective(field), _true(_field(field)["alternatives"] > 1)
+        bad = _in(*_LOG) & ~conflict & ~_true(value == "scalar_1d")
+        rules += [
+            (f"CONFLICTING_{field.upper()}", _in(*_LOG) & conflict), (f"LOG_{field.upper()}_UNSUPPORTED", bad & _well_said(value)),
+            (f"LOG_{field.upper()}_UNRESOLVED", bad & ~_well_said(value)),
+        ]
+    said_otherwise = F.lit(False)
+    for field, expected in LOG_SEMANTICS:
+        fact = _field(field)
+        said_otherwise = said_otherwise | _true((fact["alternatives"] > 1) | ((fact["alternatives"] == 1) & (fact["value"] != expected)))
+    asserted = lambda f: _true(F.try_element_at(F.col("assertions"), F.lit(f)).isNotNull())
+    well, parent = _link("source_well"), _link("native_parent")
+    exact_well = _true(well["exact"] & (well["category"] == "well"))
+    exact_parent = _true(parent["exact"] & (parent["category"] == "surface_geometry"))
+    bound = exact_well & _true(F.col("well_target_key") == well["target"]) & _true(F.col("well_target_state").isin("existing", "planned")) & _well_said(F.col("well_target_id"))
+    differs = F.coalesce(F.exists(F.map_entries("assertions"), lambda e: _true((F.try_element_at(F.col("fields"), e["key"])["alternatives"] > 1) | (F.try_element_at(F.col("fields"), e["key"])["value"] != e["value"]))), F.lit(False))
+    survey = lambda f: F.try_element_at(F.col("survey"), F.lit(f))
+    has_survey = F.lit(True)
+    for f in ("target_id", "crs", "horizontal_unit", "vertical_domain", "vertical_unit"):
+        has_survey = has_survey & _well_said(survey(f))
+    other = F.lit(False)
+    for f in ("crs", "horizontal_unit", "vertical_domain", "vertical_unit"):
+        other = other | ~survey(f).eqNullSafe(_effective(f))
+    other = other | F.when(timed, ~survey("time_convention").eqNullSafe(_effective("time_convention"))).otherwise(~survey("vertical_reference").eqNullSafe(_effective("vertical_reference")))
+    surface, on_well = _in(*_SURFACE), _in(*_ON_WELL)
+    volume = _link("reference_seismic")
+    with_volume = _true(volume["exact"] & (volume["category"] == "seismic") & (F.col("reference_volume_key") == volume["target"]))
+    rules += [
+        ("SOURCE_DECISION_CONFLICT", differs),
+        ("CRS_EVIDENCE_UNVALIDATED", _in(*_PLACED) & ~_is("crs_status", CRS_VERIFIED) & ~asserted("crs")),
+        ("STORED_UNIT_PROFILE_UNVALIDATED", _in("well_log", "surface_property") & ~_is("unit_status", UNIT_PROFILE) & ~asserted("unit")),
+        ("RELATIONSHIP_UNRESOLVED", (on_well & ~exact_well) | (_in("surface_property") & ~exact_parent)),
+        ("WELL_TARGET_BINDING_UNRESOLVED", on_well & ~bound),
+        ("LOG_SOURCE_SEMANTICS_CONFLICT", _in(*_LOG) & said_otherwise),
+        ("PARENT_GEOMETRY_UNRESOLVED", _in("surface_property") & ~exact_parent),
+        ("SURVEY_DECISION_REQUIRED", surface & ~has_survey),
+        ("SURVEY_CONTEXT_CONFLICT", surface & has_survey & other),
+    ]
+    if receiver.existing_wells_only:
+        rules.append(("TARGET_DEPENDENCY_CREATION_UNSUPPORTED", on_well & bound & (F.col("well_target_state") != "existing")))
+    if receiver.needs_lattice:
+        rules.append(("SURVEY_LATTICE_MISMATCH", surface & has_survey & ~survey("grid_registration").eqNullSafe(_effective("grid_registration"))))
+    else:
+        rules.append(("REFERENCE_VOLUME_BINDING_UNRESOLVED", surface & has_survey & ~with_volume))
+    return rules
+
+
+def mapped(facts: DataFrame, decisions: DataFrame, receiver: Receiver, delivery: Delivery = Delivery()) -> DataFrame:
+    """(entity_key, category, receiving_state, codes). ``decisions`` has at most one row for an entity: entity_key, target_version,
+    target_api_version, target_object_id, well_target_key, well_target_id, well_target_state, reference_volume_key, assertions (map), survey (map)
+    and derived (true if a derivation with its losses is agreed). Codes are of the source rules that also block a mapping and of the receiver's."""
+    own = facts.join(decisions, "entity_key", "left").withColumn("source_codes", _codes(source_rules(delivery)))
+    core = F.filter("source_codes", lambda c: c.isin(*CORE_BLOCKERS) | c.startswith("CONFLICTING_"))
+    made = own.select("entity_key", "category", "derived", F.array_sort(F.array_union(core, _codes(mapping_rules(receiver)))).alias("codes"))
+    has = lambda pattern: F.exists("codes", lambda c: c.rlike(pattern))
+    only_survey = F.size(F.array_except("codes", F.array(F.lit("SURVEY_LATTICE_MISMATCH"), F.lit("SURVEY_CONTEXT_CONFLICT")))) == 0
+    derived = _true(F.col("derived"))
+    state = (
+        F.when(F.array_contains("codes", "NO_AVAILABLE_ACCEPTED_FULL_PAYLOAD"), "blocked_missing_payload")
+        .when(has("QC|INTEGRITY|PUBLICATION|HASH|STALE"), "blocked_qc")
+        .when(has("^(TARGET_MAPPING_UNSUPPORTED|TARGET_DEPENDENCY_CREATION_UNSUPPORTED|LOG_KIND_UNSUPPORTED|LOG_INDEX_SHAPE_UNSUPPORTED|LOG_VALUE_SHAPE_UNSUPPORTED)$"), "unsupported_target_mapping")
+        .when(has("RELATIONSHIP|BINDING|REGISTRATION|DEPENDENCY"), "blocked_relationship")
+        .when((F.size("codes") > 0) & ~(derived & only_survey), "blocked_metadata").when(derived, "requires_derived_mapping")
+        .otherwise("qualified_for_planned_mapping")
+    )
+    return made.select("entity_key", "category", state.alias("receiving_state"), F.array_join("codes", ",").alias("codes"))

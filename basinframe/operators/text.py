@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,28 @@ def property_pairs(texts: DataFrame, text_id: str, text: str) -> DataFrame:
     )
     split = texts.select(text_id, body.alias("body")).where("size(body) >= 2")
     return split.select(text_id, F.explode(pairs).alias("pair")).select(text_id, "pair.key", "pair.value")
+
+
+def located_matches(texts: DataFrame, text_id: str, text: str, pattern: str, window: int = 40) -> DataFrame:
+    """Each match of a text: its number, its character offset from 0, and what stands before and after it, up to ``window`` characters
+    but not beyond the neighbouring match."""
+    matches, between = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), F.split(F.col(text), pattern, -1)
+    cut = texts.select(text_id, matches.alias("matches"), between.alias("between")).where(F.size("matches") > 0)
+    after = F.slice("between", F.lit(2), F.size("matches"))
+    rows = cut.select(text_id, F.posexplode(F.arrays_zip(F.col("matches").alias("match"), F.slice("between", F.lit(1), F.size("matches")).alias("ahead"), after.alias("behind"))).alias("k", "z"))
+    upto = Window.partitionBy(text_id).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.sum(F.char_length("z.ahead") + F.char_length("z.match")).over(upto)
+    return rows.select(
+        text_id, "k", (ends - F.char_length("z.match")).cast("long").alias("offset"), F.col("z.match").alias("match"),
+        F.right("z.ahead", F.lit(window)).alias("before"), F.left("z.behind", F.lit(window)).alias("after"),
+    )
+
+
+def registry_entries(located: DataFrame, text_id: str, pattern: str, groups: dict[str, int], most: int) -> DataFrame:
+    """Distinct entries of ``located_matches``, told apart by the pattern's groups: occurrences, first offset and what stands round it; of
+    each text the ``most`` that come first."""
+    named = located.select("*", *[F.regexp_extract("match", pattern, g).alias(n) for n, g in groups.items()])
+    round_it = F.concat("before", "match", "after")
+    found = named.groupBy(text_id, *groups).agg(F.count("*").alias("occurrences"), F.min("offset").alias("first"), F.min_by(round_it, "offset").alias("context"))
+    order = Window.partitionBy(text_id).orderBy("first", *groups)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")

@@ -8,6 +8,7 @@ from ..operators import binding as B
 from ..operators import catalogue as K
 from ..sources import views as V
 from .base import Plans
+from .catalogue_plans import _NEEDS
 
 P = Plans()
 
@@ -128,18 +129,16 @@ def aligned_union(spark, d):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@P.query("""WITH a AS (SELECT 'S' || s_suppkey AS child, s_acctbal > 0 AS ok FROM supplier UNION ALL SELECT 'N' || n_nationkey, n_nationkey <> 3 FROM nation UNION ALL SELECT 'R' || r_regionkey, true FROM region UNION ALL SELECT 'C' || c_custkey, c_acctbal > 500 FROM customer)
-SELECT 'R' || r_regionkey AS child, 0 AS level, true AS qualified FROM region UNION ALL SELECT 'N' || n_nationkey, 1, n_nationkey <> 3 FROM nation
-UNION ALL SELECT 'S' || s_suppkey, 2, s_acctbal > 0 AND s_nationkey <> 3 FROM supplier UNION ALL SELECT 'C' || c_custkey, 2, c_acctbal > 500 AND c_nationkey <> 3 FROM customer""")
+@P.query(f"""WITH RECURSIVE {_NEEDS}, a AS (SELECT 'C' || c_custkey AS child, c_acctbal > 0 AS ok FROM customer UNION ALL SELECT 'S' || s_suppkey, s_acctbal > 0 FROM supplier),
+q AS (SELECT child FROM c JOIN a USING (child) WHERE parent IS NULL AND ok UNION ALL SELECT c.child FROM c JOIN q ON c.parent = q.child JOIN a ON a.child = c.child WHERE ok),
+b AS (SELECT s.child FROM s LEFT JOIN q ON q.child = s.parent GROUP BY s.child HAVING count(*) = count(q.child))
+SELECT n.child, CAST(level AS INT) AS level, coalesce(ok, false) AND (n.child IN (SELECT child FROM q) OR n.child IN (SELECT child FROM b)) AS qualified FROM n JOIN a USING (child)""")
 def dependency_qualification(spark, d):
     """Entities that pass and whose needs qualify."""
-    e = V.edges(spark, d)
+    e = V.needs(spark, d)
     one = lambda t, p, k, ok: V.table(spark, d, t).select(F.concat(F.lit(p), k).alias("child"), ok.alias("ok"))
-    assessed = (
-        one("supplier", "S", "s_suppkey", F.col("s_acctbal") > 0).union(one("nation", "N", "n_nationkey", F.col("n_nationkey") != 3))
-        .union(one("region", "R", "r_regionkey", F.lit(True))).union(one("customer", "C", "c_custkey", F.col("c_acctbal") > 500))
-    )
-    return A.qualified(assessed, K.levels(e, "child", "parent"), e, "child", "parent", "ok", 2)
+    assessed = one("supplier", "S", "s_suppkey", F.col("s_acctbal") > 0).union(one("customer", "C", "c_custkey", F.col("c_acctbal") > 0))
+    return A.qualified(assessed, K.levels(e, "child", "parent"), e, "child", "parent", "ok")
 
 
 @P.query("""WITH c AS (SELECT p_name AS owner, count(*) FILTER (p_size = 1) AS depth_unit, count(*) FILTER (p_size = 2 AND p_type = 'PROMO') AS time_unit FROM part GROUP BY p_name)

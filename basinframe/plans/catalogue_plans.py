@@ -6,6 +6,7 @@ from ..functions import exprs as X
 from ..operators import campaign as C
 from ..operators import catalogue as K
 from ..operators import text as T
+from ..sources import readers as R
 from ..sources import views as V
 from .base import Plans
 
@@ -69,19 +70,25 @@ def artifact_availability(spark, d):
     return K.availability(docs, listing, "doc_id", "n_chars")
 
 
-@P.query("""SELECT 'R' || r_regionkey AS child, 0 AS level FROM region UNION ALL SELECT 'N' || n_nationkey, 1 FROM nation UNION ALL SELECT 'S' || s_suppkey, 2 FROM supplier UNION ALL SELECT 'C' || c_custkey, 2 FROM customer""")
+_CHAINS = """c AS (SELECT 'C' || c_custkey AS child, CASE WHEN c_custkey % 97 = 5 THEN 'gone' WHEN c_custkey % 61 = 7 THEN 'C' || (c_custkey + 2) WHEN c_custkey % 12 <> 0 THEN 'C' || (c_custkey - 1) END AS parent FROM customer)"""
+_NEEDS = _CHAINS + """, s AS (SELECT 'S' || s_suppkey AS child, 'C' || (s_suppkey + o) AS parent FROM supplier, (VALUES (0), (5)) AS v(o)),
+l AS (SELECT child, 0 AS level FROM c WHERE parent IS NULL UNION ALL SELECT c.child, level + 1 FROM c JOIN l ON c.parent = l.child),
+n AS (SELECT c.child, level FROM c LEFT JOIN l ON l.child = c.child UNION ALL SELECT s.child, CASE WHEN count(*) = count(level) THEN max(level) + 1 END FROM s LEFT JOIN l ON s.parent = l.child GROUP BY s.child)"""
+
+
+@P.query(f"WITH RECURSIVE {_NEEDS} SELECT child, CAST(level AS INT) AS level FROM n")
 def topological_levels(spark, d):
-    """Dependency levels of all entities."""
-    return K.levels(V.edges(spark, d), "child", "parent")
+    """Dependency levels of all entities; none behind cycles and needs that are not there."""
+    return K.levels(V.needs(spark, d), "child", "parent")
 
 
-@P.query("""WITH w AS (SELECT 'R' || r_regionkey AS node, 'R' || r_regionkey AS path, 0 AS depth FROM region UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey || '/N' || n_nationkey, 1 FROM nation
-UNION ALL SELECT 'S' || s_suppkey, 'R' || n_regionkey || '/N' || n_nationkey || '/S' || s_suppkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey
-UNION ALL SELECT 'C' || c_custkey, 'R' || n_regionkey || '/N' || n_nationkey || '/C' || c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey)
-SELECT node, path, depth, 'rooted' AS status FROM w""")
+@P.query(f"""WITH RECURSIVE {_CHAINS}, w AS (SELECT child AS node, child AS place, [child] AS path, 0 AS depth FROM c
+  UNION ALL SELECT node, parent, list_prepend(parent, path), depth + 1 FROM w JOIN c ON w.place = c.child WHERE parent IS NOT NULL AND NOT list_contains(path, parent)),
+f AS (SELECT node, arg_max(place, depth) AS place, arg_max(path, depth) AS path, max(depth) AS depth FROM w GROUP BY node)
+SELECT node, array_to_string(path, '/') AS path, CAST(depth AS INT) AS depth, CASE WHEN c.child IS NULL THEN 'dangling' WHEN c.parent IS NULL THEN 'rooted' ELSE 'cycle' END AS status FROM f LEFT JOIN c ON c.child = f.place""")
 def ancestry_paths(spark, d):
-    """The path from the root to each entity."""
-    return K.ancestry(V.edges(spark, d), "child", "parent")
+    """The path from the root to each entity, or to where it breaks off or closes."""
+    return K.ancestry(V.needs(spark, d).where("child like 'C%'"), "child", "parent")
 
 
 _COVER = """SELECT o_orderstatus, o_orderpriority, {grouping} count(*) AS objects, CAST(sum(CAST(o_totalprice AS DECIMAL(18,6))) AS DOUBLE) AS bytes FROM orders GROUP BY {how}"""
@@ -294,3 +301,31 @@ def session_windows(spark, d):
     e = V.table(spark, d, "events").select("user_id", "ts", "value")
     w = F.session_window("ts", "2 hours")
     return e.groupBy("user_id", w.alias("w")).agg(F.min("ts").alias("start"), F.count("*").alias("n"), X.exact_sum(F.col("value")).alias("total")).drop("w")
+
+
+_ENTRY = r'(id|href|class|src)="([A-Za-z0-9/_.-]+)"'
+
+
+@P.query(rf"""WITH m AS (SELECT page_id, regexp_extract_all(html, '{_ENTRY}') AS ms, string_split_regex(html, '{_ENTRY}') AS bs FROM pages),
+u AS (SELECT page_id, unnest(range(1, len(ms) + 1)) AS k, ms, bs FROM m),
+r AS (SELECT page_id, k, ms[k] AS match, right(bs[k], 20) AS before, left(bs[k + 1], 20) AS after, sum(length(bs[k]) + length(ms[k])) OVER (PARTITION BY page_id ORDER BY k) - length(ms[k]) AS first FROM u),
+g AS (SELECT page_id, regexp_extract(match, '{_ENTRY}', 1) AS kind, regexp_extract(match, '{_ENTRY}', 2) AS name, count(*) AS occurrences, CAST(min(first) AS BIGINT) AS first, arg_min(before || match || after, first) AS context FROM r GROUP BY ALL)
+SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY first, kind, name) <= 25""")
+def registry_entries(spark, d):
+    """Entries of each page by kind and name: how often, where first, and in what surroundings; 25 of a page at most."""
+    found = T.located_matches(V.table(spark, d, "pages").select("page_id", "html"), "page_id", "html", _ENTRY, 20)
+    return T.registry_entries(found, "page_id", _ENTRY, {"kind": 1, "name": 2}, 25)
+
+
+@P.query(r"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'plain text' WHEN 1 THEN '  ' WHEN 2 THEN 'x ' || html ELSE html || ' name="' || url || '" Name = "b" 0A1B2C3D-1111-2222-3333-44444444abcd' END AS t FROM pages),
+s AS (SELECT page_id, t, list_sort(list_distinct(regexp_extract_all(t, '(?i)\bname\s*=\s*"([^"]*)"', 1))) AS names, list_sort(list_distinct(regexp_extract_all(lower(t), '([0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})', 1))) AS ids,
+  nullif(regexp_extract(t, '<([A-Za-z_][\w.:-]*)', 1), '') AS root FROM p)
+SELECT page_id, CASE WHEN trim(t) = '' THEN 'empty' WHEN regexp_matches(t, '^\s*<') THEN 'markup' WHEN root IS NOT NULL THEN 'embedded' ELSE 'text' END AS status, root,
+  array_to_string(names[1:20], '|') AS names, CAST(len(names) AS INT) AS n_names, array_to_string(ids[1:20], '|') AS ids,
+  array_to_string(list_filter([CASE WHEN contains(t, 'href=') THEN 'links' END, CASE WHEN regexp_matches(t, '<script') THEN 'scripts' END], lambda x: x IS NOT NULL), ',') AS flags FROM s""")
+def xml_metadata(spark, d):
+    """What pages that may be markup say without being parsed."""
+    m, html = F.col("page_id") % 5, F.col("html")
+    more = F.concat(html, F.lit(' name="'), "url", F.lit('" Name = "b" 0A1B2C3D-1111-2222-3333-44444444abcd'))
+    t = F.when(m == 0, "plain text").when(m == 1, "  ").when(m == 2, F.concat(F.lit("x "), html)).otherwise(more)
+    return R.xml_scan(V.table(spark, d, "pages").select("page_id", t.alias("t")), "page_id", "t", {"links": "href=", "scripts": "<script"})

@@ -201,5 +201,4 @@ SELECT n.entity_key, category, CASE WHEN count(code) = 0 THEN 'source_prerequisi
   coalesce(string_agg(code, ',' ORDER BY code), '') AS codes, CAST(count(code) AS INT) AS n_codes FROM n LEFT JOIN c USING (entity_key) GROUP BY n.entity_key, category""")
 def contract_assessment(spark, d):
     """All source rules over each entity of the catalogue."""
-    entities, artifacts, relationships, evidence, bindings = _tables(spark, d)
-    return K.assessed(entities, artifacts, relationships, evidence, bindings=bindings)
+    return K.assessed(K.facts_of(*_tables(spark, d)))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import binding as B
 from ..operators import matching as M
 from ..sources import views as V
 from .base import Plans
@@ -135,3 +136,70 @@ def point_set_calibration(spark, d):
     moved = F.col("s_acctbal") + 0.004 * (F.col("s_suppkey") % 5)
     refs = s.select(F.col("s_suppkey").alias("c"), F.posexplode(F.array(moved, F.col("s_acctbal") + 5)).alias("o", "x"))
     return M.similar_sets(sets, refs, "g", "c", "o", ["x"], 0.01)
+
+
+_HEADS = """h AS (SELECT s_suppkey AS head, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_name END AS name, s_nationkey AS x, round(s_acctbal, 0) AS y, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey % 3 END AS provider, s_suppkey // 2 AS slot FROM supplier),
+w AS (SELECT well, CASE WHEN well % 9 = 0 THEN NULL ELSE name END AS name, CASE WHEN well % 5 = 0 THEN x + 1 ELSE x END AS x, y, provider, slot FROM (
+  SELECT s_suppkey AS well, s_name AS name, s_nationkey AS x, round(s_acctbal, 0) AS y, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey % 3 END AS provider, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_suppkey // 2 END AS slot FROM supplier)
+  UNION ALL SELECT s_suppkey + 1000000, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_name END, s_nationkey, round(s_acctbal, 0), CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey % 3 END, NULL FROM supplier WHERE s_suppkey % 11 = 0)"""
+
+
+@P.query(f"""WITH {_HEADS}, e AS (SELECT head, count(well) AS n, min(well) AS one FROM h LEFT JOIN w ON h.name IS NOT DISTINCT FROM w.name AND h.x = w.x AND h.y = w.y AND h.provider IS NOT DISTINCT FROM w.provider GROUP BY head),
+s AS (SELECT slot, count(DISTINCT well) AS n, min(well) AS one FROM w WHERE slot IS NOT NULL GROUP BY slot)
+SELECT head, CASE WHEN e.n = 1 THEN e.one WHEN e.n = 0 AND s.n = 1 THEN s.one END AS well, CASE WHEN e.n = 1 THEN 'exact' WHEN e.n > 1 THEN 'ambiguous' WHEN s.n = 1 THEN 'fallback_identity' WHEN s.n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status
+FROM h JOIN e USING (head) LEFT JOIN s USING (slot)""")
+def typed_head_match(spark, d):
+    """Head rows and typed wells that agree in name, place and provider, else in their slot."""
+    s = V.table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    name, x, y = F.col("s_name"), F.col("s_nationkey"), F.round("s_acctbal", 0)
+    provider, slot = F.when(k % 4 != 0, k % 3), F.floor(k / 2)
+    heads = s.select(k.alias("head"), F.when(k % 9 != 0, name).alias("name"), x.alias("x"), y.alias("y"), provider.alias("provider"), slot.alias("slot"))
+    wells = s.select(k.alias("well"), F.when(k % 9 != 0, name).alias("name"), F.when(k % 5 == 0, x + 1).otherwise(x).alias("x"), y.alias("y"), provider.alias("provider"), F.when(k % 7 != 0, slot).alias("slot"))
+    again = s.where(k % 11 == 0).select((k + 1_000_000).alias("well"), F.when(k % 9 != 0, name), x, y, provider, F.lit(None).cast("long"))
+    return B.heads_matched(heads, wells.union(again), ["name", "x", "y", "provider"], "slot", "well").select("head", "well", "status")
+
+
+@P.query("""WITH b AS (SELECT l_suppkey, min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_discount) AS y0, max(l_discount) AS y1 FROM lineitem GROUP BY 1),
+c AS (SELECT *, CASE l_suppkey % 6 WHEN 0 THEN x0 WHEN 1 THEN x0 + 0.0005 WHEN 2 THEN x0 - 5 WHEN 3 THEN -x1 WHEN 4 THEN x0 + 1 END AS p0, CASE l_suppkey % 6 WHEN 2 THEN x1 + 5 WHEN 3 THEN -x0 ELSE x1 END AS p1,
+  CASE WHEN l_suppkey % 6 = 3 THEN -y1 ELSE y0 END AS q0, CASE WHEN l_suppkey % 6 = 3 THEN -y0 ELSE y1 END AS q1 FROM b)
+SELECT l_suppkey, CASE WHEN p0 IS NULL THEN 'unresolved' WHEN p0 = x0 AND p1 = x1 AND q0 = y0 AND q1 = y1 THEN 'exact'
+  WHEN abs(p0 - x0) <= 1e-3 AND abs(p1 - x1) <= 1e-3 AND abs(q0 - y0) <= 1e-3 AND abs(q1 - y1) <= 1e-3 THEN 'tolerance'
+  WHEN p0 <= x0 + 1e-3 AND p1 >= x1 - 1e-3 AND q0 <= y0 + 1e-3 AND q1 >= y1 - 1e-3 THEN 'enclosing'
+  WHEN abs(-p1 - x0) <= 1e-3 AND abs(-p0 - x1) <= 1e-3 AND abs(-q1 - y0) <= 1e-3 AND abs(-q0 - y1) <= 1e-3 THEN 'sign_flipped' ELSE 'conflict' END AS state FROM c""")
+def model_bounds(spark, d):
+    """Declared bounds of objects against what their samples span."""
+    b = V.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.min("l_quantity").alias("x0"), F.max("l_quantity").alias("x1"), F.min("l_discount").alias("y0"), F.max("l_discount").alias("y1"))
+    m = F.col("l_suppkey") % 6
+    x0, x1, y0, y1 = (F.col(c) for c in ("x0", "x1", "y0", "y1"))
+    p0 = F.when(m == 0, x0).when(m == 1, x0 + 0.0005).when(m == 2, x0 - 5).when(m == 3, -x1).when(m == 4, x0 + 1)
+    p1 = F.when(m == 2, x1 + 5).when(m == 3, -x0).otherwise(x1)
+    q0, q1 = F.when(m == 3, -y1).otherwise(y0), F.when(m == 3, -y0).otherwise(y1)
+    return b.select("l_suppkey", B.bounds_state((p0, p1, x0, x1), (q0, q1, y0, y1)).alias("state"))
+
+
+@P.query("""WITH a AS (SELECT p_partkey AS k, p_brand AS domain, CASE WHEN p_size % 6 = 0 THEN 'unknown' ELSE p_type END AS unit, CAST(p_size AS VARCHAR) AS lattice FROM part),
+b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 13 = 0 THEN 'Brand#0' ELSE p_brand END AS domain, p_type AS unit, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(p_size + CAST(p_partkey % 19 = 0 AS INT) AS VARCHAR) END AS lattice FROM part),
+c AS (SELECT k, a.domain <> b.domain AS d, b.lattice IS NOT NULL AND a.lattice <> b.lattice AS l, b.lattice IS NULL AS ul, a.unit = 'unknown' AS uu FROM a JOIN b USING (k))
+SELECT k, CASE WHEN d OR l THEN 'conflict' WHEN ul OR uu THEN 'unknown_fields' ELSE 'compatible' END AS status,
+  array_to_string(list_filter([CASE WHEN d THEN 'domain' END, CASE WHEN l THEN 'lattice' END], lambda x: x IS NOT NULL), ',') AS conflicts,
+  array_to_string(list_filter([CASE WHEN ul THEN 'lattice' END, CASE WHEN uu THEN 'unit' END], lambda x: x IS NOT NULL), ',') AS unknown FROM c""")
+def calculation_check(spark, d):
+    """Whether two surfaces may be calculated with: conflicting and unknown metadata."""
+    p = V.table(spark, d, "part")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    a = p.select(k.alias("k"), F.col("p_brand").alias("domain"), F.when(size % 6 == 0, "unknown").otherwise(F.col("p_type")).alias("unit"), size.cast("string").alias("lattice"))
+    other = (size + (k % 19 == 0).cast("int")).cast("string")
+    b = p.select(k.alias("k"), F.when(k % 13 == 0, "Brand#0").otherwise(F.col("p_brand")).alias("domain"), F.col("p_type").alias("unit"), F.when(k % 17 != 0, other).alias("lattice"))
+    return B.metadata_checked(a, b, "k", ["domain", "unit", "lattice"])
+
+
+@P.query("""WITH f AS (SELECT doc_id, sha256(coalesce(text, '')) AS digest, unnest([source, CASE WHEN doc_id % 50 = 0 THEN lang || CAST(doc_id AS VARCHAR) END]) AS role FROM documents)
+SELECT role, count(DISTINCT digest) AS contents, CASE WHEN count(DISTINCT digest) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status,
+  CASE WHEN count(DISTINCT digest) = 1 THEN min(doc_id) END AS path, CASE WHEN count(DISTINCT digest) = 1 THEN min(digest) END AS digest FROM f WHERE role IS NOT NULL GROUP BY role""")
+def source_roles(spark, d):
+    """Which file plays which role of a project, if its content is not in doubt."""
+    t = V.table(spark, d, "documents")
+    files = t.select(F.col("doc_id").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "source", "lang")
+    roles = F.array_compact(F.array("source", F.when(F.col("path") % 50 == 0, F.concat("lang", F.col("path").cast("string")))))
+    return B.roles_of(files, "path", "digest", roles)

@@ -51,16 +51,23 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataF
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
 
-def _sqlite_rows(most_rows: int):
+def _sqlite_rows(most_rows: int, required: tuple[str, ...] = ()):
     def read(batches):
         for batch in batches:
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 made, issue = [], None
                 try:
+                    data = raw.as_py() or b""
+                    if not data:
+                        raise ValueError("empty")
+                    if data[18:20] == b"\x02\x02":  # what its log holds is not in the file
+                        raise ValueError("database with a write-ahead log")
                     with sqlite3.connect(":memory:") as con:
-                        con.deserialize(raw.as_py() or b"")
+                        con.deserialize(data)
                         con.execute("PRAGMA query_only = 1")
                         names = [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name")]
+                        if lacking := sorted(set(required) - set(names)):
+                            raise ValueError(f"tables are missing: {', '.join(lacking)}")
                         for t in names:
                             found = con.execute('SELECT * FROM "{}"'.format(t.replace('"', '""')))
                             columns = [c[0] for c in found.description]
@@ -81,10 +88,11 @@ def _sqlite_rows(most_rows: int):
     return read
 
 
-def sqlite_tables(files: DataFrame, path: str = "path", content: str = "content", most_rows: int = 200_000) -> DataFrame:
+def sqlite_tables(files: DataFrame, path: str = "path", content: str = "content", most_rows: int = 200_000, required: tuple[str, ...] = ()) -> DataFrame:
     """Tables of SQLite files, read from their bytes and never written: (path, table, row, json, status). A file is read by one task, so its
-    rows are bounded; one beyond the bound, or that is no database, is one row with a status."""
-    return files.select(path, content).mapInArrow(_sqlite_rows(most_rows), "path string, table string, row long, json string, status string")
+    rows are bounded; one beyond the bound, that is no database, that has a write-ahead log beside it or lacks a required table is one row
+    with a status."""
+    return files.select(path, content).mapInArrow(_sqlite_rows(most_rows, required), "path string, table string, row long, json string, status string")
 
 
 def table_inventory(rows: DataFrame) -> DataFrame:
@@ -117,3 +125,32 @@ def crs_evidence(texts: DataFrame, name: str, text: str, names: DataFrame) -> Da
     return texts.select(name).join(best, name, "left").select(
         name, F.col("b.system").alias("system"), F.col("b.code").alias("code"), F.when(F.col("b").isNull(), "unresolved").otherwise("recorded").alias("status")
     )
+
+
+def modelling_objects(spark: SparkSession, path: str, tags: dict[str, str]) -> DataFrame:
+    """Objects of modelling metadata in XML files, by kind (fault, horizon, zone, ...): ``tags`` maps a kind to the tag of its elements. Rows
+    (file, kind, name, framework); an element without a name is a row with a null name."""
+    made = None
+    for kind, tag in tags.items():
+        rows = spark.read.format("xml").option("rowTag", tag).schema("_name string, Name string, _framework string, Framework string").load(path)
+        one = rows.select(
+            F.input_file_name().alias("file"), F.lit(kind).alias("kind"), F.coalesce("_name", F.trim("Name")).alias("name"),
+            F.coalesce("_framework", F.trim("Framework")).alias("framework"),
+        )
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+def xml_scan(texts: DataFrame, text_id: str, text: str, terms: dict[str, str], most: int = 20) -> DataFrame:
+    """What texts that may be XML say without being parsed: whether they look like XML, the first tag, up to ``most`` different names and
+    object ids, and which ``terms`` (flag to pattern) occur."""
+    t = F.col(text)
+    names = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r'(?i)\bname\s*=\s*"([^"]*)"'), F.lit(1))))
+    ids = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"([0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})"), F.lit(1))))
+    root = F.nullif(F.regexp_extract(t, r"<([A-Za-z_][\w.:-]*)", 1), F.lit(""))
+    state = F.when(t.isNull() | (F.length(F.trim(t)) == 0), "empty").when(t.rlike(r"^\s*<"), "markup").when(root.isNotNull(), "embedded").otherwise("text")
+    flags = F.array_sort(F.array_compact(F.array(*[F.when(t.rlike(p), n) for n, p in terms.items()])))
+    return texts.select(
+        text_id, state.alias("status"), root.alias("root"), F.array_join(F.slice(names, 1, most), "|").alias("names"), F.size(names).alias("n_names"),
+        F.array_join(F.slice(ids, 1, most), "|").alias("ids"), F.array_join(flags, ",").alias("flags"),
+    )

@@ -117,6 +117,29 @@ def read_las(texts: DataFrame, name: str, text: str) -> DataFrame:
     return rows.select(name, F.get(cells, 0).try_cast("double").alias("depth"), F.when(v != F.col("code"), v).alias("value"))
 
 
+def typed_number(v: Column) -> Column:
+    """A number as JSON that keeps what JSON cannot spell: NaN and the infinities are objects that name them."""
+    named = F.when(F.isnan(v), "NaN").when(v == float("inf"), "Infinity").when(v == float("-inf"), "-Infinity")
+    return F.when(named.isNotNull(), F.concat(F.lit('{"non_finite":"'), named, F.lit('"}'))).otherwise(F.coalesce(v.cast("string"), F.lit("null")))
+
+
+def xyz_lines(nodes: DataFrame, x: str, y: str, value: str, defined: str) -> DataFrame:
+    """A line ``x y value`` for each defined node; nodes without a finite number are not defined."""
+    v = F.col(value)
+    return nodes.where(F.col(defined) & ~F.isnan(v) & v.isNotNull()).select(F.concat_ws(" ", x, y, value).alias("line"))
+
+
+def zmap_head(nodes: DataFrame, name: str, rows_to_a_line: int = 5) -> DataFrame:
+    """The ZMAP header of a lattice (i, j, x, y, raw, defined): one text. The code for null is one that no value has."""
+    code = F.when(F.max(F.abs("raw")) < abs(ZMAP_NULL), F.lit(ZMAP_NULL)).otherwise(-F.pow(F.lit(10.0), F.floor(F.log10(F.max(F.abs("raw")))) + 1))
+    sizes = nodes.agg((F.max("j") + 1).alias("rows"), (F.max("i") + 1).alias("columns"), *[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))], code.alias("code"))
+    lines = (
+        F.lit(f"@{name} HEADER, GRID, {rows_to_a_line}"), F.concat_ws(", ", F.lit("15"), "code", F.lit(""), F.lit("7"), F.lit("1")),
+        F.concat_ws(", ", "rows", "columns", "low_x", "high_x", "low_y", "high_y"), F.lit("0.0, 0.0, 0.0"), F.lit("@"),
+    )
+    return sizes.select(F.concat_ws("\n", *lines).alias("head"), "code")
+
+
 def zmap_lines(nodes: DataFrame, name: str) -> DataFrame:
     """Column-major ZMAP body lines of a lattice, from the top row down: (i, line)."""
     column = F.array_sort(F.collect_list(F.struct((-F.col("j")).alias("o"), F.when(F.col("defined"), F.col("raw")).alias("v"))))

@@ -98,3 +98,13 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("child"), F.concat(F.lit("N"), "s_nationkey").alias("parent"))
     c = table(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("child"), F.concat(F.lit("N"), "c_nationkey").alias("parent"))
     return r.union(n).union(s).union(c)
+
+
+def needs(spark: SparkSession, d: str) -> DataFrame:
+    """A graph of needs: chains of customers of up to twelve, some broken off, some closed to cycles; suppliers that need two customers."""
+    k = F.col("c_custkey")
+    other = F.when(k % 97 == 5, F.lit("gone")).when(k % 61 == 7, F.concat(F.lit("C"), k + 2)).when(k % 12 != 0, F.concat(F.lit("C"), k - 1))
+    chains = table(spark, d, "customer").select(F.concat(F.lit("C"), k).alias("child"), other.alias("parent"))
+    s = F.col("s_suppkey")
+    both = F.explode(F.array(F.concat(F.lit("C"), s), F.concat(F.lit("C"), s + 5)))
+    return chains.union(table(spark, d, "supplier").select(F.concat(F.lit("S"), s).alias("child"), both.alias("parent")))

@@ -191,3 +191,61 @@ def test_withdrawal_gate(spark):
     assert [r.o for r in events.withdraw_failed(d, rows(spark, [("a",)], "o string"), "o").collect()] == ["b"]
     assert events.withdraw_failed(d, rows(spark, [("a",), (None,)], "o string"), "o").collect() == []
     assert events.withdraw_failed(d, rows(spark, [], "o string"), "o").count() == 2
+
+
+def test_located_matches_keep_their_surroundings(spark):
+    t = rows(spark, [(1, "xx a1 yy a1zb2"), (2, "none"), (3, None), (4, "a1")], "id int, t string")
+    got = sorted((r.id, r.offset, r.match, r.before, r.after) for r in text.located_matches(t, "id", "t", "([a-z])([0-9])", 3).collect())
+    assert got == [(1, 3, "a1", "xx ", " yy"), (1, 9, "a1", "yy ", "z"), (1, 12, "b2", "z", ""), (4, 0, "a1", "", "")]
+    found = text.registry_entries(text.located_matches(t, "id", "t", "([a-z])([0-9])", 3), "id", "([a-z])([0-9])", {"kind": 1}, 1).collect()
+    assert sorted((r.id, r.kind, r.occurrences, r.first, r.context) for r in found) == [(1, "a", 2, 3, "xx a1 yy"), (4, "a", 1, 0, "a1")]
+
+
+def _catalogue(spark):
+    kinds = ["well", "well_log", "surface_geometry", "folder"]
+    entities = rows(spark, [(f"e{k}", c, "decoded", None) for k, c in enumerate(kinds)], "entity_key string, category string, source_status string, materialization_status string")
+    sha = "0" * 64
+    schema = "artifact_key int, entity_key string, role string, index_section string, original_status string, numerical_qc string, recorded_sha256 string, current_sha256 string, expected_bytes long, current_bytes long, retention string"
+    made = [(k, f"e{k}", r, "files", "exported", "exact_readback", sha, sha, 5, 5, None) for k, r in enumerate(["data", "data", "geometry_values"])]
+    artifacts = rows(spark, made, schema)
+    links = rows(spark, [("e1", "e0", "source_well", "exact_id_reference")], "source_key string, target_key string, relation string, status string")
+    grid = '{"dimensions":[2,3],"origin_xy":[0,0],"i_basis":[1,0],"j_basis":[0,1],"index_order":"i_major_j_minor"}'
+    own = {
+        "e0": {"crs_status": "verified", "depth_unit": "m", "horizontal_unit": "m", "crs": "c", "vertical_domain": "depth", "vertical_unit": "m", "vertical_reference": "msl", "well_identity": "w",
+               "head_semantics": '{"xyz_roles":"x","vertical_reference":"msl","source_locator":"l"}'},
+        "e1": {"crs_status": "verified", "depth_unit": "m", "unit": "API", "unit_status": "validated_metric_profile", "md_unit": "m", "md_reference": "kb", "log_kind": "continuous_scalar",
+               "index_kind": "measured_depth", "sampling_kind": "point_samples", "index_shape": "scalar_1d", "value_shape": "scalar_1d", "null_semantics": '{"representation":"nan","source_rule":"r"}'},
+        "e2": {"crs_status": "verified", "depth_unit": "m", "horizontal_unit": "m", "unit": "m", "unit_status": "validated_metric_profile", "crs": "c", "vertical_domain": "time", "vertical_unit": "ms",
+               "time_convention": "TWT", "surface_role": "horizon_geometry", "grid_registration": grid},
+    }
+    evidence = rows(spark, [(k, f, v) for k, fs in own.items() for f, v in fs.items()], "entity_key string, field string, raw_value string")
+    return [entities, artifacts, links, evidence]
+
+
+def test_a_whole_catalogue_is_assessed_and_mapped(spark):
+    from basinframe.operators import contract
+
+    tables = _catalogue(spark)
+    found = {r.entity_key: r.codes for r in contract.assessed(contract.facts_of(*tables)).collect()}
+    assert found == {"e0": "", "e1": "", "e2": "", "e3": "NO_AVAILABLE_ACCEPTED_FULL_PAYLOAD"}
+    late = contract.assessed(contract.facts_of(*tables), contract.Delivery(committed=False, revision_verified=False)).where("entity_key = 'e0'").first()
+    assert late.codes == "PUBLICATION_NOT_FINAL,SOURCE_REVISION_IDENTITY_UNRESOLVED" and late.n_codes == 2
+    schema = "entity_key string, target_version string, target_api_version string, target_object_id string, well_target_key string, well_target_id string, well_target_state string, reference_volume_key string, assertions map<string,string>, survey map<string,string>, derived boolean"
+    survey = {"target_id": "s", "crs": "c", "horizontal_unit": "m", "vertical_domain": "time", "vertical_unit": "ms", "time_convention": "TWT"}
+    decisions = [("e0", "1", None, "o", None, None, None, None, None, None, None), ("e1", "1", None, "o", "e0", "t", "planned", None, {"md_unit": "m"}, None, None), ("e2", "1", None, "o", None, None, None, None, None, survey, None)]
+
+    def states(receiver, given):
+        return {r.entity_key: (r.receiving_state, r.codes) for r in contract.mapped(contract.facts_of(*tables), rows(spark, given, schema), receiver).collect()}
+
+    files = contract.Receiver("1", None, ("well", "well_log", "surface_geometry"))
+    got = states(files, decisions)
+    assert got["e0"] == got["e1"] == ("qualified_for_planned_mapping", "")
+    assert got["e2"] == ("blocked_relationship", "REFERENCE_VOLUME_BINDING_UNRESOLVED") and got["e3"][0] == "blocked_missing_payload"
+    strict = contract.Receiver("1", None, ("well_log", "surface_geometry"), existing_wells_only=True, needs_lattice=True)
+    got = states(strict, decisions)
+    assert got["e0"] == ("unsupported_target_mapping", "TARGET_MAPPING_UNSUPPORTED") and got["e1"] == ("unsupported_target_mapping", "TARGET_DEPENDENCY_CREATION_UNSUPPORTED")
+    assert got["e2"] == ("blocked_metadata", "SURVEY_LATTICE_MISMATCH")
+    derived = [(*decisions[2][:10], True)]
+    assert states(strict, derived)["e2"] == ("requires_derived_mapping", "SURVEY_LATTICE_MISMATCH")
+    wrong = [("e1", "2", None, None, "e3", "t", "planned", None, {"md_unit": "ft", "log_kind": "other"}, None, None)]
+    assert states(files, wrong)["e1"][1].split(",") == ["LOG_KIND_UNSUPPORTED", "SOURCE_DECISION_CONFLICT", "TARGET_OBJECT_DECISION_REQUIRED", "TARGET_PROFILE_DECISION_REQUIRED", "WELL_TARGET_BINDING_UNRESOLVED"]

@@ -68,3 +68,27 @@ def test_coordinate_systems_need_name_and_code(spark):
     got = {r.n: (r.system, r.code, r.status) for r in readers.crs_evidence(spark.createDataFrame(rows, "n string, t string"), "n", "t", names).collect()}
     none = (None, None, "unresolved")
     assert got == {"a": ("Beta 32", 23032, "recorded"), "b": none, "c": none, "d": ("Beta 32", 23032, "recorded"), "e": none}
+
+
+def test_databases_are_refused_for_a_reason(spark, tmp_path):
+    import sqlite3
+
+    path = tmp_path / "d.db"
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE t (a INT)")
+        con.execute("INSERT INTO t VALUES (1)")
+    con.close()
+    raw = bytearray(path.read_bytes())
+    logged = bytearray(raw)
+    logged[18:20] = b"\x02\x02"
+    files = spark.createDataFrame([("good", raw), ("logged", logged), ("text", bytearray(b"no database")), ("none", None)], "path string, content binary")
+    status = {r.path: r.status for r in readers.sqlite_tables(files, required=("t",)).collect()}
+    assert status["good"] == "ok" and "write-ahead" in status["logged"] and status["text"].startswith("rejected")
+    (one,) = readers.sqlite_tables(files.where("path = 'good'"), required=("t", "u")).collect()
+    assert one.status == "rejected: tables are missing: u"
+
+
+def test_modelling_objects(spark, tmp_path):
+    (tmp_path / "m.xml").write_text('<m><Fault name="f1" framework="a"/><Fault name="f2"/><Horizon><Name> h1 </Name></Horizon><Zone/></m>')
+    got = readers.modelling_objects(spark, str(tmp_path / "m.xml"), {"fault": "Fault", "horizon": "Horizon"}).collect()
+    assert sorted((r.kind, r["name"], r.framework) for r in got) == [("fault", "f1", "a"), ("fault", "f2", None), ("horizon", "h1", None)]

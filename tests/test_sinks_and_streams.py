@@ -44,6 +44,21 @@ def test_read_back(spark, tmp_path):
     assert sinks.write_by_object(d, "k", str(tmp_path / "o"))
 
 
+def test_grids_as_text(spark):
+    nodes = [(i, j, 10.0 * i, 5.0 * j, float(i + j) if (i, j) != (1, 1) else None, (i, j) != (0, 2)) for i in range(2) for j in range(3)]
+    d = spark.createDataFrame([*nodes, (1, 2, 10.0, 10.0, float("nan"), True)][:6], "i int, j int, x double, y double, raw double, defined boolean")
+    assert sorted(r.line for r in sinks.xyz_lines(d, "x", "y", "raw", "defined").collect()) == ["0.0 0.0 0.0", "0.0 5.0 1.0", "10.0 0.0 1.0", "10.0 10.0 3.0"]
+    head = sinks.zmap_head(d, "g").first()
+    assert head["code"] == -1e30 and "\n3, 2, 0.0, 10.0, 0.0, 10.0\n" in head["head"] and head["head"].startswith("@g HEADER, GRID, 5\n")
+    big = d.withColumn("raw", F.lit(5e31))
+    assert sinks.zmap_head(big, "g").first()["code"] == -1e32
+
+
+def test_numbers_that_json_cannot_spell(spark):
+    d = spark.createDataFrame([(1.5,), (float("nan"),), (float("-inf"),), (None,)], "v double")
+    assert [r[0] for r in d.select(sinks.typed_number(F.col("v"))).collect()] == ["1.5", '{"non_finite":"NaN"}', '{"non_finite":"-Infinity"}', "null"]
+
+
 def test_null_codes_are_free(spark):
     data = [([1.0, None],), ([-999.25, 5.0],), ([-999.25, -99925.0, 1e9],), ([-999.25, 1e300],), ([],)]
     d = spark.createDataFrame(data, "v array<double>")
