@@ -5,11 +5,13 @@ byte n-gram of a text of any length lies in a window. A window's bytes are embed
 over it, each is max-pooled over the window, and a softmax over the pooled values gives a probability for each language.
 A text's prediction is the language with the largest mean over its windows, its score that mean.
 
-The network is trained in numpy on the driver, on a bounded sample: about ``DOCS_PER_LANG`` labelled documents of each of
-the ``MOST_LANGS`` most frequent languages, ``WINDOWS_PER_DOC`` windows of each, spread over the whole text. Documents are
+The network is trained in numpy on the driver, on a bounded sample: about ``DOCS_PER_LANG`` labelled documents of each
+language, and of very many languages as many of each as make ``SAMPLED_DOCS``, but 20 at least, so that no language is left out;
+``WINDOWS_PER_DOC`` windows of each document, spread over the whole text. Documents are
 drawn by a hash of doc_id; those whose crc32(doc_id as text) mod 4 is 2 are held out. Only text and lang are learned from.
 
-A null text, and one without a letter, is ``und`` with score 0, as is every text if there is nothing to learn from.
+A null text, and one without a letter, is ``und`` with score 0, as is every text if there is nothing to learn from; ``keep_known`` then goes by
+letters alone, so that an unlabelled table keeps its texts.
 Null languages and null doc_ids are not learned from; a null doc_id is not held out. Repeated rows are predicted alike.
 """
 
@@ -29,7 +31,7 @@ FILTERS = 8
 EMBEDDING = 4
 DOCS_PER_LANG = 500
 WINDOWS_PER_DOC = 8
-MOST_LANGS = 128
+SAMPLED_DOCS = 64_000
 EPOCHS = 12
 UNKNOWN = "und"
 
@@ -157,12 +159,14 @@ def train(
     """A network for the languages of the rows that are not held out, or None if none has one."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where((remainder("doc_id") != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    if not counts:
+    counts = rows.where(has_letter("text")).groupBy("lang").count()
+    n_langs = counts.count()
+    if not n_langs:
         return None
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, docs_per_lang / r["count"]))])
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
-    sample = rows.where(F.col("lang").isin([r["lang"] for r in counts]) & drawn & has_letter("text"))
+    each = float(min(docs_per_lang, max(20, SAMPLED_DOCS // n_langs)))  # of 20 to be expected, some are drawn
+    wanted = counts.select("lang", F.least(F.lit(1.0), F.lit(each) / F.col("count")).alias("share"))
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    sample = rows.where(has_letter("text")).join(wanted, "lang").where(drawn)
     got = sorted((r.lang, bytes(w)) for r in sample.select("lang", _spread("text").alias("w")).collect() for w in r.w)
     if not got:
         return None
@@ -213,6 +217,8 @@ def identify(docs: DataFrame, net: ByteConvNet | None, text: str = "text", into:
 
 def keep_known(docs: DataFrame, net: ByteConvNet | None, text: str = "text", langs: list[str] | None = None) -> DataFrame:
     """``docs`` without the rows whose language is ``und`` or, where ``langs`` is given, none of those."""
+    if net is None:
+        return docs.where(has_letter(text)) if not langs else docs.limit(0)
     (into,) = unused(docs, "prediction")
     found = F.col(f"{into}.lang")
     good = found.isin(langs) if langs else found != UNKNOWN

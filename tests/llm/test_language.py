@@ -53,7 +53,17 @@ def test_nothing_to_learn_from(docs):
     assert language.identify(empty, None, into="found").collect() == []
     unlabelled = docs.withColumn("lang", language.F.lit(None).cast("string"))
     assert language.train(unlabelled) is None
-    assert language.keep_known(docs, None).collect() == []
+    lettered = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert {r.doc_id for r in language.keep_known(docs, None).collect()} == lettered
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLED_DOCS", 50)
+    monkeypatch.setattr(language, "EPOCHS", 1)
+    rows = [(k, f"text {k} of lang", f"l{k % 200}") for k in range(1600)]
+    rows += [(2000 + k, "rare one", "rare") for k in range(3)]
+    net = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(net.langs) == {f"l{k}" for k in range(200)} | ({"rare"} if "rare" in net.langs else set())
 
 
 def test_held_out_rows_are_not_learned_from(docs):
