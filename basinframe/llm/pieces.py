@@ -3,12 +3,14 @@
 The automaton reads a text once. At each position it gives, over its output links, every piece that ends there, longest
 first, and each is tried as the last step of the best path to that position.
 
+``relaxed`` is that Viterbi by scores, for any model: the sum of the scores of the best path, and how many pieces it has.
+
 * ``unigram`` models: a path's value is the sum of its pieces' scores; an unknown character costs 10 more than the worst piece.
 * ``bpe`` models: scores are merge ranks, and the sum of ranks is not what such a model means. A sequence of pieces
   is the result of the merges exactly if each piece, and each two neighbours, are the result for their own text; so a step
   is allowed if the piece and the one before it are such a pair, and exactly one step per position is. This gives the ids of the
   reference encoder. Pairs are judged once by merging their few characters. Pieces of spaces only, which tie in score,
-  are taken from left to right, the longest first.
+  are taken from left to right, the longest first. The best sum of scores over the same pieces stands beside the ids.
 
 The text is prefixed by one space and spaces become U+2581, as the model's normaliser says (identity otherwise). Characters that no
 piece has become the bytes of their UTF-8 form, so decoding gives back every text exactly. That holds for a U+2581 in
@@ -70,6 +72,8 @@ class Pieces:
         self.follow: defaultdict[int, dict[int, bool]] = defaultdict(dict)
         self.judged = 0
         self.words: dict[str, bytes] = {}
+        #: of a word behind a space, the best sum of scores and, as the imaginary part, the pieces of that path
+        self.sums: dict[str, complex] = {}
         self.lines_apart = not any("\n" in text for _, text, _ in pieces)
         self.line_feed = array("i", self._unknown("\n")).tobytes()
         self.spelling = np.empty(1 + max([unknown, *self.text, *([bytes_from + 255] if bytes_from is not None else [])]), object)
@@ -138,6 +142,11 @@ class Pieces:
         return last
 
     def _scores(self, word: str) -> list[int]:
+        """The piece that the best path to each character ends in, -1 for an unknown character."""
+        return self._relaxed(word)[0]
+
+    def _relaxed(self, word: str) -> tuple[list[int], list[float]]:
+        """One pass over the automaton: every piece that ends at a place is tried as the last step of the best path to it."""
         n = len(word)
         last, value, score, at = [-1] * (n + 1), [0.0] + [-np.inf] * n, self.scores, 0
         for end, (piece, size) in [*self.automaton.iter(word), (n, (-1, 0))]:
@@ -147,7 +156,37 @@ class Pieces:
                     value[at] = value[at - 1] + self.worst
             if piece >= 0 and value[end + 1 - size] + score[piece] > value[end + 1]:
                 value[end + 1], last[end] = value[end + 1 - size] + score[piece], piece
-        return last
+        return last, value
+
+    def best(self, part: str) -> complex:
+        """Of a part that no piece leaves: the best sum of scores, and how many pieces and unknown characters make it."""
+        last, value = self._relaxed(part)
+        steps, at = 0, len(part) - 1
+        while at >= 0:
+            steps += 1
+            at -= self.sizes[last[at]] if last[at] >= 0 else 1
+        return complex(value[len(part)], steps)
+
+    def _sum_of(self, word: str) -> complex:
+        found = self.best(SPACE + word)
+        if len(word) <= LONGEST_KEPT:
+            if len(self.sums) >= WORDS_KEPT:
+                self.sums.clear()
+            self.sums[word] = found
+        return found
+
+    def relaxed(self, text: str) -> complex:
+        """The best sum of scores of a text, and the pieces of that path."""
+        if not text:
+            return 0j
+        if SPACE in text:
+            text = text.replace(SPACE, _LITERAL)
+        if not self.apart or self.kind != "bpe":  # pieces may have spaces within
+            return self.best(SPACE + text.replace(" ", SPACE))
+        known, total = self.sums.get, 0j
+        for w in text.split(" "):
+            total += known(w) or self._sum_of(w)
+        return total
 
     def spaces(self, n: int) -> list[int]:
         """A run of n spaces: from left to right, each time the longest piece that fits."""
@@ -257,6 +296,22 @@ def encoder(values: tuple):
     return encoded.asNondeterministic()
 
 
+def reader(values: tuple):
+    """Ids, and the best sum of scores with the pieces of its path: both in one pass through one worker."""
+
+    @F.arrow_udf(T.StructType([T.StructField("ids", IDS), T.StructField("best_score", T.DoubleType()), T.StructField("n_best", T.LongType())]))
+    def read(texts: pa.Array) -> pa.Array:
+        pieces, parts, sums = _pieces(values), [], []
+        for t in texts.to_pylist():
+            parts.append(pieces.encode(t) if t is not None else None)
+            sums.append(pieces.relaxed(t) if t is not None else None)
+        scores = pa.array([None if x is None else x.real for x in sums], pa.float64())
+        steps = pa.array([None if x is None else int(x.imag) for x in sums], pa.int64())
+        return pa.StructArray.from_arrays([_lists(parts), scores, steps], names=["ids", "best_score", "n_best"])
+
+    return read.asNondeterministic()
+
+
 def proved(values: tuple):
     """Ids, and whether they decode to the text: both in one pass through one worker."""
 
@@ -284,12 +339,12 @@ def decoder(values: tuple):
 
 
 def encode(docs: DataFrame, text: str = "text", into: str = "ids", model: str = MODEL) -> DataFrame:
-    """``docs`` and the ids of each whole text."""
+    """``docs`` and the ids of each whole text. A column of that name is replaced."""
     return docs.withColumn(into, encoder(load(model))(F.col(text)))
 
 
 def decode(docs: DataFrame, ids: str = "ids", into: str = "decoded", model: str = MODEL) -> DataFrame:
-    """``docs`` and the text that each row's ids spell."""
+    """``docs`` and the text that each row's ids spell. A column of that name is replaced."""
     return docs.withColumn(into, decoder(load(model))(F.col(ids)))
 
 
@@ -309,13 +364,17 @@ def tokenised(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFr
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document, and the digest of what they decode to."""
+    """Ids of every document, the digest of what they decode to, and the best sum of scores over the same pieces."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs))
+    values = load()
+    read = docs.withColumn("read", reader(values)("text"))
+    both = read.withColumn("decoded", decoder(values)("read.ids"))
     return both.select(
         "doc_id",
-        "ids",
-        F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        F.col("read.ids").alias("ids"),
+        F.coalesce(F.array_size("read.ids"), F.lit(0)).cast("long").alias("n_tokens"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.col("text")).alias("round_trip"),
+        F.col("read.best_score").alias("best_score"),
+        F.col("read.n_best").alias("n_best"),
     )

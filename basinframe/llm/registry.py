@@ -18,5 +18,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_fixity": fixity.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,
     "op6_chat": chat.ORACLE,
+    "op7_sharding": sharding.ORACLE,
     "op10_urlfilter": urlfilter.ORACLE,
 }

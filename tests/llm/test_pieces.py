@@ -74,3 +74,37 @@ def test_through_spark(spark):
     assert [(r.ids, r.n_tokens, r.round_trip) for r in got if r.doc_id == 2] == [(None, 0, None)]
     assert [r.ids for r in got if r.doc_id == 3] == [[]]
     assert pieces.tokenised(docs.limit(0)).collect() == []
+
+
+def test_relaxed_sums_are_the_best_of_all_paths():
+    """Against every way to cut short texts, with the model's scores and with made-up ones that tie."""
+    import random
+
+    rng = random.Random(3)
+    made = [(n, t, -float(rng.randint(1, 4))) for n, t in enumerate(["a", "b", "c", "ab", "bc", "abc", "▁", "▁a", "▁ab", "cc", "▁c"])]
+    models = [pieces.Pieces("bpe", made, None, 99), pieces.Pieces("unigram", made, None, 99), pieces.Pieces(*pieces.load())]
+
+    def best(own, text, cost):
+        values = [0.0] + [None] * len(text)
+        for end in range(1, len(text) + 1):
+            steps = [values[start] + own.score[text[start:end]] for start in range(end) if text[start:end] in own.score and not (own.kind == "bpe" and end - start > 1 and not text[start:end].strip("▁"))]
+            values[end] = max(steps, default=values[end - 1] + cost)
+        return values[-1]
+
+    for own in models:
+        for _ in range(200):
+            text = "".join(rng.choice("abc d ") for _ in range(rng.randint(1, 12)))
+            assert own.relaxed(text).real == pytest.approx(best(own, "▁" + text.replace(" ", "▁"), own.worst)), text
+        assert own.relaxed("") == 0
+
+
+def test_query_has_the_best_sum_beside_the_ids(spark, tmp_path):
+    texts = ["one two", "", None, "a  b\nc", "é " * 2000, "one two"]
+    spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, read string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in pieces.op5_pieces(spark, str(tmp_path)).collect()}
+    own = pieces.Pieces(*pieces.load())
+    for k, t in enumerate(texts):
+        if t is None:
+            assert got[k].best_score is None and got[k].n_best is None and got[k].ids is None
+        else:
+            assert complex(got[k].best_score, got[k].n_best) == own.relaxed(t) and got[k].round_trip and got[k].n_tokens == len(got[k].ids)
