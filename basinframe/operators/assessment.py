@@ -76,3 +76,29 @@ def state(priority: Sequence[tuple[str, Column]], otherwise: str) -> Column:
 def keyed_name(*columns: str, digits: int = 16) -> Column:
     """A representation key: a hash of named values as canonical JSON."""
     return F.substring(F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256), 1, digits)
+
+
+def quarantine_checked(accepted: DataFrame, quarantined: DataFrame, listing: DataFrame, key: str, digest: str, reason: str) -> DataFrame:
+    """A finding for each quarantined object: also accepted, without a reason, not there, or other bytes than were quarantined; else held."""
+    own = quarantined.select(key, F.col(digest).alias("_held"), reason)
+    taken = accepted.select(key).distinct().withColumn("_taken", F.lit(True))
+    there = listing.select(key, F.col(digest).alias("_found"))
+    found = own.join(taken, key, "left").join(there, key, "left")
+    states = [
+        ("accepted_and_quarantined", F.col("_taken")), ("without_reason", ~F.coalesce(F.length(F.trim(reason)) > 0, F.lit(False))),
+        ("missing", F.col("_found").isNull()), ("changed", ~F.col("_found").eqNullSafe(F.col("_held"))),
+    ]
+    return found.select(key, state(states, "held").alias("finding"))
+
+
+def shards_checked(rows: DataFrame, shard: str, key: str, declared: DataFrame) -> DataFrame:
+    """Shards of a table against what is declared of them (shard, rows): counts, and that keys follow each other from shard to shard without
+    overlap. A row for each shard: one task sees as many rows as there are shards."""
+    found = rows.groupBy(shard).agg(F.count("*").alias("found"), F.min(key).alias("first"), F.max(key).alias("last"))
+    both = declared.select(shard, F.col("rows").alias("declared")).join(found, shard, "full")
+    before = F.max("last").over(Window.orderBy(shard).rowsBetween(Window.unboundedPreceding, -1))
+    states = [
+        ("undeclared", F.col("declared").isNull()), ("missing", F.col("found").isNull() & (F.col("declared") > 0)),
+        ("row_count", F.coalesce("found", F.lit(0)) != F.col("declared")), ("overlap", F.col("first") <= F.col("before")),
+    ]
+    return both.withColumn("before", before).select(shard, "declared", "found", state(states, "ok").alias("status"))

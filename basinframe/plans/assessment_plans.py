@@ -258,3 +258,28 @@ def stage_outcomes(spark, d):
     w = F.lead("event_type").over(A.Window.partitionBy("user_id").orderBy("event_id"))
     e = V.table(spark, d, "events").select("event_type", "value", F.coalesce(w, F.lit("(end)")).alias("next_type"))
     return e.groupBy("event_type", "next_type").agg(F.count("*").alias("n"), X.exact_mean(F.col("value")).alias("mean"))
+
+
+@P.query("""WITH q AS (SELECT doc_id, sha256(coalesce(text, '')) AS held, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE source END AS reason FROM documents WHERE doc_id % 3 = 0),
+f AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE sha256(coalesce(text, '')) END AS found FROM documents WHERE doc_id % 11 <> 0)
+SELECT q.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'accepted_and_quarantined' WHEN reason = ' ' THEN 'without_reason' WHEN f.doc_id IS NULL THEN 'missing' WHEN found <> held THEN 'changed' ELSE 'held' END AS finding
+FROM q LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0 AND doc_id % 2 = 0) l USING (doc_id) LEFT JOIN f USING (doc_id)""")
+def quarantine(spark, d):
+    """What is quarantined, against what is accepted and what is there."""
+    t = V.table(spark, d, "documents").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    k = F.col("doc_id")
+    held = t.where(k % 3 == 0).select("doc_id", "h", F.when(k % 7 == 0, " ").otherwise(F.col("source")).alias("reason"))
+    there = t.where(k % 11 != 0).select("doc_id", F.when(k % 5 == 0, "other").otherwise(F.col("h")).alias("h"))
+    return A.quarantine_checked(V.table(spark, d, "labels").where("quality = 1 and toxic = 0 and doc_id % 2 = 0"), held, there, "doc_id", "h", "reason")
+
+
+@P.query("""WITH r AS (SELECT event_id AS k, CASE WHEN event_id % 997 = 5 THEN 3 ELSE event_id // 100 END AS shard FROM events), f AS (SELECT shard, count(*) AS found, min(k) AS lo, max(k) AS hi FROM r GROUP BY shard),
+d AS (SELECT shard, count(*) + CAST(shard % 13 = 1 AS INT) AS declared FROM r WHERE shard % 17 <> 2 GROUP BY shard UNION ALL SELECT 1000000, 5),
+b AS (SELECT shard, declared, found, lo, max(hi) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM d FULL JOIN f USING (shard))
+SELECT shard, CAST(declared AS BIGINT) AS declared, found, CASE WHEN declared IS NULL THEN 'undeclared' WHEN found IS NULL THEN 'missing' WHEN found <> declared THEN 'row_count' WHEN lo <= before THEN 'overlap' ELSE 'ok' END AS status FROM b""")
+def shard_integrity(spark, d):
+    """Shards of a table: rows as declared, keys in order."""
+    k = F.col("event_id")
+    rows = V.table(spark, d, "events").select(k.alias("k"), F.when(k % 997 == 5, F.lit(3).cast("long")).otherwise(F.floor(k / 100)).alias("shard"))
+    declared = rows.where("shard % 17 <> 2").groupBy("shard").agg((F.count("*") + (F.col("shard") % 13 == 1).cast("int")).alias("rows"))
+    return A.shards_checked(rows, "shard", "k", declared.union(spark.range(1).select(F.lit(1_000_000).cast("long"), F.lit(5).cast("long"))))
