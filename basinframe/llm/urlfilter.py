@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,6 +112,12 @@ def token_counts(urls: DataFrame, url: str, rules: list[Rule]) -> dict[str, int]
     return {r.token: r["count"] for r in counted.collect()}
 
 
+@lru_cache(maxsize=1 << 16)
+def _compiled(regex: str) -> re.Pattern:
+    """Compiled when a url first fetches its rule, and kept by the worker."""
+    return re.compile(regex, re.DOTALL)
+
+
 class Index:
     """Rules by their rarest token."""
 
@@ -118,15 +125,16 @@ class Index:
         self.by_token: dict[str, list] = {}
         for rule in sorted(rules, key=Rule.rank, reverse=True):
             filed = min(rule.tokens, key=lambda t: (counts.get(t, 0), t), default="")
-            self.by_token.setdefault(filed, []).append((rule, re.compile(rule.regex, re.DOTALL)))
+            self.by_token.setdefault(filed, []).append(rule)
 
     def best(self, url: str, target: str) -> Rule | None:
         """The rule that decides on a url; ``target`` is its host and path."""
         found = None
         for token in ("", *tokens_of(url)):
-            for rule, regex in self.by_token.get(token, ()):
+            for rule in self.by_token.get(token, ()):
                 if found is not None and rule.rank() <= found.rank():
                     break  # they come by rank
+                regex = _compiled(rule.regex)
                 if regex.match(target) if rule.host else regex.search(url):
                     found = rule
                     break
