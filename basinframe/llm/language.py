@@ -32,6 +32,8 @@ EMBEDDING = 4
 DOCS_PER_LANG = 500
 WINDOWS_PER_DOC = 8
 SAMPLED_DOCS = 64_000
+#: Languages whose shares are broadcast at most, some 10 MB.
+LANGS_SENT = 100_000
 EPOCHS = 12
 UNKNOWN = "und"
 
@@ -166,6 +168,8 @@ def train(
     each = float(min(docs_per_lang, max(20, SAMPLED_DOCS // n_langs)))  # of 20 to be expected, some are drawn
     wanted = counts.select("lang", F.least(F.lit(1.0), F.lit(each) / F.col("count")).alias("share"))
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    if n_langs <= LANGS_SENT:  # else texts are shuffled by language
+        wanted = F.broadcast(wanted)
     sample = rows.where(has_letter("text")).join(wanted, "lang").where(drawn)
     got = sorted((r.lang, bytes(w)) for r in sample.select("lang", _spread("text").alias("w")).collect() for w in r.w)
     if not got:
