@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL twins."""
 
-from . import chat, decontaminate, fixity, language, minhash, pieces, pseudo, sharding, simhash, urlfilter
+from . import chat, decontaminate, fixity, language, minhash, mixing, pieces, pseudo, sharding, simhash, urlfilter
 
 QUERIES = {
     "op1_fixity": fixity.op1_fixity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_pseudo": pseudo.op9_pseudo,
     "op10_urlfilter": urlfilter.op10_urlfilter,
+    "op11_mixing": mixing.op11_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_fixity": fixity.ORACLE,
@@ -20,4 +21,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_chat": chat.ORACLE,
     "op7_sharding": sharding.ORACLE,
     "op10_urlfilter": urlfilter.ORACLE,
+    "op11_mixing": mixing.ORACLE,
 }
