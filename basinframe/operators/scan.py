@@ -21,14 +21,6 @@ from ..sources.scratch import settle
 RANGE, SALT = "range_no", "range_salt"
 
 
-def _same(rows: DataFrame, other: DataFrame, names: Sequence[str]) -> Column:
-    """Equality of the named columns, null to null."""
-    out = F.lit(True)
-    for n in names:
-        out = out & rows[n].eqNullSafe(other[n])
-    return out
-
-
 @dataclass(frozen=True)
 class Ranges:
     """Rows dealt into ranges, with columns ``range_no`` and ``range_salt``."""
