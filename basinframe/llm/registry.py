@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL twins."""
 
-from . import chat, decontaminate, fixity, language, minhash, mixing, pieces, pseudo, sharding, simhash, urlfilter
+from . import chat, decontaminate, fixity, language, manifest, minhash, mixing, phrases, pieces, pseudo, sharding, simhash, urlfilter
 
 QUERIES = {
     "op1_fixity": fixity.op1_fixity,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_pseudo": pseudo.op9_pseudo,
     "op10_urlfilter": urlfilter.op10_urlfilter,
     "op11_mixing": mixing.op11_mixing,
+    "op12_manifest": manifest.op12_manifest,
+    "op13_phrases": phrases.op13_phrases,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_fixity": fixity.ORACLE,
@@ -22,4 +24,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_sharding": sharding.ORACLE,
     "op10_urlfilter": urlfilter.ORACLE,
     "op11_mixing": mixing.ORACLE,
+    "op12_manifest": manifest.ORACLE,
+    "op13_phrases": phrases.ORACLE,
 }
