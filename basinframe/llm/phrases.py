@@ -217,8 +217,12 @@ def scored(counts: DataFrame) -> DataFrame:
 def uncovered(found: DataFrame, most: int = MOST_WORDS, covered: int = COVERED) -> DataFrame:
     """Without the phrases that lie in a longer one which has ``covered`` % of their count or more."""
     spelt, inner = F.split("phrase", " "), None
+
+    def starting(n: int):
+        return lambda k: _part(spelt, k + 1, F.lit(n))
+
     for n in range(2, most):
-        within = F.transform(F.sequence(F.lit(0), F.col("words") - n), lambda k, n=n: _part(spelt, k + 1, F.lit(n)))
+        within = F.transform(F.sequence(F.lit(0), F.col("words") - n), starting(n))
         some = found.where(f"words > {n}").select("lang", F.explode(within).alias("phrase"), "a")
         inner = some if inner is None else inner.unionByName(some)
     if inner is None:
