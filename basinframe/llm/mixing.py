@@ -76,12 +76,13 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 def quotas(sources: DataFrame, seats: int, shard_blocks: int | None = None) -> DataFrame:
     """(source, target, blocks) to (source, shard, seats_before, quota): the seats of each source in each shard of ``shard_blocks`` seats (one shard without it), shards
-    from 0, by Sainte-Laguë's highest quotients. A source has ``blocks`` seats at most. Of equal quotients the source that is smaller by code point has
+    from 0, by Sainte-Laguë's highest quotients. A source has ``blocks`` seats at most, none without a target. Of equal quotients the source that is smaller by code point has
     the first, null last."""
     total = sources.agg(F.sum("target")).first()[0] or 0.0
     shard_blocks = shard_blocks or max(seats, 1)
     last = max(-(-seats // shard_blocks), 1)
-    houses = sources.select("source", "target", "blocks", F.explode(F.sequence(F.lit(1), F.lit(last))).alias("house"))
+    room = F.when(F.col("target") > 0, F.col("blocks")).otherwise(F.lit(0)).alias("blocks")
+    houses = sources.select("source", "target", room, F.explode(F.sequence(F.lit(1), F.lit(last))).alias("house"))
     house = F.least(F.col("house") * F.lit(shard_blocks).cast("long"), F.lit(seats).cast("long"))
     near = F.floor(F.col("target") * house / F.lit(total or 1.0) + 0.5).cast("long")
     now = settle(houses.withColumn("near", F.least(near, F.col("blocks"))), "near")

@@ -15,5 +15,5 @@ def test_query_matches_sql(spark, name):
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(registry.QUERIES) | {"pipeline"} <= set(names)
