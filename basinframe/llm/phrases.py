@@ -9,9 +9,8 @@ at least ``COVERED`` % of its count.
 *Counts are whole.* Nothing is pruned before counting; only what is counted fewer than ``LEAST`` times is left out afterwards, and no part of a candidate can be
 rarer than the candidate. Scores are computed in decimals of 38 digits: 10**6 * a * a fits for counts up to 10**14.
 
-*Scale.* A task counts equal suffixes of its texts in a table of ``HELD`` entries at most, then Spark sums equal suffixes by their hash, before they are dealt by first word; so what meets in a
-group are different suffixes. A first word is spread over ``SALTS`` tasks by its second word, which splits the count of a lone word only; those are
-summed afterwards. Sums over languages are partial per task. The best of each language are chosen in ``CHOSEN_IN`` parts first, so that no task sorts a language.
+*Scale.* A task counts equal suffixes of its texts in a table of ``HELD`` entries at most, before the one shuffle, which has a row for each different suffix of a task. A first word is spread over ``SALTS`` places
+by its second word, which splits the count of a lone word only; those are summed afterwards. What meets in one place is two words with their different third ones. Sums over languages are partial per task. The best of each language are chosen in ``CHOSEN_IN`` parts first, so that no task sorts a language.
 
 Words are lower-cased A to Z only, whatever the language. A null language is ``und``; a language named so is the same. Null texts are empty. Repeated rows count each. Texts of any length are cut
 in chunks. An empty table gives no rows. Other columns are ignored.
@@ -35,9 +34,10 @@ LEAST = 10
 COVERED = 50
 BEST = 2000
 #: Suffixes that a task counts before it hands them on.
-HELD = 1 << 18
+HELD = 1 << 19
 #: Tasks that a first word is spread over at most.
 SALTS = 64
+_SPREAD = 40_503
 CHOSEN_IN = 64
 #: Bytes of a text that are cut into words at a time.
 CHUNK = 1 << 18
@@ -92,13 +92,21 @@ def _parts(items: Iterator, size: int = 1 << 16) -> Iterator[list]:
         yield part
 
 
+def _key(lang: bytes, words: tuple[bytes, ...]) -> bytes:
+    """Two bytes that say where a suffix is dealt to, by language, first word and a salt from the second; then the language and the words, each closed by a zero byte."""
+    first = lang + _END + words[0] + _END
+    salt = zlib.crc32(words[1]) % SALTS * _SPREAD if len(words) > 1 else 0
+    rest = _END.join(words[1:]) + _END if len(words) > 1 else b""
+    return (zlib.crc32(first) + salt & 0xFFFF).to_bytes(2, "big") + first + rest
+
+
 def _counted(most: int):
-    """(lang, text) to (key, n): the language and the words of a suffix, each closed by a zero byte, and how often it was met."""
+    """(lang, text) to (key, n): a suffix as by ``_key``, and how often it was met."""
 
     def spelt(counts: dict[bytes, Counter]):
         keys, n = [], []
         for lang, found in counts.items():
-            keys += [lang + _END + _END.join(words) + _END for words in found]
+            keys += [_key(lang, words) for words in found]
             n += found.values()
         counts.clear()
         for k in range(0, len(keys), 1 << 16):
@@ -124,21 +132,6 @@ def _counted(most: int):
     return counted
 
 
-def _dealt():
-    """(key, n) to (slot, key, n): a number of the language, the first word and a salt by the second word."""
-
-    def dealt(batches):
-        for batch in batches:
-            slots = []
-            for key in batch.column(0).to_pylist():
-                head = key.index(_END, key.index(_END) + 1)
-                second = key.find(_END, head + 1)
-                slots.append(zlib.crc32(key[:head]) * SALTS + zlib.crc32(key[head:second]) % SALTS if second > 0 else zlib.crc32(key[:head]) * SALTS)
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), batch.column(0), batch.column(1)], names=["slot", "key", "n"])
-
-    return dealt
-
-
 def _prefixes(least: int):
     """(key, n) in reverse order of keys to (lang, words, phrase, f): counts of all prefixes with one stack. Counts of no word (the language) and of one are parts of sums; of others
     those of ``least`` and more are given."""
@@ -165,7 +158,7 @@ def _prefixes(least: int):
 
         for rows in batches:
             for key, n in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                path = key.split(_END)[:-1]
+                path = key[2:].split(_END)[:-1]
                 same = 0
                 while same < len(stack) and same < len(path) and stack[same][0] == path[same]:
                     same += 1
@@ -187,9 +180,9 @@ def _prefixes(least: int):
 def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = MOST_WORDS, least: int = LEAST) -> DataFrame:
     """(lang, words, phrase, f): how often each phrase of 1 to ``most`` words occurs, ``least`` times or more, words being how many it has; and with 0 words the
     count of all words of a language. A written table."""
-    counts = docs.select(lang, text).mapInArrow(_counted(most), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    dealt = counts.mapInArrow(_dealt(), "slot long, key binary, n long").repartition("slot").sortWithinPartitions(F.desc("key"))
-    found = settle(dealt.select("key", "n").mapInArrow(_prefixes(least), "lang string, words int, phrase string, f long"), "prefixes")
+    suffix = docs.select(lang, text).mapInArrow(_counted(most), "key binary, n long")
+    dealt = suffix.repartition(F.substring("key", 1, 2)).sortWithinPartitions(F.desc("key"))
+    found = settle(dealt.mapInArrow(_prefixes(least), "lang string, words int, phrase string, f long"), "prefixes")
     sums = found.where("words < 2").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
     whole = sums.where(f"words = 0 or f >= {least}").unionByName(found.where("words > 1"))
     return settle(whole, "phrases")
