@@ -7,6 +7,7 @@ parallel as they are many, and a bad one is a row with a status, not a failed jo
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ PROJECT_MAGIC, PROJECT_NAME, PROJECT_FIELDS = b"\xff\xff\x01\x00", b"ProjectSeri
 FRAME_BODY, FRAME_DICTIONARY, FRAME_END = 0xA0, 0xA1, 0xA2
 END, COMMENT, ARRAY = 0x01, 0x02, 0x03
 ATTRIBUTE, DICTIONARY_ATTRIBUTE, ELEMENT, DICTIONARY_ELEMENT = 0x04, 0x06, 0x40, 0x42
+NAMESPACE, DICTIONARY_NAMESPACE, LIST, LIST_END = 0x08, 0x0A, 0xA4, 0xA6
 NUMBERS = {0x88: "b", 0x8A: "h", 0x8C: "i", 0x8E: "q", 0x90: "f", 0x92: "d", 0xB2: "Q"}
 CONSTANTS = {0x80: ("int", "0"), 0x82: ("int", "1"), 0x84: ("bool", "false"), 0x86: ("bool", "true"), 0xA8: ("text", "")}
 LENGTHS = {0x98: (1, "text"), 0x9A: (2, "text"), 0x9C: (4, "text"), 0x9E: (1, "bytes"), 0xA0: (2, "bytes"), 0xA2: (4, "bytes")}
@@ -194,6 +196,14 @@ def _record(src: Bytes, kind: int, names: list[str]) -> tuple[str, str]:
         width, what = LENGTHS[kind]
         data = src.take(src.number({1: "B", 2: "H", 4: "I"}[width]))
         return what, str(data, "utf-8") if what == "text" else data.hex()
+    if kind == LIST:
+        items = []
+        while (item := src.byte()) != LIST_END:
+            if item & 1 or item == LIST:
+                raise BadContainer("list item")
+            what, text = _record(src, item, names)
+            items.append(text if what in ("int", "float", "bool") else json.dumps(text, ensure_ascii=False))
+        return "list", f"[{','.join(items)}]"
     if kind == 0x96:
         return "datetime", _moment(bytes(src.take(8)))
     if kind in OPAQUE:
@@ -217,9 +227,11 @@ def _record(src: Bytes, kind: int, names: list[str]) -> tuple[str, str]:
     raise BadContainer(f"record {kind:#x}")
 
 
-def nodes(body: bytes, names: list[str]) -> Iterator[tuple]:
-    """(node, parent, name, type, text, numbers) in document order; attributes are nodes whose name starts with ``@``."""
-    src, path, count = Bytes(body), [], 0
+def nodes(body: bytes | Bytes, names: list[str], slice_of: int | None = 0) -> Iterator[tuple]:
+    """(node, parent, name, type, text, numbers) in document order; attributes are nodes whose name starts with ``@``. With a ``slice_of``, a
+    ``begin`` stands before the numbers and a longer array is several rows; None checks arrays without building them."""
+    src, path, count = body if isinstance(body, Bytes) else Bytes(body), [], 0
+    begun = () if slice_of == 0 else (None,)
 
     def new() -> int:
         nonlocal count
@@ -242,10 +254,12 @@ def nodes(body: bytes, names: list[str]) -> Iterator[tuple]:
             path.append(new())
             if len(path) > MOST_DEPTH:
                 raise BadContainer("too deep")
-            yield path[-1], above, name, "element", None, None
+            yield path[-1], above, name, "element", None, *begun, None
         elif kind in (ATTRIBUTE, DICTIONARY_ATTRIBUTE):
             name = src.text() if kind == ATTRIBUTE else _named(src, names)
-            yield new(), above, f"@{name}", *_record(src, src.byte(), names), None
+            yield new(), above, f"@{name}", *_record(src, src.byte(), names), *begun, None
+        elif kind in (NAMESPACE, DICTIONARY_NAMESPACE):
+            yield new(), above, "@xmlns", "text", src.text() if kind == NAMESPACE else _named(src, names), *begun, None
         elif kind == ARRAY:
             if src.byte() != ELEMENT:
                 raise BadContainer("array of no element")
@@ -255,10 +269,17 @@ def nodes(body: bytes, names: list[str]) -> Iterator[tuple]:
             form = ARRAYS.get(src.byte() & ~1)
             if form is None:
                 raise BadContainer("array type")
-            values = np.frombuffer(src.take(src.varint() * np.dtype(form).itemsize), form)
-            yield new(), above, name, form, None, values.astype(np.float64)
+            n, width, own = src.varint(), np.dtype(form).itemsize, new()
+            if slice_of == 0:
+                yield own, above, name, form, None, np.frombuffer(src.take(n * width), form).astype(np.float64)
+                continue
+            step = slice_of or 1 << 16
+            for begin in range(0, max(n, 1), step):
+                part = src.take(min(step, n - begin) * width)
+                if slice_of:
+                    yield own, above, name, form, None, begin, np.frombuffer(part, form).astype(np.float64)
         elif kind >= 0x80:
-            yield new(), above, "", *_record(src, kind & ~1, names), None
+            yield new(), above, "", *_record(src, kind & ~1, names), *begun, None
             if kind & 1:
                 if not path:
                     raise BadContainer("end without a start")
