@@ -4,26 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import settle
+from .catalogue import contracted
+from .scan import ranged
 
 
 def qualified(assessed: DataFrame, levels: DataFrame, edges: DataFrame, node: str, needs: str, ok: str) -> DataFrame:
-    """An entity qualifies if it passes and everything it needs qualifies. One join a level over that level's entities; entities
+    """An entity qualifies if it passes and everything it needs qualifies, which ``contracted`` finds with those that do not pass as failures; entities
     without a level (cycles, dangling needs) do not qualify."""
-    state = settle(assessed.select(node, F.coalesce(ok, F.lit(False)).alias(ok)).join(levels, node, "left"), "state")
-    needed = edges.where(F.col(needs).isNotNull()).select(node, needs)
-    good = settle(state.where(F.col(ok) & (F.col("level") == 0)).select(node), "good")
-    for k in range(1, (state.agg(F.max("level")).first()[0] or 0) + 1):
-        here = state.where(F.col(ok) & (F.col("level") == k)).select(node)
-        unmet = needed.join(here, node, "left_semi").join(good.select(F.col(node).alias(needs)), needs, "left_anti").select(node).distinct()
-        good = good.union(settle(here.join(unmet, node, "left_anti"), "good"))
-        if k % 16 == 0:  # a deep graph's plan stays short
-            good = settle(good, "good")
-    found = good.distinct().withColumn("qualified", F.lit(True))
-    return state.join(found, node, "left").select(node, "level", F.coalesce("qualified", F.lit(False)).alias("qualified"))
+    state = assessed.select(node, F.coalesce(ok, F.lit(False)).alias(ok))
+    failing = state.where(~F.col(ok)).select(node)
+    found = contracted(edges, node, needs, failing).where("level is not null").select(node, F.lit(True).alias("qualified"))
+    return state.join(levels, node, "left").join(found, node, "left").select(node, "level", (F.col(ok) & F.coalesce("qualified", F.lit(False))).alias("qualified"))
 
 
 def declarations(rows: DataFrame, owner: str, fields: Sequence[tuple[str, Column]]) -> DataFrame:
@@ -49,9 +43,8 @@ def reconciled(parts: DataFrame, totals: DataFrame, key: str, n: str) -> DataFra
 
 def clipped(rows: DataFrame, keys: Sequence[str], order: Sequence[str], inside: Column, least: int = 2) -> DataFrame:
     """Runs of neighbours inside a region: an exit starts a new run; short runs go."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    outs = F.sum((~F.coalesce(inside, F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    kept = rows.withColumn("run", outs).where(inside)
+    marked = rows.withColumn("inside", F.coalesce(inside, F.lit(False)))
+    kept = ranged(marked.select(*dict.fromkeys((*keys, *order, "inside"))), keys, order).running({"run": (~F.col("inside")).cast("int")}).where("inside")
     return kept.groupBy(*keys, "run").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
@@ -93,12 +86,12 @@ def quarantine_checked(accepted: DataFrame, quarantined: DataFrame, listing: Dat
 
 def shards_checked(rows: DataFrame, shard: str, key: str, declared: DataFrame) -> DataFrame:
     """Shards of a table against what is declared of them (shard, rows): counts, and that keys follow each other from shard to shard without
-    overlap. A row for each shard: one task sees as many rows as there are shards."""
+    overlap."""
     found = rows.groupBy(shard).agg(F.count("*").alias("found"), F.min(key).alias("first"), F.max(key).alias("last"))
     both = declared.select(shard, F.col("rows").alias("declared")).join(found, shard, "full")
-    before = F.max("last").over(Window.orderBy(shard).rowsBetween(Window.unboundedPreceding, -1))
+    dealt = ranged(both, [], [shard])
     states = [
         ("undeclared", F.col("declared").isNull()), ("missing", F.col("found").isNull() & (F.col("declared") > 0)),
         ("row_count", F.coalesce("found", F.lit(0)) != F.col("declared")), ("overlap", F.col("first") <= F.col("before")),
     ]
-    return both.withColumn("before", before).select(shard, "declared", "found", state(states, "ok").alias("status"))
+    return dealt.running({"before": F.col("last")}, False, F.max).select(shard, "declared", "found", state(states, "ok").alias("status"))

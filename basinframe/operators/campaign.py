@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import exact_sum
+from .scan import ranged
 
 
 def issue_groups(issues: DataFrame, signature: str, case: str, recovered: Column, examples: int = 3) -> DataFrame:
@@ -63,9 +64,9 @@ def top_with_rest(rows: DataFrame, keys: Sequence[str], value: str, k: int) -> D
 
 def running_budget(attempts: DataFrame, lane: Sequence[str], order: Sequence[str], cost: str, budget: float) -> DataFrame:
     """Cost used before each attempt, what is left, and whether it may run."""
-    w = Window.partitionBy(*lane).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.col(cost).cast("decimal(18,6)")).over(w).cast("double"), F.lit(0.0))
-    out = attempts.withColumn("used", used)
+    dealt = ranged(attempts, lane, order)
+    summed = dealt.running({"used": F.col(cost).cast("decimal(18,6)")}, inclusive=False)
+    out = dealt.undealt(summed.withColumn("used", F.col("used").cast("double")))
     return out.withColumn("remaining", F.greatest(F.lit(0.0), F.round(budget - F.col("used"), 4))).withColumn("runs", F.col("remaining") > 0)
 
 

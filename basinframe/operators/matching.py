@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import exact_mean, normalised_name
+from .scan import ranged
 
 
 def unique_match(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str) -> DataFrame:
@@ -151,10 +152,10 @@ def exactly_one_target(changes: DataFrame, rows: DataFrame, key: str, into: str)
 
 
 def latest_before(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """As-of: the last right value of the key at or before each left row, by one sorted union and no pairs."""
+    """As-of: the last right value of the key at or before each left row, by one union dealt into ranges and no pairs: a key may fill any number of tasks."""
     rest = [c for c in left.columns if c not in (key, at)]
     a = left.select(key, at, F.struct(*rest).alias("row"), F.lit(None).alias(value), F.lit(1).alias("side"))
     b = right.select(key, at, F.lit(None).alias("row"), value, F.lit(0).alias("side"))
-    w = Window.partitionBy(key).orderBy(at, "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = b.unionByName(a).withColumn("last", F.last(value, ignorenulls=True).over(w)).where("side = 1")
+    dealt = ranged(b.unionByName(a), [key], [at, "side"])
+    both = dealt.previous({"last": F.col(value)}, F.col(value).isNotNull()).where("side = 1")
     return both.select(key, at, *[F.col(f"row.{c}").alias(c) for c in rest], F.col("last").alias(value))

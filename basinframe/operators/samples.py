@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import distance, exact_mean, finite, histogram_bin
+from .scan import ranged
 
 
 def masked(value: str, is_null: str) -> Column:
@@ -42,10 +43,15 @@ def histogram(rows: DataFrame, keys: Sequence[str], value: Column, bins: int = 4
     return every.join(counted, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _stepped(rows: DataFrame, keys: Sequence[str], order: Sequence[str], depth: str) -> DataFrame:
+    """Rows with the difference of their depth and the one before, null for the first; an object may fill any number of tasks."""
+    narrow = rows.select(*dict.fromkeys((*keys, *order, depth)))
+    return ranged(narrow, keys, order).previous({"was": F.col(depth)}).withColumn("step", F.col(depth) - F.col("was"))
+
+
 def sequence_quality(rows: DataFrame, keys: Sequence[str], order: Sequence[str], depth: str) -> DataFrame:
     """Rows, non-finite, negative and repeated depths, and whether they run one way."""
-    step = F.col(depth) - F.lag(depth).over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("step", step).groupBy(*keys).agg(
+    return _stepped(rows, keys, order, depth).groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.count_if(~finite(F.col(depth))).alias("nonfinite"),
         F.count_if(F.col(depth) < 0).alias("negative"),
@@ -57,8 +63,7 @@ def sequence_quality(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 def station_statistics(rows: DataFrame, keys: Sequence[str], order: Sequence[str], depth: str) -> DataFrame:
     """Step evidence of a trajectory; null where there are too few stations."""
-    step = F.col(depth) - F.lag(depth).over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("step", step).groupBy(*keys).agg(
+    return _stepped(rows, keys, order, depth).groupBy(*keys).agg(
         F.count("*").alias("stations"),
         F.count_if(F.col(depth) < 0).alias("negative_md"),
         F.count_if(F.col("step") == 0).alias("equal_pairs"),
@@ -70,29 +75,29 @@ def station_statistics(rows: DataFrame, keys: Sequence[str], order: Sequence[str
 
 
 def regularity(rows: DataFrame, keys: Sequence[str], order: Sequence[str], depth: str) -> DataFrame:
-    step = F.col(depth) - F.lag(depth).over(Window.partitionBy(*keys).orderBy(*order))
-    found = rows.withColumn("step", step).groupBy(*keys).agg(F.count("step").alias("steps"), F.count_distinct("step").alias("distinct"))
+    found = _stepped(rows, keys, order, depth).groupBy(*keys).agg(F.count("step").alias("steps"), F.count_distinct("step").alias("distinct"))
     kind = F.when(F.col("steps") == 0, "insufficient").when(F.col("distinct") == 1, "regular").otherwise("irregular")
     return found.select(*keys, "steps", kind.alias("sampling"))
 
 
 def path_length(rows: DataFrame, keys: Sequence[str], order: Sequence[str], axes: Sequence[str], places: int = 4) -> DataFrame:
     """Length along a path up to each row."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    leg = distance(*[(F.col(a), F.lag(a).over(w)) for a in axes])
-    total = F.sum("leg").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("leg", F.coalesce(leg, F.lit(0.0))).withColumn("length", F.round(total, places)).drop("leg")
+    dealt = ranged(rows, keys, order)
+    before = dealt.previous({f"was_{a}": F.col(a) for a in axes})
+    leg = F.coalesce(distance(*[(F.col(a), F.col(f"was_{a}")) for a in axes]), F.lit(0.0))
+    legs = before.withColumn("leg", leg).drop(*(f"was_{a}" for a in axes))
+    summed = dealt.of(legs).running({"length": F.col("leg")})
+    return dealt.undealt(summed.withColumn("length", F.round("length", places)).drop("leg"))
 
 
 def runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, index: str) -> DataFrame:
     """Run lengths of equal neighbours: keys, start index, length, value."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    change = F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.lag(F.lit(1)).over(w) == 1), 0).otherwise(1)
-    island = F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    dealt = ranged(rows.select(*dict.fromkeys((*keys, *order, value, index))), keys, order)
+    before = dealt.previous({"was": F.col(value), "there": F.lit(True)})
+    change = F.when(F.col("there") & F.col(value).eqNullSafe(F.col("was")), 0).otherwise(1)
+    islands = dealt.of(before.withColumn("change", change)).running({"island": F.col("change")})
     return (
-        rows.withColumn("change", change)
-        .withColumn("island", island)
-        .groupBy(*keys, "island")
+        islands.groupBy(*keys, "island")
         .agg(F.min(index).alias("start"), F.count("*").alias("length"), F.first(value).alias(value))
         .drop("island")
     )
@@ -100,10 +105,9 @@ def runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
 
 def segments(rows: DataFrame, keys: Sequence[str], order: Sequence[str], missing: str, least: int = 2) -> DataFrame:
     """Polylines cut at missing vertices: (keys, segment, vertices) of those with enough vertices."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    cut = F.sum(F.col(missing).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    dealt = ranged(rows.select(*dict.fromkeys((*keys, *order, missing))), keys, order)
     return (
-        rows.withColumn("segment", cut)
+        dealt.running({"segment": F.col(missing).cast("int")})
         .where(~F.col(missing))
         .groupBy(*keys, "segment")
         .agg(F.count("*").alias("vertices"))
@@ -111,19 +115,26 @@ def segments(rows: DataFrame, keys: Sequence[str], order: Sequence[str], missing
     )
 
 
+def _placed(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows with ``at``, their place in the group from 0, and ``total``, how many it has."""
+    dealt = ranged(rows, keys, order)
+    totals = dealt.rows.groupBy(*(F.col(k).alias(f"of_{k}") for k in keys)).agg(F.count("*").alias("total"))
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    return dealt.undealt(dealt.numbered("at").join(totals, met).drop(*(f"of_{k}" for k in keys)))
+
+
 def decimated(rows: DataFrame, keys: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
     """Every k-th row and the last, k being the least stride that keeps ``most`` rows."""
-    w = Window.partitionBy(*keys)
-    n, at = F.count("*").over(w), F.row_number().over(w.orderBy(*order)) - 1
+    marked = _placed(rows, keys, order)
     stride = F.greatest(F.lit(1), F.ceil(F.col("total") / most))
-    marked = rows.withColumn("total", n).withColumn("at", at)
     return marked.where((F.col("at") % stride == 0) | (F.col("at") == F.col("total") - 1)).drop("total")
 
 
 def evenly(rows: DataFrame, keys: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
     """k rows spread evenly from the first to the last (all, if there are fewer)."""
-    w = Window.partitionBy(*keys)
-    marked = rows.withColumn("total", F.count("*").over(w)).withColumn("at", F.row_number().over(w.orderBy(*order)) - 1)
+    marked = _placed(rows, keys, order)
     picks = F.transform(
         F.sequence(F.lit(0), F.least(F.col("total"), F.lit(k)) - 1),
         lambda s: F.floor(s * (F.col("total") - 1) / F.greatest(F.lit(1), F.least(F.col("total"), F.lit(k)) - 1)).cast("long"),

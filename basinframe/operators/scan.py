@@ -51,19 +51,22 @@ class Ranges:
         """The rows with their place in the group, from 0."""
         return self.running({name: F.lit(1)}, inclusive=False)
 
-    def running(self, sums: dict[str, Column], inclusive: bool = True) -> DataFrame:
-        """The rows with sums over all rows of the group up to this one, or before it."""
-        ends = self.rows.groupBy(*self.keys, RANGE).agg(*(F.sum(e).alias(f"before_{n}") for n, e in sums.items()))
+    def running(self, values: dict[str, Column], inclusive: bool = True, by=F.sum) -> DataFrame:
+        """The rows with sums (``by``: or greatest values, ``F.max``) over all rows of the group up to this one, or before it. Sums before the first row are 0,
+        greatest values null."""
+        summed = by is F.sum
+        ends = self.rows.groupBy(*self.keys, RANGE).agg(*(by(e).alias(f"before_{n}") for n, e in values.items()))
         past = self._between().rowsBetween(Window.unboundedPreceding, -1)
-        carried = ends.select(*self.keys, RANGE, *(F.sum(f"before_{n}").over(past).alias(f"before_{n}") for n in sums))
+        carried = ends.select(*self.keys, RANGE, *(by(f"before_{n}").over(past).alias(f"before_{n}") for n in values))
         to = self.within().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        out = self._joined(carried, [f"before_{n}" for n in sums])
-        for n, e in sums.items():
-            own, before = F.sum(e).over(to), F.col(f"before_{n}")
-            out = out.withColumn(n, F.when(own.isNull(), before).when(before.isNull(), own).otherwise(own + before))
-            if not inclusive:
+        out = self._joined(carried, [f"before_{n}" for n in values])
+        for n, e in values.items():
+            own, before = by(e).over(to), F.col(f"before_{n}")
+            both = own + before if summed else F.greatest(own, before)
+            out = out.withColumn(n, F.when(own.isNull(), before).when(before.isNull(), own).otherwise(both))
+            if summed and not inclusive:
                 out = out.withColumn(n, F.coalesce(n, F.lit(0)))
-        return out.drop(*(f"before_{n}" for n in sums))
+        return out.drop(*(f"before_{n}" for n in values))
 
     def previous(self, values: dict[str, Column], present: Column | None = None) -> DataFrame:
         """The rows with values of the row before in the group (null for the first). With ``present``, of the last row before or at this one for
@@ -83,6 +86,10 @@ class Ranges:
         out = out.withColumn("carried", F.coalesce(own, F.col("carried")))
         return out.select(*self.rows.columns, *(F.col(f"carried.{n}").alias(n) for n in values))
 
+    def of(self, rows: DataFrame) -> Ranges:
+        """The same ranges over these rows with further columns."""
+        return Ranges(rows, self.keys, self.order)
+
     def undealt(self, rows: DataFrame) -> DataFrame:
         return rows.drop(RANGE, SALT)
 
