@@ -9,13 +9,12 @@ exact likeness has been computed from the two texts. Classes are what links conn
 1. ``MERGES`` rounds compare the representatives of a bucket's classes in blocks of about ``TOGETHER``. Each proposes itself with the most
    likely one below it (by key); of what all buckets propose for a text the likeliest is checked. What passes is contracted. After the
    first round only texts stay in a bucket that have a likely partner there, or whose bucket has several blocks.
-2. Then blocks of a bucket meet in pairs, and each class proposes its 2 likeliest pairs with classes of a smaller root, then 4, and so on, so that
-   each round has further pairs. Rounds go on until none is proposed that was not checked, or until a round after the first two
-   passes none.
+2. Then blocks of a bucket meet in pairs, and each class proposes its ``FIRST`` likeliest pairs with classes of a smaller root; where a class has more, all go on to a round of ``MORE`` times as
+   many. The last round is the one in which no class has more than it proposes: every pair of two classes whose estimate is at least ``least`` has been checked exactly then, or its classes have been
+   joined. So no link is lost but by an estimate or a bucket that misses it.
 
 A class that fills blocks has blocks of its own, which are not compared with each other. A bucket is spread over tasks by its blocks, so no
-task holds a bucket. What can be lost is a link between two classes whose likeliest pairs all fail the check while a less likely one
-would pass.
+task holds a bucket.
 
 Texts without a shingle are alike. An empty table gives no rows.
 """
@@ -42,8 +41,8 @@ MERGES = 2
 KEYS_SENT = 1 << 20
 #: Rows that a task holds while it looks for the likeliest pairs.
 ROWS_HELD = 1 << 19
-#: Pairs that a class proposes in the first round of meeting blocks; in each later one twice as many.
-FIRST = 2
+#: Pairs that a class proposes in the first round of meeting blocks, and how many times as many in each later one.
+FIRST, MORE = 8, 16
 
 #: (n prints, m prints) as rows of bytes to an n x m table of estimates.
 Alike = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -177,8 +176,8 @@ def _from_representatives(ones: DataFrame, prints: DataFrame, alike: Alike, leas
     return best.select("a", "b"), found.where("estimate is null").select(F.col("a").alias("bucket"), F.col("b").alias("key"))
 
 
-def _from_blocks(labelled: DataFrame, prints: DataFrame, alike: Alike, least: float, k: int) -> DataFrame:
-    """From (bucket, key, root): the k likeliest pairs of each class with those of a smaller root."""
+def _from_blocks(labelled: DataFrame, prints: DataFrame, alike: Alike, least: float, k: int) -> tuple[DataFrame, bool]:
+    """From (bucket, key, root): the k likeliest pairs of each class with those of a smaller root, and whether a class may have more."""
     sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     large = F.col("n") >= TOGETHER
     whole = sizes.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum(F.when(~large, F.col("n"))).alias("others"))
@@ -197,7 +196,9 @@ def _from_blocks(labelled: DataFrame, prints: DataFrame, alike: Alike, least: fl
     found = pairs.select(*sides).mapInArrow(_meeting(alike, least, k), _PROPOSED)
     # a root has a row for each task at most, of k pairs at most
     best = found.groupBy("root").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("pairs"))), asc=False).alias("pairs"))
-    return best.select(F.explode(F.slice("pairs", 1, k)).alias("pair")).select("pair.a", "pair.b").distinct()
+    best = settle(best.select(F.slice("pairs", 1, k).alias("pairs")), "best")
+    more = not best.where(F.size("pairs") >= k).isEmpty()
+    return best.select(F.explode("pairs").alias("pair")).select("pair.a", "pair.b").distinct(), more
 
 
 def _checked(near: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, int]:
@@ -220,7 +221,7 @@ def rooted(texts: DataFrame, members: DataFrame, prints: DataFrame, alike: Alike
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     labelled = settle(members.join(shared, "bucket").select("bucket", "key"), "shared")
     roots = tested = None
-    step = 0
+    step, more = 0, True
     while True:
         if step == 0:  # each text is a class
             near, shared = _from_representatives(labelled, prints, alike, least)
@@ -231,7 +232,7 @@ def rooted(texts: DataFrame, members: DataFrame, prints: DataFrame, alike: Alike
             ones = settle(labelled.groupBy("bucket", "root").agg(F.min("key").alias("key")), "ones")
             near, _ = _from_representatives(ones, prints, alike, least)
         else:
-            near = _from_blocks(labelled, prints, alike, least, FIRST * 2 ** (step - MERGES))
+            near, more = _from_blocks(labelled, prints, alike, least, FIRST * MORE ** (step - MERGES))
         if tested is not None:
             near = near.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         made, n = _checked(near, texts, threshold)
@@ -251,14 +252,12 @@ def rooted(texts: DataFrame, members: DataFrame, prints: DataFrame, alike: Alike
                 fresh = new.join(roots.select("key"), F.col("was") == F.col("key"), "left_anti")
                 roots = moved.union(fresh.select(F.col("was").alias("key"), F.col("now").alias("root")))
             roots = settle(roots, "roots")
+        if not more:
+            return roots if roots is not None else labelled.select("key", "root").limit(0)
         if passed or step == 0:
             given = with_roots(shared, roots) if roots is not None else shared.withColumn("root", F.col("key"))
             labelled = settle(given.select("bucket", "key", "root"), "labelled")
-        if not passed and step < MERGES:
-            step = MERGES - 1  # there is nothing to contract for another round
-        elif not passed and (not n or step > MERGES + 1):
-            return roots if roots is not None else labelled.select("key", "root").limit(0)
-        step += 1
+        step = MERGES if step < MERGES and not passed else step + 1  # nothing to contract: no further such round
 
 
 def with_roots(own: DataFrame, found: DataFrame) -> DataFrame:
