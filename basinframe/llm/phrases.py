@@ -2,14 +2,14 @@
 
 Texts are split into pieces and words. Every word occurrence gives one suffix of its piece, cut after ``MOST_WORDS`` words. Suffixes are shuffled by language and first
 word, sorted in reverse lexicographic order, and one stack per task counts all their prefixes, which are all phrases up to that length: a suffix
-pops and emits what it doesn't extend, so a task holds one suffix. Parts are joined afterwards: every cut of a phrase gives the counts of its first part and of the
+pops and emits what it doesn't extend, so a task holds a batch and one suffix. Parts are joined afterwards: every cut of a phrase gives the counts of its first part and of the
 rest, and the score floor(1000000 * a * a / (l * r)); the lowest counts, of equal ones that with the shorter first part. A phrase goes if a longer candidate that contains it has
 at least ``COVERED`` % of its count.
 
 *Counts are whole.* Nothing is pruned before counting; only what is counted fewer than ``LEAST`` times is left out afterwards, and no part of a candidate can be
 rarer than the candidate. Scores are computed in decimals of 38 digits: 10**6 * a * a fits for counts up to 10**14.
 
-*Scale.* A task counts equal suffixes of its texts in a table of ``HELD`` entries at most, before the one shuffle, which has a row for each different suffix of a task. A first word is spread over ``SALTS`` places
+*Scale.* A task counts equal suffixes of ``HELD`` bytes of texts at a time, in numpy, before the one shuffle. The stack takes sorted keys batch by batch, in numpy too. A first word is spread over ``SALTS`` places
 by its second word, which splits the count of a lone word only; those are summed afterwards. What meets in one place is two words with their different third ones. Sums over languages are partial per task. The best of each language are chosen in ``CHOSEN_IN`` parts first, so that no task sorts a language.
 
 Words are lower-cased A to Z only, whatever the language. A null language is ``und``; a language named so is the same. Null texts are empty. Repeated rows count each. Texts of any length are cut
@@ -18,11 +18,11 @@ in chunks. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,14 +33,14 @@ MOST_WORDS = 3
 LEAST = 10
 COVERED = 50
 BEST = 2000
-#: Suffixes that a task counts before it hands them on.
-HELD = 1 << 19
-#: Tasks that a first word is spread over at most.
+#: Bytes of texts whose suffixes a task counts at a time.
+HELD = 4 << 20
+#: Places that a first word is spread over at most, of so many; a place is two bytes from 1 to 255.
 SALTS = 64
 _SPREAD = 40_503
+_SIDE = 255
+_SLOTS = _SIDE * _SIDE
 CHOSEN_IN = 64
-#: Bytes of a text that are cut into words at a time.
-CHUNK = 1 << 18
 UNKNOWN = "und"
 
 #: A-Z in lower case, every splitting character a line feed, tab a blank. Control characters that may be in words move to bytes that UTF-8 never uses, so that a zero byte can separate words.
@@ -50,129 +50,224 @@ _FORM = bytes.maketrans(
 _SAFE = bytes.maketrans(bytes(range(9)), bytes(range(0xF5, 0xFE)))
 _BACK = bytes.maketrans(bytes(range(0xF5, 0xFE)), bytes(range(9)))
 _END = b"\x00"
-
-
-def pieces(text: bytes) -> Iterator[tuple[bool, list[bytes]]]:
-    """The words of a text's pieces in order, (whether they go on the piece before, words), a chunk at a time."""
-    at, joined = 0, False
+#: Bytes of keys as text again: a zero byte between words is a blank.
+_TEXT = np.frombuffer(_BACK, np.uint8).copy()
+_TEXT[0] = 32
+_BETWEEN, _WORD = re.compile(rb"[ \t\n\x0b\x0c\r.,;:!?]"), re.compile(rb"[^ \t\n\x0b\x0c\r.,;:!?]+")
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(29)) * np.uint64(_BASES[1])
+    return h ^ h >> np.uint64(32)
+
+
+class Words:
+    """The words of some texts of a language, each closed by a zero byte in ``flat``, with two 64-bit hashes each, and how many words of its piece a suffix has."""
+
+    def __init__(self, texts: list[bytes], most: int):
+        data = np.frombuffer(b"\n".join(texts).translate(_FORM), np.uint8)
+        word = (data != 32) & (data != 10)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], word.view(np.int8), [0]])))
+        starts, stops = edge[::2], edge[1::2]
+        keep = word.copy()
+        keep[stops[stops < len(data)]] = True  # what follows a word makes place for its zero byte
+        flat = data[keep]
+        ends = np.cumsum(stops - starts + 1)
+        if len(ends) and ends[-1] > len(flat):
+            flat = np.append(flat, np.uint8(0))
+        flat[ends - 1] = 0
+        self.flat, self.ends, self.begins = flat, ends, ends - (stops - starts + 1)
+        piece = np.cumsum(data == 10)[starts] if len(starts) else starts
+        n = np.ones(len(starts), np.int64)
+        for k in range(1, most):
+            n[:-k] += piece[k:] == piece[:-k]
+        self.n = n
+        self.starts, self.hashes = starts, []
+        place = np.arange(len(flat)) - np.repeat(self.begins, ends - self.begins)
+        for base in _BASES:  # a polynomial in the bytes of a word
+            powers = np.full(int(place.max(initial=0)) + 1, base, np.uint64)
+            powers[0] = 1
+            terms = np.multiply.accumulate(powers)[place] * flat
+            self.hashes.append(_mixed(np.add.reduceat(terms, self.begins)) if len(starts) else np.zeros(0, np.uint64))
+
+
+def _suffixes(texts: list[bytes], lang: bytes, most: int, own: int | None = None) -> pa.RecordBatch:
+    """(key, n) of the different suffixes of some texts, or of those that begin in the first ``own`` bytes. A key has two bytes that say where it is dealt to, by language, first word and a salt from the second, then the language
+    and the words, each closed by a zero byte. Suffixes are told apart by 128 bits of hash."""
+    w = Words(texts, most)
+    whole = []
+    for h, base in zip(w.hashes, _BASES, strict=True):
+        out, p = h.copy(), 1
+        for k in range(1, most):
+            p = p * base % (1 << 64)
+            out[:-k] += np.where(w.n[:-k] > k, h[k:] * np.uint64(p), np.uint64(0))
+        whole.append(_mixed(out + w.n.astype(np.uint64))[: None if own is None else np.searchsorted(w.starts, own)])
+    order = np.argsort(whole[0], kind="stable")
+    first, second = whole[0][order], whole[1][order]
+    start = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])[: len(order)])
+    counts, one = np.diff(np.append(start, len(order))), order[start]
+    salt = np.zeros(len(one), np.uint64)
+    more = w.n[one] > 1
+    salt[more] = w.hashes[1][one[more] + 1] % np.uint64(SALTS) * np.uint64(_SPREAD)
+    slot = (w.hashes[0][one] % np.uint64(_SLOTS) + np.uint64(zlib.crc32(lang)) + salt) % np.uint64(_SLOTS)
+    head = np.frombuffer(b"\x01\x01" + lang + _END, np.uint8)
+    begin = w.begins[one]
+    size = w.ends[one + w.n[one] - 1] - begin
+    stops = np.cumsum(size + len(head))
+    at = stops - size - len(head)
+    data = np.empty(int(stops[-1]) if len(stops) else 0, np.uint8)
+    for k, byte in enumerate(head):
+        data[at + k] = byte
+    data[at] += (slot // np.uint64(_SIDE)).astype(np.uint8)
+    data[at + 1] += (slot % np.uint64(_SIDE)).astype(np.uint8)
+    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    data[inner + np.repeat(at + len(head), size)] = w.flat[inner + np.repeat(begin, size)]
+    return pa.RecordBatch.from_arrays([_binary(data, stops), pa.array(counts, pa.int64())], names=["key", "n"])
+
+
+def _binary(data: np.ndarray, stops: np.ndarray, kind=pa.binary()) -> pa.Array:
+    offsets = np.concatenate([[0], stops]).astype(np.int32)
+    return pa.Array.from_buffers(kind, len(stops), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _parts(text: bytes, size: int, most: int) -> Iterator[tuple[bytes, int]]:
+    """A long text in parts that end with a word, each with the ``most`` - 1 words behind it and how many bytes are its own."""
+    at = 0
     while at < len(text):
-        stop = min(at + CHUNK, len(text))
-        if stop < len(text):  # after a blank or the end of a piece, unless a word is longer
-            cut = max(text.rfind(b" ", at, stop), text.rfind(b"\n", at, stop))
-            if cut < 0:
-                ends = [x for x in (text.find(b" ", stop), text.find(b"\n", stop)) if x >= 0]
-                cut = min(ends, default=len(text) - 1)
-            stop = cut + 1
-        lines = text[at:stop].split(b"\n")
-        for k, line in enumerate(lines):
-            yield joined and not k, line.split()
-        joined = True  # a chunk that ends a piece has an empty last line
+        cut = _BETWEEN.search(text, min(at + size, len(text)))
+        stop = cut.start() if cut else len(text)
+        behind = stop
+        for _ in range(most - 1):
+            word = _WORD.search(text, behind)
+            behind = word.end() if word else len(text)
+        yield text[at:behind], stop - at
         at = stop
 
 
-def suffixes(text: bytes, most: int = MOST_WORDS) -> Iterator[tuple[bytes, ...]]:
-    """One suffix of its piece for each word, of ``most`` words at most."""
-    held: list[bytes] = []
-
-    def rest(words):
-        return (tuple(words[k : k + most]) for k in range(len(words)))
-
-    for goes_on, words in pieces(text.translate(_FORM)):
-        if not goes_on:
-            yield from rest(held)
-            held = []
-        words = held + words
-        yield from zip(*(words[k:] for k in range(most)), strict=False)
-        held = words[max(0, len(words) - most + 1) :]
-    yield from rest(held)
-
-
-def _parts(items: Iterator, size: int = 1 << 16) -> Iterator[list]:
-    while part := list(islice(items, size)):
-        yield part
-
-
-def _key(lang: bytes, words: tuple[bytes, ...]) -> bytes:
-    """Two bytes that say where a suffix is dealt to, by language, first word and a salt from the second; then the language and the words, each closed by a zero byte."""
-    first = lang + _END + words[0] + _END
-    salt = zlib.crc32(words[1]) % SALTS * _SPREAD if len(words) > 1 else 0
-    rest = _END.join(words[1:]) + _END if len(words) > 1 else b""
-    return (zlib.crc32(first) + salt & 0xFFFF).to_bytes(2, "big") + first + rest
-
-
-def _counted(most: int):
-    """(lang, text) to (key, n): a suffix as by ``_key``, and how often it was met."""
-
-    def spelt(counts: dict[bytes, Counter]):
-        keys, n = [], []
-        for lang, found in counts.items():
-            keys += [_key(lang, words) for words in found]
-            n += found.values()
-        counts.clear()
-        for k in range(0, len(keys), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)], pa.binary()), pa.array(n[k : k + (1 << 16)], pa.int64())], names=["key", "n"])
+def _counted(most: int, most_bytes: int = HELD):
+    """(lang, text) to (key, n) of ``_suffixes``: texts are gathered by language up to so many bytes, and longer ones cut."""
 
     def counted(batches):
-        counts: dict[bytes, Counter] = {}
-        held = 0
+        held: dict[bytes, list[bytes]] = {}
+        size = 0
         for batch in batches:
             langs, texts = (batch.column(c).cast(pa.binary()).to_pylist() for c in (0, 1))
             for lang, text in zip(langs, texts, strict=True):
                 key = UNKNOWN.encode() if lang is None else lang.translate(_SAFE)
-                for part in _parts(suffixes(text or b"", most)):
-                    own = counts.setdefault(key, Counter())
-                    held -= len(own)
-                    own.update(part)
-                    held += len(own)
-                    if held > HELD:
-                        yield from spelt(counts)
-                        held = 0
-        yield from spelt(counts)
+                if text and len(text) > most_bytes:
+                    for part, own in _parts(text, most_bytes, most):
+                        yield from sliced(_suffixes([part], key, most, own))
+                elif text:
+                    held.setdefault(key, []).append(text)
+                    size += len(text) + 1
+                if size > most_bytes:
+                    yield from made(held)
+                    size = 0
+        yield from made(held)
+
+    def made(held):
+        for lang, texts in held.items():
+            yield from sliced(_suffixes(texts, lang, most))
+        held.clear()
+
+    def sliced(out):
+        return (out.slice(k, 1 << 16) for k in range(0, out.num_rows, 1 << 16))
 
     return counted
 
 
+class Stack:
+    """Counts of all prefixes of keys that come in reverse order, batch by batch. What is on the stack between batches is the last key: its own count and that of its first two, three ... words. Prefixes of
+    no word (the language) and of one are given for each batch: they are parts of sums."""
+
+    def __init__(self, least: int):
+        self.least = least
+        self.last: bytes | None = None
+        self.carried: dict[int, int] = {}
+
+    def push(self, keys: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        counts = {0: n, 1: n}
+        if self.last is not None:
+            keys = pa.concat_arrays([pa.array([self.last], pa.binary()), keys])
+            n = np.concatenate([[0], n])
+            counts = {0: n, 1: n}
+        offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
+        data = np.frombuffer(keys.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        begins, sizes = offsets[:-1], np.diff(offsets)
+        # bytes that differ from those of the key before, at the same place
+        back = np.repeat(np.concatenate([[0], sizes[:-1]]), sizes)
+        same_place = np.arange(len(data)) - back
+        differs = np.ones(len(data), bool)
+        known = same_place >= 0
+        differs[known] = data[known] != data[same_place[known]]
+        total = np.concatenate([[0], np.cumsum(differs)])
+        zeros = np.flatnonzero(data == 0)
+        of = np.searchsorted(begins, zeros, side="right") - 1
+        firsts = np.searchsorted(of, np.arange(len(keys)))
+        words = np.bincount(of, minlength=len(keys)) - 1
+        for level in range(int(words.max(initial=0)) + 1):
+            has = np.flatnonzero(words >= level)
+            if not len(has):
+                continue
+            end = zeros[firsts[has] + level] + 1
+            # equal prefixes are neighbours, and keys between two of them would share the prefix: they have it too
+            new = (total[end] - total[begins[has]] > 0) | np.concatenate([[True], np.diff(has) > 1])
+            start = np.flatnonzero(new)
+            own = counts.get(level, n)[has]
+            if level > 1 and self.last is not None and has[0] == 0:
+                own = own.copy()
+                own[0] += self.carried.get(level, 0)
+            sums = np.add.reduceat(own, start)
+            where, stop = begins[has[start]], end[start]
+            if level > 1:
+                open_ = has[-1] == len(keys) - 1  # may go on in the next batch
+                self.carried[level] = int(sums[-1]) if open_ else 0
+                given = sums >= self.least
+                if open_:
+                    given[-1] = False
+            else:
+                given = sums > 0
+            if given.any():
+                yield self._spelt(data, where[given], stop[given], level, sums[given])
+        for level in list(self.carried):
+            if level > words[-1]:
+                self.carried[level] = 0
+        self.last = keys[-1].as_py()
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.last is not None:
+            data = np.frombuffer(self.last, np.uint8)
+            zeros = np.flatnonzero(data == 0)
+            for level in range(2, len(zeros)):
+                n = self.carried.get(level, 0)
+                if n >= self.least:
+                    yield self._spelt(data, np.array([0]), zeros[level : level + 1] + 1, level, np.array([n]))
+
+    def _spelt(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray, level: int, sums: np.ndarray) -> pa.RecordBatch:
+        """Prefixes as (lang, words, phrase, f)."""
+        out = []
+        zero = np.flatnonzero(data == 0)
+        lang_end = zero[np.searchsorted(zero, begin)]
+        for a, b in ((begin + 2, lang_end), (lang_end + 1, np.maximum(stop - 1, lang_end + 1))):
+            size = b - a
+            stops = np.cumsum(size)
+            inner = np.arange(int(size.sum())) - np.repeat(stops - size, size)
+            out.append(_binary(_TEXT[data[inner + np.repeat(a, size)]], stops, pa.string()))
+        words = pa.array(np.full(len(sums), level, np.int32))
+        return pa.RecordBatch.from_arrays([out[0], words, out[1], pa.array(sums, pa.int64())], names=["lang", "words", "phrase", "f"])
+
+
 def _prefixes(least: int):
-    """(key, n) in reverse order of keys to (lang, words, phrase, f): counts of all prefixes with one stack. Counts of no word (the language) and of one are parts of sums; of others
-    those of ``least`` and more are given."""
+    """(key, n) in reverse order of keys to (lang, words, phrase, f) of ``Stack``."""
 
     def counted(batches):
-        stack: list[list] = []  # (bytes, count) of the language and of each word below it
-        found: list[tuple] = []
-
-        def pop():
-            word, n = stack.pop()
-            if stack:
-                stack[-1][1] += n
-            if len(stack) < 2 or n >= least:
-                path = [x[0] for x in stack] + [word]
-                lang, *words = (x.translate(_BACK).decode() for x in path)
-                found.append((lang, len(words), " ".join(words), n))
-
-        def batch():
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "words", "phrase", "f"]
-            )
-            found.clear()
-            return out
-
-        for rows in batches:
-            for key, n in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                path = key[2:].split(_END)[:-1]
-                same = 0
-                while same < len(stack) and same < len(path) and stack[same][0] == path[same]:
-                    same += 1
-                while len(stack) > same:
-                    pop()
-                for word in path[same:]:
-                    stack.append([word, 0])
-                stack[-1][1] += n
-            if len(found) >= 1 << 15:
-                yield batch()
-        while stack:
-            pop()
-        if found:
-            yield batch()
+        stack = Stack(least)
+        for batch in batches:
+            if batch.num_rows:
+                yield from stack.push(batch.column(0).cast(pa.binary()), batch.column(1).to_numpy())
+        yield from stack.close()
 
     return counted
 

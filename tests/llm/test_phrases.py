@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from basinframe.llm import phrases
@@ -55,17 +57,54 @@ def test_ranks_are_cut_after_ties(spark):
     assert [(r["rank"], r.phrase) for r in got] == list(enumerate(sorted(f"w{k} v{k}" for k in range(30))[:7], 1))
 
 
-def test_long_texts_are_cut_in_chunks(monkeypatch):
-    draw = random.Random(5)
-    for size in (1, 2, 7, 64):
-        monkeypatch.setattr(phrases, "CHUNK", size)
-        for _ in range(60):
-            text = "".join(draw.choice(["a", "bb", "c" * 9, " ", "  ", ".", "\n", "é"]) for _ in range(draw.randrange(80)))
-            want = Counter()
+def spelt(batches):
+    """(language, words) of keys and their counts."""
+    out = Counter()
+    for batch in batches:
+        for key, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            lang, *words = key[2:].translate(phrases._BACK).split(b"\x00")[:-1]
+            out[lang, tuple(words)] += n
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 5, 40, 1000])
+def test_long_texts_are_cut_in_parts(size):
+    draw = random.Random(size)
+    for most in (2, 3, 4):
+        rows = [(draw.choice(["en", None]), "".join(draw.choice(["a", "bb", "c" * 9, " ", "  ", ".", "\n", "é", "\t"]) for _ in range(draw.randrange(120)))) for _ in range(30)]
+        want = Counter()
+        for lang, text in rows:
             for piece in re.split(r"[.,;:!?\x0A-\x0D]", text):
                 words = piece.encode().split()
-                want.update(tuple(words[k : k + 3]) for k in range(len(words)))
-            assert Counter(phrases.suffixes(text.encode())) == want
+                want.update(((lang or "und").encode(), tuple(words[k : k + most])) for k in range(len(words)))
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows[k : k + 7], strict=True)], names=["lang", "text"]) for k in range(0, 30, 7)]
+        assert spelt(phrases._counted(most, size)(batches)) == want
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 50])
+def test_the_stack_goes_on_from_batch_to_batch(step):
+    draw = random.Random(step)
+    keys = Counter()
+    for _ in range(300):
+        words = [draw.choice(["a", "b", "ab", "c"]) for _ in range(draw.randrange(1, 4))]
+        keys[b"\x01\x01" + draw.choice([b"de", b"en"]) + b"\x00" + b"".join(w.encode() + b"\x00" for w in words)] += draw.randrange(1, 4)
+    rows = [(k, n) for key, total in sorted(keys.items(), reverse=True) for k, n in [(key, 1)] * (total > 1) + [(key, total - (total > 1))]]
+    want = Counter()
+    for key, n in rows:
+        lang, *words = key[2:].split(b"\x00")[:-1]
+        for k in range(len(words) + 1):
+            want[lang.decode(), k, " ".join(w.decode() for w in words[:k])] += n
+    stack, got = phrases.Stack(5), Counter()
+    for at in range(0, len(rows), step):
+        part = rows[at : at + step]
+        for out in [*stack.push(pa.array([k for k, _ in part], pa.binary()), np.array([n for _, n in part]))]:
+            got.update({(r["lang"], r["words"], r["phrase"]): 0 for r in out.to_pylist()})
+            for r in out.to_pylist():
+                got[r["lang"], r["words"], r["phrase"]] += r["f"]
+    for out in stack.close():
+        for r in out.to_pylist():
+            got[r["lang"], r["words"], r["phrase"]] += r["f"]
+    assert got == Counter({k: n for k, n in want.items() if k[1] < 2 or n >= 5})
 
 
 def test_scores_beyond_64_bits(spark):
@@ -77,12 +116,5 @@ def test_scores_beyond_64_bits(spark):
     assert row.score == 10**6 * (big - 3) ** 2 // ((3 * big + 1) * (big + 7))
 
 
-def test_a_small_table_of_counts_is_handed_on(spark, monkeypatch):
-    rows = [("en", "a b c a b c. b c")] * 20
-    monkeypatch.setattr(phrases, "HELD", 2)
-    got = sorted(tuple(r) for r in phrases.collocations(docs_of(spark, rows)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
-    assert got == brute(rows)
-
-
 def test_empty_table(spark):
     assert phrases.collocations(docs_of(spark, [("en", "a")]).limit(0)).collect() == []
