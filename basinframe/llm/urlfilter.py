@@ -2,7 +2,8 @@ r"""URL filters: pattern rules indexed by their rarest literal token.
 
 A rule is a host with a path (``example.net/en/`` fits that host and its subdomains if the path starts so) or a pattern in
 the public filter-list notation: ``||`` a host's start, ``|`` an end of the url, ``*`` anything, ``^`` a separator, ``@@`` in
-front for an exception. Each becomes a regular expression.
+front for an exception. Each becomes a regular expression. Patterns see the url with A-Z in lower case, as hosts have it; a host rule's path
+keeps its case.
 
 *Index.* Tokens are runs of a-z and 0-9 of the lower-cased url. A rule's literal tokens are those that any url it fits has whole.
 How often tokens occur is counted over all urls, and each rule is filed under its rarest one. A url's tokens fetch the
@@ -74,7 +75,7 @@ def _whole_tokens(literal: str, open_start: bool = False, open_end: bool = False
 
 def pattern_rule(text: str) -> Rule:
     """Of one line in filter-list notation."""
-    body = text.removeprefix("@@")
+    body = text.removeprefix("@@").translate(str.maketrans(_UPPER, _LOWER))
     regex, tokens = "", []
     start = "||" if body.startswith("||") else "|" if body.startswith("|") else ""
     end = "|" if body.endswith("|") and len(body) > len(start) else ""
@@ -115,7 +116,7 @@ def token_counts(urls: DataFrame, url: str, rules: list[Rule]) -> dict[str, int]
 @lru_cache(maxsize=1 << 16)
 def _compiled(regex: str) -> re.Pattern:
     """Compiled when a url first fetches its rule, and kept by the worker."""
-    return re.compile(regex, re.DOTALL)
+    return re.compile(regex, re.DOTALL | re.ASCII)
 
 
 class Index:
@@ -128,7 +129,7 @@ class Index:
             self.by_token.setdefault(filed, []).append(rule)
 
     def best(self, url: str, target: str) -> Rule | None:
-        """The rule that decides on a url; ``target`` is its host and path."""
+        """The rule that decides on a url in lower case; ``target`` is its host and path."""
         found = None
         for token in ("", *tokens_of(url)):
             for rule in self.by_token.get(token, ()):
@@ -189,7 +190,7 @@ def judge(urls: DataFrame, rules: list[Rule], url: str = "url", rules_at_once: i
     now = now.withColumn(target, F.concat("host", "path")).withColumn(found, F.lit(None).cast(FOUND))
     counts = token_counts(urls, url, rules) if rules else {}
     for k in range(0, len(rules), rules_at_once):
-        now = now.withColumn(found, _judge(rules[k : k + rules_at_once], counts)(F.col(url), F.col(target), F.col(found)))
+        now = now.withColumn(found, _judge(rules[k : k + rules_at_once], counts)(F.translate(F.col(url), _UPPER, _LOWER), F.col(target), F.col(found)))
     by_host = F.col(f"{found}.host")
     return now.select(
         *urls.columns,
@@ -208,42 +209,54 @@ HOST_RULES = (
     host_rule(BLOCK, "example.com/de/"),
     host_rule(ALLOW, "org/fr/"),
 )
-#: Patterns for urls that no host rule fits: ad and tracking servers by name and by number, installers, campaign parameters.
-NUMBERED = 2000
-PATTERN_RULES = (
-    *map(pattern_rule, ("||ads.", "||adserver.", "||tracker.", "/banner/", "/adclick/*", ".exe|", "@@||example.org^")),
-    *(pattern_rule(f"||ad{k}.") for k in range(NUMBERED)),
-    *(pattern_rule(f"^utm_campaign=spam{k}^") for k in range(NUMBERED)),
-)
+#: Patterns for urls that no host rule fits: ad and tracking servers, banners, installers; and one exception.
+PATTERN_RULES = tuple(map(pattern_rule, ("||ads.", "||adserver.", "||tracker.", "/banner/", "/adclick/*", ".exe|", "@@||example.org^")))
+#: Addresses that are blocked because most pages have them.
+REPEATED = 2000
+
+
+def repeated_addresses(urls: DataFrame, url: str = "url", most: int = REPEATED) -> list[Rule]:
+    """Patterns that block the ``most`` addresses (host and path, query left out) that occur most often, ties by address. Only addresses of plain characters count, so that none is read as
+    notation. A top list, so what comes to the driver is bounded."""
+    low = urls.select(F.translate(F.col(url), _UPPER, _LOWER).alias("low"))
+    address = F.concat(host_of("low"), path_of("low"))
+    counted = low.select(address.alias("address")).where(F.col("address").rlike(PLAIN)).groupBy("address").count()
+    top = counted.orderBy(F.desc("count"), "address").limit(most)
+    return [pattern_rule(f"||{r.address}^") for r in top.collect()]
+
+
+PLAIN = r"^[a-z0-9.-]+/[a-z0-9./_-]+\z"
 
 
 def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on the url of every page."""
+    """Verdict on the url of every page, by host rules, general patterns and a block list of the addresses that the pages repeat most."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, [*HOST_RULES, *PATTERN_RULES]).select("page_id", "host", "path", "rule", "verdict")
+    rules = [*HOST_RULES, *PATTERN_RULES, *repeated_addresses(pages)]
+    return judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
 ORACLE = r"""
 WITH p AS (
-  SELECT page_id, coalesce(url, '') AS url,
+  SELECT page_id, coalesce(url, '') AS url, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
     CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (
-  SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-    AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+  SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS id FROM p),
+a AS (SELECT address FROM (SELECT host || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS address FROM h)
+  WHERE regexp_full_match(address, '[a-z0-9.-]+/[a-z0-9./_-]+') GROUP BY address ORDER BY count(*) DESC, address LIMIT 2000),
+b AS (SELECT split_part(address, '/', 1) AS ah, address[strpos(address, '/'):] AS ap FROM a),
+l AS (SELECT id, host, low[strpos(low, '://') + 3 + length(host):] AS tail FROM h WHERE regexp_matches(low, '^[^:/?#]+://')),
+m AS (SELECT DISTINCT id FROM l JOIN b ON (host = ah OR ends_with(host, '.' || ah)) AND starts_with(tail, ap)
+  AND regexp_matches(tail[strlen(ap) + 1:], '^([^\w.%-]|$)')),
 r(rh, rp, action) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
   ('org', '/fr/', 'allow')),
 f AS (
-  SELECT page_id, url, host, path, rh || rp AS rule, action, row_number() OVER (PARTITION BY h.rowid_ ORDER BY length(rh || rp) DESC NULLS LAST)
-    AS k FROM (SELECT *, row_number() OVER () AS rowid_ FROM h) h
-  LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+  SELECT h.*, rh || rp AS rule, action, row_number() OVER (PARTITION BY h.id ORDER BY length(rh || rp) DESC NULLS LAST) AS k
+  FROM h LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
 SELECT page_id, host, path, rule, coalesce(action, CASE
-  WHEN regexp_matches(url, '^[^:/?#]+://([^/?#]*\.)?example\.org([^\w.%-]|$)') THEN 'allow'
-  WHEN list_has_any(string_split(regexp_extract(lower(url), '^[^:/?#]+://([^/?#]*)', 1), '.')[:-2], ['ads', 'adserver', 'tracker'])
-    OR regexp_matches(url, '/banner/|/adclick/|\.exe$') THEN 'block'
-  WHEN list_bool_or(list_transform(string_split(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1), '.')[:-2],
-    lambda x: regexp_full_match(x, 'ad(0|[1-9][0-9]*)') AND try_cast(substr(x, 3) AS BIGINT) < 2000)) THEN 'block'
-  WHEN list_bool_or(list_transform(regexp_extract_all(url, '[^\w.%-]utm_campaign=spam([0-9]+)([^\w.%-]|$)', 1),
-    lambda x: x = '0' OR (NOT starts_with(x, '0') AND coalesce(try_cast(x AS BIGINT), 9999) < 2000))) THEN 'block'
+  WHEN regexp_matches(low, '^[^:/?#]+://([^/?#]*\.)?example\.org([^\w.%-]|$)') THEN 'allow'
+  WHEN list_has_any(string_split(regexp_extract(low, '^[^:/?#]+://([^/?#]*)', 1), '.')[:-2], ['ads', 'adserver', 'tracker'])
+    OR regexp_matches(low, '/banner/|/adclick/|\.exe$') OR m.id IS NOT NULL THEN 'block'
   ELSE 'allow' END) AS verdict
-FROM f WHERE k = 1
+FROM f LEFT JOIN m ON m.id = f.id WHERE k = 1
 """
