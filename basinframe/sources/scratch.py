@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,15 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a lost executor costs a
-    reread only."""
+def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> str:
+    """The path of ``df`` written as a table in the shared folder, partitioned ``by`` columns."""
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/basinframe-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(folder)
-    path = f"{folder}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(f"{folder}/{name}")
+    return f"{folder}/{name}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a lost executor costs a
+    reread only."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
 
 
 def release(spark: SparkSession) -> int:

@@ -129,19 +129,31 @@ def xyz_lines(nodes: DataFrame, x: str, y: str, value: str, defined: str) -> Dat
     return nodes.where(F.col(defined) & ~F.isnan(v) & v.isNotNull()).select(F.concat_ws(" ", x, y, value).alias("line"))
 
 
+def _written_value() -> Column:
+    """What a lattice node says: a defined finite number, else null."""
+    v = F.col("raw").cast("double")
+    return F.when(F.col("defined") & ~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+
 def zmap_head(nodes: DataFrame, name: str, rows_to_a_line: int = 5) -> DataFrame:
-    """The ZMAP header of a lattice (i, j, x, y, raw, defined): one text. The code for null is one that no value has."""
-    code = F.when(F.max(F.abs("raw")) < abs(ZMAP_NULL), F.lit(ZMAP_NULL)).otherwise(-F.pow(F.lit(10.0), F.floor(F.log10(F.max(F.abs("raw")))) + 1))
+    """The ZMAP header of a lattice (i, j, x, y, raw, defined): (head, code, rows, columns), one row. The code for null is one that no written value has: -1e30, or else
+    the negative power of ten beyond them all. NaN and infinities are written as null, so they have no say in it."""
+    most = F.max(F.abs(_written_value()))
+    code = F.when(most >= abs(ZMAP_NULL), -F.pow(F.lit(10.0), F.floor(F.log10(most)) + 1)).otherwise(F.lit(ZMAP_NULL))
     sizes = nodes.agg((F.max("j") + 1).alias("rows"), (F.max("i") + 1).alias("columns"), *[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))], code.alias("code"))
     lines = (
         F.lit(f"@{name} HEADER, GRID, {rows_to_a_line}"), F.concat_ws(", ", F.lit("15"), "code", F.lit(""), F.lit("7"), F.lit("1")),
         F.concat_ws(", ", "rows", "columns", "low_x", "high_x", "low_y", "high_y"), F.lit("0.0, 0.0, 0.0"), F.lit("@"),
     )
-    return sizes.select(F.concat_ws("\n", *lines).alias("head"), "code")
-
-
-def zmap_lines(nodes: DataFrame, name: str) -> DataFrame:
-    """Column-major ZMAP body lines of a lattice, from the top row down: (i, line)."""
-    column = F.array_sort(F.collect_list(F.struct((-F.col("j")).alias("o"), F.when(F.col("defined"), F.col("raw")).alias("v"))))
-    values = F.transform("column", lambda r: F.coalesce(r["v"], F.lit(ZMAP_NULL)).cast("string"))
-    return nodes.groupBy("i").agg(column.alias("column")).select("i", F.array_join(values, " ").alias("line"))
+    return sizes.select(F.concat_ws("\n", *lines).alias("head"), "code", "rows", "columns")
+
+
+def zmap_lines(nodes: DataFrame, head: DataFrame, rows_to_a_line: int = 5) -> DataFrame:
+    """Body lines under a ``head`` of ``zmap_head``: (i, k, line), column by column from the top row down, so many values to a line, each column from a new line.
+    Null and what no node states have the header's code. A line is a group of its own, so no task holds a column."""
+    every = head.select("code", "rows", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("i"))
+    every = every.select("code", "i", "rows", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("j"))
+    met = every.join(nodes.select("i", "j", _written_value().alias("v")), ["i", "j"], "left").withColumn("place", F.col("rows") - 1 - F.col("j"))
+    value = F.struct("place", F.coalesce("v", "code").cast("string").alias("v"))
+    groups = met.groupBy("i", F.floor(F.col("place") / rows_to_a_line).cast("int").alias("k")).agg(F.array_sort(F.collect_list(value)).alias("values"))
+    return groups.select("i", "k", F.array_join(F.transform("values", lambda r: r["v"]), " ").alias("line"))

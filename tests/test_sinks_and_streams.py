@@ -76,9 +76,27 @@ def test_las_round_trip(spark):
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, d.collect()), key=str)
 
 
-def test_zmap_columns(spark):
-    n = spark.createDataFrame([(0, 0, 1.0, True), (0, 1, 2.0, True), (1, 0, 3.0, False), (1, 1, 4.0, True)], "i int, j int, raw double, defined boolean")
-    assert {r.i: r.line for r in sinks.zmap_lines(n, "z").collect()} == {0: "2.0 1.0", 1: "4.0 -1.0E30"}
+def test_zmap_head_and_body_agree(spark):
+    inf, nan = float("inf"), float("nan")
+    schema = "i int, j int, x double, y double, raw double, defined boolean"
+    values = [5e31, -10.0, -1e30, 7.0, nan, inf, -inf, None]
+    nodes = spark.createDataFrame([(i, j, 1.0 * i, 2.0 * j, values[(i * 7 + j) % 8], (i, j) != (1, 6)) for i in range(2) for j in range(7) if (i, j) != (0, 3)], schema)
+    head = sinks.zmap_head(nodes, "g").first()
+    assert head.code == -1e32 and head["head"].split("\n")[0].endswith("GRID, 5") and "-1.0E32" in head["head"].split("\n")[1]
+    lines = {(r.i, r.k): [float(x) for x in r.line.split()] for r in sinks.zmap_lines(nodes, sinks.zmap_head(nodes, "g")).collect()}
+    assert {k: len(v) for k, v in lines.items()} == {(0, 0): 5, (0, 1): 2, (1, 0): 5, (1, 1): 2}
+
+    def stated(i, j):
+        v = values[(i * 7 + j) % 8]
+        return -1e32 if (i, j) in ((1, 6), (0, 3)) or v in (None, inf, -inf) or v != v else v
+
+    for i in range(2):
+        assert lines[i, 0] + lines[i, 1] == [stated(i, j) for j in range(6, -1, -1)]
+    plain = spark.createDataFrame([(0, 0, 0.0, 0.0, 1.0, True), (0, 1, 0.0, 1.0, 2.0, True), (1, 0, 1.0, 0.0, 3.0, False), (1, 1, 1.0, 1.0, 4.0, True)], schema)
+    assert {r.i: r.line for r in sinks.zmap_lines(plain, sinks.zmap_head(plain, "z")).collect()} == {0: "2.0 1.0", 1: "4.0 -1.0E30"}
+    empty = plain.where("i < 0")
+    assert sinks.zmap_lines(empty, sinks.zmap_head(empty, "z")).collect() == []
+
 
 
 @pytest.fixture(scope="module")
