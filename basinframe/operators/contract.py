@@ -281,15 +281,17 @@ class Receiver:
 
 @dataclass(frozen=True)
 class Need:
-    """A field that a category needs: any known value, one of ``values``, or JSON that has all ``members``."""
+    """A field that a category needs: any known value, one of ``values``, or JSON that has all ``members`` and of them has those in ``exactly`` as the JSON text given."""
 
     categories: tuple[str, ...]
     field: str
     code: str | None = None
     values: tuple[str, ...] = ()
     members: tuple[str, ...] = ()
+    exactly: tuple[tuple[str, str], ...] = ()
 
 
+# Categories, fields, values and members that a receiver's rules ask for.
 _PLACED = ("surface_geometry", "surface_property", "well", "trajectory", "culture_polygon", "culture_point")
 _LOG, _ON_WELL, _SURFACE = ("well_log",), ("well_log", "marker", "checkshot", "trajectory"), ("surface_geometry", "surface_property")
 NEEDS = (
@@ -299,19 +301,46 @@ NEEDS = (
     Need(_LOG, "log_kind", "LOG_KIND_UNSUPPORTED", ("continuous_scalar",)), Need(_LOG, "index_kind", "LOG_INDEX_SEMANTICS_UNRESOLVED", ("measured_depth",)),
     Need(_LOG, "sampling_kind", "LOG_INTERVAL_SEMANTICS_UNRESOLVED", ("point_samples",)), Need(_LOG, "null_semantics", None, (), ("representation", "source_rule")),
     Need(("well",), "well_identity"), Need(("well",), "head_semantics", None, (), ("xyz_roles", "vertical_reference", "source_locator")),
-    Need(("trajectory",), "track_semantics", None, (), ("station_order", "md_source", "vertical_reference", "full_track")),
+    Need(("trajectory",), "track_semantics", None, (), ("station_order", "md_source", "vertical_reference", "full_track"), (("full_track", "true"), ("md_source", '"stored_measured_depth"'))),
     Need(("marker",), "marker_semantics", None, (), ("source_role", "reference_validation")),
     Need(("checkshot",), "checkshot_semantics", None, (), ("source_role", "reference_validation")),
     Need(("checkshot",), "time_convention", None, ("OWT", "TWT")), Need(("checkshot",), "vertical_reference"),
     Need(("culture_polygon",), "polygon_topology", None, (), ("parts", "vertex_order", "ring_roles", "attribute_binding")),
     Need(("surface_geometry",), "surface_role", "SURFACE_VALUE_ROLE_UNRESOLVED", ("horizon_geometry",)),
     Need(("surface_property",), "surface_role", "SURFACE_VALUE_ROLE_UNRESOLVED", ("mapped_property",)),
-    Need(_SURFACE, "grid_registration", "GRID_REGISTRATION_UNRESOLVED", (), ("dimensions", "origin_xy", "i_basis", "j_basis", "index_order")),
 )
 #: What native records of a log must say where they say anything.
 LOG_SEMANTICS = (("interval_records", "false"), ("curve_kind", "continuous_scalar"), ("index_type", "measured_depth"), ("value_role", "native_scalar_values"), ("blob_type", "FloatWellLog"))
 
 
+INDEX_ORDERS = ("i_major_j_minor", "j_major_i_minor", "i_fastest_j_slowest", "j_fastest_i_slowest")
+
+
+def _member(value: Column, path: str) -> Column:
+    """A member of a JSON text as compact JSON, so that 3, "3" and true keep their types."""
+    return F.to_json(F.try_variant_get(F.try_parse_json(value), path, "variant"))
+
+
+def _is_grid(value: Column) -> Column:
+    """Whether JSON states a lattice: two positive whole dimensions, an origin and two axes of two finite numbers that span an area, and a known order."""
+    number = r"-?\d+(\.\d+)?([eE][+-]?\d+)?"
+    good = _true(F.get_json_object(value, "$.dimensions").rlike(r"^\[[1-9]\d*,[1-9]\d*\]$"))
+    for axis in ("origin_xy", "i_basis", "j_basis"):
+        good = good & _true(_member(value, f"$.{axis}").rlike(rf"^\[{number},{number}\]$"))
+    i, j = ([F.try_variant_get(F.try_parse_json(value), f"$.{a}[{k}]", "double") for k in (0, 1)] for a in ("i_basis", "j_basis"))
+    area = i[0] * j[1] - i[1] * j[0]
+    return good & _true((area != 0) & ~F.isnan(area) & (F.abs(area) < float("inf"))) & _true(F.get_json_object(value, "$.index_order").isin(*INDEX_ORDERS))
+
+
+def _nodes_registered(value: Column, grid: Column, parent: Column) -> Column:
+    """Whether JSON says that a property's nodes were validated against the parent's lattice, as many as that has."""
+    whole = F.get_json_object(value, "$.count").rlike(r"^[1-9]\d*$") & ~_member(value, "$.count").startswith('"')
+    count = F.when(whole, F.try_variant_get(F.try_parse_json(value), "$.count", "decimal(38,0)"))
+    sides = [F.try_variant_get(F.try_parse_json(grid), f"$.dimensions[{k}]", "decimal(19,0)") for k in (0, 1)]
+    said = _well_said(F.get_json_object(value, "$.method")) & _true(F.get_json_object(value, "$.parent_entity_key") == parent)
+    return said & _true(_member(value, "$.validated") == "true") & _is_grid(grid) & _true(count == sides[0] * sides[1])
+
+
 def _effective(field: str) -> Column:
     """The recorded value, or what a decision asserts where nothing else is recorded."""
     return F.coalesce(F.try_element_at(F.col("assertions"), F.lit(field)), _value(field))
@@ -329,6 +358,8 @@ def _needed(need: Need, applies: Column | None = None) -> list[tuple[str, Column
         good = _true(value.isin(*need.values))
     for member in need.members:
         good = good & _well_said(F.get_json_object(value, f"$.{member}"))
+    for member, text in need.exactly:
+        good = good & _true(_member(value, f"$.{member}") == text)
     code = need.code or f"{need.field.upper()}_UNRESOLVED"
     return [(f"CONFLICTING_{need.field.upper()}", where & conflict), (code, where & ~conflict & ~good)]
 
@@ -368,6 +399,13 @@ def mapping_rules(receiver: Receiver) -> list[tuple[str, Column]]:
         other = other | ~survey(f).eqNullSafe(_effective(f))
     other = other | F.when(timed, ~survey("time_convention").eqNullSafe(_effective("time_convention"))).otherwise(~survey("vertical_reference").eqNullSafe(_effective("vertical_reference")))
     surface, on_well = _in(*_SURFACE), _in(*_ON_WELL)
+    grid, nodes = _effective("grid_registration"), _effective("node_registration")
+    for field, code, where, good in (
+        ("grid_registration", "GRID_REGISTRATION_UNRESOLVED", surface, _is_grid(grid)),
+        ("node_registration", "NODE_REGISTRATION_UNVERIFIED", _in("surface_property"), exact_parent & _nodes_registered(nodes, grid, parent["target"])),
+    ):
+        conflict = _true(_field(field)["alternatives"] > 1)
+        rules += [(f"CONFLICTING_{field.upper()}", where & conflict), (code, where & ~conflict & ~good)]
     volume = _link("reference_seismic")
     with_volume = _true(volume["exact"] & (volume["category"] == "seismic") & (F.col("reference_volume_key") == volume["target"]))
     rules += [

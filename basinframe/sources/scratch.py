@@ -44,12 +44,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one table that ``written`` has made, when all that was computed from it has been written itself."""
+    folder = path.rsplit("/", 1)[0]
+    _WRITTEN.get(spark.sparkContext.applicationId, []).remove(folder)
+    _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables that ``settle`` has written for this application, and say how many. Call it when no result that reads
     them is needed any more; a long session otherwise keeps them all."""
     folders = _WRITTEN.pop(spark.sparkContext.applicationId, [])
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in folders:
-        p = jvm.org.apache.hadoop.fs.Path(folder)
-        p.getFileSystem(conf).delete(p, True)
+        _delete(spark, folder)
     return len(folders)

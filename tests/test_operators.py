@@ -249,3 +249,33 @@ def test_a_whole_catalogue_is_assessed_and_mapped(spark):
     assert states(strict, derived)["e2"] == ("requires_derived_mapping", "SURVEY_LATTICE_MISMATCH")
     wrong = [("e1", "2", None, None, "e3", "t", "planned", None, {"md_unit": "ft", "log_kind": "other"}, None, None)]
     assert states(files, wrong)["e1"][1].split(",") == ["LOG_KIND_UNSUPPORTED", "SOURCE_DECISION_CONFLICT", "TARGET_OBJECT_DECISION_REQUIRED", "TARGET_PROFILE_DECISION_REQUIRED", "WELL_TARGET_BINDING_UNRESOLVED"]
+
+
+def test_receivers_ask_for_whole_tracks_valid_lattices_and_registered_nodes(spark):
+    import json
+
+    from basinframe.operators import contract
+
+    grid = {"dimensions": [2, 3], "origin_xy": [0, 0.5], "i_basis": [1, 0], "j_basis": [0, 1e1], "index_order": "i_major_j_minor"}
+    track = {"station_order": "stored", "md_source": "stored_measured_depth", "vertical_reference": "msl", "full_track": True}
+    nodes = {"parent_entity_key": "g", "method": "m", "count": 6, "validated": True}
+    cases = {
+        "t0": ("trajectory", {"track_semantics": track}, None), "t1": ("trajectory", {"track_semantics": track | {"full_track": False}}, "TRACK_SEMANTICS_UNRESOLVED"),
+        "t2": ("trajectory", {"track_semantics": track | {"full_track": "true"}}, "TRACK_SEMANTICS_UNRESOLVED"), "t3": ("trajectory", {"track_semantics": track | {"md_source": "derived"}}, "TRACK_SEMANTICS_UNRESOLVED"),
+        "g": ("surface_geometry", {"grid_registration": grid}, None), "p0": ("surface_property", {"grid_registration": grid, "node_registration": nodes}, None),
+    }
+    for k, change in enumerate(({"dimensions": [2, 0]}, {"dimensions": [2, 3, 4]}, {"dimensions": ["2", 3]}, {"dimensions": [2.5, 3]}, {"origin_xy": [0]}, {"origin_xy": [0, "1"]}, {"j_basis": [2, 0]}, {"i_basis": None}, {"index_order": "other"})):
+        cases[f"g{k}"] = ("surface_geometry", {"grid_registration": grid | change}, "GRID_REGISTRATION_UNRESOLVED")
+    for k, change in enumerate(({"count": 5}, {"count": "6"}, {"count": 6.0}, {"validated": "true"}, {"validated": False}, {"parent_entity_key": "g0"}, {"method": "unknown"})):
+        cases[f"p{k + 1}"] = ("surface_property", {"grid_registration": grid, "node_registration": nodes | change}, "NODE_REGISTRATION_UNVERIFIED")
+    cases["p8"] = ("surface_property", {"grid_registration": grid}, "NODE_REGISTRATION_UNVERIFIED")
+    entities = rows(spark, [(k, c[0], "decoded", None) for k, c in cases.items()], "entity_key string, category string, source_status string, materialization_status string")
+    artifact = "artifact_key int, entity_key string, role string, index_section string, original_status string, numerical_qc string, recorded_sha256 string, current_sha256 string, expected_bytes long, current_bytes long, retention string"
+    links = [(k, "g", "native_parent", "exact_id_reference") for k in cases if k[0] == "p"]
+    evidence = [(k, f, json.dumps(v)) for k, c in cases.items() for f, v in c[1].items()]
+    facts = contract.facts_of(entities, rows(spark, [], artifact), rows(spark, links, "source_key string, target_key string, relation string, status string"), rows(spark, evidence, "entity_key string, field string, raw_value string"))
+    schema = "entity_key string, target_version string, target_api_version string, target_object_id string, well_target_key string, well_target_id string, well_target_state string, reference_volume_key string, assertions map<string,string>, survey map<string,string>, derived boolean"
+    receiver = contract.Receiver("1", None, ("trajectory", "surface_geometry", "surface_property"))
+    got = {r.entity_key: set(r.codes.split(",")) for r in contract.mapped(facts, rows(spark, [], schema), receiver).collect()}
+    asked = {"TRACK_SEMANTICS_UNRESOLVED", "GRID_REGISTRATION_UNRESOLVED", "NODE_REGISTRATION_UNVERIFIED"}
+    assert {k: got[k] & asked for k in cases} == {k: {c[2]} if c[2] else set() for k, c in cases.items()}
