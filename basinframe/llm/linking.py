@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import discard, written
 from .common import packed, settle, unpacked, unused
 from .components import components
 from .wordhash import jaccard
@@ -188,7 +189,9 @@ def _from_blocks(labelled: DataFrame, prints: DataFrame, alike: Alike, least: fl
     placed = labelled.join(sizes, ["bucket", "root"]).select("bucket", "own", part.alias("part"), "root", "key").join(prints, "key")
     blocks = placed.groupBy("bucket", "own", "part").agg(F.collect_list(F.struct("key", "root", "print")).alias("rows"))
     columns = (F.col(f"rows.{c}").alias(c) for c in ("key", "root", "print"))
-    blocks = settle(blocks.select("bucket", "own", F.xxhash64("own", "part").alias("block"), *columns), "blocks")
+    blocks = blocks.select("bucket", "own", F.xxhash64("own", "part").alias("block"), *columns)
+    path = written(blocks, "blocks")
+    blocks = labelled.sparkSession.read.schema(blocks.schema).parquet(path)
     x, y = blocks.alias("x"), blocks.alias("y")
     apart = F.coalesce(F.col("x.own") != F.col("y.own"), F.lit(True))
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") <= F.col("y.block")) & apart)
@@ -197,6 +200,7 @@ def _from_blocks(labelled: DataFrame, prints: DataFrame, alike: Alike, least: fl
     # a root has a row for each task at most, of k pairs at most
     best = found.groupBy("root").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("pairs"))), asc=False).alias("pairs"))
     best = settle(best.select(F.slice("pairs", 1, k).alias("pairs")), "best")
+    discard(labelled.sparkSession, path)
     more = not best.where(F.size("pairs") >= k).isEmpty()
     return best.select(F.explode("pairs").alias("pair")).select("pair.a", "pair.b").distinct(), more
 

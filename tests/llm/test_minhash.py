@@ -117,6 +117,27 @@ def test_no_link_is_lost_for_another_pair(spark):
     assert [found[k] for k in range(len(made))] == label
 
 
+def two_close_groups():
+    """Two texts of a likeness of 0.801 and 40 copies of each two words away: of all pairs between the groups that one passes, and it is not the likeliest by estimate."""
+    first = [f"w{k}" for k in range(1000)]
+    second = list(first)
+    for j in range(22):
+        second[20 + j * 44] = f"y{j}"
+    out = []
+    for words, tag in ((first, "p"), (second, "q")):
+        out.append(" ".join(words))
+        for k in range(40):
+            copy = list(words)
+            copy[(k * 5) % 980 + 7], copy[(k * 5 + 411) % 980 + 9] = f"{tag}a{k}", f"{tag}b{k}"
+            out.append(" ".join(copy))
+    return out
+
+
+def test_two_close_groups_are_linked_by_their_only_pair(spark):
+    docs = spark.createDataFrame(list(enumerate(two_close_groups())), "doc_id long, text string")
+    assert {r.class_id for r in minhash.near_duplicates(docs).collect()} == {0}
+
+
 def test_blocks_of_a_band_meet(spark, monkeypatch):
     monkeypatch.setattr(linking, "TOGETHER", 3)
     test_no_link_is_lost_for_another_pair(spark)
