@@ -5,9 +5,9 @@ byte n-gram of a text of any length lies in a window. A window's bytes are embed
 over it, each is max-pooled over the window, and a softmax over the pooled values gives a probability for each language.
 A text's prediction is the language with the largest mean over its windows, its score that mean.
 
-The network is trained in numpy on the driver, on a bounded sample: about ``DOCS_PER_LANG`` labelled documents of each
+The network is trained in numpy on the driver, on a bounded sample of rows: about ``DOCS_PER_LANG`` labelled documents of each
 language, and of very many languages as many of each as make ``SAMPLED_DOCS``, but 20 at least, so that no language is left out;
-``WINDOWS_PER_DOC`` windows of each document, spread over the whole text. Documents are
+all windows of each document that is drawn, each weighing so much that a document counts as ``WEIGHT`` windows at most, however long. Documents are
 drawn by a hash of doc_id; those whose crc32(doc_id as text) mod 4 is 2 are held out. Only text and lang are learned from.
 
 A null text, and one without a letter, is ``und`` with score 0, as is every text if there is nothing to learn from; ``keep_known`` then goes by
@@ -29,12 +29,12 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBEDDING = 4
-DOCS_PER_LANG = 500
-WINDOWS_PER_DOC = 8
+DOCS_PER_LANG = 300
+WEIGHT = 8
 SAMPLED_DOCS = 64_000
 #: Languages whose shares are broadcast at most, some 10 MB.
 LANGS_SENT = 100_000
-EPOCHS = 12
+EPOCHS = 8
 UNKNOWN = "und"
 
 _WIDEST = max(WIDTHS)
@@ -87,7 +87,8 @@ class ByteConvNet:
             out.append(self.softmax(self.convolved(part).reshape(len(part), _STEP, -1).max(axis=1)))
         return np.concatenate(out)
 
-    def gradients(self, windows: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, windows: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy, each window's being multiplied by its weight."""
         w, n, rows = self.weights, len(windows), np.arange(len(windows))
         conv = self.convolved(windows).reshape(n, _STEP, -1)
         at = conv.argmax(axis=1)  # window x filter: where each filter answers most
@@ -95,6 +96,8 @@ class ByteConvNet:
         error = self.softmax(pooled)
         error[rows, labels] -= 1
         error /= n
+        if weights is not None:
+            error *= weights[:, None]
         active = np.maximum(pooled + w["shift"], 0)
         back = (error @ w["out"].T) * (active > 0)
         patch = windows[rows[:, None, None], at[:, :, None] + np.arange(_WIDEST)]  # window x filter x width
@@ -108,7 +111,7 @@ class ByteConvNet:
             "bias": error.sum(axis=0),
         }
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.01) -> None:
+    def fit(self, windows: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.01) -> None:
         """Adam over shuffled batches; every language weighs the same."""
         rng, step = np.random.default_rng(11), 0
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
@@ -121,7 +124,7 @@ class ByteConvNet:
             for k in range(0, len(order), batch):
                 step += 1
                 part = order[k : k + batch]
-                for name, g in self.gradients(windows[part], labels[part]).items():
+                for name, g in self.gradients(windows[part], labels[part], None if weights is None else weights[part]).items():
                     first[name] = 0.9 * first[name] + 0.1 * g
                     second[name] = 0.999 * second[name] + 0.001 * g * g
                     move = now * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
@@ -145,14 +148,10 @@ def has_letter(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
-@F.arrow_udf(T.ArrayType(T.BinaryType()))
-def _spread(texts: pa.Array) -> pa.Array:
-    out = []
-    for text in texts.cast(pa.binary()):
-        w = windows_of(text.as_py())
-        picks = np.unique(np.linspace(0, len(w) - 1, WINDOWS_PER_DOC).astype(int))
-        out.append([w[k].tobytes() for k in picks])
-    return pa.array(out, pa.list_(pa.binary()))
+@F.arrow_udf(T.BinaryType())
+def _windows(texts: pa.Array) -> pa.Array:
+    """All windows of each text, one after the other."""
+    return pa.array([windows_of(t.as_py()).tobytes() for t in texts.cast(pa.binary())], pa.binary())
 
 
 def train(
@@ -171,14 +170,16 @@ def train(
     if n_langs <= LANGS_SENT:  # else texts are shuffled by language
         wanted = F.broadcast(wanted)
     sample = rows.where(has_letter("text")).join(wanted, "lang").where(drawn)
-    got = sorted((r.lang, bytes(w)) for r in sample.select("lang", _spread("text").alias("w")).collect() for w in r.w)
+    got = sorted((r.lang, bytes(r.w)) for r in sample.select("lang", _windows("text").alias("w")).collect())
     if not got:
         return None
     langs = sorted({x for x, _ in got})
     net = ByteConvNet(langs)
     windows = np.frombuffer(b"".join(w for _, w in got), np.uint8).reshape(-1, WINDOW)
     number = {x: k for k, x in enumerate(langs)}
-    net.fit(windows, np.array([number[x] for x, _ in got]))
+    sizes = np.array([len(w) // WINDOW for _, w in got])
+    weights = (np.minimum(sizes, WEIGHT) / sizes).astype(np.float32)
+    net.fit(windows, np.repeat([number[x] for x, _ in got], sizes), np.repeat(weights, sizes))
     return net
 
 

@@ -95,3 +95,44 @@ def test_gradients_match_differences():
         net.weights[name][at] = old - 1e-5
         assert (up - loss()) / 2e-5 == pytest.approx(g[at], rel=1e-3), name
         net.weights[name][at] = old
+
+
+def test_convolution_and_pooling_match_plain_loops():
+    rng = np.random.default_rng(9)
+    net = language.ByteConvNet(["x", "y", "z"])
+    net.weights["shift"] += rng.normal(0, 0.1, net.weights["shift"].shape).astype(np.float32)
+    windows, w = rng.integers(0, 256, (3, language.WINDOW)).astype(np.uint8), net.weights
+    for window, got in zip(windows, net.probabilities(windows), strict=True):
+        pooled = []
+        for f in range(language.FILTERS * len(language.WIDTHS)):
+            width, best = language.WIDTHS[f // language.FILTERS], -np.inf
+            for at in range(language._STEP):
+                total = 0.0
+                for k in range(width):
+                    for d in range(language.EMBEDDING):
+                        total += float(w["bytes"][window[at + k], d]) * float(w["filters"][k, d, f])
+                best = max(best, total)
+            pooled.append(max(best + float(w["shift"][f]), 0.0))
+        z = [sum(p * float(w["out"][f, c]) for f, p in enumerate(pooled)) + float(w["bias"][c]) for c in range(3)]
+        e = np.exp(np.array(z) - max(z))
+        assert got == pytest.approx(e / e.sum(), rel=1e-4)
+
+
+def test_weights_multiply_the_loss():
+    rng = np.random.default_rng(6)
+    net = language.ByteConvNet(["x", "y"])
+    windows, labels = rng.integers(0, 256, (5, language.WINDOW)).astype(np.uint8), rng.integers(0, 2, 5)
+    twice = np.array([2, 1, 0, 1, 1], np.float32)
+    weighted = net.gradients(windows, labels, twice)
+    again = [0, 0, 1, 3, 4]
+    repeated = net.gradients(windows[again], labels[again])
+    assert all(np.allclose(weighted[k], repeated[k], atol=1e-6) for k in weighted)
+
+
+def test_a_long_text_is_learned_from_whole(spark):
+    """What tells two languages apart stands only near the end of long texts."""
+    filler = "zz yy xx ww " * 2_000
+    rows = [(k, filler + (" qaqa qaqa" if k % 2 else " vivi vivi") * (40 + k), "ab"[k % 2]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.train(docs)
+    assert net.predict([b"qaqa " * 30, b"vivi " * 30])[0] == ["b", "a"]
