@@ -86,6 +86,15 @@ class Ranges:
         out = out.withColumn("carried", F.coalesce(own, F.col("carried")))
         return out.select(*self.rows.columns, *(F.col(f"carried.{n}").alias(n) for n in values))
 
+    def following(self, values: dict[str, Column]) -> DataFrame:
+        """The rows with values of the row after in the group, null for the last."""
+        one = F.struct(*(e.alias(n) for n, e in values.items()))
+        at = F.struct(*(x for c in self.order for x in (F.col(c).isNull().alias(f"{c}_null"), F.col(c))), SALT)
+        ends = self.rows.groupBy(*self.keys, RANGE).agg(F.min_by(one, at).alias("carried"))
+        carried = ends.select(*self.keys, RANGE, F.lead("carried").over(self._between()).alias("carried"))
+        out = self._joined(carried, ["carried"]).withColumn("carried", F.coalesce(F.lead(one).over(self.within()), F.col("carried")))
+        return out.select(*self.rows.columns, *(F.col(f"carried.{n}").alias(n) for n in values))
+
     def of(self, rows: DataFrame) -> Ranges:
         """The same ranges over these rows with further columns."""
         return Ranges(rows, self.keys, self.order)

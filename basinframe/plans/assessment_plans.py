@@ -6,6 +6,7 @@ from ..functions import exprs as X
 from ..operators import assessment as A
 from ..operators import binding as B
 from ..operators import catalogue as K
+from ..operators.scan import ranged
 from ..sources import views as V
 from .base import Plans
 from .catalogue_plans import _NEEDS
@@ -255,8 +256,8 @@ def category_and_role(spark, d):
 SELECT event_type, coalesce(nxt, '(end)') AS next_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) / count(value) AS mean FROM f GROUP BY ALL""")
 def stage_outcomes(spark, d):
     """Which stage follows which, and how often."""
-    w = F.lead("event_type").over(A.Window.partitionBy("user_id").orderBy("event_id"))
-    e = V.table(spark, d, "events").select("event_type", "value", F.coalesce(w, F.lit("(end)")).alias("next_type"))
+    r = ranged(V.table(spark, d, "events").select("user_id", "event_id", "event_type", "value"), ["user_id"], ["event_id"])
+    e = r.following({"next": F.col("event_type")}).withColumn("next_type", F.coalesce("next", F.lit("(end)")))
     return e.groupBy("event_type", "next_type").agg(F.count("*").alias("n"), X.exact_mean(F.col("value")).alias("mean"))
 
 

@@ -106,3 +106,14 @@ def test_levels_of_random_graphs(spark, seed):
             edges += [(f"{part}-{k}", None)] * draw.randrange(2)
     got = {r.a: r.level for r in catalogue.levels(spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()}
     assert got == brute_levels(edges)
+
+
+def test_following(rows):
+    dealt, one = ranged(rows, ["g"], ["k"]), rows.where("g = 'all'")
+    w = Window.partitionBy("g").orderBy("k")
+    want = {r.k: (r.x, r.last) for r in one.select("k", F.lead("v").over(w).alias("x"), (F.lead("k").over(w).isNull()).alias("last")).collect()}
+    got = dealt.following({"next": F.col("v"), "at": F.col("k")})
+    assert {r.k: (r.next, r["at"] is None) for r in got.where("g = 'all'").collect()} == want
+    for g, n in ((None, 40), ("é", 40), ("few", 49)):
+        rest = got.where(F.col("g").eqNullSafe(g)).collect()
+        assert len(rest) == n and all(r["at"] is None or r["at"] >= r.k for r in rest if r.k is not None)
