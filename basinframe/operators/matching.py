@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import exact_mean, normalised_name
+from ..sources.scratch import settle
 from .scan import ranged
 
 
@@ -30,18 +31,47 @@ def unique_match(left: DataFrame, right: DataFrame, key: str, left_id: str, righ
 def nearest_in_band(left: DataFrame, right: DataFrame, key: str, at: str, name: str, band: int, left_id: str) -> DataFrame:
     """The name nearest to each left row within a band of positions; a tie between different names is null.
 
-    An equi-join on position buckets of the band's width stands before the distance test: each right row is copied to its
-    bucket and the two beside it.
+    Positions, not pairs, meet: names at one position are summed up first, then left rows and positions are dealt into ranges together and
+    each left row sees the last position at or before it and the first after it. Where both are equally near, names that are at both are
+    counted once, by a join of the names at neighbouring positions. So work grows with the rows, however many lie within a band. Rows with no
+    key or position have no name; of rows that share a ``left_id`` the nearest decides, and what ties between them is put together.
     """
-    a = left.select(left_id, key, F.col(at).alias("here"), F.floor(F.col(at) / band).alias("bucket"))
-    near = F.explode(F.array(*[F.floor(F.col(at) / band) + k for k in (-1, 0, 1)]))
-    b = right.select(key, F.col(at).alias("there"), F.col(name).alias("name"), near.alias("bucket"))
-    met = a.join(b, [key, "bucket"]).withColumn("gap", F.abs(F.col("here") - F.col("there"))).where(F.col("gap") <= band)
-    # nearest gap, then the names at it, longest first: two partial aggregations
-    by_name = met.groupBy(left_id, "name").agg(F.min("gap").alias("gap"))
-    best = by_name.groupBy(left_id).agg(F.min("gap").alias("best"))
-    tied = by_name.join(best, left_id).where("gap = best").groupBy(left_id, "best").agg(F.count("*").alias("names"), F.min("name").alias("name"))
-    return a.select(left_id).join(tied, left_id, "left").select(
+    names = right.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, F.col(at).alias("p"), F.col(name).alias("name")).distinct()
+    names = settle(names, "names")
+    here = names.groupBy(key, "p").agg(F.count("*").alias("n"), F.min("name").alias("least"))
+    ids = left.select(left_id, key, F.col(at).alias("p"))
+    asked = ids.where(F.col(key).isNotNull() & F.col("p").isNotNull())
+    places = here.select(key, "p", F.struct(F.col("p").alias("at"), "n", "least").alias("there"), F.lit(None).cast(left.schema[left_id].dataType).alias(left_id), F.lit(0).alias("side"))
+    both = places.unionByName(asked.select(key, "p", F.lit(None).alias("there"), left_id, F.lit(1).alias("side")))
+    # places stand before the left rows of an equal position, so those see them as the last ones
+    dealt = ranged(both, [key], ["p", "side"])
+    present = F.col("there").isNotNull()
+    below = dealt.of(dealt.previous({"low": F.col("there")}, present))
+    met = below.following({"high": F.col("there")}, present).where("side = 1")
+    gaps = [F.when(F.abs(F.col(f"{side}.at") - F.col("p")) <= band, F.abs(F.col(f"{side}.at") - F.col("p"))) for side in ("low", "high")]
+    met = met.select(left_id, key, "low", "high", gaps[0].alias("under"), gaps[1].alias("over")).withColumn("gap", F.least("under", "over")).where("gap is not null")
+    near = F.array_compact(F.array(*(F.when(F.col(g) == F.col("gap"), F.col(f"{side}.at")) for g, side in (("under", "low"), ("over", "high")))))
+    met = settle(met.select(left_id, key, "gap", "low", "high", near.alias("near")), "met")
+    best = met.groupBy(left_id).agg(F.count("*").alias("rows"), F.min("gap").alias("best"))
+    met = met.join(best, left_id).where("gap = best")
+    alone = (F.col("rows") == 1) & (F.size("near") == 1)
+    one = F.when(F.element_at("near", 1) == F.col("low.at"), F.col("low")).otherwise(F.col("high"))
+    single = met.where(alone).select(left_id, "best", one["n"].alias("names"), one["least"].alias("name"))
+    # rows that tie between two positions: their names, those of a pair of neighbours once for all rows between them
+    tied = met.where((F.col("rows") == 1) & (F.size("near") == 2)).select(left_id, key, "best", "low", "high")
+    pairs = tied.select(key, F.col("low.at").alias("a"), F.col("high.at").alias("b")).distinct()
+    sides = [names.select(key, F.col("p").alias(x), "name") for x in "ab"]
+    first = pairs.join(sides[0], [key, "a"]).alias("x")
+    shared = first.join(sides[1].alias("y"), (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.b") == F.col("y.b")) & F.col("x.name").eqNullSafe(F.col("y.name")))
+    shared = shared.groupBy(F.col(f"x.{key}").alias(key), F.col("x.a").alias("a"), F.col("x.b").alias("b")).agg(F.count("*").alias("shared"))
+    tied = tied.withColumns({"a": F.col("low.at"), "b": F.col("high.at")}).join(shared, [key, "a", "b"], "left")
+    tied = tied.select(
+        left_id, "best", (F.col("low.n") + F.col("high.n") - F.coalesce("shared", F.lit(0))).alias("names"), F.least("low.least", "high.least").alias("name")
+    )
+    again = met.where("rows > 1").select(left_id, key, "best", F.explode("near").alias("p")).distinct().join(names, [key, "p"])
+    again = again.select(left_id, "best", "name").distinct().groupBy(left_id, "best").agg(F.count("*").alias("names"), F.min("name").alias("name"))
+    found = single.unionByName(tied).unionByName(again)
+    return ids.select(left_id).join(found, left_id, "left").select(
         left_id, F.when(F.col("names") == 1, F.col("name")).alias("name"), F.col("best").alias("gap"), F.coalesce("names", F.lit(0)).alias("names")
     )
 

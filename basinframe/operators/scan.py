@@ -86,13 +86,24 @@ class Ranges:
         out = out.withColumn("carried", F.coalesce(own, F.col("carried")))
         return out.select(*self.rows.columns, *(F.col(f"carried.{n}").alias(n) for n in values))
 
-    def following(self, values: dict[str, Column]) -> DataFrame:
-        """The rows with values of the row after in the group, null for the last."""
+    def following(self, values: dict[str, Column], present: Column | None = None) -> DataFrame:
+        """The rows with values of the row after in the group, null for the last. With ``present``, of the first row after or at this one for
+        which it holds."""
         one = F.struct(*(e.alias(n) for n, e in values.items()))
+        held = one if present is None else F.when(present, one)
         at = F.struct(*(x for c in self.order for x in (F.col(c).isNull().alias(f"{c}_null"), F.col(c))), SALT)
-        ends = self.rows.groupBy(*self.keys, RANGE).agg(F.min_by(one, at).alias("carried"))
-        carried = ends.select(*self.keys, RANGE, F.lead("carried").over(self._between()).alias("carried"))
-        out = self._joined(carried, ["carried"]).withColumn("carried", F.coalesce(F.lead(one).over(self.within()), F.col("carried")))
+        first = F.min_by(held, at) if present is None else F.min_by(held, F.when(present, at))
+        ends = self.rows.groupBy(*self.keys, RANGE).agg(first.alias("carried"))
+        # backwards: a frame that ends with the group is summed anew for each row
+        back = Window.partitionBy(*self.keys).orderBy(F.desc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*self.keys, RANGE, F.last("carried", ignorenulls=True).over(back).alias("carried"))
+        out = self._joined(carried, ["carried"])
+        backwards = Window.partitionBy(RANGE, *self.keys).orderBy(*(F.desc_nulls_first(c) for c in self.order), F.desc(SALT))
+        if present is None:
+            own = F.lag(one).over(backwards)
+        else:
+            own = F.last(held, ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
+        out = out.withColumn("carried", F.coalesce(own, F.col("carried")))
         return out.select(*self.rows.columns, *(F.col(f"carried.{n}").alias(n) for n in values))
 
     def of(self, rows: DataFrame) -> Ranges:

@@ -1,5 +1,6 @@
 """Edge rows that the driver tables do not have."""
 
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,20 @@ def test_nearest_in_band(spark):
     assert got == {1: (None, 10, 2), 2: (None, None, 0), 3: ("c", 1, 1)}
 
 
+def test_nearest_in_band_against_all_pairs(spark):
+    """Ties between names on both sides, shared and not, repeated ids, nulls and a crowd at one position, of which no pairs are made."""
+    draw = random.Random(7)
+    left = [(draw.choice([None, *range(60)]), draw.choice(["k", "z", None]), draw.choice([None, *range(40)])) for _ in range(200)] + [(1000 + k, "c", k % 2) for k in range(400)]
+    right = [(draw.choice(["k", "z", None]), draw.choice([None, *range(0, 40, 3)]), draw.choice(["a", "b", "c", None])) for _ in range(60)] + [("c", 2, draw.choice("ab")) for _ in range(400)]
+    want = []
+    for i, _, _ in left:
+        gaps = [(abs(p - q), n) for j, k, p in left if i is not None and i == j and None not in (k, p) for m, q, n in right if m == k and q is not None and abs(p - q) <= 3]
+        names = {n for g, n in gaps if g == min(gaps, key=lambda x: x[0])[0]}
+        want.append((i, next(iter(names)) if len(names) == 1 else None, min(gaps, key=lambda x: x[0])[0] if gaps else None, len(names)))
+    made = matching.nearest_in_band(rows(spark, left, "id int, k string, p int").repartition(4), rows(spark, right, "k string, p int, name string"), "k", "p", "name", 3, "id")
+    assert sorted(map(tuple, made.select("id", "name", "gap", "names").collect()), key=str) == sorted(want, key=str)
+
+
 def test_unique_match_and_roots(spark):
     left = rows(spark, [(1, "a"), (2, "b"), (3, "b"), (4, "c"), (5, "d"), (6, None)], "id int, k string")
     right = rows(spark, [(10, "a"), (11, "b"), (12, "c"), (13, "c")], "rid int, k string")
