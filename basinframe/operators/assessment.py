@@ -17,7 +17,7 @@ def qualified(assessed: DataFrame, levels: DataFrame, edges: DataFrame, node: st
     state = assessed.select(node, F.coalesce(ok, F.lit(False)).alias(ok))
     failing = state.where(~F.col(ok)).select(node)
     found = contracted(edges, node, needs, failing).where("level is not null").select(node, F.lit(True).alias("qualified"))
-    return state.join(levels, node, "left").join(found, node, "left").select(node, "level", (F.col(ok) & F.coalesce("qualified", F.lit(False))).alias("qualified"))
+    return state.join(levels.hint("merge"), node, "left").join(found.hint("merge"), node, "left").select(node, "level", (F.col(ok) & F.coalesce("qualified", F.lit(False))).alias("qualified"))
 
 
 def declarations(rows: DataFrame, owner: str, fields: Sequence[tuple[str, Column]]) -> DataFrame:

@@ -59,18 +59,18 @@ def contracted(edges: DataFrame, node: str, needs: str, failing: DataFrame | Non
 
     Every edge has a length. A round takes each edge that leads to a node with one edge over that edge's end, so chains halve, and of edges with one end it keeps the longest; what
     meets a failure fails. A chain of n nodes takes log2(n) rounds; only levels at which nodes keep several open needs take a round each. A cycle either meets itself, outgrows the number
-    of nodes, or stays when nothing moves any more."""
+    of nodes, or stays when nothing moves any more. Joins are merges: a broadcast in each round sends the driver the nodes many times over."""
     own = edges.select(F.col(node).alias("node"), F.col(needs).alias("to")).distinct()
     nodes = own.select("node").distinct()
     there = nodes.select(F.col("node").alias("to"), F.lit(True).alias("there"))
-    linked = own.where("to is not null").join(there, "to", "left")
+    linked = own.where("to is not null").join(there.hint("merge"), "to", "left")
     sink = F.when(F.col("there").isNull() | (F.col("to") == F.col("node")), BAD).otherwise(OPEN)
     linked = linked.select("node", F.when(sink == OPEN, F.col("to")).alias("to"), sink.alias("sink"), F.lit(1).cast("long").alias("w"))
     none = F.lit(None).cast(own.schema["to"].dataType)
-    leaves = nodes.join(linked.select("node").distinct(), "node", "left_anti")
+    leaves = nodes.join(linked.select("node").distinct().hint("merge"), "node", "left_anti")
     now = linked.unionByName(leaves.select("node", none.alias("to"), F.lit(END).alias("sink"), F.lit(0).cast("long").alias("w")))
     if failing is not None:
-        bad = failing.select(F.col(node).alias("node")).distinct()
+        bad = failing.select(F.col(node).alias("node")).distinct().hint("merge")
         now = now.join(bad, "node", "left_anti").unionByName(
             nodes.join(bad, "node", "left_semi").select("node", none.alias("to"), F.lit(BAD).alias("sink"), F.lit(0).cast("long").alias("w"))
         )
@@ -79,7 +79,7 @@ def contracted(edges: DataFrame, node: str, needs: str, failing: DataFrame | Non
     while now.where(F.col("sink") == OPEN).limit(1).count():
         one = now.groupBy("node").agg(F.count("*").alias("n"), F.max(F.struct("sink", "to", "w")).alias("e"), F.max("sink").alias("worst"))
         one = one.where((F.col("n") == 1) | (F.col("worst") == BAD)).select(F.col("node").alias("via"), "e")
-        met = now.join(one, now["to"] == one["via"], "left")
+        met = now.join(one.hint("merge"), now["to"] == one["via"], "left")
         # an end that failed fails whatever leads to it, whichever its longest edge
         sink = F.when(F.col("via").isNull(), F.col("sink")).otherwise(F.col("e.sink"))
         length = F.col("w") + F.coalesce("e.w", F.lit(0))

@@ -117,3 +117,14 @@ def test_following(rows):
     for g, n in ((None, 40), ("é", 40), ("few", 49)):
         rest = got.where(F.col("g").eqNullSafe(g)).collect()
         assert len(rest) == n and all(r["at"] is None or r["at"] >= r.k for r in rest if r.k is not None)
+
+
+def test_levels_broadcast_nothing(spark, monkeypatch):
+    plans = []
+    settle = catalogue.settle
+    monkeypatch.setattr(catalogue, "settle", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df, name))
+    edges = spark.createDataFrame([(k, k - 1 if k % 9 else None) for k in range(40)], "c long, p long")
+    made = catalogue.contracted(edges, "c", "p", spark.createDataFrame([(3,)], "c long"))
+    plans.append(made._jdf.queryExecution().executedPlan().toString())
+    assert {r.c: r.level for r in made.collect()}[2] == 2 and len(plans) > 3
+    assert not any("Broadcast" in p for p in plans)
