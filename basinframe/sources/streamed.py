@@ -36,7 +36,7 @@ CHUNK, ROWS = 1 << 20, 8192
 #: Numbers of the arrays of an Arrow batch, about.
 NUMBERS = 1 << 18
 
-_RUNS = "path string, status string, document int, documents int, offset long, skip long, names array<string>"
+_RUNS = "path string, status string, document int, documents int, head long, offset long, until long, skip long, names array<string>"
 _NODES = "path string, document int, node int, parent int, name string, type string, text string, begin long, numbers array<double>, status string"
 _FIELDS = [*C._FIELDS[:7], ("begin", pa.int64()), *C._FIELDS[7:]]
 
@@ -54,6 +54,8 @@ class Blocks:
     def __init__(self, file, offset: int | None = None):
         self.file, self.blocks = file, 0
         first = self._start()
+        #: Bytes that tell what kind of file this is.
+        self.head = max(first, len(C.LZ4_MAGIC))
         self.offset = first if offset is None else offset
         file.seek(self.offset)
 
@@ -208,15 +210,18 @@ _ERRORS = (BadContainer, UnicodeDecodeError, IndexError, struct.error, OSError)
 
 
 def _walked(path: str, file, run_bytes: int) -> list[tuple]:
-    frames = Frames(Payload(Blocks(file)), [])
+    blocks = Blocks(file)
+    frames = Frames(Payload(blocks), [])
     out, size, k = [], 0, 0
     for document in frames:
         if not out or size >= run_bytes:
-            out.append([path, "ok", k, 0, *frames.before, list(frames.names[: frames.named])])
+            offset, skip = frames.before
+            out.append([path, "ok", k, 0, blocks.head, offset, offset, skip, list(frames.names[: frames.named])])
             size = 0
         for _ in C.nodes(document, frames.names, None):
             pass
         out[-1][3] += 1
+        out[-1][6] = blocks.offset  # behind the last block that the run needs
         size += frames.size
         k += 1
     return [tuple(x) for x in out]
@@ -229,17 +234,17 @@ def _run_rows(run_bytes: int, has_content: bool):
                 try:
                     rows = _walked(path, _source(path, batch.column(1)[i].as_py() if has_content else None, has_content), run_bytes)
                 except _ERRORS as why:
-                    rows = [(path, f"rejected: {why}", None, None, None, None, None)]
+                    rows = [(path, f"rejected: {why}", *[None] * 7)]
                 if rows:
-                    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()))
-                    names = ["path", "status", "document", "documents", "offset", "skip", "names"]
+                    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.string()))
+                    names = ["path", "status", "document", "documents", "head", "offset", "until", "skip", "names"]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return walked
 
 
 def _parse(slice_of: int, has_content: bool):
-    """(path, document, documents, offset, skip, names[, content]) to node rows."""
+    """(path, document, documents, offset, skip, names[, content]) to node rows; a content may be the head and the run's own blocks only."""
 
     def batch(rows):
         columns = zip(*rows, strict=True)
@@ -269,16 +274,22 @@ def _parse(slice_of: int, has_content: bool):
 
 
 def runs(containers: DataFrame, path: str = "path", content: str | None = "content", run_bytes: int = RUN_BYTES) -> DataFrame:
-    """(path, status, document, documents, offset, skip, names): runs of documents of each container, or why it is rejected. A container without documents has no row."""
+    """(path, status, document, documents, head, offset, until, skip, names): runs of documents of each container, or why it is rejected. A container without documents has no row."""
     columns = [path] if content is None else [path, content]
     return containers.select(*columns).mapInArrow(_run_rows(run_bytes, content is not None), _RUNS)
 
 
 def streamed(containers: DataFrame, found: DataFrame, path: str = "path", content: str | None = "content", slice_of: int = SLICE) -> DataFrame:
     """Node rows of the containers whose runs were ``found`` (a written table: it is used twice)."""
-    good = found.where("status = 'ok'").select("path", "document", "documents", "offset", "skip", "names")
-    if content is not None:
-        good = good.join(containers.select(F.col(path).alias("path"), F.col(content).alias("content")), "path")
+    good = found.where("status = 'ok'")
+    columns = ["path", "document", "documents", "offset", "skip", "names"]
+    if content is None:
+        good = good.select(*columns)
+    else:  # a run carries its own blocks, not its container
+        met = good.join(containers.select(F.col(path).alias("path"), F.col(content).alias("content")), "path")
+        cut = lambda start, stop: F.substring("content", (start + 1).cast("int"), (stop - start).cast("int"))
+        own = F.concat(cut(F.lit(0), F.col("head")), cut(F.col("offset"), F.col("until")))
+        good = met.withColumns({"content": own, "offset": F.col("head")}).select(*columns, "content")
     spread = good.repartition(F.col("path"), F.col("document"))
     made = spread.mapInArrow(_parse(slice_of, content is not None), _NODES)
     return made.unionByName(found.where("status <> 'ok'").select("path", "status"), allowMissingColumns=True)

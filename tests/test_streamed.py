@@ -113,3 +113,14 @@ def test_a_container_of_400_mb_in_a_small_worker(tmp_path):
     assert made.stdout, made.stderr[-500:]
     found, numbers, megabytes = map(int, made.stdout.split())
     assert (found, numbers) == (8, 8 * len(values)) and megabytes < 400
+
+
+def test_a_run_carries_its_own_blocks(spark):
+    """Not a copy of its container for each run of it, which grows with the square of the container."""
+    many = envelope(frame(*[element(f"d{k}", array("v", range(100), 0x92)) for k in range(40)]), 100)
+    table = spark.createDataFrame([("many", bytearray(many)), ("plain", bytearray(frame(LOG, LOG)))], "path string, content binary")
+    found = settle(S.runs(table, run_bytes=1), "runs")
+    runs = found.where("path = 'many'").collect()
+    assert len(runs) == 40 and sum(r.until - r.offset for r in runs) < len(many) + 40 * 2 * 150
+    assert all(r.until <= len(many) for r in runs)
+    assert whole(S.streamed(table, found).collect()) == plain(C.node_table(table).collect())
