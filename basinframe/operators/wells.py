@@ -138,16 +138,17 @@ def _scalar(name: str) -> tuple[Column, Column]:
     return F.when(n == 0, "text").when(n == 1, content["kind"]), F.when(n == 0, "").otherwise(content["value"])
 
 
-def _with_heads(nodes: DataFrame) -> DataFrame:
+def fields(nodes: DataFrame) -> DataFrame:
+    """A row for each subject with what its fields hold: what ``subjects`` and ``heads`` are told from. Written once, it serves both."""
     parts = shapes(nodes)
     x, y = _head()
     return _fields(parts.withColumns({"x": F.when(F.col("name") == HEAD, x), "y": F.when(F.col("name") == HEAD, y)}))
 
 
-def subjects(nodes: DataFrame) -> DataFrame:
+def subjects(nodes: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(path, document, status, object_id, name, provider_id, x, y, uwi, working_level, levels, convergence, gaps): a row for each subject document; all but the first three are null unless the status is
-    ``recorded``. gaps: (field, reason) of optional fields, in order of the fields."""
-    found = _with_heads(nodes)
+    ``recorded``. gaps: (field, reason) of optional fields, in order of the fields. ``found``: ``fields`` of the nodes, if there already."""
+    found = fields(nodes) if found is None else found
     version = "[" + ",".join(map(str, VERSION)) + "]"
     space, stated = _attribute("xmlns"), _attribute("Version")
     profile = (F.size(space) == 1) & (F.get(space, F.lit(0))["text"] == NAMESPACE) & (F.size(stated) == 1) & (F.get(stated, F.lit(0))["type"] == "list") & (F.get(stated, F.lit(0))["text"] == version)
@@ -184,10 +185,10 @@ def subjects(nodes: DataFrame) -> DataFrame:
     return made.select(*_DOC, "status", *(F.when(F.col("status") == "recorded", F.col(c)).alias(c) for c in ("object_id", "name", "provider_id", "x", "y", "uwi", "working_level", "levels", "convergence", "gaps")))
 
 
-def heads(nodes: DataFrame) -> DataFrame:
+def heads(nodes: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(path, document, subject, status, well_name, provider_id, provider_status, x, y, same_name): a head for each subject, whatever its profile; ``subject`` counts the subjects of a container from 0.
     A bad one is a row with a status. same_name: how many heads of the container have the name."""
-    found = _with_heads(nodes)
+    found = fields(nodes) if found is None else found
     kind, value = (F.col(NAME)[c] for c in ("kind", "value"))  # the first of several, ahead of the head
     named = (F.col(f"n_{NAME}") > 0) & F.coalesce(_is_text(kind, value) & (F.trim(value) != ""), F.lit(False))
     pkind, pvalue = (F.col(PROVIDER)[c] for c in ("kind", "value"))

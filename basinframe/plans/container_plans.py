@@ -26,8 +26,9 @@ def _packed(rows, pack):
 
     def packed(batches):
         for batch in batches:
-            contents = [packing.container(pack(d) for d in documents) for documents in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary())], names=["path", "content"])
+            for k in range(batch.num_rows):  # a container at a time
+                content = packing.container(pack(d.as_py()) for d in batch.column(1)[k].values)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([content], pa.binary())], names=["path", "content"])
 
     return rows.mapInArrow(packed, "path string, content binary")
 
@@ -111,4 +112,5 @@ SELECT path, document, document AS subject, head AS status, CASE WHEN head = 'de
 def well_heads_bound(spark, d):
     """Heads out of the same containers and their exact binding to subjects."""
     nodes = _wells(spark, d)
-    return W.bound_heads(settle(W.heads(nodes), "heads"), settle(W.subjects(nodes), "subjects"))
+    found = settle(W.fields(nodes), "fields")
+    return W.bound_heads(settle(W.heads(nodes, found), "heads"), settle(W.subjects(nodes, found), "subjects"))

@@ -96,3 +96,9 @@ def test_heads_and_binding(spark):
     assert {r.identity for r in W.bound_heads(found.union(found), known).collect()} == {"unresolved"}
     assert {r.identity for r in W.bound_heads(found, known.union(known)).collect()} == {"unresolved"}
     assert W.bound_heads(found, known.limit(0)).where("object_id is not null").count() == 0
+
+
+def test_fields_serve_heads_and_subjects(spark):
+    nodes = spark.createDataFrame([], "path string, document int, node int, parent int, name string, type string, text string, numbers array<double>, status string")
+    found = W.fields(nodes)
+    assert W.heads(nodes, found).collect() == W.subjects(nodes, found).collect() == []
