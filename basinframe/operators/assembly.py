@@ -133,6 +133,11 @@ def index_rows(index: DataFrame, project: str) -> DataFrame:
     return _tagged(_parsed(index, (), "section"), F.array(mention, artifact))
 
 
+def artifacts(index: DataFrame, project: str) -> DataFrame:
+    """The artifacts alone: they are told from the index, so neither receipts nor entities are read or written for them."""
+    return _artifacts(settle(index_rows(index, project).where("tag = 'artifact'").drop("tag"), "artifacts"))
+
+
 def _tagged(parsed: DataFrame, rows: Column) -> DataFrame:
     good = F.coalesce(_text("object_id").isNotNull(), F.lit(False))
     bad = F.array(_row("rejected", F.lit(None), value=F.col("item"), locator=F.concat("source", F.lit("#"), "number"), source=F.col("source"), place=F.col("place")))

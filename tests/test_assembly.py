@@ -54,3 +54,12 @@ def test_a_package_without_receipts_is_rebuilt_and_said_to_be(spark):
     assert made.gaps.where("code = 'RECEIPT_ABSENT'").count() == 3 and made.artifacts.count() == 7 and made.relationships.count() == 0
     none = A.built(rows(spark, [("context", 0, None)], RECEIPT).limit(0), index.limit(0), "p")
     assert [t.count() for t in (none.entities, none.relationships, none.evidence, none.gaps, none.artifacts, none.rejected)] == [0] * 6
+
+
+def test_artifacts_alone_are_those_of_the_catalogue(spark):
+    item = '{"object_id":"P1","path":"o","role":"R","format":"LAS","bytes":3}'
+    index = spark.createDataFrame([("files", 1, item), ("files", 2, item), ("files", 3, "junk"), ("files", 4, '{"object_id":"P2"}')], "section string, number long, item string")
+    receipts = spark.createDataFrame([], "source string, number long, item string")
+    got, want = A.artifacts(index, "p"), A.built(receipts, index, "p").artifacts
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert sorted(r.representation for r in got.collect()) == ["duplicate", "duplicate", "single"]
