@@ -16,6 +16,10 @@ exact likeness has been computed from the two texts. Classes are what links conn
 A class that fills blocks has blocks of its own, which are not compared with each other. A bucket is spread over tasks by its blocks, so no
 task holds a bucket.
 
+*Sketches.* Behind each print stands a sketch of the text's different shingles: for each of ``PARITIES`` places whether an odd number of them falls there, and how many there
+are. A shingle that only one of two texts has changes one place at most, so places that differ are never more than such shingles: that bounds the likeness from above, for certain. Pairs that
+cannot reach the threshold are neither estimated nor checked, and no link is lost by that.
+
 Texts without a shingle are alike. An empty table gives no rows.
 """
 
@@ -32,7 +36,7 @@ from pyspark.sql import types as T
 from ..sources.scratch import discard, written
 from .common import packed, settle, unpacked, unused
 from .components import components
-from .wordhash import jaccard
+from .wordhash import Q, jaccard
 
 #: Texts that are compared at a time, about.
 TOGETHER = 512
@@ -45,7 +49,13 @@ ROWS_HELD = 1 << 19
 #: Pairs that a class proposes in the first round of meeting blocks, and how many times as many in each later one.
 FIRST, MORE = 8, 16
 
-#: (n prints, m prints) as rows of bytes to an n x m table of estimates.
+#: Places of a sketch, and its bytes with the number of shingles.
+PARITIES = 1024
+SKETCH = PARITIES // 8 + 8
+#: Pairs that are estimated at a time.
+ESTIMATED = 1 << 16
+
+#: Prints as bytes along the last axis, of shapes that go together, to estimates.
 Alike = Callable[[np.ndarray, np.ndarray], np.ndarray]
 _PROPOSED = "root long, pairs array<struct<estimate: float, a: bigint, b: bigint>>"
 
@@ -73,6 +83,40 @@ def _rows(prints: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(len(prints), -1)
 
 
+def sketches(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of the ``different`` shingles of texts, a row of ``SKETCH`` bytes for each text."""
+    out = np.zeros((len(sizes), SKETCH // 8), "<u8")
+    with np.errstate(over="ignore"):
+        place = hashes * np.uint64(Q) >> np.uint64(64 - PARITIES.bit_length() + 1)
+    np.bitwise_xor.at(out, (owner, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+    out[:, -1] = sizes
+    return out.view(np.uint8)
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """For all pairs of rows of sketches, whether their texts may be as like as ``threshold``: never false where they are."""
+    x, y = (np.ascontiguousarray(s).view("<u8") for s in (a, b))
+    n, m = x[:, None, -1].astype(np.float64), y[None, :, -1].astype(np.float64)
+    apart = np.zeros((len(x), len(y)), np.uint16)
+    for k in range(PARITIES // 64):
+        apart += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+    return np.maximum(apart, np.abs(n - m)) <= (n + m) * ((1 - threshold) / (1 + threshold) + 1e-9)
+
+
+def reaching(alike: Alike, threshold: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """n and m prints with sketches behind them to an n x m table of estimates, -1 where the sketches rule the threshold out."""
+
+    def table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        found = np.full((len(a), len(b)), -1, np.float32)
+        i, j = np.nonzero(may_reach(a[:, -SKETCH:], b[:, -SKETCH:], threshold))
+        for k in range(0, len(i), ESTIMATED):
+            p, q = i[k : k + ESTIMATED], j[k : k + ESTIMATED]
+            found[p, q] = alike(a[p, :-SKETCH], b[q, :-SKETCH])
+        return found
+
+    return table
+
+
 def _blocks(batches):
     """Batches sorted by their first column to tables of one value of it each."""
     rest: list[pa.RecordBatch] = []
@@ -221,7 +265,8 @@ def _checked(near: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataF
 def rooted(texts: DataFrame, members: DataFrame, prints: DataFrame, alike: Alike, least: float, threshold: float) -> DataFrame:
     """(key, root) of the texts that are linked to others, root being the smallest key of the class.
 
-    ``texts`` as by ``keyed_texts``; ``members``: (bucket, key), each once; ``prints``: (key, print), each key once."""
+    ``texts`` as by ``keyed_texts``; ``members``: (bucket, key), each once; ``prints``: (key, print), each key once, with sketches behind them."""
+    alike = reaching(alike, threshold)
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     labelled = settle(members.join(shared, "bucket").select("bucket", "key"), "shared")
     roots = tested = None

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import linking
 from .common import packed, settle, table, unpacked
-from .wordhash import CHUNK, Q, by_size, shingles_of
+from .wordhash import CHUNK, Q, by_size, different, shingles_of
 
 PERMUTATIONS = 128
 ROWS = 5
@@ -50,8 +50,12 @@ _EMPTY = (1 << 64) - 1
 def signatures(texts: list[bytes]) -> np.ndarray:
     """A row of ``PERMUTATIONS`` 16-bit values for each text."""
     with np.errstate(over="ignore"):
-        hashes, counts = shingles_of(texts)
-        out = np.full((len(texts), PERMUTATIONS), _EMPTY, np.uint64)
+        return _signatures(*shingles_of(texts))
+
+
+def _signatures(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        out = np.full((len(counts), PERMUTATIONS), _EMPTY, np.uint64)
         full = np.flatnonzero(counts)
         if len(full):
             begin = (np.cumsum(counts) - counts)[full]
@@ -69,11 +73,19 @@ def _hex(rows: np.ndarray) -> list[str]:
     return [r.astype(">u2").tobytes().hex() for r in rows]
 
 
-@F.arrow_udf(T.BinaryType())
-def signature(texts: pa.Array) -> pa.Array:
-    """A column of signatures, as bytes."""
+_SIGNED = T.StructType([T.StructField("signature", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
+
+
+@F.arrow_udf(_SIGNED)
+def signed(texts: pa.Array) -> pa.Array:
+    """A column of signatures and sketches, as bytes. A repeated shingle does not change a signature."""
     raws = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
-    return pa.array([r.tobytes() for part in by_size(raws) for r in signatures(part)], pa.binary())
+    rows, behind = [], []
+    for part in by_size(raws):
+        hashes, owner, sizes = different(part)
+        rows += [r.tobytes() for r in _signatures(hashes, sizes)]
+        behind += [r.tobytes() for r in linking.sketches(hashes, owner, sizes)]
+    return pa.StructArray.from_arrays([pa.array(rows, pa.binary()), pa.array(behind, pa.binary())], names=["signature", "sketch"])
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -99,20 +111,20 @@ def short(sigs: pa.Array) -> pa.Array:
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimates for all pairs of rows of ``short`` signatures."""
-    same = np.zeros((len(a), len(b)), np.uint8)
+    """Estimates of ``short`` signatures."""
+    same = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]), np.uint8)
     for k in range(PERMUTATIONS):
-        same += a[:, k, None] == b[None, :, k]
+        same += a[..., k] == b[..., k]
     return same.astype(np.float32) / np.float32(PERMUTATIONS)
 
 
 def _classes(docs: DataFrame, text: str, threshold: float) -> DataFrame:
     """(key, root) of the texts of ``docs`` that have a near duplicate."""
     texts = linking.keyed_texts(docs, text)
-    signed = texts.select("key", signature("text").alias("signature")).groupBy("key").agg(F.any_value("signature").alias("signature"))
-    signed = settle(signed, "signatures")
-    members = signed.select(F.explode(F.array_distinct(bands("signature"))).alias("bucket"), "key")
-    prints = settle(signed.select("key", short("signature").alias("print")), "prints")
+    one = texts.select("key", signed("text").alias("s")).groupBy("key").agg(F.any_value("s").alias("s"))
+    one = settle(one.select("key", "s.signature", "s.sketch"), "signatures")
+    members = one.select(F.explode(F.array_distinct(bands("signature"))).alias("bucket"), "key")
+    prints = settle(one.select("key", F.concat(short("signature"), "sketch").alias("print")), "prints")
     return linking.rooted(texts, members, prints, alike, threshold - SLACK, threshold)
 
 

@@ -48,7 +48,7 @@ from pyspark.sql import types as T
 from . import linking
 from .common import hex_of, settle, table
 from .components import components
-from .wordhash import by_size, shingles_of
+from .wordhash import by_size, different, shingles_of  # noqa: F401  (the tests take it from here)
 
 SEED = 42
 SHINGLE = 3
@@ -284,15 +284,12 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
 def wide_leads(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``WIDE`` leads, above zero where the fingerprint has a bit, and how many different shingles each text has. A tie goes to the
     bit of the text's smallest shingle hash, with a lead of one half, rounded up; no lead is zero."""
-    with np.errstate(over="ignore"):
-        hashes, counts = shingles_of(texts)
-    owner = np.repeat(np.arange(len(texts)), counts)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])[: len(hashes)]
-    hashes, owner = hashes[new], owner[new]
-    sizes = np.bincount(owner, minlength=len(texts))
-    totals = np.zeros((len(texts), WIDE), np.int32)
+    hashes, owner, sizes = different(texts)
+    return _leads(hashes, owner, sizes), sizes
+
+
+def _leads(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    totals = np.zeros((len(sizes), WIDE), np.int32)
     for k in range(0, len(hashes), SHINGLES_AT_ONCE):
         bits, own = _bits(hashes[k : k + SHINGLES_AT_ONCE]), owner[k : k + SHINGLES_AT_ONCE]
         at = np.arange(len(own))
@@ -307,7 +304,7 @@ def wide_leads(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         first = (np.cumsum(sizes) - sizes)[full]
         for k in range(0, len(full), SHINGLES_AT_ONCE):
             totals[full[k : k + SHINGLES_AT_ONCE]] += _bits(hashes[first[k : k + SHINGLES_AT_ONCE]])
-    return 2 * (totals - sizes[:, None]) - 1, sizes
+    return 2 * (totals - sizes[:, None]) - 1
 
 
 def anchors_of_blocks(leads: np.ndarray) -> np.ndarray:
@@ -345,12 +342,14 @@ _WIDE = T.StructType([T.StructField("print", T.BinaryType()), T.StructField("anc
 
 @F.arrow_udf(_WIDE)
 def _widely(texts: pa.Array) -> pa.Array:
-    """The fingerprint of a text with the number of shingles behind it, and its anchors."""
+    """The fingerprint of a text with the number of shingles and the sketch behind it, and its anchors."""
     prints, anchors = [], [np.zeros(0, np.int64)]
     for part in by_size(texts.cast(pa.binary()).to_pylist(), TEXT_AT_ONCE):
-        leads, sizes = wide_leads(part)
+        hashes, owner, sizes = different(part)
+        leads = _leads(hashes, owner, sizes)
         bits = np.packbits(leads > 0, axis=1, bitorder="little")
-        prints += [r.tobytes() for r in np.concatenate([bits, sizes.astype("<u8").view(np.uint8).reshape(-1, 8)], axis=1)]
+        behind = linking.sketches(hashes, owner, sizes)
+        prints += [r.tobytes() for r in np.concatenate([bits, sizes.astype("<u8").view(np.uint8).reshape(-1, 8), behind], axis=1)]
         anchors.append(anchors_of_blocks(leads).ravel())
     ends = pa.array(np.arange(len(prints) + 1) * 2 * BLOCKS, pa.int32())
     lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(anchors)))
@@ -360,10 +359,10 @@ def _widely(texts: pa.Array) -> pa.Array:
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated Jaccard likenesses of prints: the share of differing bits tells the angle between shingle sets, and their sizes the rest."""
     x, y = (np.ascontiguousarray(p).view("<u8") for p in (a, b))
-    apart = np.zeros((len(x), len(y)), np.uint16)
+    apart = np.zeros(np.broadcast_shapes(x.shape[:-1], y.shape[:-1]), np.uint16)
     for k in range(WIDE // 64):
-        apart += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
-    n, m = x[:, None, -1].astype(np.float32), y[None, :, -1].astype(np.float32)
+        apart += np.bitwise_count(x[..., k] ^ y[..., k])
+    n, m = x[..., -1].astype(np.float32), y[..., -1].astype(np.float32)
     both = np.cos(apart.astype(np.float32) * np.float32(np.pi / WIDE)) * np.sqrt(n * m)
     union = np.maximum(n + m - both, np.float32(1e-6))
     return np.where((n == 0) & (m == 0), np.float32(1), both / union)

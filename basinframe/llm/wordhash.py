@@ -70,6 +70,18 @@ def shingles_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
+def different(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the different shingles of each text in ascending order, the text of each, and how many each text has."""
+    with np.errstate(over="ignore"):
+        hashes, counts = shingles_of(texts)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])[: len(hashes)]
+    hashes, owner = hashes[new], owner[new]
+    return hashes, owner, np.bincount(owner, minlength=len(texts))
+
+
 def jaccard(a: bytes, b: bytes) -> float:
     """Of the two shingle sets; two texts without a shingle are alike."""
     with np.errstate(over="ignore"):
