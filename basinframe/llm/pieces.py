@@ -114,7 +114,10 @@ class Pieces:
 
     def viterbi(self, word: str) -> list[int]:
         """Ids of the best path over a word."""
-        last = self._merges(word) if self.kind == "bpe" else self._scores(word)
+        return self._traced(word, self._merges(word) if self.kind == "bpe" else self._scores(word))
+
+    def _traced(self, word: str, last: list[int]) -> list[int]:
+        """Ids from the last piece of each place's path."""
         out, at, sizes = [], len(word) - 1, self.sizes
         while at >= 0:
             piece = last[at]
@@ -175,6 +178,49 @@ class Pieces:
             self.sums[word] = found
         return found
 
+    def _learnt(self, word: str) -> bytes:
+        """Ids of one space and a word, and its sum put down beside them: both from one pass of the automaton, unless a line feed parts the word."""
+        if self.lines_apart and "\n" in word or len(word) > LONGEST_KEPT:
+            return self.words.get(word) or self.word(word)
+        part = SPACE + word
+        n = len(part)
+        # as in _merges and _relaxed; before the first stands index -1, the spare last place
+        last, value, steps, follow, score = [-1] * (n + 1), [-np.inf] * n + [0.0], [0] * (n + 1), self.follow, self.scores
+        for end, (piece, size) in self.automaton.iter(part):
+            start = end - size
+            found = value[start] + score[piece]
+            if found > value[end]:
+                value[end] = found
+                steps[end] = steps[start] + 1
+            if last[end] < 0:
+                before = last[start]
+                fits = follow[before].get(piece)
+                if fits is None:
+                    fits = self._judge(before, piece)
+                if fits:
+                    last[end] = piece
+        out = array("i", self._traced(part, last)).tobytes()
+        if len(self.words) >= WORDS_KEPT:
+            self.words.clear()
+        self.words[word] = out
+        if len(self.sums) >= WORDS_KEPT:
+            self.sums.clear()
+        self.sums[word] = self.best(part) if -np.inf in value else complex(value[n - 1], steps[n - 1])  # with unknown characters in turn
+        return out
+
+    def both(self, text: str) -> tuple[bytes, complex]:
+        """``encode`` and ``relaxed`` of a text."""
+        plain = text and self.kind == "bpe" and self.apart and SPACE not in text
+        words = text.split(" ") if plain else [""]
+        if "" in words:
+            return self.encode(text), self.relaxed(text)
+        known, learnt = self.words.get, self._learnt
+        ids = b"".join([known(w) or learnt(w) for w in words])
+        known, total = self.sums.get, 0j
+        for w in words:
+            total += known(w) or self._sum_of(w)
+        return ids, total
+
     def relaxed(self, text: str) -> complex:
         """The best sum of scores of a text, and the pieces of that path."""
         if not text:
@@ -303,8 +349,9 @@ def reader(values: tuple):
     def read(texts: pa.Array) -> pa.Array:
         pieces, parts, sums = _pieces(values), [], []
         for t in texts.to_pylist():
-            parts.append(pieces.encode(t) if t is not None else None)
-            sums.append(pieces.relaxed(t) if t is not None else None)
+            ids, total = pieces.both(t) if t is not None else (None, None)
+            parts.append(ids)
+            sums.append(total)
         scores = pa.array([None if x is None else x.real for x in sums], pa.float64())
         steps = pa.array([None if x is None else int(x.imag) for x in sums], pa.int64())
         return pa.StructArray.from_arrays([_lists(parts), scores, steps], names=["ids", "best_score", "n_best"])

@@ -108,3 +108,24 @@ def test_query_has_the_best_sum_beside_the_ids(spark, tmp_path):
             assert got[k].best_score is None and got[k].n_best is None and got[k].ids is None
         else:
             assert complex(got[k].best_score, got[k].n_best) == own.relaxed(t) and got[k].round_trip and got[k].n_tokens == len(got[k].ids)
+
+
+class Counted:
+    """An automaton that counts its passes."""
+
+    def __init__(self, automaton):
+        self.automaton, self.passes = automaton, 0
+
+    def iter(self, text):
+        self.passes += 1
+        return self.automaton.iter(text)
+
+
+def test_ids_and_sums_are_told_in_one_pass_over_each_new_word():
+    one, other = pieces.Pieces(*pieces.load()), pieces.Pieces(*pieces.load())
+    odd = ["", "a", "\n", "a\nb c", " a  b ", "▁", "x▁y é☃ 𝔘", "\t\t", "q" * 60 + " " + "z" * 49, "a\n\nb a\n\nb", "é 日本 word word"]
+    for text in odd * 2:
+        assert one.both(text) == (other.encode(text), other.relaxed(text))
+    one.automaton = Counted(one.automaton)
+    one.both("seven words that none has said before " + "plainly " * 5)
+    assert one.automaton.passes <= 8
