@@ -127,5 +127,5 @@ def test_ids_and_sums_are_told_in_one_pass_over_each_new_word():
     for text in odd * 2:
         assert one.both(text) == (other.encode(text), other.relaxed(text))
     one.automaton = Counted(one.automaton)
-    one.both("seven words that none has said before " + "plainly " * 5)
+    one.both("seven words that none has said before" + " plainly" * 5)
     assert one.automaton.passes <= 8
