@@ -101,10 +101,15 @@ def normalised_reason(text: Column, most: int = 2000) -> Column:
 
 def tokenised(text: Column, pattern: str, kind: str, salt: str) -> Column:
     """A text in which each match is a pseudonym of its kind: the same match, the same pseudonym."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     token = lambda m: F.concat(F.lit(f"<{kind}:"), pseudonym(m, salt, 8), F.lit(">"))
-    pieces = F.zip_with(F.split(text, pattern, -1), matches, lambda p, m: F.concat(p, F.coalesce(token(m), F.lit(""))))
-    return F.array_join(pieces, "")
+
+    def told(t: Column) -> Column:
+        matches = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        pieces = F.zip_with(F.split(t, pattern, -1), matches, lambda p, m: F.concat(p, F.coalesce(token(m), F.lit(""))))
+        return F.array_join(pieces, "")
+
+    # the text as a variable, since it is used twice: what it is made of would be evaluated twice, and with each further kind twice as often
+    return F.get(F.transform(F.array(text), told), F.lit(0))
 
 
 def scrubbed(text: Column, salt: str) -> Column:

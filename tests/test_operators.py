@@ -294,3 +294,10 @@ def test_receivers_ask_for_whole_tracks_valid_lattices_and_registered_nodes(spar
     got = {r.entity_key: set(r.codes.split(",")) for r in contract.mapped(facts, rows(spark, [], schema), receiver).collect()}
     asked = {"TRACK_SEMANTICS_UNRESOLVED", "GRID_REGISTRATION_UNRESOLVED", "NODE_REGISTRATION_UNVERIFIED"}
     assert {k: got[k] & asked for k in cases} == {k: {c[2]} if c[2] else set() for k, c in cases.items()}
+
+
+def test_scrubbing_evaluates_each_text_once(spark):
+    assert str(X.scrubbed(F.col("t"), "s")).count("regexp_extract_all") == 4  # one for each kind, not twice as many for each further one
+    d = rows(spark, [(None,), ("",), ("no match",), ("a@b.com x@y.org",)], "t string")
+    got = [r[0] for r in d.select(X.scrubbed(F.col("t"), "s")).collect()]
+    assert got[:3] == [None, "", "no match"] and len(set(got[3].split())) == 2 and "@" not in got[3]
