@@ -16,8 +16,9 @@ The text is prefixed by one space and spaces become U+2581, as the model's norma
 piece has become the bytes of their UTF-8 form, so decoding gives back every text exactly. That holds for a U+2581 in
 a text too: it is spelt in bytes, where the reference encoder would take it for a space.
 
-Since no piece has a space after another character, a text falls into words, each with the spaces before it; words are
-encoded once and kept in a bounded table per Python worker. Texts of any length are encoded whole.
+Since no piece has a space after another character, a text falls into words, each with the spaces before it, and at line
+feeds if no piece has one; a last character that no piece joins to the one before it is added to the rest. Words are
+encoded once and kept in a bounded table per Python worker, which forgets those not met for long. Texts of any length are encoded whole.
 
 Null texts have null ids and decode to null; the empty text has no ids. Repeated rows are encoded alike; other
 columns are carried.
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections import defaultdict
 
 import ahocorasick
 import numpy as np
@@ -49,6 +49,25 @@ _LITERAL = "\ud800"
 _RUNS = re.compile(f"({SPACE}*)([^{SPACE}]*)")
 
 
+class Kept:
+    """A bounded table in two halves: once the new half is full, what was not met since the last time is forgotten."""
+
+    def __init__(self):
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def find(self, key: str):
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key: str, value) -> None:
+        if len(self.new) >= max(1, WORDS_KEPT // 2):
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+
+
 class Pieces:
     """A model's pieces: built once per worker from plain values."""
 
@@ -60,20 +79,22 @@ class Pieces:
         self.sizes = {n: len(text) for n, text, _ in pieces}
         self.scores = {n: score for n, _, score in pieces}
         self.worst = min(self.score.values(), default=0.0) - 10
+        #: of a piece, by the piece before (-1: none), whether it may follow
+        self.after: dict[int, dict[int, bool]] = {n: {} for n in self.text}
         self.automaton = ahocorasick.Automaton()
         for n, text, _ in pieces:
             if not (kind == "bpe" and len(text) > 1 and not text.strip(SPACE)):
-                self.automaton.add_word(text, (n, len(text)))
+                self.automaton.add_word(text, (n, len(text), self.scores[n], self.after[n]))
         self.automaton.make_automaton()
         self.runs = sorted((len(text) for _, text, _ in pieces if not text.strip(SPACE)), reverse=True)
         #: whether words can be encoded apart
         self.apart = not any(SPACE in text.lstrip(SPACE) for _, text, _ in pieces)
-        #: by the piece before (-1: none), whether a piece may follow
-        self.follow: defaultdict[int, dict[int, bool]] = defaultdict(dict)
         self.judged = 0
-        self.words: dict[str, bytes] = {}
-        #: of a word behind a space, the best sum of scores and, as the imaginary part, the pieces of that path
-        self.sums: dict[str, complex] = {}
+        #: of a word as _cut gives it, the ids, and the best sum of scores with, as the imaginary part, the pieces of that path
+        self.words, self.sums = Kept(), Kept()
+        #: neighbours within a piece; no path and no merge leads over others
+        self.joined = {text[k : k + 2] for _, text, _ in pieces for k in range(len(text) - 1)}
+        self.ends = {text: (array("i", [n]).tobytes(), complex(score, 1)) for n, text, score in pieces if len(text) == 1}
         self.lines_apart = not any("\n" in text for _, text, _ in pieces)
         self.line_feed = array("i", self._unknown("\n")).tobytes()
         self.spelling = np.empty(1 + max([unknown, *self.text, *([bytes_from + 255] if bytes_from is not None else [])]), object)
@@ -86,24 +107,24 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """The model's rule, for a few characters: merge the two neighbours whose piece scores best, the leftmost first."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                score = self.score.get(parts[k] + parts[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if at < 0:
-                return parts
+        parts, score = list(text), self.score.get
+        scores = [score(a + b, -np.inf) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > -np.inf:
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            for k in range(max(at - 1, 0), min(at + 1, len(scores))):
+                scores[k] = score(parts[k] + parts[k + 1], -np.inf)
+        return parts
 
     def _judge(self, before: int, piece: int) -> bool:
         """Whether a piece stands alone or, after another, both stand beside each other."""
         if self.judged >= PAIRS_KEPT:
-            self.follow.clear()
+            for known in self.after.values():
+                known.clear()
             self.judged = 0
         parts = [self.text[n] for n in (before, piece) if n >= 0]
-        fits = self.follow[before][piece] = self.merged("".join(parts)) == parts
+        fits = self.after[piece][before] = self.merged("".join(parts)) == parts
         self.judged += 1
         return fits
 
@@ -133,11 +154,11 @@ class Pieces:
     def _merges(self, word: str) -> list[int]:
         """The piece that the best path to each character ends in, -1 for an unknown character. Before the first stands
         index -1, the spare last place: a start, like an unknown character."""
-        last, follow = [-1] * (len(word) + 1), self.follow
-        for end, (piece, size) in self.automaton.iter(word):
+        last = [-1] * (len(word) + 1)
+        for end, (piece, size, _, after) in self.automaton.iter(word):
             if last[end] < 0:
                 before = last[end - size]
-                fits = follow[before].get(piece)
+                fits = after.get(before)
                 if fits is None:
                     fits = self._judge(before, piece)
                 if fits:
@@ -151,14 +172,14 @@ class Pieces:
     def _relaxed(self, word: str) -> tuple[list[int], list[float]]:
         """One pass over the automaton: every piece that ends at a place is tried as the last step of the best path to it."""
         n = len(word)
-        last, value, score, at = [-1] * (n + 1), [0.0] + [-np.inf] * n, self.scores, 0
-        for end, (piece, size) in [*self.automaton.iter(word), (n, (-1, 0))]:
+        last, value, at = [-1] * (n + 1), [0.0] + [-np.inf] * n, 0
+        for end, (piece, size, score, _) in [*self.automaton.iter(word), (n, (-1, 0, 0.0, None))]:
             while at < min(end, n):  # places whose pieces have all been tried
                 at += 1
                 if last[at - 1] < 0:
                     value[at] = value[at - 1] + self.worst
-            if piece >= 0 and value[end + 1 - size] + score[piece] > value[end + 1]:
-                value[end + 1], last[end] = value[end + 1 - size] + score[piece], piece
+            if piece >= 0 and value[end + 1 - size] + score > value[end + 1]:
+                value[end + 1], last[end] = value[end + 1 - size] + score, piece
         return last, value
 
     def best(self, part: str) -> complex:
@@ -170,53 +191,79 @@ class Pieces:
             at -= self.sizes[last[at]] if last[at] >= 0 else 1
         return complex(value[len(part)], steps)
 
+    def _split(self, word: str) -> tuple[str, tuple[bytes, complex] | None]:
+        """A word without its last character, and that one's ids and sum, if no piece has both neighbours."""
+        end = self.ends.get(word[-1:]) if 1 < len(word) <= LONGEST_KEPT and word[-2:] not in self.joined else None
+        return word[:-1], end
+
     def _sum_of(self, word: str) -> complex:
-        found = self.best(SPACE + word)
+        """The best sum of a word as ``_cut`` gives it."""
+        found = self.sums.find(word)
+        if found is not None:
+            return found
+        if word[:1] == "\n" and self.lines_apart:  # the line feed is an unknown character, so what follows is summed apart
+            found = complex(self.worst, 1) + self.best(word[1:])
+        else:
+            found = self.best(SPACE + word)
         if len(word) <= LONGEST_KEPT:
-            if len(self.sums) >= WORDS_KEPT:
-                self.sums.clear()
-            self.sums[word] = found
+            self.sums.keep(word, found)
         return found
 
     def _learnt(self, word: str) -> bytes:
-        """Ids of one space and a word, and its sum put down beside them: both from one pass of the automaton, unless a line feed parts the word."""
-        if self.lines_apart and "\n" in word or len(word) > LONGEST_KEPT:
-            return self.words.get(word) or self.word(word)
-        part = SPACE + word
+        """Ids of a word as ``_cut`` gives it, and its sum put down beside them: both from one pass of the automaton."""
+        out = self.words.find(word)
+        if out is not None or len(word) > LONGEST_KEPT:
+            return out or self.word(word)
+        head, end = self._split(word)
+        if end:
+            out, total = self._learnt(head) + end[0], self._sum_of(head) + end[1]
+        else:
+            out, total = self._passed(word)
+        self.words.keep(word, out)
+        self.sums.keep(word, total)
+        return out
+
+    def _passed(self, word: str) -> tuple[bytes, complex]:
+        line = word[:1] == "\n" and self.lines_apart
+        part = word[1:] if line else SPACE + word
         n = len(part)
         # as in _merges and _relaxed; before the first stands index -1, the spare last place
-        last, value, steps, follow, score = [-1] * (n + 1), [-np.inf] * n + [0.0], [0] * (n + 1), self.follow, self.scores
-        for end, (piece, size) in self.automaton.iter(part):
+        last, value, steps = [-1] * (n + 1), [-np.inf] * n + [0.0], [0] * (n + 1)
+        for end, (piece, size, score, after) in self.automaton.iter(part):
             start = end - size
-            found = value[start] + score[piece]
+            found = value[start] + score
             if found > value[end]:
                 value[end] = found
                 steps[end] = steps[start] + 1
             if last[end] < 0:
                 before = last[start]
-                fits = follow[before].get(piece)
+                fits = after.get(before)
                 if fits is None:
                     fits = self._judge(before, piece)
                 if fits:
                     last[end] = piece
         out = array("i", self._traced(part, last)).tobytes()
-        if len(self.words) >= WORDS_KEPT:
-            self.words.clear()
-        self.words[word] = out
-        if len(self.sums) >= WORDS_KEPT:
-            self.sums.clear()
-        self.sums[word] = self.best(part) if -np.inf in value else complex(value[n - 1], steps[n - 1])  # with unknown characters in turn
-        return out
+        total = self.best(part) if -np.inf in value else complex(value[n - 1], steps[n - 1])  # with unknown characters in turn
+        return (self.line_feed + out, complex(self.worst, 1) + total) if line else (out, total)
+
+    def _cut(self, text: str) -> list[str]:
+        """A text at its spaces and, if no piece has a line feed, before each line feed. A word stands for itself behind a space, one that begins with a
+        line feed for itself alone; an empty one is a space before a line feed, in a run of spaces or at an end of the text."""
+        return (text.replace("\n", " \n") if self.lines_apart else text).split(" ")
+
+    def _plain(self, text: str) -> list[str] | None:
+        """``_cut`` of a text without runs of spaces or spaces at its ends."""
+        words = self._cut(text)
+        return None if "" in words and ("  " in text or text[0] == " " or text[-1] == " ") else words
 
     def both(self, text: str) -> tuple[bytes, complex]:
         """``encode`` and ``relaxed`` of a text."""
-        plain = text and self.kind == "bpe" and self.apart and SPACE not in text
-        words = text.split(" ") if plain else [""]
-        if "" in words:
+        words = self._plain(text) if text and self.kind == "bpe" and self.apart and SPACE not in text else None
+        if words is None:
             return self.encode(text), self.relaxed(text)
-        known, learnt = self.words.get, self._learnt
+        known, learnt = self.words.new.get, self._learnt
         ids = b"".join([known(w) or learnt(w) for w in words])
-        known, total = self.sums.get, 0j
+        known, total = self.sums.new.get, 0j
         for w in words:
             total += known(w) or self._sum_of(w)
         return ids, total
@@ -229,8 +276,8 @@ class Pieces:
             text = text.replace(SPACE, _LITERAL)
         if not self.apart or self.kind != "bpe":  # pieces may have spaces within
             return self.best(SPACE + text.replace(" ", SPACE))
-        known, total = self.sums.get, 0j
-        for w in text.split(" "):
+        known, total = self.sums.new.get, 0j
+        for w in self._cut(text):
             total += known(w) or self._sum_of(w)
         return total
 
@@ -252,17 +299,19 @@ class Pieces:
         return self.spaces(spaces - 1) + own
 
     def word(self, word: str) -> bytes:
-        """Ids of one space and a word, as 32-bit numbers. What follows a line feed is a word of its own, if no piece
-        has one."""
-        if self.lines_apart and "\n" in word:
-            head, *parts = word.split("\n")
-            out = (self.words.get(head) or self.word(head)) + b"".join([self.line_feed + self._ids(p) for p in parts])
+        """Ids of a word as ``_cut`` gives it, as 32-bit numbers."""
+        out = self.words.find(word)
+        if out is not None:
+            return out
+        head, end = self._split(word)
+        if end:
+            out = self.word(head) + end[0]
+        elif word[:1] == "\n" and self.lines_apart:
+            out = self.line_feed + self._ids(word[1:])
         else:
             out = self._ids(SPACE + word)
         if len(word) <= LONGEST_KEPT:
-            if len(self.words) >= WORDS_KEPT:
-                self.words.clear()
-            self.words[word] = out
+            self.words.keep(word, out)
         return out
 
     def _ids(self, part: str) -> bytes:
@@ -275,14 +324,13 @@ class Pieces:
             text = text.replace(SPACE, _LITERAL)
         if not self.apart:
             return np.array(self.viterbi(SPACE + text.replace(" ", SPACE)), np.int32).tobytes()
-        words = text.split(" ")
-        if "" not in words:
-            known, spelt = self.words.get, self.word
+        words, known, spelt = self._plain(text), self.words.new.get, self.word
+        if words is not None:
             return b"".join([known(w) or spelt(w) for w in words])
         out = []
         for spaces, word in _RUNS.findall(SPACE + text.replace(" ", SPACE)):
             if len(spaces) == 1 and word:
-                out.append(self.word(word))
+                out.extend([known(w) or spelt(w) for w in self._cut(word)])
             elif spaces or word:
                 out.append(np.array(self._run(len(spaces), word), np.int32).tobytes())
         return b"".join(out)

@@ -129,3 +129,25 @@ def test_ids_and_sums_are_told_in_one_pass_over_each_new_word():
     one.automaton = Counted(one.automaton)
     one.both("seven words that none has said before" + " plainly" * 5)
     assert one.automaton.passes <= 8
+
+
+def test_what_no_piece_joins_is_learnt_once():
+    """A line feed or a comma behind a known word needs no pass over that word, and the ids and sums are those of the whole text."""
+    own, plain = pieces.Pieces(*pieces.load()), pieces.Pieces(*pieces.load())
+    own.both("some words that were said before\nnow")
+    own.automaton = Counted(own.automaton)
+    text = "some, words. that,\nnow were,,\nnow said;\nnow. before\nnow"
+    ids, total = own.both(text)
+    assert own.automaton.passes <= 2
+    part = "▁" + text.replace(" ", "▁")
+    assert total == plain.best(part) and np.frombuffer(ids, np.int32).tolist() == plain.viterbi(part)
+
+
+def test_a_full_table_keeps_what_was_met_since(monkeypatch):
+    monkeypatch.setattr(pieces, "WORDS_KEPT", 40)
+    own = pieces.Pieces(*pieces.load())
+    own.both("often")
+    own.automaton = Counted(own.automaton)
+    for k in range(100):
+        own.both(f"often x{k}q")
+    assert own.automaton.passes <= 101
