@@ -1,7 +1,7 @@
 """Five catalogue tables out of nested receipts and a file index, in one pass.
 
 Receipts are rows (source, number, item): the item is JSON text, the source one of ``SOURCES``, in that order, and the number its place there. A file index is rows (section, number, item). Every item is parsed once and gives tagged rows:
-an entity it is about, entities it refers to, links, evidence, gaps and artifacts. They are written once, partitioned by tag, and each table is a fold of its own part.
+an entity it is about, entities it refers to, links, evidence, gaps and artifacts. They are written once, partitioned by tag, and each table is a fold of its own part. Rows that no table asked for needs are not told.
 
 *Entities.* The key is project, lane and source id. Of an entity's mentions the first creates it: a reference before the item itself leaves it ``referenced``. A name that is only the id, or a category that is unknown, is replaced by
 the first that is better; the last status of a receipt holds. ``origin`` tells who speaks of it: a ``receipt``, a file ``index`` only, or a ``reference`` only.
@@ -38,17 +38,24 @@ FIELDS = (
     "md_reference", "log_kind", "index_kind", "sampling_kind", "null_semantics", "curve_kind", "value_role", "null_count", "surface_role", "grid_registration",
     "node_registration", "well_identity", "track_semantics", "head_semantics", "marker_semantics", "checkshot_semantics", "polygon_topology", "missing_vertex_slots",
 )
+#: Tables, and the tags of the rows that each is made of.
+TABLES = {
+    "entities": ("entity",), "relationships": ("entity", "relationship"), "evidence": ("evidence",), "gaps": ("entity", "gap"), "artifacts": ("artifact",), "rejected": ("rejected",),
+}
+TAGS = ("entity", "relationship", "evidence", "gap", "artifact", "rejected")
 _ROW = "tag, entity_key, other, field, value, locator, name, category, status, source, place"
 
 
 @dataclass(frozen=True)
 class Catalogue:
-    entities: DataFrame
-    relationships: DataFrame
-    evidence: DataFrame
-    gaps: DataFrame
-    artifacts: DataFrame
-    rejected: DataFrame
+    """Tables; None: not asked for."""
+
+    entities: DataFrame | None = None
+    relationships: DataFrame | None = None
+    evidence: DataFrame | None = None
+    gaps: DataFrame | None = None
+    artifacts: DataFrame | None = None
+    rejected: DataFrame | None = None
 
 
 def _get(path: str, kind: str = "string") -> Column:
@@ -89,12 +96,12 @@ def _key(project: str, source_id: Column, lane: str = "native") -> Column:
     return F.concat(F.lit(f"{project}:{lane}:"), source_id)
 
 
-def receipt_rows(receipts: DataFrame, project: str) -> DataFrame:
-    """Tagged rows of receipt items."""
+def receipt_rows(receipts: DataFrame, project: str, tags: Sequence[str] = TAGS) -> DataFrame:
+    """Tagged rows of receipt items, of these tags."""
     own, key = F.col("object_id"), _key(project, F.col("object_id"))
     locator = F.concat("source", F.lit("#/objects/"), "number")
     name = F.coalesce(_text("name"), _text("object_name"))
-    rows = [F.array(_mention(key, own, locator, F.col("place"), 0, name, _category(), _text("status")))]
+    rows = [F.array(_mention(key, own, locator, F.col("place"), 0, name, _category(), _text("status")))] if "entity" in tags else []
     receipt = F.col("source").isin(*RECEIPTS)
     for k, (relation, field) in enumerate(RELATIONS, 1):
         target = _text(field)
@@ -104,23 +111,35 @@ def receipt_rows(receipts: DataFrame, project: str) -> DataFrame:
         at = F.concat(locator, F.lit(f"/{field}"))
         link = _row("relationship", key, other=_key(project, target), field=F.lit(relation), locator=at, source=F.col("source"), place=F.col("place"))
         mention = _mention(_key(project, target), target, at, F.col("place"), k, status=F.lit("referenced"), source=F.lit("reference"))
-        rows.append(F.when(stated, F.array(mention, link)).otherwise(F.slice(F.array(mention, link), 1, 0)))
+        told = [row for tag, row in (("entity", mention), ("relationship", link)) if tag in tags]
+        rows += [F.when(stated, F.array(*told)).otherwise(F.slice(F.array(*told), 1, 0))] if told else []
+    if "evidence" in tags:
+        rows.append(_evidence_rows(key, locator, receipt))
+    if "gap" in tags:
+        rows += _gap_rows(key, locator, receipt)
+    return _tagged(_parsed(receipts, SOURCES, "source"), rows, tags)
+
+
+def _evidence_rows(key: Column, locator: Column, receipt: Column) -> Column:
     said = [F.struct(F.lit(f).alias("field"), F.to_json(F.try_variant_get("v", f"$.{f}", "variant")).alias("value")) for f in FIELDS]
     said = F.filter(F.array(*said), lambda x: x["value"].isNotNull() & ~x["value"].isin("null", '""'))
     evidence = F.transform(said, lambda x: _row("evidence", key, field=x["field"], value=x["value"], locator=F.concat(locator, F.lit("/"), x["field"]), source=F.col("source"), place=F.col("place")))
-    rows.append(F.when(receipt, evidence).otherwise(F.slice(evidence, 1, 0)))
-    slots = _get("missing_vertex_slots", "bigint")
+    return F.when(receipt, evidence).otherwise(F.slice(evidence, 1, 0))
+
+
+def _gap_rows(key: Column, locator: Column, receipt: Column) -> list[Column]:
+    rows, slots = [], _get("missing_vertex_slots", "bigint")
     gaps = [
         (f"{f}_status", f, "SOURCE_SEMANTICS_UNRESOLVED", _get(f"{f}_status") == "unresolved") for f in ("unit", "crs")
     ] + [("missing_vertex_slots", "geometry_vertices", "NATIVE_VERTEX_GAPS", slots > 0)]
     for field, what, code, holds in gaps:
         gap = F.array(_row("gap", key, field=F.lit(what), value=F.lit(code), locator=F.concat(locator, F.lit(f"/{field}")), source=F.col("source"), place=F.col("place")))
         rows.append(F.when(receipt & F.coalesce(holds, F.lit(False)), gap).otherwise(F.slice(gap, 1, 0)))
-    return _tagged(_parsed(receipts, SOURCES, "source"), F.concat(*rows))
+    return rows
 
 
-def index_rows(index: DataFrame, project: str) -> DataFrame:
-    """Tagged rows of a file index."""
+def index_rows(index: DataFrame, project: str, tags: Sequence[str] = TAGS) -> DataFrame:
+    """Tagged rows of a file index, of these tags."""
     own, key = F.col("object_id"), _key(project, F.col("object_id"))
     locator = F.concat(F.lit("FILE_INDEX#/"), "source", F.lit("/"), "number")
     mention = _mention(key, own, locator, F.array(F.lit(9).cast("long"), F.col("number")), 0, _text("name"), _category(), source=F.lit("index"))
@@ -130,38 +149,50 @@ def index_rows(index: DataFrame, project: str) -> DataFrame:
         "artifact", key, other=F.concat(key, F.lit(":artifact:"), F.sha2(canonical, 256)), field=_get("role"), value=_get("path"), locator=locator, name=_get("format"),
         category=_get("bytes", "bigint").cast("string"), status=F.coalesce(_text("status"), F.lit("unknown")), source=F.col("source"), place=F.col("place"),
     )
-    return _tagged(_parsed(index, (), "section"), F.array(mention, artifact))
+    told = [row for tag, row in (("entity", mention), ("artifact", artifact)) if tag in tags]
+    return _tagged(_parsed(index, (), "section"), [F.array(*told)] if told else [], tags)
 
 
 def artifacts(index: DataFrame, project: str) -> DataFrame:
     """The artifacts alone: they are told from the index, so neither receipts nor entities are read or written for them."""
-    return _artifacts(settle(index_rows(index, project).where("tag = 'artifact'").drop("tag"), "artifacts"))
+    return _artifacts(settle(index_rows(index, project, ("artifact",)).drop("tag"), "artifacts"))
 
 
-def _tagged(parsed: DataFrame, rows: Column) -> DataFrame:
+def _tagged(parsed: DataFrame, rows: Sequence[Column], tags: Sequence[str]) -> DataFrame:
     good = F.coalesce(_text("object_id").isNotNull(), F.lit(False))
     bad = F.array(_row("rejected", F.lit(None), value=F.col("item"), locator=F.concat("source", F.lit("#"), "number"), source=F.col("source"), place=F.col("place")))
-    return parsed.select(F.explode(F.when(good, rows).otherwise(bad)).alias("r")).select("r.*")
+    none = F.slice(bad, 1, 0)
+    told = F.when(good, F.concat(*rows) if rows else none).otherwise(bad if "rejected" in tags else none)
+    return parsed.select(F.explode(told).alias("r")).select("r.*")
 
 
-def built(receipts: DataFrame, index: DataFrame, project: str) -> Catalogue:
-    """The tables. Tagged rows are written once, a folder for each tag; a table reads its own."""
-    rows = receipt_rows(receipts, project).unionByName(index_rows(index, project))
-    spark = rows.sparkSession
-    path = written(rows, "tagged", ["tag"])
-    schema = rows.schema
+def built(receipts: DataFrame, index: DataFrame, project: str, tables: Sequence[str] = tuple(TABLES)) -> Catalogue:
+    """The tables asked for. Tagged rows are written once, a folder for each tag; a table reads its own. Rows of one tag are not written."""
+    tags = tuple(t for t in TAGS if any(t in TABLES[name] for name in tables))
+    rows = receipt_rows(receipts, project, tags)
+    if {"entity", "artifact", "rejected"} & {*tags}:
+        rows = rows.unionByName(index_rows(index, project, tags))
+    spark, schema = rows.sparkSession, rows.schema
+    path = written(rows, "tagged", ["tag"]) if len(tags) > 1 else None
 
     def part(tag: str) -> DataFrame:
-        return spark.read.schema(schema).parquet(path).where(F.col("tag") == tag).drop("tag")
-
-    entities = settle(_entities(part("entity"), project), "entities")
-    evidence = part("evidence").select("entity_key", "field", F.col("value").alias("raw_value"), "locator")
-    lost = entities.where("origin = 'index'").select("entity_key", F.lit("entity").alias("field"), F.lit("RECEIPT_ABSENT").alias("code"), F.col("source_locator").alias("locator"))
-    gaps = part("gap").select("entity_key", "field", F.col("value").alias("code"), "locator").unionByName(lost)
-    return Catalogue(
-        entities, _relationships(part("relationship"), entities), evidence, gaps, _artifacts(part("artifact")),
-        part("rejected").select("locator", F.col("value").alias("item")),
-    )
+        return (spark.read.schema(schema).parquet(path) if path else rows).where(F.col("tag") == tag).drop("tag")
+
+    made = {}
+    if "entity" in tags:
+        entities = made["entities"] = settle(_entities(part("entity"), project), "entities")
+    if "relationships" in tables:
+        made["relationships"] = _relationships(part("relationship"), entities)
+    if "evidence" in tables:
+        made["evidence"] = part("evidence").select("entity_key", "field", F.col("value").alias("raw_value"), "locator")
+    if "gaps" in tables:
+        lost = entities.where("origin = 'index'").select("entity_key", F.lit("entity").alias("field"), F.lit("RECEIPT_ABSENT").alias("code"), F.col("source_locator").alias("locator"))
+        made["gaps"] = part("gap").select("entity_key", "field", F.col("value").alias("code"), "locator").unionByName(lost)
+    if "artifacts" in tables:
+        made["artifacts"] = _artifacts(part("artifact"))
+    if "rejected" in tables:
+        made["rejected"] = part("rejected").select("locator", F.col("value").alias("item"))
+    return Catalogue(**made)
 
 
 def _entities(mentions: DataFrame, project: str) -> DataFrame:

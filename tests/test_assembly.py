@@ -63,3 +63,25 @@ def test_artifacts_alone_are_those_of_the_catalogue(spark):
     got, want = A.artifacts(index, "p"), A.built(receipts, index, "p").artifacts
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert sorted(r.representation for r in got.collect()) == ["duplicate", "duplicate", "single"]
+
+
+def test_only_rows_of_the_tables_asked_for_are_told(spark, monkeypatch):
+    receipts = [
+        ("context", 0, {"object_id": "a", "parent_id": "b"}), ("native", 0, {"object_id": "b", "unit": "m", "unit_status": "unresolved", "well_id": "w"}),
+        ("spatial", 0, {"object_id": "c", "missing_vertex_slots": 2}), ("native", 1, "junk"),
+    ]
+    index = [("files", 0, {"object_id": "a", "path": "x", "bytes": 5}), ("files", 1, {"object_id": "w", "path": "y"}), ("files", 2, {"object_id": "z", "path": "y"}), ("files", 3, {})]
+    tables = rows(spark, receipts, RECEIPT), rows(spark, index, INDEX)
+    whole, told = A.built(*tables, "p"), []
+
+    def written(df, name, by=(), real=A.written):
+        if by:
+            told.extend(r.tag for r in df.select("tag").distinct().collect())
+        return real(df, name, by)
+
+    monkeypatch.setattr(A, "written", written)
+    for name in A.TABLES:
+        told.clear()
+        one = A.built(*tables, "p", [name])
+        assert sorted(getattr(one, name).collect()) == sorted(getattr(whole, name).collect()) != []
+        assert {*told} <= {*A.TABLES[name]}
