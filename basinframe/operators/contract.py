@@ -249,7 +249,8 @@ def facts_of(entities: DataFrame, artifacts: DataFrame, relationships: DataFrame
 
 
 def _codes(rules: Sequence[tuple[str, Column]]) -> Column:
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(found, code) for code, found in rules]))))
+    """The codes that hold, sorted, each once. None of these functions takes a lambda: within one that does, all rules would be interpreted row by row."""
+    return F.sort_array(F.array_except(F.array(*[F.when(found, code) for code, found in rules]), F.array(F.lit(None).cast("string"))))
 
 
 def assessed(facts: DataFrame, delivery: Delivery = Delivery(), rules: Callable[[Delivery], Sequence[tuple[str, Column]]] = source_rules) -> DataFrame:
@@ -365,7 +366,7 @@ def _needed(need: Need, applies: Column | None = None) -> list[tuple[str, Column
 
 
 def mapping_rules(receiver: Receiver) -> list[tuple[str, Column]]:
-    """(code, condition) over facts, source codes (``source_codes``) and the columns of a decision."""
+    """(code, condition) over facts and the columns of a decision."""
     rules = [("TARGET_MAPPING_UNSUPPORTED", ~_in(*receiver.routes))]
     version = F.col("target_version").eqNullSafe(F.lit(receiver.version)) & F.col("target_api_version").eqNullSafe(F.lit(receiver.api_version).cast("string"))
     rules += [("TARGET_PROFILE_DECISION_REQUIRED", ~version), ("TARGET_OBJECT_DECISION_REQUIRED", ~_well_said(F.col("target_object_id")))]
@@ -432,9 +433,8 @@ def mapped(facts: DataFrame, decisions: DataFrame, receiver: Receiver, delivery:
     """(entity_key, category, receiving_state, codes). ``decisions`` has at most one row for an entity: entity_key, target_version,
     target_api_version, target_object_id, well_target_key, well_target_id, well_target_state, reference_volume_key, assertions (map), survey (map)
     and derived (true if a derivation with its losses is agreed). Codes are of the source rules that also block a mapping and of the receiver's."""
-    own = facts.join(decisions, "entity_key", "left").withColumn("source_codes", _codes(source_rules(delivery)))
-    core = F.filter("source_codes", lambda c: c.isin(*CORE_BLOCKERS) | c.startswith("CONFLICTING_"))
-    made = own.select("entity_key", "category", "derived", F.array_sort(F.array_union(core, _codes(mapping_rules(receiver)))).alias("codes"))
+    core = [(code, found) for code, found in source_rules(delivery) if code in CORE_BLOCKERS or code.startswith("CONFLICTING_")]
+    made = facts.join(decisions, "entity_key", "left").select("entity_key", "category", "derived", _codes(core + mapping_rules(receiver)).alias("codes"))
     has = lambda pattern: F.exists("codes", lambda c: c.rlike(pattern))
     only_survey = F.size(F.array_except("codes", F.array(F.lit("SURVEY_LATTICE_MISMATCH"), F.lit("SURVEY_CONTEXT_CONFLICT")))) == 0
     derived = _true(F.col("derived"))
