@@ -46,6 +46,7 @@ LONGEST_KEPT = 48
 SPACE = "▁"
 #: Stands for a U+2581 of the text; a lone surrogate is in no UTF-8 text.
 _LITERAL = "\ud800"
+_LEAST = float("-inf")
 _RUNS = re.compile(f"({SPACE}*)([^{SPACE}]*)")
 
 
@@ -92,6 +93,8 @@ class Pieces:
         self.judged = 0
         #: of a word as _cut gives it, the ids, and the best sum of scores with, as the imaginary part, the pieces of that path
         self.words, self.sums = Kept(), Kept()
+        #: both of these, for words that were read for both
+        self.told = Kept()
         #: neighbours within a piece; no path and no merge leads over others
         self.joined = {text[k : k + 2] for _, text, _ in pieces for k in range(len(text) - 1)}
         self.ends = {text: (array("i", [n]).tobytes(), complex(score, 1)) for n, text, score in pieces if len(text) == 1}
@@ -108,13 +111,13 @@ class Pieces:
     def merged(self, text: str) -> list[str]:
         """The model's rule, for a few characters: merge the two neighbours whose piece scores best, the leftmost first."""
         parts, score = list(text), self.score.get
-        scores = [score(a + b, -np.inf) for a, b in zip(parts, parts[1:])]
-        while scores and (best := max(scores)) > -np.inf:
+        scores = [score(a + b, _LEAST) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > _LEAST:
             at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del scores[at]
             for k in range(max(at - 1, 0), min(at + 1, len(scores))):
-                scores[k] = score(parts[k] + parts[k + 1], -np.inf)
+                scores[k] = score(parts[k] + parts[k + 1], _LEAST)
         return parts
 
     def _judge(self, before: int, piece: int) -> bool:
@@ -172,7 +175,7 @@ class Pieces:
     def _relaxed(self, word: str) -> tuple[list[int], list[float]]:
         """One pass over the automaton: every piece that ends at a place is tried as the last step of the best path to it."""
         n = len(word)
-        last, value, at = [-1] * (n + 1), [0.0] + [-np.inf] * n, 0
+        last, value, at = [-1] * (n + 1), [0.0] + [_LEAST] * n, 0
         for end, (piece, size, score, _) in [*self.automaton.iter(word), (n, (-1, 0, 0.0, None))]:
             while at < min(end, n):  # places whose pieces have all been tried
                 at += 1
@@ -209,26 +212,28 @@ class Pieces:
             self.sums.keep(word, found)
         return found
 
-    def _learnt(self, word: str) -> bytes:
-        """Ids of a word as ``_cut`` gives it, and its sum put down beside them: both from one pass of the automaton."""
-        out = self.words.find(word)
-        if out is not None or len(word) > LONGEST_KEPT:
-            return out or self.word(word)
+    def _learnt(self, word: str) -> tuple[bytes, complex]:
+        """Ids and best sum of a word as ``_cut`` gives it: both from one pass of the automaton."""
+        found = self.told.find(word)
+        if found is not None:
+            return found
+        if len(word) > LONGEST_KEPT:
+            return self.word(word), self._sum_of(word)
         head, end = self._split(word)
         if end:
-            out, total = self._learnt(head) + end[0], self._sum_of(head) + end[1]
+            ids, total = self._learnt(head)
+            found = ids + end[0], total + end[1]
         else:
-            out, total = self._passed(word)
-        self.words.keep(word, out)
-        self.sums.keep(word, total)
-        return out
+            found = self._passed(word)
+        self.told.keep(word, found)
+        return found
 
     def _passed(self, word: str) -> tuple[bytes, complex]:
         line = word[:1] == "\n" and self.lines_apart
         part = word[1:] if line else SPACE + word
         n = len(part)
         # as in _merges and _relaxed; before the first stands index -1, the spare last place
-        last, value, steps = [-1] * (n + 1), [-np.inf] * n + [0.0], [0] * (n + 1)
+        last, value, steps = [-1] * (n + 1), [_LEAST] * n + [0.0], [0] * (n + 1)
         for end, (piece, size, score, after) in self.automaton.iter(part):
             start = end - size
             found = value[start] + score
@@ -243,7 +248,7 @@ class Pieces:
                 if fits:
                     last[end] = piece
         out = array("i", self._traced(part, last)).tobytes()
-        total = self.best(part) if -np.inf in value else complex(value[n - 1], steps[n - 1])  # with unknown characters in turn
+        total = self.best(part) if _LEAST in value else complex(value[n - 1], steps[n - 1])  # with unknown characters in turn
         return (self.line_feed + out, complex(self.worst, 1) + total) if line else (out, total)
 
     def _cut(self, text: str) -> list[str]:
@@ -261,12 +266,9 @@ class Pieces:
         words = self._plain(text) if text and self.kind == "bpe" and self.apart and SPACE not in text else None
         if words is None:
             return self.encode(text), self.relaxed(text)
-        known, learnt = self.words.new.get, self._learnt
-        ids = b"".join([known(w) or learnt(w) for w in words])
-        known, total = self.sums.new.get, 0j
-        for w in words:
-            total += known(w) or self._sum_of(w)
-        return ids, total
+        known, learnt = self.told.new.get, self._learnt
+        found = [known(w) or learnt(w) for w in words]
+        return b"".join([ids for ids, _ in found]), sum([total for _, total in found])
 
     def relaxed(self, text: str) -> complex:
         """The best sum of scores of a text, and the pieces of that path."""
@@ -391,18 +393,19 @@ def encoder(values: tuple):
 
 
 def reader(values: tuple):
-    """Ids, and the best sum of scores with the pieces of its path: both in one pass through one worker."""
+    """Ids, the text that they spell, and the best sum of scores with the pieces of its path: all in one pass through one worker."""
 
-    @F.arrow_udf(T.StructType([T.StructField("ids", IDS), T.StructField("best_score", T.DoubleType()), T.StructField("n_best", T.LongType())]))
+    @F.arrow_udf(T.StructType([T.StructField("ids", IDS), T.StructField("decoded", T.StringType()), T.StructField("best_score", T.DoubleType()), T.StructField("n_best", T.LongType())]))
     def read(texts: pa.Array) -> pa.Array:
         pieces, parts, sums = _pieces(values), [], []
         for t in texts.to_pylist():
             ids, total = pieces.both(t) if t is not None else (None, None)
             parts.append(ids)
             sums.append(total)
+        spelt = pa.array([None if x is None else pieces.decode(np.frombuffer(x, np.int32)).decode("utf-8", "replace") for x in parts], pa.string())
         scores = pa.array([None if x is None else x.real for x in sums], pa.float64())
         steps = pa.array([None if x is None else int(x.imag) for x in sums], pa.int64())
-        return pa.StructArray.from_arrays([_lists(parts), scores, steps], names=["ids", "best_score", "n_best"])
+        return pa.StructArray.from_arrays([_lists(parts), spelt, scores, steps], names=["ids", "decoded", "best_score", "n_best"])
 
     return read.asNondeterministic()
 
@@ -461,15 +464,12 @@ def tokenised(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFr
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, the digest of what they decode to, and the best sum of scores over the same pieces."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    values = load()
-    read = docs.withColumn("read", reader(values)("text"))
-    both = read.withColumn("decoded", decoder(values)("read.ids"))
-    return both.select(
+    return docs.withColumn("read", reader(load())("text")).select(
         "doc_id",
         F.col("read.ids").alias("ids"),
         F.coalesce(F.array_size("read.ids"), F.lit(0)).cast("long").alias("n_tokens"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.col("text")).alias("round_trip"),
+        F.sha2("read.decoded", 256).alias("decoded_sha256"),
+        (F.col("read.decoded") == F.col("text")).alias("round_trip"),
         F.col("read.best_score").alias("best_score"),
         F.col("read.n_best").alias("n_best"),
     )
